@@ -3,8 +3,7 @@
 Every k-gram of words is hashed; of each sliding window of hashes the smallest are kept as
 fingerprints. Two texts that share ``window`` consecutive words share a whole window of hashes, so they
 keep the same k-gram of it: joining the fingerprints of documents and benchmark finds every shared
-span. Hits name a diagonal (document position minus item position), along which whole windows are then
-compared word by word, so a hash collision can't mark a word.
+span. Around a hit, whole windows are compared word by word, so a hash collision can't mark a word.
 """
 
 from __future__ import annotations
@@ -36,11 +35,17 @@ def _grams(tokens: Column, n: Column, k: int) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), one)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _entry(kind: int):
-    return lambda h, p: F.struct(F.lit(kind).alias("kind"), h.alias("h"), p.alias("p"))
+def _entry(kind: int, before: int, length: int, context: bool):
+    """One fingerprint of a text: what it is, where, and for documents the words that its windows span."""
 
+    def made(h: Column, p: Column) -> Column:
+        words_near = [F.slice("w", F.greatest(p - before, F.lit(0)) + 1, length + F.least(p, F.lit(before))).alias("near")]
+        return F.struct(F.lit(kind).alias("kind"), h.alias("h"), p.alias("p"), *(words_near if context else []))
 
-def _fingerprints(df: DataFrame, keep: list[str], lengths: list[int], window: int, k: int) -> DataFrame:
+    return made
+
+
+def _fingerprints(df: DataFrame, keep: list[str], lengths: list[int], window: int, k: int, context: bool) -> DataFrame:
     """``keep`` and array ``fps`` of (kind, h, p): winnowed k-grams, and all n-grams of each short length n.
 
     A text is winnowed when it has a whole window. Ties keep every smallest hash of a window. To be read
@@ -48,23 +53,22 @@ def _fingerprints(df: DataFrame, keep: list[str], lengths: list[int], window: in
     down, which would compute all of this again for each element.
     """
     span = window - k + 1
-    out = df.withColumn("_g", F.when(F.col("n_words") >= window, _grams(F.col("w"), F.col("n_words"), k)).otherwise(
-        F.array().cast("array<bigint>")))
+    none = F.array().cast("array<bigint>")
+    out = df.withColumn("_g", F.when(F.col("n_words") >= window, _grams(F.col("w"), F.col("n_words"), k)).otherwise(none))
     out = out.withColumn("_m", F.when(F.size("_g") >= span, F.transform(
         F.sequence(F.lit(0), F.size("_g") - span),
         lambda i: F.least(*[F.get("_g", i + j) for j in range(span)]) if span > 1 else F.get("_g", i),
-    )).otherwise(F.array().cast("array<bigint>")))
+    )).otherwise(none))
+    entry = _entry(0, span - 1, window, context)
 
     def chosen(x: Column, p: Column) -> Column:
         best = [F.get("_m", p - j) for j in range(span)]
-        return x == (F.greatest(*best) if span > 1 else best[0])
+        return F.when(x == (F.greatest(*best) if span > 1 else best[0]), entry(x, p))
 
-    fps = F.array_compact(F.transform("_g", lambda x, p: F.when(chosen(x, p), F.struct(
-        F.lit(0).alias("kind"), x.alias("h"), p.alias("p")))))
-    parts = [fps]
-    for length in lengths:
-        parts.append(F.transform(_grams(F.col("w"), F.col("n_words"), length), _entry(length)))
-    return out.select(*keep, (F.concat(*parts) if len(parts) > 1 else fps).alias("fps"))
+    parts = [F.array_compact(F.transform("_g", chosen))]
+    for n in lengths:
+        parts.append(F.transform(_grams(F.col("w"), F.col("n_words"), n), _entry(n, 0, n, context)))
+    return out.select(*keep, F.concat(*parts).alias("fps"))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -75,67 +79,55 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: in
     is ``window`` consecutive words of an item, or all of a shorter one. Null and empty texts have no
     words and no windows; an empty table on either side gives no hits; rows that repeat are each judged; a null
     item_id marks words but isn't listed; other columns are ignored.
+
+    A document is read once: each fingerprint carries the words around it that its windows span, so that a
+    hit is extended and checked word by word without going back to the text.
     """
-    docs = docs.select("doc_id", "text")
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).withColumn("n_words", F.size("w")).filter(
         "n_words > 0")
     items = stored(items.withColumn("item_no", F.monotonically_increasing_id()), "items")
     lengths = sorted(r[0] for r in items.filter(F.col("n_words") < window).select("n_words").distinct().collect())
-    item_fps = _fingerprints(items, ["item_no", "n_words"], lengths, window, k).select(
+    item_fps = _fingerprints(items, ["item_no", "n_words"], lengths, window, k, context=False).select(
         "item_no", "n_words", F.explode_outer("fps").alias("f"))
     item_fps = item_fps.select("item_no", "f.kind", "f.h", F.col("f.p").alias("q"), "n_words").filter(
         (F.col("kind") == 0) & (F.col("n_words") >= window) | (F.col("kind") == F.col("n_words"))).drop("n_words")
     item_fps = stored(item_fps, "item-fingerprints")
 
-    read = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("n_words", F.size("w"))
-    marked = _fingerprints(read, ["doc_id", "n_words"], lengths, window, k)
+    read = docs.select("doc_id", words(F.col("text")).alias("w")).withColumns(
+        {"n_words": F.size("w"), "row_no": F.monotonically_increasing_id()})
+    marked = _fingerprints(read, ["row_no", "doc_id", "n_words"], lengths, window, k, context=True)
     # One more entry for each row keeps its word count when no fingerprint of it is found.
-    none = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).cast("bigint").alias("h"), F.lit(-1).alias("p")))
-    marked = marked.select("doc_id", "n_words", F.explode_outer(F.concat(none, "fps")).alias("f")).select(
-        "doc_id", "n_words", "f.kind", "f.h", "f.p")
+    none = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).cast("bigint").alias("h"), F.lit(-1).alias("p"),
+                            F.array().cast("array<string>").alias("near")))
+    marked = marked.select("row_no", "doc_id", "n_words", F.explode_outer(F.concat(none, "fps")).alias("f")).select(
+        "row_no", "doc_id", "n_words", "f.*")
     found = marked.join(broadcast_if_small(item_fps, BROADCAST_FINGERPRINTS), ["kind", "h"], "left").filter(
         "kind = -1 or item_no is not null")
-    found = stored(found.select("doc_id", "n_words", "kind", "item_no", (F.col("p") - F.col("q")).alias("at")), "found")
-
-    pairs = found.filter("kind <> -1").select("doc_id", "item_no", "at").distinct()
-    pairs = pairs.join(broadcast_if_small(items.select("item_no", "item_id", F.col("w").alias("iw")), BROADCAST_ITEMS), "item_no")
-    by_doc = stored(pairs.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.collect_list(F.struct("item_id", "at", "iw")).alias("pairs")), "pairs")
-    same = docs["doc_id"].eqNullSafe(by_doc["_id"])
-    met = docs.join(by_doc, same).select("doc_id", words(F.col("text")).alias("w"), "pairs")
-
-    def agrees(pair: Column) -> Column:
-        """For each item word, whether the document has it at its place on the pair's diagonal."""
-        return F.transform(pair["iw"], lambda x, j: F.coalesce(x == F.get("w", pair["at"] + j), F.lit(False)))
-
-    def starts(run: Column) -> Column:
-        """Item positions from which a whole window agrees."""
-        return F.filter(
-            F.sequence(F.lit(0), F.size(run["same"]) - run["length"]),
-            lambda s: F.forall(F.sequence(s, s + run["length"] - 1), lambda j: F.get(run["same"], j)),
-        )
-
-    met = met.withColumn("runs", F.transform("pairs", lambda x: F.struct(
-        x["item_id"].cast("string").alias("item"), x["at"].alias("at"),
-        F.least(F.lit(window), F.size(x["iw"])).alias("length"), agrees(x).alias("same"))))
-    met = met.withColumn("runs", F.filter(F.transform("runs", lambda r: F.struct(
-        r["item"].alias("item"), r["at"].alias("at"), r["length"].alias("length"), starts(r).alias("starts"))),
-        lambda r: F.size(r["starts"]) > 0))
-    met = met.select(
-        "doc_id", F.size("w").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.flatten(F.transform(
-            r["starts"], lambda s: F.sequence(r["at"] + s, r["at"] + s + r["length"] - 1))))))).alias("hits"),
-        F.array_sort(F.array_distinct(F.filter(F.transform("runs", lambda r: r["item"]), lambda i: i.isNotNull()))).alias("items"),
-    )
-    rest = found.filter("kind = -1").join(by_doc.select("_id"), found["doc_id"].eqNullSafe(by_doc["_id"]), "left_anti")
-    return met.unionByName(rest.select(
-        "doc_id", "n_words", F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items")))
+    found = stored(found.drop("h"), "found")
+
+    texts = broadcast_if_small(items.select("item_no", F.col("item_id").cast("string").alias("item"), F.col("w").alias("iw")), BROADCAST_ITEMS)
+    length, ahead = F.least(F.lit(window), F.size("iw")), F.least(F.when(F.col("kind") == 0, window - k).otherwise(0), "p")
+
+    def agrees(s: Column) -> Column:
+        """Whether the window that starts s words into ``near`` is a window of the item."""
+        at = F.col("q") - ahead + s
+        return (at >= 0) & (at + length <= F.size("iw")) & (s + length <= F.size("near")) & F.forall(
+            F.sequence(F.lit(0), length - 1), lambda j: F.coalesce(F.get("near", s + j) == F.get("iw", at + j), F.lit(False)))
+
+    checked = found.join(texts, "item_no", "left").withColumn("starts", F.when(F.col("kind") >= 0, F.transform(
+        F.filter(F.sequence(F.lit(0), ahead), agrees), lambda s: F.struct((F.col("p") - ahead + s).alias("at"), length.alias("n")))))
+    checked = checked.select("row_no", "doc_id", "n_words", F.when(F.size("starts") > 0, F.col("item")).alias("item"), "starts")
+    rows = checked.groupBy("row_no").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_set("item").alias("items"),
+        F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    return rows.select("doc_id", "n_words", F.array_sort(F.array_distinct(F.flatten(F.transform(
+        "starts", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))).alias("hits"), F.array_sort("items").alias("items"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those in which a window of a benchmark item occurs; all columns stay."""
     bad = find_hits(docs, benchmark).filter(F.size("hits") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    return docs.join(bad.hint("merge"), docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
