@@ -51,11 +51,10 @@ def burn_rows(burn: DataFrame, code: str = "USD") -> DataFrame:
 
 def status_row(priced: DataFrame, template: str = "{cost}", warn: float | None = None, critical: float | None = None, code: str = "USD", rate: float = 1.0) -> DataFrame:
     """One row (text, tooltip, class, currency) over all records; without records a zero cost and "No usage"."""
-    models = priced.groupBy("model").agg(F.sum("cost").alias("cost"))
-    names = models.agg(F.array_sort(F.collect_list(F.struct((-F.coalesce(F.col("cost"), F.lit(0))).alias("c"), F.col("model")))).alias("ms"))
-    projects = priced.select("project").distinct().agg(F.array_sort(F.collect_list("project")).alias("ps"))
-    total = priced.agg(F.count(F.lit(1)).alias("n"), cost_sum("ignore").alias("cost"), *sums())
-    row = total.crossJoin(F.broadcast(names)).crossJoin(F.broadcast(projects))  # one row each
+    by_model = priced.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"), F.collect_set("project").alias("ps"), *sums())
+    row = by_model.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_sort(F.collect_list(F.struct((-F.coalesce(F.col("cost"), F.lit(0))).alias("c"), F.col("model")))).alias("ms"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("ps"), cost_sum("ignore").alias("cost"), *sums())
     cost = F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.col("cost")) * rate
     values = {"cost": format_cost(cost, symbol(code)), "input": format_tokens(F.coalesce("input_tokens", F.lit(0))), "output": format_tokens(F.coalesce("output_tokens", F.lit(0))),
               "models": F.array_join(F.transform("ms", lambda m: short_model(m["model"])), ", "), "projects": F.array_join("ps", ", ")}
