@@ -57,7 +57,7 @@ def test_battery_finds_random_tokens_only(spark):
 
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, 'a token = "abcdefghij" b', 99, "en"), (2, "clean", 5, "fr"), (None, None, None, None)],
-                                 "doc_id long, text string, n_chars long, lang string")
+                                 "doc_id long, text string, n_chars long, spans string")
     out = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
     assert out[1].text == 'a [SECRET]" b' and out[1].n_chars == len(out[1].text)
     assert tuple(out[2]) == (2, "clean", 5, "fr") and tuple(out[None]) == (None,) * 4

@@ -193,7 +193,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     key = F.xxhash64("doc_id", "text")
     keyed = docs.withColumn("_row", key)
     spans = find_secrets(keyed.select(F.col("_row").alias("doc_id"), "text")).filter(F.size("spans") > 0)
-    spans = spans.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), "spans")
+    spans = spans.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -201,7 +201,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         new = (x["start"] >= acc["at"]) & ((x["start"] > acc["at"]) | (acc["out"] == ""))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap, F.when(new, F.lit(mark)).otherwise("")).alias("out"))
 
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
+    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
     out = keyed.join(spans.hint("merge"), F.col("_row") == F.col("_id"), "left").withColumn("text", F.when(F.col("_id").isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
