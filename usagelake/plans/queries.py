@@ -711,6 +711,11 @@ def stream_daily(s, d):
     return _streamed(s, d, lambda u: live.live_totals(filters.by_tool(u, "codex"), fx.pricing(s), "daily"))
 
 
+@query(f"SELECT 'bar' AS bucket, {_SUMS}, CAST(sum(cost) AS DOUBLE) AS cost FROM priced WHERE contains(project, 'oj-2')")
+def stream_total(s, d):
+    return _streamed(s, d, lambda u: live.live_totals(filters.by_project(u, "OJ-2"), fx.pricing(s), "all"))
+
+
 @query("SELECT model, CAST(sum(cost) AS DOUBLE) AS cost FROM priced GROUP BY 1")
 def stream_models(s, d):
     return _streamed(s, d, lambda u: live.live_models(u, fx.pricing(s)))
