@@ -708,12 +708,12 @@ def _streamed(s: SparkSession, d: str, make) -> DataFrame:
 
 @query(f"SELECT strftime(ts, '%Y-%m-%d') AS bucket, {_SUMS}, CAST(sum(cost) AS DOUBLE) AS cost FROM priced WHERE provider = 'codex' GROUP BY 1")
 def stream_daily(s, d):
-    return _streamed(s, d, lambda u: live.live_totals(filters.by_tool(u, "codex"), fx.pricing(s), "daily"))
+    return _streamed(s, d, lambda u: live.live_totals(u, fx.pricing(s), "daily", lambda kept: filters.by_tool(kept, "codex")))
 
 
 @query(f"SELECT 'bar' AS bucket, {_SUMS}, CAST(sum(cost) AS DOUBLE) AS cost FROM priced WHERE contains(project, 'oj-2')")
 def stream_total(s, d):
-    return _streamed(s, d, lambda u: live.live_totals(filters.by_project(u, "OJ-2"), fx.pricing(s), "all"))
+    return _streamed(s, d, lambda u: live.live_totals(u, fx.pricing(s), "all", lambda kept: filters.by_project(kept, "OJ-2")))
 
 
 @query("SELECT model, CAST(sum(cost) AS DOUBLE) AS cost FROM priced GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,9 +28,13 @@ def dedup_stream(usage: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return timed.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([*KEY, "_account"]).drop("_account")
 
 
-def live_totals(usage: DataFrame, pricing: DataFrame, by: str = "daily") -> DataFrame:
-    """Sums and cost of each bucket over all records so far (``all``: one bucket); a streaming aggregation for complete mode."""
-    return price(dedup_stream(usage), pricing).groupBy(bucket(by).alias("bucket")).agg(*sums(), cost_sum("ignore").alias("cost"))
+def live_totals(usage: DataFrame, pricing: DataFrame, by: str = "daily", chosen: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Sums and cost of each bucket over all records so far (``all``: one bucket); a streaming aggregation for complete mode.
+
+    ``chosen`` filters rows; like all filters it works on what deduplication has kept.
+    """
+    kept = dedup_stream(usage)
+    return price(chosen(kept) if chosen else kept, pricing).groupBy(bucket(by).alias("bucket")).agg(*sums(), cost_sum("ignore").alias("cost"))
 
 
 def live_models(usage: DataFrame, pricing: DataFrame) -> DataFrame:
