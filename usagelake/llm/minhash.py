@@ -23,12 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagelake.llm.hashing import mix, run_hashes, split_words, word_hashes
-from usagelake.llm.shared import components, stored
+from usagelake.llm.shared import broadcast_if_small, components, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
+#: Bands of the first round, in which each text meets one leader.
+FIRST_BANDS = 5
+#: Ids of texts to verify are broadcast up to so many (8 bytes each), else shuffled.
+BROADCAST_IDS = 2_000_000
 
 
 def _multiset(words: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,19 +88,17 @@ def signatures(keys: np.ndarray, counts: np.ndarray, doc: np.ndarray, docs: int,
     return out
 
 
-def _texts(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts in portions of about ``size`` bytes."""
-    ids, texts, have = [], [], 0
+def _texts(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[list[pa.Array], list[bytes]]]:
+    """The other columns of the rows, and their texts, in portions of about ``size`` bytes."""
     for batch in batches:
-        for i, t in zip(batch.column("id"), batch.column("text"), strict=True):
-            ids.append(i.as_py())
+        start, texts, have = 0, [], 0
+        rest = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
+        for i, t in enumerate(batch.column("text")):
             texts.append(t.as_py() or b"")
             have += len(texts[-1])
-            if have >= size:
-                yield ids, texts
-                ids, texts, have = [], [], 0
-    if ids:
-        yield ids, texts
+            if have >= size or i == batch.num_rows - 1:
+                yield [c.slice(start, i + 1 - start) for c in rest], texts
+                start, texts, have = i + 1, [], 0
 
 
 def _sets(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,16 +112,26 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(values.view(np.int64), pa.int64()))
 
 
-def _bands(shingle: int, bands: int, rows: int):
+def _signed(shingle: int, bands: int, rows: int):
+    """For each text two hashes of its words, its number of shingles and its bands (none without words)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _texts(batches):
-            keys, counts, doc = _sets(texts, shingle)
-            own, doc = np.unique(doc, return_inverse=True)
-            sig = signatures(keys, counts, doc, len(own), bands * rows).ravel()
+        for (ids,), texts in _texts(batches):
+            split = [split_words(t) for t in texts]
+            words = [word_hashes(t, *x) for t, x in zip(texts, split, strict=True)]
+            found = [_multiset(w, shingle) for w in words]
+            counts = np.concatenate([c for _, c in found])
+            doc = np.repeat(np.arange(len(texts)), [len(k) for k, _ in found])
+            own, part = np.unique(doc, return_inverse=True)
+            sig = signatures(np.concatenate([k for k, _ in found]), counts, part, len(own), bands * rows).ravel()
             at = np.arange(0, len(sig), rows)
+            lengths = np.zeros(len(texts), np.int64)
+            lengths[own] = bands
+            whole = np.array([run_hashes(w, np.zeros(1, np.int64), np.full(1, len(w)))[0] for w in words], np.uint64)
+            again = np.array([run_hashes(mix(w), np.zeros(1, np.int64), np.full(1, len(w)))[0] for w in words], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in own], pa.int64()), pa.array(np.bincount(doc, counts, len(own)).astype(np.int32)),
-                 _lists(run_hashes(sig, at, at + rows), np.full(len(own), bands))], names=["id", "n", "bands"])
+                [ids.cast(pa.int64()), pa.array(whole.view(np.int64)), pa.array(again.view(np.int64)), pa.array(np.bincount(doc, counts, len(texts)).astype(np.int32)),
+                 _lists(run_hashes(sig, at, at + rows), lengths)], names=["id", "k1", "k2", "n", "bands"])
 
     return run
 
@@ -128,30 +140,36 @@ def _items(shingle: int):
     """The counted shingles of each text as a set, one entry for each occurrence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _texts(batches):
+        for (ids,), texts in _texts(batches):
             keys, counts, doc = _sets(texts, shingle)
             owner = np.repeat(np.arange(len(keys)), counts)
             nth = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), _lists(mix(keys[owner] ^ mix(nth)), np.bincount(doc, counts, len(ids)).astype(np.int64))],
+                [ids.cast(pa.int64()), _lists(mix(keys[owner] ^ mix(nth)), np.bincount(doc, counts, len(texts)).astype(np.int64))],
                 names=["id", "items"])
 
     return run
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap in at least ``similarity`` of their union."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = stored(texts.join(wanted, "id", "left_semi").mapInArrow(_items(shingle), "id long, items array<long>").dropDuplicates(["id"]), "sets")
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    """The pairs (a, b) whose multisets overlap in at least ``similarity`` of their union.
+
+    Only the texts of one side's ids are turned into sets; their ids are broadcast up to a checked number,
+    so that a text that is in no pair isn't shuffled.
+    """
+
+    def side(column: str, as_name: str) -> DataFrame:
+        ids = stored(pairs.select(F.col(column).alias("id")).distinct(), "ids")
+        chosen = texts.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi")
+        return chosen.mapInArrow(_items(shingle), "id long, items array<long>").select(F.col("id").alias(column), F.col("items").alias(as_name)).hint("merge")
+
     both = F.size(F.array_intersect("x", "y"))
-    met = pairs.join(left, "a").join(right, "b")
-    return stored(met.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
+    met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return stored(met.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS,
-                    rows: int = ROWS, max_rounds: int = 12) -> DataFrame:
+                    rows: int = ROWS, max_rounds: int = 5) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: doc_id, text_id, class_id, kept.
 
     ``text_id`` is the smallest doc_id with the same word sequence (the links between equal texts);
@@ -159,88 +177,74 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     ``shingle``-word shingles; ``kept`` whether the row's doc_id is the class_id. Words are separated by white
     space and compared unchanged. A text shorter than a shingle is one shingle; null and empty texts have no shingles and form one
     class of equal texts; rows with null doc_id have null classes, are not kept and link nothing; repeated rows are copies of each
-    other, and each is returned; other columns are ignored; an empty table gives no rows.
+    other, and each is returned (a doc_id with several texts joins their classes); other columns are ignored; an empty table gives no rows.
     """
-    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    keyed = stored(docs.select("doc_id", F.xxhash64(words).alias("k1"), F.xxhash64(F.lit(1), words).alias("k2")), "keys")
-    same = stored(keyed.filter("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("text_id")), "texts")
-    first = same.select(F.col("text_id").alias("id"), "k1", "k2")
-    named = docs.select(F.col("doc_id").alias("id"), F.xxhash64(words).alias("k1"), F.xxhash64(F.lit(1), words).alias("k2"),
-                        F.col("text").cast("binary").alias("text"))
-    texts = named.join(first, ["id", "k1", "k2"], "left_semi").select("id", "text")
-    signed = stored(texts.mapInArrow(_bands(shingle, bands, rows), "id long, n int, bands array<long>").dropDuplicates(["id"]), "signed")
-    buckets = signed.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    crowded = buckets.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1").select("band", "key")
-    buckets = stored(buckets.join(crowded, ["band", "key"]), "buckets")
-    edges, labels = None, None
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+    signed = stored(texts.mapInArrow(_signed(shingle, bands, rows), "id long, k1 long, k2 long, n int, bands array<long>"), "signed")
+    same = signed.filter("id is not null").groupBy("k1", "k2").agg(F.min(F.struct("id", "n", "bands")).alias("one"))
+    same = stored(same.select("k1", "k2", F.col("one.id").alias("id"), F.col("one.n").alias("n"), F.col("one.bands").alias("bands")), "texts")
+    spread = same.filter("n > 0").select("id", "n", F.posexplode("bands").alias("band", "key"))
+    total = same.count()
+    # First a few bands and one leader for each text: that settles large groups by stars.
+    some = spread.filter(F.col("band") < FIRST_BANDS)
+    lead = some.groupBy("band", "key").agg(F.min(F.struct(F.col("id").alias("a"), F.col("n").alias("na"))).alias("lead"), F.count("*").alias("size")).filter("size > 1")
+    pairs = some.join(lead.select("band", "key", "lead.a", "lead.na").hint("merge"), ["band", "key"]).filter("a <> id").filter(_alike_in_size(similarity))
+    pairs = stored(pairs.groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    edges = _verified(pairs, texts, similarity, shingle)
+    twice = signed.filter("id is not null").select("id", "k1", "k2").join(same.select("k1", "k2", F.col("id").alias("first")).hint("merge"), ["k1", "k2"])
+    of_doc = stored(twice.select("id", F.col("first").alias("text_id"), "k1", "k2").distinct(), "text-ids")
+    split = of_doc.groupBy("id").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).filter("a < b")
+    if split.limit(1).count():  # one id with several texts
+        edges = edges.unionByName(of_doc.join(split.select("id"), "id").groupBy("id").agg(
+            F.min("text_id").alias("a"), F.collect_set("text_id").alias("bs")).select("a", F.explode("bs").alias("b")).filter("a <> b"))
+    labels, before = stored(components(edges), "components"), None
     for number in range(max_rounds):
-        marked = _mixed(buckets, labels)
-        left = marked.groupBy("band", "key", "c").agg(F.count("*").alias("n")).groupBy("band", "key").agg(
-            F.sum("n").alias("all"), F.max("n").alias("most")).agg(F.sum(F.expr("(all - most) * all"))).first()[0]
+        marked = same.filter("n > 0").join(labels.hint("merge"), same["id"] == labels["node"], "left").select(
+            "id", "n", F.coalesce("component", "id").alias("c"), F.posexplode("bands").alias("band", "key"))
+        marked = stored(marked, "marked")
+        parts = marked.groupBy("band", "key", "c").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id", F.lit(number)).alias("o"), "id", "n")).alias("one"))
+        mixed = parts.groupBy("band", "key").agg(F.sum("size").alias("all"), F.count("*").alias("parts"), F.max(F.struct("size", "c", "one")).alias("top")).filter("parts > 1")
+        mixed = stored(mixed.select("band", "key", "all", "top.size", F.col("top.c").alias("top"), F.col("top.one.id").alias("a"), F.col("top.one.n").alias("na")), "mixed")
+        left = mixed.agg(F.sum(F.expr("(all - size) * all"))).first()[0]
         if not left:
             break
-        # Leaders stand for their components while much is left to compare; then all that is left is compared.
-        last = left <= 4 * signed.count() and number > 0 or number == max_rounds - 1
-        pairs = _all_pairs(marked, similarity) if last else _leader_pairs(marked, similarity, number)
-        found = _verified(pairs, texts, similarity, shingle)
+        # Little is left, or leaders no longer help: what still shares a bucket is mostly unlike.
+        last = left <= 8 * total or number == max_rounds - 1 or before is not None and 2 * left > before
+        before = left
+        met = stored(marked.join(mixed.select("band", "key", "top", "a", "na").hint("merge"), ["band", "key"]), "met")
+        few = met.filter("c <> top")
+        if last:  # all pairs of different components; rows of a bucket's largest component meet only the others
+            few = few.select("band", "key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+            pairs = met.select("band", "key", "id", "n", "c").join(few.hint("merge"), ["band", "key"]).filter("ca <> c").filter(_alike_in_size(similarity))
+            pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        else:  # much is left: one row of the bucket's largest component speaks for it
+            pairs = few.filter(_alike_in_size(similarity)).select("a", F.col("id").alias("b")).distinct()
+        found = _verified(stored(pairs, "pairs"), texts, similarity, shingle)
         if found.limit(1).count():
-            edges = found if edges is None else edges.unionByName(found)
+            edges = edges.unionByName(found)
             labels = stored(components(edges), "components")
         if last:
             break
-    out = keyed.join(same, ["k1", "k2"], "left")
-    if labels is None:
-        out = out.withColumn("component", F.lit(None).cast("long"))
-    else:
-        out = out.join(labels, out["text_id"] == labels["node"], "left")
+    first = same.select("k1", "k2", F.col("id").alias("text_id")).hint("merge")
+    out = signed.select(F.col("id").alias("doc_id"), "k1", "k2").join(first, ["k1", "k2"], "left")
+    out = out.join(labels.hint("merge"), out["text_id"] == labels["node"], "left")
     has = F.col("doc_id").isNotNull()
     return out.select(
         "doc_id", F.when(has, F.col("text_id")).alias("text_id"), F.when(has, F.coalesce("component", "text_id")).alias("class_id"),
         (has & (F.col("doc_id") == F.coalesce("component", "text_id"))).alias("kept"))
 
 
-def _mixed(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The rows of buckets that hold more than one component ``c``."""
-    if labels is None:
-        return buckets.withColumn("c", F.col("id"))
-    marked = buckets.join(labels, buckets["id"] == labels["node"], "left").select("id", "n", "band", "key", F.coalesce("component", "id").alias("c"))
-    mixed = marked.groupBy("band", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("band", "key")
-    return stored(marked.join(mixed, ["band", "key"]), "mixed")
-
-
 def _alike_in_size(similarity: float):
     return F.least("na", "n") >= similarity * F.greatest("na", "n")
 
 
-def _leader_pairs(marked: DataFrame, similarity: float, number: int) -> DataFrame:
-    """Each row's pair with one leader of another component: of its buckets' leaders, the smallest.
-
-    A bucket's leader is its smallest id in the first round and another one in each later round.
-    """
-    order = F.col("id") if number == 0 else F.xxhash64("id", F.lit(number))
-    lead = stored(marked.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))).alias("lead"))
-                  .select("band", "key", "lead.a", "lead.na", "lead.ca"), "leaders")
-    pairs = marked.join(lead, ["band", "key"]).filter(F.col("ca") != F.col("c")).filter(_alike_in_size(similarity))
-    return stored(pairs.groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-
-
-def _all_pairs(marked: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of different components in a bucket; rows of its largest component meet only the others."""
-    sizes = marked.groupBy("band", "key", "c").agg(F.count("*").alias("size"))
-    large = stored(sizes.groupBy("band", "key").agg(F.max(F.struct("size", "c")).alias("top")).select("band", "key", F.col("top.c").alias("top")), "largest")
-    few = marked.join(large, ["band", "key"]).filter("c <> top").select("band", "key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    few = stored(few, "few")
-    pairs = marked.join(few, ["band", "key"]).filter("ca <> c").filter(_alike_in_size(similarity))
-    return stored(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "last-pairs")
-
-
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document of each class; rows without an id stay; all columns stay.
 
     Of rows that repeat both the kept doc_id and its words one stays.
     """
     kept = stored(near_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("n")), "kept")
-    out = docs.join(kept.select("_kept"), docs["doc_id"] == kept["_kept"], "left_semi")
+    out = docs.join(kept.select("_kept").hint("merge"), docs["doc_id"] == kept["_kept"], "left_semi")
     if kept.filter("n > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.filter("doc_id is null"))

@@ -13,12 +13,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+#: Folders made for applications that name none.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one of the application."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="usagelake-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        where = _own[app] = _own.get(app) or "file://" + tempfile.mkdtemp(prefix="usagelake-")
     return where.rstrip("/")
 
 
@@ -57,28 +61,23 @@ def held_out(doc_id: Column, modulus: int) -> Column:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``node, component`` for each node of an edge.
 
-    The component is its smallest node. Each round every node takes the smallest label among its own,
-    its neighbours' and its label's label, so stars settle at once and chains shrink by doubling; all
-    steps are joins and pre-aggregated groupings, a node with very many edges is split by the
-    skewed-join handling. Ends when no label changes.
+    The component is its smallest node. Each round every node takes the smallest label among its neighbours' and
+    its label's own, so stars settle at once and chains shrink by doubling: one join and one pre-aggregated grouping; a
+    node with very many edges is split by the skewed-join handling. Labels only fall, so an unchanged sum of labels ends it.
     """
-    both = stored(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        "edges",
-    )
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
-        "node", F.least("node", "m").alias("label")), "labels")
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stored(both, "edges")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
+    labels = stored(labels, "labels")
+    before = None
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(
-            F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        step = labels.join(near, "node", "left").join(up, "label", "left").select(
-            "node", "label", F.least("label", F.coalesce("near", "label"), F.coalesce("up", "label")).alias("next"))
-        step = stored(step, "step")
-        changed = step.filter("next < label").limit(1).count()
-        labels = step.select("node", F.col("next").alias("label"))
-        if not changed:
+        links = both.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        near = links.join(labels.select(F.col("node").alias("b"), "label").hint("merge"), "b").groupBy("a").agg(F.min("label").alias("label"))
+        labels = stored(near.select(F.col("a").alias("node"), "label"), "labels")
+        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return labels.withColumnRenamed("label", "component")
