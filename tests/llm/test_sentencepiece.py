@@ -63,6 +63,7 @@ def test_decodes_like_the_library(spark):
 def test_many_portions_and_empty_table(spark, monkeypatch, vocabulary):
     docs = spark.createDataFrame([(i, f"word{i % 7} and x{i}") for i in range(300)], "doc_id long, text string")
     monkeypatch.setattr(sentencepiece, "PORTION", 100)
+    docs = docs.repartition(7)
     assert sentencepiece.encode(docs).count() == 300
     assert sentencepiece.encode(docs.limit(0)).count() == 0
     assert sentencepiece.decode(spark.createDataFrame([(None,)], "ids array<int>")).first().decoded is None

@@ -29,7 +29,7 @@ MARK = "▁"
 #: A vocabulary is broadcast, so it may have no more pieces than this.
 MOST_PIECES = 1_000_000
 #: Bytes of text whose distinct units are looked up together.
-PORTION = 24 << 20
+PORTION = 40 << 20
 #: Below every path of ordinary pieces: the cost of falling back to bytes.
 FALLBACK = -1e9
 
@@ -94,37 +94,38 @@ def piece_table(spark: SparkSession, model: str = MODEL) -> DataFrame:
 
 
 def _portions(name: str):
-    """For each portion of documents its distinct units, one row each, then its documents."""
+    """For each portion of documents its distinct units, one row each, then its documents as numbers of units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _read(name)
-        held, have, units = [], 0, {}
+        units: dict[str, int] = {}
+        ids, docs, have = [], [], 0
         for batch in batches:
-            texts, start = batch.column("text"), 0
-            for i in range(batch.num_rows):
-                text = texts[i].as_py()
-                if text:
-                    units.update(dict.fromkeys(v.units(text)))
-                    have += len(text)
-                if have >= PORTION or i == batch.num_rows - 1:
-                    held.append(batch.slice(start, i + 1 - start))
-                    start = i + 1
-                if have >= PORTION:
-                    yield from _portion(held, units)
-                    held, have, units = [], 0, {}
-        if held:
-            yield from _portion(held, units)
+            ids.append(batch.column("doc_id"))
+            for text in batch.column("text"):
+                text = text.as_py()
+                mine = v.units(text) if text else []
+                docs.append(np.fromiter((units.setdefault(u, len(units)) for u in mine), np.int32, len(mine)))
+                have += len(text or "")
+            if have >= PORTION:
+                yield from _portion(ids, docs, units)
+                units, ids, docs, have = {}, [], [], 0
+        if docs:
+            yield from _portion(ids, docs, units)
 
     return run
 
 
-def _portion(held: list[pa.RecordBatch], units: dict) -> Iterator[pa.RecordBatch]:
-    names, kind, fields = list(units), held[0].schema.field("doc_id").type, ["doc_id", "text", "unit"]
+def _portion(ids: list[pa.Array], docs: list[np.ndarray], units: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    names, fields = list(units), ["doc_id", "doc", "unit"]
+    doc_ids = pa.concat_arrays(ids)
     for a in range(0, len(names), 20_000):
         part = pa.array(names[a : a + 20_000], pa.string())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(part), kind), pa.nulls(len(part), pa.string()), part], names=fields)
-    for batch in held:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.nulls(batch.num_rows, pa.string())], names=fields)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(part), doc_ids.type), pa.nulls(len(part), pa.list_(pa.int32())), part], names=fields)
+    for a in range(0, len(docs), 1000):
+        part = docs[a : a + 1000]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in part])], pa.int32()), pa.array(np.concatenate(part), pa.int32()))
+        yield pa.RecordBatch.from_arrays([doc_ids.slice(a, len(part)), lists, pa.nulls(len(part), pa.string())], names=fields)
 
 
 _EDGE = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("id", pa.int32()), ("score", pa.float64())])
@@ -145,7 +146,7 @@ def _unit_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     edges = pa.StructArray.from_arrays([part.column(c).take(pa.array(order)) for c in ("at", "n", "id", "score")], fields=list(_EDGE))
     inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(place, minlength=int(size.sum())))], pa.int32()), edges)
     outer = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), inner)
-    return pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text"), some.column("unit"), outer], names=["doc_id", "text", "unit", "ends"])
+    return pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("doc"), some.column("unit"), outer], names=["doc_id", "doc", "unit", "ends"])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,40 +190,72 @@ def best_path(ends: Column) -> Column:
     return F.aggregate(reached, start, back, lambda acc: acc["ids"])
 
 
-def _assembled(name: str):
-    """Documents as ids, from the paths of the units that precede them."""
+def _assembled(name: str, decoded: bool):
+    """Documents as ids, from the paths of the units that precede them; also as the text that these decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _read(name)
-        paths: dict[str, list[int]] = {}
-        fresh = False
+        flat: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        ready = None
         for batch in batches:
-            units, texts, path = batch.column("unit"), batch.column("text"), batch.column("path")
-            is_unit = units.is_valid().to_numpy(zero_copy_only=False)
-            edge = np.flatnonzero(np.diff(np.r_[-1, is_unit.astype(np.int8), -1]))
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            is_unit = batch.column("unit").is_valid().to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.diff(np.r_[-1, is_unit.astype(np.int8), -1])).tolist()
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                part = batch.slice(a, b - a)
                 if is_unit[a]:
-                    if not fresh:
-                        paths, fresh = {}, True
-                    ids = path.slice(a, b - a)
-                    flat, offset = ids.flatten().to_pylist(), np.cumsum([0, *ids.value_lengths().to_pylist()]).tolist()
-                    for unit, x, y in zip(units.slice(a, b - a).to_pylist(), offset[:-1], offset[1:], strict=True):
-                        one = flat[x:y][::-1]
-                        if one and min(one) < 0:
-                            one = [j for i in one for j in ([i] if i >= 0 else v.bytes[list(unit[-i - 1].encode("utf-8", "surrogatepass"))].tolist())]
-                        paths[unit] = one
+                    if ready is not None:
+                        flat, sizes, ready = [], [], None
+                    ids, n = _forward(v, part.column("unit"), part.column("path"))
+                    flat.append(ids)
+                    sizes.append(n)
                     continue
-                fresh = False
-                for i in range(a, b):
-                    text = texts[i].as_py()
-                    ids = [j for u in v.units(text) for j in paths[u]] if text else []
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), pa.array([ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                if ready is None:
+                    n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+                    ready = (np.concatenate(flat) if flat else np.zeros(0, np.int32), np.cumsum(n) - n, n)
+                ids, begin, n = ready
+                doc = part.column("doc")
+                units = doc.flatten().to_numpy(zero_copy_only=False)
+                many, each = n[units], doc.value_lengths().to_numpy(zero_copy_only=False)
+                ends = np.cumsum(many)
+                at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many - begin[units], many)
+                bounds = np.r_[0, ends][np.r_[0, np.cumsum(each)]]
+                out = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids[at], pa.int32()))
+                columns, names = [part.column("doc_id"), out], ["doc_id", "ids"]
+                if decoded:
+                    columns.append(pa.array([_text(v, x.as_py()) for x in out], pa.string()))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """One row for each row of ``docs(doc_id, text)``: doc_id and ``ids``, the best-scoring segmentation.
+def _forward(v: Vocabulary, units: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all units, one after the other, and their numbers: paths turned round, characters without piece as bytes."""
+    n = paths.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = paths.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(n)
+    ids = ids[np.repeat(ends + ends - n, n) - 1 - np.arange(len(ids))] if len(ids) else ids
+    if not (ids < 0).any():
+        return ids, n
+    out, sizes = [], n.copy()
+    odd = np.unique(np.searchsorted(ends, np.flatnonzero(ids < 0), side="right"))
+    at = 0
+    for i in odd.tolist():
+        unit, lo, hi = units[i].as_py(), ends[i] - n[i], ends[i]
+        one = [j for x in ids[lo:hi].tolist() for j in ([x] if x >= 0 else v.bytes[list(unit[-x - 1].encode("utf-8", "surrogatepass"))].tolist())]
+        out += [ids[at:lo], np.array(one, ids.dtype)]
+        sizes[i], at = len(one), hi
+    return np.concatenate([*out, ids[at:]]), sizes
+
+
+def _text(v: Vocabulary, ids: list[int]) -> str:
+    """What ids stand for, without the space of the dummy word start."""
+    return b"".join([v.text[i] for i in ids])[1:].decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, model: str = MODEL, decoded: bool = False) -> DataFrame:
+    """One row for each row of ``docs(doc_id, text)``: doc_id and ``ids``, the best-scoring segmentation; ``decoded``: also what they decode to.
 
     White space is kept (a space is a word-start mark, everything else that is no piece falls back to bytes), so
     ``decode`` restores each text exactly, except that a mark U+2581 in a text decodes as a space. Null
@@ -233,29 +266,30 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     name = vocabulary(spark, model)
     longest = _read(name).longest
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(_portions(name), f"doc_id {kind}, text string, unit string")
+    rows = docs.select("doc_id", "text").mapInArrow(_portions(name), f"doc_id {kind}, doc array<int>, unit string")
     size = F.length("unit")
 
     def from_place(i: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), size - i)), lambda n: F.struct(i.alias("at"), n.alias("n")))
 
     places = F.when(size > 0, F.flatten(F.transform(F.sequence(F.lit(0), size - 1), from_place)))
-    edges = rows.select("doc_id", "text", "unit", F.explode_outer(places).alias("e"))
-    edges = edges.select("doc_id", "text", "unit", size.alias("size"), "e.at", "e.n", F.substring("unit", F.col("e.at") + 1, F.col("e.n")).alias("piece"))
-    edges = edges.join(F.broadcast(piece_table(spark, model)), "piece", "left").withColumn(
-        "first", F.coalesce((F.col("at") == 0) & (F.col("n") == 1), F.lit(True))).filter("first or id is not null")
-    units = edges.select("doc_id", "text", "unit", "size", "at", "n", "id", "score", "first").mapInArrow(
-        _grouped, f"doc_id {kind}, text string, unit string, ends array<array<struct<at:int,n:int,id:int,score:double>>>")
-    paths = units.select("doc_id", "text", "unit", F.when(F.col("unit").isNotNull(), best_path(F.col("ends"))).alias("path"))
-    return paths.mapInArrow(_assembled(name), f"doc_id {kind}, ids array<int>")
+    edges = rows.select("doc_id", "doc", "unit", F.explode_outer(places).alias("e"))
+    edges = edges.select("doc_id", "doc", "unit", "e.at", "e.n", F.substring("unit", F.col("e.at") + 1, F.col("e.n")).alias("piece"))
+    first = F.coalesce((F.col("at") == 0) & (F.col("n") == 1), F.lit(True))
+    edges = edges.join(F.broadcast(piece_table(spark, model)), "piece", "left").withColumn("first", first).filter("first or id is not null")
+    # The unit stands in the first of its rows only.
+    units = edges.select("doc_id", "doc", F.when(F.col("first"), F.col("unit")).alias("unit"), F.when(F.col("first"), size).alias("size"), "at", "n", "id", "score", "first").mapInArrow(
+        _grouped, f"doc_id {kind}, doc array<int>, unit string, ends array<array<struct<at:int,n:int,id:int,score:double>>>")
+    paths = units.select("doc_id", "doc", "unit", F.when(F.col("unit").isNotNull(), best_path(F.col("ends"))).alias("path"))
+    return paths.mapInArrow(_assembled(name, decoded), f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded)
 
 
 def _decoded(name: str, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = _read(name).text
+        v = _read(name)
         for batch in batches:
             ids = batch.column("ids").to_pylist()
-            made = [None if x is None else b"".join([text[i] for i in x])[1:].decode("utf-8", "replace") for x in ids]
+            made = [None if x is None else _text(v, x) for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*columns, "decoded"])
 
     return run
@@ -270,5 +304,5 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """Each document's ids, their number, and the digest of the text that they decode to."""
-    return decode(encode(docs, model), model).select(
+    return encode(docs, model, decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
