@@ -19,16 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelake.llm.shared import components, stored
+from usagelake.llm.shared import broadcast_if_small, components, stored
 
 COSINE = 0.9
 TREES = 6
 LEAF = 400
 #: Half-width of the spill zone around a split, in units of the projection of a unit vector.
-SPILL = 0.06
+SPILL = 0.02
 FIT_ROWS = 50_000
 #: Rows of a block of an overfull leaf.
 BLOCK = 1_000
+#: Overfull leaves are broadcast up to so many (20 bytes each).
+BROADCAST_LEAVES = 1_000_000
 
 
 class Forest:
@@ -44,8 +46,10 @@ class Forest:
             for level in range(self.depth):
                 below = {}
                 for node, mine in parts.items():
-                    place = sample[mine] @ self.direction(tree, level) if len(mine) else np.zeros(0)
-                    found[node] = float(np.median(place)) if len(mine) else 0.0
+                    if len(mine) < 2:  # below what the sample tells, splits are at 0, so the forest is bounded by the sample
+                        continue
+                    place = sample[mine] @ self.direction(tree, level)
+                    found[node] = float(np.median(place))
                     below[2 * node], below[2 * node + 1] = mine[place <= found[node]], mine[place > found[node]]
                 parts = below
             self.thresholds.append(found)
@@ -138,9 +142,11 @@ def link(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: i
         mine = same.filter(F.col("size") == size)
         sample = mine.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toPandas()
         shared = spark.sparkContext.broadcast(Forest(_vectors(sample["v"]), mine.count(), trees, leaf, spill))
-        routed = stored(mine.select("id", "v").mapInArrow(_routed(shared), "tree int, leaf long, id long, v array<double>"), "leaves")
-        counts = routed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).filter("n > 1")
-        rows = routed.join(counts.hint("merge"), ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("id", "tree"), F.col("blocks")).cast("int"))
+        routed = mine.select("id", "v").mapInArrow(_routed(shared), "tree int, leaf long, id long, v array<double>")
+        full = routed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
+        full = stored(full.select("tree", "leaf", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "full-leaves")
+        rows = routed.join(broadcast_if_small(full, BROADCAST_LEAVES), ["tree", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "tree"), F.col("blocks")).cast("int"))
         # Every two blocks x <= y of a leaf meet once, in the group named by both.
         block, last = F.col("block"), F.col("blocks") - 1
         meets = F.concat(
