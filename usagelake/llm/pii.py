@@ -22,7 +22,7 @@ FIRST_DAY, DAYS = "1900-01-01", 73_049
 
 #: The formats. The order is the priority of formats that begin at one place.
 FORMATS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
@@ -30,7 +30,16 @@ FORMATS = {
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7})(?![0-9A-Za-z])",
 }
-ANY = "|".join(FORMATS.values())
+#: All of them. None begins inside a word, and but for two they begin with a digit, a plus sign or a bracket.
+ANY = (r"(?<![0-9A-Za-z])(?:" + FORMATS["email"] + r"|(?=[A-Z]{2}[0-9]{2})" + FORMATS["iban"] + r"|(?=[0-9+(])(?:"
+       + "|".join(v for k, v in FORMATS.items() if k not in ("email", "iban")) + "))")
+#: A text without a match of this, which is quickly seen, has none of the formats.
+LIKELY = r"@|[0-9][0-9.() /+-]{5,}[0-9]|[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11}"
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used or looped over."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _number(*parts: Column) -> Column:
@@ -48,14 +57,13 @@ def _symbol(c: Column, shift: Column) -> Column:
 
 def permute_text(text: Column, kind: str, key: str) -> Column:
     """Feistel network over the two halves of a text, a bijection among texts with equal classes of symbols."""
-    half = F.floor(F.length(text) / 2).cast("int")
-
     def shifted(part: Column, other: Column, number: Column) -> Column:
         moved = F.transform(F.sequence(F.lit(1), F.length(part)), lambda i: _symbol(
             F.substring(part, i, F.lit(1)), _number(F.lit(key), F.lit(kind), number.cast("string"), i.cast("string"), other)))
         return F.when(F.length(part) > 0, F.array_join(moved, "")).otherwise("")
 
     def step(t: Column, number: Column) -> Column:
+        half = F.floor(F.length(t) / 2).cast("int")
         left, right = F.substring(t, F.lit(1), half), F.substring(t, half + 1, F.length(t))
         return F.when(number % 2 == 0, F.concat(shifted(left, right, number), right)).otherwise(F.concat(left, shifted(right, left, number)))
 
@@ -79,50 +87,59 @@ def permute_number(value: Column, a: int, b: int, kind: str, key: str, valid=Non
 
 def _luhn(digits: Column) -> Column:
     """The Luhn sum of all digits, the last one being the check digit."""
-    back = F.reverse(digits)
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda a, i: a + F.when(
-        i % 2 == 1, F.substring(back, i, F.lit(1)).cast("int")).otherwise(F.element_at(F.array(*map(F.lit, (0, 2, 4, 6, 8, 1, 3, 5, 7, 9))), F.substring(back, i, F.lit(1)).cast("int") + 1)))
+    def total(back: Column) -> Column:
+        digit = lambda i: F.substring(back, i, F.lit(1)).cast("int")
+        return F.aggregate(F.sequence(F.lit(1), F.length(back)), F.lit(0), lambda a, i: a + F.when(
+            i % 2 == 1, digit(i)).otherwise(2 * digit(i) - F.when(digit(i) > 4, 9).otherwise(0)))
+
+    return _let(F.reverse(digits), total)
 
 
 def _like(pattern: Column, digits: Column) -> Column:
     """``digits`` in the places of the letters and digits of ``pattern``, separators kept."""
     start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        c = F.substring(pattern, i, F.lit(1))
-        sign = c.rlike("[^0-9A-Za-z]")
-        return F.struct(F.when(sign, acc["at"]).otherwise(acc["at"] + 1).alias("at"), F.concat(acc["out"], F.when(sign, c).otherwise(F.substring(digits, acc["at"], F.lit(1)))).alias("out"))
+    def filled(new: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            c = F.substring(pattern, i, F.lit(1))
+            sign = c.rlike("[^0-9A-Za-z]")
+            return F.struct(F.when(sign, acc["at"]).otherwise(acc["at"] + 1).alias("at"), F.concat(acc["out"], F.when(sign, c).otherwise(F.substring(new, acc["at"], F.lit(1)))).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(pattern)), start, step, lambda acc: acc["out"])
+        return F.aggregate(F.sequence(F.lit(1), F.length(pattern)), start, step, lambda acc: acc["out"])
+
+    return _let(digits, filled)
 
 
 def _card(m: Column, key: str) -> tuple[Column, Column]:
     digits = F.regexp_replace(m, "[^0-9]", "")
     body = permute_text(F.substring(digits, F.lit(1), F.length(digits) - 1), "card", key)
-    check = (10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10
-    return F.length(digits).between(13, 19) & (_luhn(digits) % 10 == 0), _like(m, F.concat(body, check.cast("string")))
+    checked = _let(body, lambda b: F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
+    return F.length(digits).between(13, 19) & (_luhn(digits) % 10 == 0), _like(m, checked)
 
 
 def _rest97(text: Column) -> Column:
     """Remainder modulo 97 of a text of digits and capitals (A is 10)."""
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), lambda a, i: F.when(
-        F.ascii(F.substring(text, i, F.lit(1))) >= 65, (a * 100 + F.ascii(F.substring(text, i, F.lit(1))) - 55) % 97).otherwise(
-        (a * 10 + F.ascii(F.substring(text, i, F.lit(1))) - 48) % 97))
+    def rest(t: Column) -> Column:
+        code = lambda i: F.ascii(F.substring(t, i, F.lit(1)))
+        return F.aggregate(F.sequence(F.lit(1), F.length(t)), F.lit(0), lambda a, i: F.when(
+            code(i) >= 65, (a * 100 + code(i) - 55) % 97).otherwise((a * 10 + code(i) - 48) % 97))
+
+    return _let(text, rest)
 
 
 def _iban(m: Column, key: str) -> tuple[Column, Column]:
     plain = F.regexp_replace(m, " ", "")
     country, body = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
-    new = permute_text(body, "iban", key)
-    check = F.lpad((98 - _rest97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.length(plain).between(15, 34) & (_rest97(F.concat(body, F.substring(plain, 1, 4))) == 1), _like(m, F.concat(country, check, new))
+    made = _let(permute_text(body, "iban", key), lambda new: F.concat(
+        country, F.lpad((98 - _rest97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0"), new))
+    return F.length(plain).between(15, 34) & (_rest97(F.concat(body, F.substring(plain, 1, 4))) == 1), _like(m, made)
 
 
 def _ip(m: Column, key: str) -> tuple[Column, Column]:
     parts = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
     value = F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
-    new = permute_number(value, 65_536, 65_536, "ip", key)
-    out = F.concat_ws(".", *[(F.floor(new / 256**i).cast("long") % 256).cast("string") for i in (3, 2, 1, 0)])
+    out = _let(permute_number(value, 65_536, 65_536, "ip", key), lambda new: F.concat_ws(
+        ".", *[(F.floor(new / 256**i).cast("long") % 256).cast("string") for i in (3, 2, 1, 0)]))
     return F.forall(parts, lambda x: x <= 255), out
 
 
@@ -130,10 +147,12 @@ def _ssn(m: Column, key: str) -> tuple[Column, Column]:
     area, group, serial = (F.substring(m, *x).cast("long") for x in ((1, 3), (5, 2), (8, 4)))
     # Areas 1 to 899 without 666, groups 1 to 99, serials 1 to 9999, as one number.
     value = ((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1) * 9_999 + serial - 1
-    new = permute_number(value, 898 * 99, 9_999, "ssn", key)
-    place = F.floor(new / (99 * 9_999)).cast("long")
-    parts = ((place + F.when(place >= 665, 2).otherwise(1), 3), (F.floor(new / 9_999).cast("long") % 99 + 1, 2), (new % 9_999 + 1, 4))
-    return (area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)), F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in parts])
+    def written(new: Column) -> Column:
+        place = F.floor(new / (99 * 9_999)).cast("long")
+        parts = ((place + F.when(place >= 665, 2).otherwise(1), 3), (F.floor(new / 9_999).cast("long") % 99 + 1, 2), (new % 9_999 + 1, 4))
+        return F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in parts])
+
+    return (area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)), _let(permute_number(value, 898 * 99, 9_999, "ssn", key), written)
 
 
 def _date(m: Column, key: str) -> tuple[Column, Column]:
@@ -191,7 +210,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     empty table gives no rows; repeated rows and null ids are treated alike. Equal values have equal pseudonyms everywhere.
     """
     docs = docs.drop("pii_kinds") if "pii_kinds" in docs.columns else docs
-    has = F.coalesce(F.col("text").rlike("@|[0-9]"), F.lit(False))
+    has = F.coalesce(F.col("text").rlike(LIKELY), F.lit(False))
     found = F.when(has, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     out = docs.withColumn("_found", found)
     out = out.withColumn("_new", F.transform("_found", lambda m: _pseudonym(m, key)))
