@@ -55,6 +55,24 @@ def test_battery_finds_random_tokens_only(spark):
     assert sum("random" in s for s in paths) < 10
 
 
+def test_copies_of_a_token_move_no_threshold(spark):
+    rng = random.Random(6)
+    signs, parts = secret_scan.ALPHABETS["base64"], ["Usr", "local", "share", "lib12", "python3", "Site", "pack", "Main", "v2", "test"]
+    drawn = lambda: "".join(rng.choices(signs, k=40))
+    tokens = [t for t in (drawn() for _ in range(1500)) if re.search("[0-9].*[0-9]", t)][:1000]
+    plain = ["/".join(["Lib1"] + rng.choices(parts, k=12))[:40] for _ in range(1000)]
+    tests = secret_scan.token_tests(spark.createDataFrame([(drawn(),) for _ in range(400)], "s string")).collect()
+    texts = [f"see {t} here" for t in tokens + plain]
+    alone = rows(spark, list(enumerate(texts)))
+    want = [alone[i].spans for i in range(len(texts))]
+    assert sum("random" in s for s in want[: len(tokens)]) >= 0.95 * len(tokens)
+    assert sum("random" in s for s in want[len(tokens) :]) <= 50
+    for p in (0.3, 0.6):
+        near = min((r for r in tests if r.encoding == "base64"), key=lambda r: abs(r.p - p))
+        got = rows(spark, list(enumerate(texts + [f"{near.s} " * 100] * 20)))
+        assert sum(got[i].spans != s for i, s in enumerate(want)) <= 10, p
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, 'a token = "abcdefghij" b', 99, "en"), (2, "clean", 5, "fr"), (None, None, None, None)],
                                  "doc_id long, text string, n_chars long, spans string")

@@ -9,7 +9,8 @@ p-values are joined by the Cauchy combination.
 Random tokens have evenly spread p-values, words and paths have small ones. Within each stratum of
 encoding and length, tokens above a p-value t hold about 2 (1 - t) n(p > 0.5) random ones; the smallest t is
 taken at which at most ``FALSE_DISCOVERY`` of the tokens above it are not. Short tokens, which the tests tell apart
-less well, so need larger p-values. The counts behind it are a small histogram over the whole input.
+less well, so need larger p-values. The counts behind it are a small histogram over the whole input, in which
+a token counts once however often it occurs: the p-values of copies are one draw, not many.
 """
 
 from __future__ import annotations
@@ -116,7 +117,8 @@ def token_tests(tokens: DataFrame) -> DataFrame:
 
 def _thresholds(tested: DataFrame) -> DataFrame:
     """For each stratum with enough random-looking tokens, the least p-value bin that keeps the false discoveries few."""
-    bins = tested.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
+    distinct = tested.select("stratum", "bin", "s").distinct()
+    bins = distinct.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
     above = Window.partitionBy("stratum").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy("stratum")
     bins = bins.withColumns({
@@ -155,7 +157,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     tokens = tokens.select("row_no", "t.start", "t.end", "t.s", free.alias("free"))
     tested = token_tests(tokens)
     length = F.least(F.floor(F.log2(F.col("length").cast("double")) * 2), F.lit(20))
-    tested = stored(tested.select("row_no", "start", "end", "free", F.concat_ws(":", "encoding", length.cast("string")).alias("stratum"),
+    tested = stored(tested.select("row_no", "start", "end", "free", "s", F.concat_ws(":", "encoding", length.cast("string")).alias("stratum"),
                                   F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")), "secrets-tested")
     chosen = tested.join(F.broadcast(_thresholds(tested)), "stratum").filter("free and bin >= least")
     chosen = chosen.groupBy("row_no").agg(F.collect_list(F.struct("start", "end")).alias("random"))
