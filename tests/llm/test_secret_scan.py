@@ -73,6 +73,20 @@ def test_copies_of_a_token_move_no_threshold(spark):
         assert sum(got[i].spans != s for i, s in enumerate(want)) <= 10, p
 
 
+def test_random_tokens_without_two_digits_are_tested(spark):
+    rng = random.Random(9)
+    signs = secret_scan.ALPHABETS["base64"]
+    drawn = ["".join(rng.choices(signs, k=24)) for _ in range(1500)]
+    plain = ["/".join(rng.choices(["Usr", "local", "share", "Library", "python", "Site", "packages", "Main"], k=8))[:24] for _ in range(300)]
+    got = rows(spark, list(enumerate(f"see {t} here" for t in drawn + plain)))
+    few = [i for i, t in enumerate(drawn) if not re.search("[0-9].*[0-9]", t)]
+    many = [i for i in range(len(drawn)) if i not in set(few)]
+    share = lambda which: sum("random" in got[i].spans for i in which) / len(which)
+    assert len(few) > 80 and share(few) > 0.75 and abs(share(few) - share(many)) < 0.15
+    wrong = sum("random" in got[i].spans for i in range(len(drawn), len(got)))
+    assert wrong <= secret_scan.FALSE_DISCOVERY * sum("random" in r.spans for r in got.values())
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, 'a token = "abcdefghij" b', 99, "en"), (2, "clean", 5, "fr"), (None, None, None, None)],
                                  "doc_id long, text string, n_chars long, spans string")

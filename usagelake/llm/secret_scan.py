@@ -1,6 +1,6 @@
 """Secret scans: fixed rules, and a battery of randomness tests on long tokens, in DataFrame functions only.
 
-A token is a run of 20 or more letters, digits and base64 signs with at least two digits and a letter. Its
+A token is a run of 20 or more letters, digits and base64 signs; every such run is tested. Its
 encoding is the narrowest alphabet that holds it (hexadecimal, base32, small letters with digits,
 base64). Three tests ask whether it looks drawn at random from that alphabet: chi-squared uniformity
 of the symbols, runs above and below the middle of the alphabet, and serial correlation of neighbours. Their
@@ -139,7 +139,7 @@ def _found(docs: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("row_no"), "doc_id",
         F.filter(assign, lambda x: F.length(F.regexp_extract(x["s"], ASSIGN, 2)) >= LEAST_VALUE).alias("assign"),
         F.filter(access, lambda x: F.length(x["s"]) >= LEAST_ACCESS).alias("access"), hexes.alias("hex"),
-        F.filter(tokens, lambda x: x["s"].rlike("[0-9].*[0-9]") & x["s"].rlike("[A-Za-z]")).alias("tokens"))
+        tokens.alias("tokens"))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
