@@ -49,6 +49,26 @@ def test_forest_recall(spark, monkeypatch):
     assert sum(v[0] for v in got.values()) >= 0.95 * sum(v[0] for v in want.values())
 
 
+def test_forest_recall_at_depth():
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    forest = embedding_dedup.Forest(unit(rng.normal(size=(20_000, 64))), 52_000_000)
+    assert forest.depth == 17
+    x = unit(rng.normal(size=(1_000, 64)))
+    side = rng.normal(size=x.shape)
+    y = 0.9 * x + np.sqrt(1 - 0.81) * unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+    found = set()
+    for (_, i, a), (_, j, b) in zip(forest.leaves(x), forest.leaves(y), strict=True):
+        found |= {k for k, _ in set(zip(i.tolist(), a.tolist(), strict=True)) & set(zip(j.tolist(), b.tolist(), strict=True))}
+    assert len(found) >= 998
+
+
+def test_links_next_to_the_bound(spark):
+    angle = np.arccos(0.9) + np.linspace(-1e-3, 1e-3, 101)
+    data = [(0, [1.0] + [0.0] * 63)] + [(i + 1, [float(np.cos(a)), float(np.sin(a))] + [0.0] * 62) for i, a in enumerate(angle)]
+    assert run(spark, data) == brute(data)
+
+
 def test_edge_rows(spark):
     assert run(spark, []) == {}
     df = spark.createDataFrame([(None, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [1.0, 0.0])], "vec_id long, embedding array<double>")

@@ -2,8 +2,9 @@
 
 Each tree splits the unit vectors by random projections at the median of a bounded sample, down to
 leaves of about ``LEAF`` vectors; vectors within the spill margin of a split go to both sides. Vectors that
-share a leaf in any tree are compared exactly (double precision), so a link is never wrong and a pair is missed only if every tree
-parts it. A leaf that holds more vectors than expected, because they lie close together, is compared in
+share a leaf in any tree are compared, so a pair is missed only if every tree parts it. Leaves get vectors as sketches of
+16-bit numbers, a quarter of their bytes; pairs that the rounding leaves open are compared exactly (double precision) with
+the vectors joined later, so a link is never wrong. A leaf that holds more vectors than expected, because they lie close together, is compared in
 blocks, pair of blocks by pair of blocks. Equal vectors are one vector with a multiplicity.
 
 The trees are fitted on at most ``FIT_ROWS`` distinct vectors chosen by hash; every vector is indexed.
@@ -25,10 +26,14 @@ COSINE = 0.9
 TREES = 6
 LEAF = 400
 #: Half-width of the spill zone around a split, in units of the projection of a unit vector.
-SPILL = 0.02
+SPILL = 0.06
 FIT_ROWS = 50_000
 #: Rows of a block of an overfull leaf.
 BLOCK = 1_000
+#: Vectors that are routed at a time; each gives a row for every leaf it is in.
+ROUTED = 1_000
+#: A component of 1 in a sketch.
+UNIT = 32_767
 #: Overfull leaves are broadcast up to so many (20 bytes each).
 BROADCAST_LEAVES = 1_000_000
 
@@ -64,7 +69,8 @@ class Forest:
             row, node = np.arange(len(vectors)), np.ones(len(vectors), np.int64)
             for level in range(self.depth):
                 place = (vectors @ self.direction(tree, level))[row]
-                split = np.array([thresholds.get(int(n), 0.0) for n in node]) if len(node) else np.zeros(0)
+                nodes, of = np.unique(node, return_inverse=True)
+                split = np.array([thresholds.get(int(n), 0.0) for n in nodes], float)[of]
                 left, right = place <= split + self.spill, place > split - self.spill
                 row, node = np.r_[row[left], row[right]], np.r_[2 * node[left], 2 * node[right] + 1]
             yield tree, row, node
@@ -95,30 +101,51 @@ def _routed(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = _vectors(batch.column("v"))
-            for tree, row, node in forest.leaves(vectors):
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), tree, np.int32)), pa.array(node), batch.column("id").take(at), batch.column("v").take(at)],
-                                                 names=["tree", "leaf", "id", "v"])
+            for start in range(0, batch.num_rows, ROUTED):
+                part = batch.slice(start, ROUTED)
+                vectors = _vectors(part.column("v"))
+                sketches = pa.array([x.tobytes() for x in np.rint(vectors * UNIT).astype("<i2")], pa.binary())
+                for tree, row, node in forest.leaves(vectors):
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), tree, np.int32)), pa.array(node), part.column("id").take(at), sketches.take(at)],
+                                                     names=["tree", "leaf", "id", "v"])
 
     return run
 
 
+def _sketched(column: pd.Series) -> np.ndarray:
+    """Sketches as whole numbers; their products are exact in double precision."""
+    return np.frombuffer(b"".join(column), "<i2").reshape(len(column), -1).astype(np.float64)
+
+
 def _compared(least: float):
-    """Links within a block (one side only) or between two blocks of a leaf."""
+    """Pairs that may be links, within a block (one side only) or between two blocks of a leaf; ``sure`` ones are links whatever the rounding."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         one = rows[rows["side"] == 0]
         two = rows[rows["side"] == 1] if rows["x"].iloc[0] < rows["y"].iloc[0] else one
         if not len(one) or not len(two):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        x, y = _vectors(one["v"]), _vectors(two["v"])
-        i, j = np.nonzero(x @ y.T >= least - 1e-9)
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "sure": np.zeros(0, bool)})
+        x, y = _sketched(one["v"]), _sketched(two["v"])
+        off = np.sqrt(x.shape[1]) * 0.5 / UNIT  # the most by which a sketch is off its unit vector
+        slack = 2 * off + off * off + 1e-9
+        dot = x @ y.T
+        i, j = np.nonzero(dot >= (least - slack) * UNIT**2)
         a, b = one["id"].to_numpy()[i], two["id"].to_numpy()[j]
-        on = (np.einsum("ij,ij->i", x[i], y[j]) >= least) & ((a < b) if two is one else (a != b))
-        return pd.DataFrame({"a": np.minimum(a, b)[on], "b": np.maximum(a, b)[on]})
+        on = (a < b) if two is one else (a != b)
+        return pd.DataFrame({"a": np.minimum(a, b)[on], "b": np.maximum(a, b)[on], "sure": (dot[i, j] >= (least + slack) * UNIT**2)[on]})
+
+    return run
+
+
+def _exact(least: float):
+    """The pairs (a, b) whose vectors x and y have at least that cosine."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                on = np.einsum("ij,ij->i", _vectors(batch.column("x")), _vectors(batch.column("y"))) >= least
+                yield batch.select(["a", "b"]).filter(pa.array(on))
 
     return run
 
@@ -142,7 +169,7 @@ def link(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: i
         mine = same.filter(F.col("size") == size)
         sample = mine.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toPandas()
         shared = spark.sparkContext.broadcast(Forest(_vectors(sample["v"]), mine.count(), trees, leaf, spill))
-        routed = mine.select("id", "v").mapInArrow(_routed(shared), "tree int, leaf long, id long, v array<double>")
+        routed = mine.select("id", "v").mapInArrow(_routed(shared), "tree int, leaf long, id long, v binary")
         full = routed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
         full = stored(full.select("tree", "leaf", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "full-leaves")
         rows = routed.join(broadcast_if_small(full, BROADCAST_LEAVES), ["tree", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -154,7 +181,11 @@ def link(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: i
             F.when(block > 0, F.transform(F.sequence(F.lit(0), block - 1), lambda x: F.struct(x.alias("x"), block.alias("y"), F.lit(1).alias("side")))).otherwise(
                 F.array().cast("array<struct<x:int,y:int,side:int>>")))
         rows = rows.select("tree", "leaf", "id", "v", F.explode(meets).alias("m")).select("tree", "leaf", "id", "v", "m.*")
-        met = rows.groupBy("tree", "leaf", "x", "y").applyInPandas(_compared(cosine), "a long, b long").distinct()
+        met = rows.groupBy("tree", "leaf", "x", "y").applyInPandas(_compared(cosine), "a long, b long, sure boolean").distinct()
+        met = stored(met, "met")
+        known = met.filter("not sure").join(mine.select(F.col("id").alias("a"), F.col("v").alias("x")).hint("merge"), "a")
+        known = known.join(mine.select(F.col("id").alias("b"), F.col("v").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
+        met = met.filter("sure").select("a", "b").unionByName(known.mapInArrow(_exact(cosine), "a long, b long")).distinct()
         pairs = met if pairs is None else pairs.unionByName(met)
     if pairs is None:
         pairs = spark.createDataFrame([], "a long, b long")
