@@ -67,3 +67,12 @@ def test_stage_keeps_clean_rows_and_columns(spark):
     kept = decontaminate.remove_contaminated(docs, items)
     assert kept.columns == docs.columns
     assert sorted(r.text for r in kept.collect()) == ["nothing here", "null id"]
+
+
+def test_stage_judges_rows_of_one_id_apart(spark):
+    bad = "a b c d e f g h i j k"
+    docs = spark.createDataFrame([(None, bad), (None, "clean without id"), (None, None), (1, bad), (1, "clean of one"), (2, bad), (2, bad), (3, "clean"), (3, "clean")],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(1, "A b c d e f g h i j")], "item_id long, text string")
+    kept = decontaminate.remove_contaminated(docs, items).collect()
+    assert sorted(map(str, (tuple(r) for r in kept))) == sorted(map(str, [(None, "clean without id"), (None, None), (1, "clean of one"), (3, "clean"), (3, "clean")]))

@@ -87,3 +87,11 @@ def test_signature_is_unbiased():
         same = (minhash.signatures(keys, a, zero, 1, 125) == minhash.signatures(keys, b, zero, 1, 125)).mean()
         errors.append(same - np.minimum(a, b).sum() / np.maximum(a, b).sum())
     assert abs(np.mean(errors)) < 0.02
+
+
+def test_stage_keeps_unlike_rows_of_one_id(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (9, "one  two three"), (9, "other text"), (9, "third text"), (None, "copy of none"), (None, "copy  of none"),
+                                  (None, "one two  three"), (None, "alone"), (7, "again"), (7, "again")], "doc_id long, text string")
+    kept = [(r.doc_id, " ".join(r.text.split())) for r in minhash.keep_one_of_each(docs).collect()]
+    want = [(1, "one two three"), (9, "other text"), (9, "third text"), (None, "copy of none"), (None, "alone"), (7, "again")]
+    assert sorted(map(str, kept)) == sorted(map(str, want))

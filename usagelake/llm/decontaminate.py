@@ -125,9 +125,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: in
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those in which a window of a benchmark item occurs; all columns stay."""
-    bad = find_hits(docs, benchmark).filter(F.size("hits") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad.hint("merge"), docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs`` without those in which a window of a benchmark item occurs; all columns stay.
+
+    Each row is judged by its own text: rows are matched by id and text, so clean rows that share their doc_id, null
+    included, with a contaminated one stay.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    hits = find_hits(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark)
+    bad = hits.filter(F.size("hits") > 0).select(F.col("doc_id").alias("_bad")).distinct()
+    return keyed.join(bad.hint("merge"), keyed["_row"] == bad["_bad"], "left_anti").select(*docs.columns)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

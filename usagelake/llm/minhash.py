@@ -239,12 +239,19 @@ def _alike_in_size(similarity: float):
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one document of each class; rows without an id stay; all columns stay.
+    """The rows of ``docs`` with one document of each class; all columns stay.
 
-    Of rows that repeat both the kept doc_id and its words one stays.
+    Classes are of rows, matched by id and text, so unlike texts that share a doc_id, null included, each stay. Of a class the row
+    of the smallest doc_id stays (null ids last); of rows that repeat both id and text one.
     """
-    kept = stored(near_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("n")), "kept")
-    out = docs.join(kept.select("_kept").hint("merge"), docs["doc_id"] == kept["_kept"], "left_semi")
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    classes = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("_row")).agg(
+        F.min("class_id").alias("class_id"), F.count("*").alias("n"))
+    ids = keyed.select("_row", "doc_id").distinct()
+    first = F.min_by(F.struct("_row", "n"), F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("one")
+    kept = classes.join(ids.hint("merge"), "_row").groupBy("class_id").agg(first)
+    kept = stored(kept.select(F.col("one._row").alias("_kept"), "one.n"), "kept")
+    out = keyed.join(kept.select("_kept").hint("merge"), keyed["_row"] == kept["_kept"], "left_semi")
     if kept.filter("n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter("doc_id is null"))
+        out = out.dropDuplicates(["_row"])
+    return out.select(*docs.columns)
