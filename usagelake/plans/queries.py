@@ -699,9 +699,8 @@ def _streamed(s: SparkSession, d: str, make) -> DataFrame:
     where = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="usagelake-")
     base, name = f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}", f"live_{uuid.uuid4().hex}"
     usage = fx.usage_raw(s, d)
-    # A duplicate lies one record after its original, far less than the watermark.
     usage.write.parquet(f"{base}/landed")
-    run = live.start(make(live.read_usage(s, f"{base}/landed", usage.schema)), name, f"{base}/state", once=True)
+    run = live.start(live.read_usage(s, f"{base}/landed", usage.schema), f"{base}/landed", make, name, f"{base}/state", once=True)
     run.awaitTermination()
     return s.table(name)
 

@@ -1,4 +1,4 @@
-"""Live totals over landed files: Structured Streaming with deduplication, prices loaded once, complete results."""
+"""Live totals over landed files: each refresh aggregates all that has landed with the exact deduplication, so nothing is late."""
 
 from __future__ import annotations
 
@@ -9,12 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from usagelake.operators.cost import cost_sum, price
-from usagelake.operators.dedup import KEY
+from usagelake.operators.dedup import dedup
 from usagelake.operators.reports import bucket, sums
 
-#: Duplicates further apart in event time than this both count; the state of the deduplication is as long.
-WATERMARK = "1 day"
-
 
 def read_usage(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     """Parquet files of usage records as they land; a file is read once."""
@@ -22,27 +19,39 @@ def read_usage(spark: SparkSession, path: str, schema, files_per_trigger: int |
     return (read.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else read).parquet(path)
 
 
-def dedup_stream(usage: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """First record of each key within the watermark."""
-    timed = usage.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("_account", F.coalesce("account_uuid", F.lit("")))
-    return timed.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([*KEY, "_account"]).drop("_account")
+def _kept(usage: DataFrame) -> DataFrame:
+    return dedup(usage.withColumn("ts", F.col("ts").cast("timestamp")))
 
 
 def live_totals(usage: DataFrame, pricing: DataFrame, by: str = "daily", chosen: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Sums and cost of each bucket over all records so far (``all``: one bucket); a streaming aggregation for complete mode.
+    """Sums and cost of each bucket over all records of ``usage`` (``all``: one bucket).
 
     ``chosen`` filters rows; like all filters it works on what deduplication has kept.
     """
-    kept = dedup_stream(usage)
+    kept = _kept(usage)
     return price(chosen(kept) if chosen else kept, pricing).groupBy(bucket(by).alias("bucket")).agg(*sums(), cost_sum("ignore").alias("cost"))
 
 
 def live_models(usage: DataFrame, pricing: DataFrame) -> DataFrame:
-    """Cost of each model so far; a model without a price has none."""
-    return price(dedup_stream(usage), pricing).groupBy("model").agg(cost_sum("ignore").alias("cost"))
+    """Cost of each model; a model without a price has none."""
+    return price(_kept(usage), pricing).groupBy("model").agg(cost_sum("ignore").alias("cost"))
+
+
+def start(landing: DataFrame, path: str, totals: Callable[[DataFrame], DataFrame], name: str, checkpoint: str, once: bool = False,
+          interval: str = "2 seconds") -> StreamingQuery:
+    """Keep ``totals`` of all records under ``path`` as the view ``name``, renewed every interval in which files land, or once.
+
+    ``landing`` is ``read_usage`` of that path and only tells that files have landed; each renewal reads them all, as the reference
+    does, whatever their age. The last two totals are kept as Parquet beside the checkpoint.
+    """
+    spark, schema = landing.sparkSession, landing.schema
 
+    def renew(_: DataFrame, number: int) -> None:
+        to = f"{checkpoint.rstrip('/')}-totals/{number % 2 if number >= 0 else 'first'}"
+        out = totals(spark.read.schema(schema).parquet(path))
+        out.write.mode("overwrite").parquet(to)
+        spark.read.schema(out.schema).parquet(to).createOrReplaceTempView(name)
 
-def start(totals: DataFrame, name: str, checkpoint: str, once: bool = False, interval: str = "2 seconds") -> StreamingQuery:
-    """Keep the totals in a table in memory, renewed every interval, or over what has landed so far."""
-    write = totals.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint)
+    renew(landing, -1)  # what has landed before, also if no file is new
+    write = landing.writeStream.foreachBatch(renew).option("checkpointLocation", checkpoint)
     return (write.trigger(availableNow=True) if once else write.trigger(processingTime=interval)).start()
