@@ -1,14 +1,14 @@
-"""Substring dedup by relative Lempel-Ziv parsing against content-defined reference blocks.
+"""Substring dedup by hashes of windows and content-defined reference blocks, in place of relative Lempel-Ziv factoring.
 
 Reference blocks. Every run of ``ANCHOR`` words is hashed and the smallest hash of each window's runs is
 the window's anchor (``WINDOW`` words hold ``WINDOW - ANCHOR + 1`` runs), so equal windows have equal anchors wherever they stand. A
 block is the text of all consecutive windows of one anchor. All distinct blocks of the corpus are the
 reference, indexed by anchor, each with its number of occurrences.
 
-Parse. A block that occurs again is copied whole from the reference; a document's factors are its
+Marks. No longest match is searched. A block that occurs again is a copy of the reference; what is marked are
 maximal runs of such blocks, extended at both boundaries, where blocks differ (an edit, the end of a
 shared passage) and single windows are checked against the windows of every distinct block with the same
-anchor. Factors of at least ``WINDOW`` words are the duplicate spans. Copies meet as counts of
+anchor. Runs of at least ``WINDOW`` words are the duplicate spans. Copies meet as counts of
 equal blocks, never as pairs; what is checked window by window are distinct blocks only.
 """
 
