@@ -67,3 +67,27 @@ def test_many_portions_and_empty_table(spark, monkeypatch, vocabulary):
     assert sentencepiece.encode(docs).count() == 300
     assert sentencepiece.encode(docs.limit(0)).count() == 0
     assert sentencepiece.decode(spark.createDataFrame([(None,)], "ids array<int>")).first().decoded is None
+
+
+def test_very_long_units(spark, vocabulary):
+    texts = ["a" * 100_000, "=" * 30_000 + "漢" + "=" * 30_000, " " * 70_000, "ab" * 700 + "😀" + "ab" * 700]
+    got = {r.doc_id: r.decoded for r in sentencepiece.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), decoded=True).collect()}
+    assert got == dict(enumerate(texts))
+    one = sentencepiece.encode(spark.createDataFrame([(1, texts[3])], "doc_id long, text string")).first()
+    assert one.ids == brute(vocabulary, texts[3])
+
+
+def test_pieces_left_out_are_beaten(vocabulary):
+    score = {vocabulary.pieces[i]: vocabulary.scores[i] for i in vocabulary.plain}
+    useful = set(vocabulary.useful)
+    assert all(i in useful for i in vocabulary.plain if len(vocabulary.pieces[i]) == 1)
+    def best(p):  # over sequences of shorter pieces
+        reached = [0.0] + [None] * len(p)
+        for end in range(1, len(p) + 1):
+            paths = [reached[at] + score[p[at:end]] for at in range(end) if end - at < len(p) and reached[at] is not None and p[at:end] in score]
+            reached[end] = max(paths, default=None)
+        return reached[-1]
+
+    for i in vocabulary.plain:
+        split = best(vocabulary.pieces[i])
+        assert (i in useful) == (split is None or split <= vocabulary.scores[i])

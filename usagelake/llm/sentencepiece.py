@@ -8,14 +8,24 @@ piece table, the edges are grouped by unit, and the best path is folded with the
 ``aggregate``. Characters that are no piece fall back to their bytes. Of equal scores the longer last
 piece wins.
 
-Everything is one narrow pass: each task looks up the distinct units of its portion of documents, the
-(small, size-checked) piece table is broadcast, edges of a unit leave the join together, and nothing is shuffled.
+Pieces that score less than their own best split are on no best path; they are left out of the table before everything
+else, which leaves a third of a BPE vocabulary. A substring is exploded only where pieces begin like it; single characters, of which each has its edge, come with the unit.
+
+The commonest units of the corpus (a bounded number) are worked out first and their ids are broadcast. Documents then take
+one narrow pass for the rest: each task looks up the distinct units of its portion of documents, the (small, size-checked) piece
+table is broadcast, and nothing is shuffled. So the edges of a unit stay in one task; they are grouped there by the unit's number, and a unit
+whose edges aren't all together ends the job instead of giving wrong ids. A task holds the distinct units of one portion
+(24 MB of text, or one longer text) and the lattice of one batch of edges. A unit of many characters is exploded in
+windows and folded in blocks, so its cost is in proportion to its length.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +36,22 @@ from pyspark.sql import functions as F
 #: The vocabulary used by the registered queries.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: A vocabulary is broadcast, so it may have no more pieces than this.
+#: A vocabulary is broadcast, so it may have no more pieces than this, and none longer than a byte can say.
 MOST_PIECES = 1_000_000
-#: Bytes of text whose distinct units are looked up together.
-PORTION = 40 << 20
+LONGEST = 255
+#: Characters of text whose distinct units are looked up together.
+PORTION = 24 << 20
+#: The commonest units, of so many characters at most, whose ids are worked out first and broadcast; and how often a portion must have one to name it.
+COMMON_UNITS = 250_000
+COMMON_LENGTH = 40
+COMMON_TIMES = 3
 #: Below every path of ordinary pieces: the cost of falling back to bytes.
 FALLBACK = -1e9
+#: Positions of a unit that are exploded in one row, and that are folded before their pieces are put aside.
+WINDOW = 256
+#: An edge as one number: (characters - 1) << 22, plus its piece's id or, for a fallback, 1 << 21 and the character's code point.
+ID_BITS = 22
+UNKNOWN = 1 << 21
 
 
 class Vocabulary:
@@ -54,25 +74,91 @@ class Vocabulary:
         if (self.bytes < 0).any():
             raise ValueError("the vocabulary has no byte pieces to fall back to")
         self.longest = max(len(self.pieces[i]) for i in self.plain)
-        chars = sorted({c for i in self.plain for c in self.pieces[i]})
-        self.known = np.zeros(0x110000, dtype=np.int32)  # 0: in no piece
+        if self.longest > LONGEST:
+            raise ValueError(f"a piece of {self.longest} characters is too long")
+        self.useful = self._undominated()
+        long = [self.pieces[i] for i in self.useful if len(self.pieces[i]) > 1]
+        chars = sorted({c for p in long for c in p})
+        self.known = np.zeros(0x110000, dtype=np.int32)  # 0: in no piece with others
         self.known[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
-        self.together = np.zeros((len(chars) + 1, len(chars) + 1), dtype=bool)
-        for i in self.plain:
-            n = self.known[[ord(c) for c in self.pieces[i]]]
-            self.together[n[:-1], n[1:]] = True
+        n = len(chars) + 1
+        self.together = np.zeros((n, n), dtype=bool)
+        self.two = np.zeros((n, n), dtype=bool)  # pieces of two characters
+        self.pair = np.zeros((n, n), dtype=np.int32)  # numbers of the first two characters of longer pieces
+        codes = [self.known[[ord(c) for c in p]] for p in long]
+        for c in codes:
+            self.together[c[:-1], c[1:]] = True
+            if len(c) == 2:
+                self.two[c[0], c[1]] = True
+            elif not self.pair[c[0], c[1]]:
+                self.pair[c[0], c[1]] = self.pair.max() + 1
+        self.three = np.zeros((self.pair.max() + 1, n), dtype=np.uint8)  # the longest piece that begins with a pair and a third
+        for c in codes:
+            if len(c) > 2:
+                at = self.pair[c[0], c[1]], c[2]
+                self.three[at] = max(self.three[at], len(c))
+        self.single = np.full(0x110000, -1, dtype=np.int32)
+        for i in self.useful:
+            if len(self.pieces[i]) == 1:
+                self.single[ord(self.pieces[i])] = i
+        mark = self.known[ord(MARK)]
+        inner = self.together[:, mark].copy()
+        inner[mark] = False
+        # Words: a run of spaces and what follows, unless a piece reaches from a word into the next.
+        self.words = re.compile("(?s).+" if inner.any() else " +[^ ]*")
         self.text = [b""] * size  # what each id stands for; control pieces for nothing
         for i in self.plain:
             self.text[i] = self.pieces[i].replace(MARK, " ").encode()
         for b in range(256):
             self.text[self.bytes[b]] = bytes([b])
 
-    def units(self, text: str) -> list[str]:
-        """The text with its dummy word start, cut wherever no piece reaches across."""
-        s = MARK + text.replace(" ", MARK)
-        code = self.known[np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        cut = (np.flatnonzero(~self.together[code[:-1], code[1:]]) + 1).tolist()
-        return [s[a:b] for a, b in zip([0, *cut], [*cut, len(s)], strict=True)]
+    def _undominated(self) -> list[int]:
+        """The ordinary pieces that no sequence of shorter ones beats."""
+        score = {self.pieces[i]: self.scores[i] for i in self.plain}
+        out = []
+        for i in self.plain:
+            p = self.pieces[i]
+            best = [0.0] + [-np.inf] * len(p)
+            for end in range(1, len(p) + 1):
+                best[end] = max(best[at] + score.get(p[at:end], -np.inf) if end - at < len(p) else -np.inf for at in range(end))
+            if not best[-1] > self.scores[i] + 1e-6 * abs(self.scores[i]):
+                out.append(i)
+        return out
+
+    def codes(self, text: str) -> np.ndarray:
+        return self.known[points(text)]
+
+    def substrings(self, code: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces of two and more characters may stand: place and length; ``left``: characters from each place to its unit's end."""
+        second, third = np.r_[code[1:], 0], np.r_[code[2:], 0, 0][: len(code)]
+        most = np.where(left > 2, np.minimum(self.three[self.pair[code, second], third], left), 0).astype(np.int64)
+        two = (self.two[code, second] & (left > 1)).astype(np.int64)
+        count = two + np.maximum(most - 2, 0)
+        total = np.cumsum(count)
+        at = np.repeat(np.arange(len(code)), count)
+        nth = np.arange(len(at)) - np.repeat(total - count, count)
+        return at, nth + 3 - two[at]
+
+    def units(self, words: list[str]) -> list[list[str]]:
+        """Each word (of at least one character), cut wherever no piece reaches across."""
+        s = "".join(words).replace(" ", MARK)
+        code = self.codes(s)
+        cut = ~self.together[code[:-1], code[1:]]
+        ends = np.cumsum([len(w) for w in words])
+        cut[ends[:-1] - 1] = True
+        cut = [*(np.flatnonzero(cut) + 1).tolist(), len(s)]
+        found, out, at, k = [s[a:b] for a, b in zip([0, *cut], cut, strict=False)], [], 0, 0
+        for end in ends.tolist():
+            first = k
+            while at < end:
+                at = cut[k]
+                k += 1
+            out.append(found[first:k])
+        return out
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
 @lru_cache(maxsize=2)
@@ -88,125 +174,237 @@ def vocabulary(spark: SparkSession, model: str = MODEL) -> str:
 
 
 def piece_table(spark: SparkSession, model: str = MODEL) -> DataFrame:
-    """One row for each ordinary piece: id, piece, score."""
+    """One row for each ordinary piece that can be on a best path: id, piece, score."""
     v = _read(vocabulary(spark, model))
-    return spark.createDataFrame([(i, v.pieces[i], float(v.scores[i])) for i in v.plain], "id int, piece string, score double")
+    return spark.createDataFrame([(i, v.pieces[i], float(v.scores[i])) for i in v.useful], "id int, piece string, score double")
+
 
+#: Rows of one table: documents (doc_id, doc: numbers of units, as 32-bit integers) and windows of units (number, place of
+#: the window in the unit, its text, its substrings as place * 256 + length).
+_ROWS = ["doc_id", "doc", "number", "place", "word", "codes"]
 
-def _portions(name: str):
-    """For each portion of documents its distinct units, one row each, then its documents as numbers of units."""
+
+def _common(name: str):
+    """The units that a portion has several times, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _read(name)
+        seen: Counter[str] = Counter()
+        have = 0
+
+        def counted() -> pa.RecordBatch:
+            words, units = list(seen), Counter()
+            for word, parts in zip(words, v.units(words) if words else [], strict=True):
+                for unit in parts:
+                    units[unit] += seen[word]
+            some = [(u, n) for u, n in units.items() if n >= COMMON_TIMES and len(u) <= COMMON_LENGTH]
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], names=["unit", "n"])
+
+        for batch in batches:
+            for text in batch.column("text"):
+                text = text.as_py()
+                if text:
+                    seen.update(v.words.findall(" " + text))
+                    have += len(text)
+            if have >= PORTION:
+                yield counted()
+                seen, have = Counter(), 0
+        yield counted()
+
+    return run
+
+
+class Known:
+    """Units whose ids are known already: a number for each, and the ids of all, one after the other."""
+
+    def __init__(self, units: list[str], ids: list[list[int]]):
+        self.number = {u: i for i, u in enumerate(units)}
+        self.ids = np.fromiter(chain.from_iterable(ids), np.int32)
+        self.sizes = np.array([len(x) for x in ids], np.int64)
+
+
+def _portions(name: str, known):
+    """For each portion of documents its distinct units beyond the known ones, then its documents as numbers of units.
+
+    Without ``known`` the texts are units themselves.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _read(name)
+        given = known.value.number if known else {}
+        words: dict[str, tuple[int, ...]] = {}
         units: dict[str, int] = {}
         ids, docs, have = [], [], 0
         for batch in batches:
             ids.append(batch.column("doc_id"))
             for text in batch.column("text"):
                 text = text.as_py()
-                mine = v.units(text) if text else []
-                docs.append(np.fromiter((units.setdefault(u, len(units)) for u in mine), np.int32, len(mine)))
+                mine = [] if not text else v.words.findall(" " + text) if known else [text]
+                new = [w for w in set(mine) if w not in words]
+                if new:
+                    for w, parts in zip(new, v.units(new), strict=True):
+                        words[w] = tuple([given[u] if u in given else units.setdefault(u, len(units) + len(given)) for u in parts])
+                docs.append(np.fromiter(chain.from_iterable(map(words.__getitem__, mine)), np.int32))
                 have += len(text or "")
             if have >= PORTION:
-                yield from _portion(ids, docs, units)
-                units, ids, docs, have = {}, [], [], 0
+                yield from _portion(v, ids, docs, list(units), len(given))
+                words, units, ids, docs, have = {}, {}, [], [], 0
         if docs:
-            yield from _portion(ids, docs, units)
+            yield from _portion(v, ids, docs, list(units), len(given))
 
     return run
 
 
-def _portion(ids: list[pa.Array], docs: list[np.ndarray], units: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    names, fields = list(units), ["doc_id", "doc", "unit"]
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(values, pa.int32()))
+
+
+def _portion(v: Vocabulary, ids: list[pa.Array], docs: list[np.ndarray], units: list[str], base: int) -> Iterator[pa.RecordBatch]:
     doc_ids = pa.concat_arrays(ids)
-    for a in range(0, len(names), 20_000):
-        part = pa.array(names[a : a + 20_000], pa.string())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(part), doc_ids.type), pa.nulls(len(part), pa.list_(pa.int32())), part], names=fields)
+    number, part, have = base, [], 0
+    for i, unit in enumerate(units):
+        part.append(unit)
+        have += len(unit)
+        if have >= 1 << 17 or i == len(units) - 1:
+            yield from _windows(v, part, number, doc_ids.type)
+            number, part, have = base + i + 1, [], 0
     for a in range(0, len(docs), 1000):
-        part = docs[a : a + 1000]
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in part])], pa.int32()), pa.array(np.concatenate(part), pa.int32()))
-        yield pa.RecordBatch.from_arrays([doc_ids.slice(a, len(part)), lists, pa.nulls(len(part), pa.string())], names=fields)
+        some = docs[a : a + 1000]
+        n = len(some)
+        numbers = pa.array([x.tobytes() for x in some], pa.binary())
+        empty = pa.nulls(n, pa.int32())
+        yield pa.RecordBatch.from_arrays([doc_ids.slice(a, n), numbers, empty, empty, pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int32()))], names=_ROWS)
+
+
+def _windows(v: Vocabulary, units: list[str], number: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The windows of some units: those of their substrings that may be pieces, each with the text that they need; a unit's first window begins with 0 and has its whole text."""
+    size = np.array([len(u) for u in units])
+    ends = np.cumsum(size)
+    left = np.repeat(ends, size) - np.arange(ends[-1])
+    at, n = v.substrings(v.codes("".join(units)), left)
+    place = np.repeat(size, size) - left  # of each character in its unit
+    blocks = -(-size // WINDOW)
+    owner = np.repeat(np.arange(len(units)), blocks)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    window = (np.cumsum(blocks) - blocks)[np.repeat(np.arange(len(units)), size)[at]] + place[at] // WINDOW
+    code = (place[at] % WINDOW << 8) + n
+    first = np.flatnonzero(nth == 0)
+    lengths = np.bincount(window, minlength=len(owner))
+    code = np.insert(code, (np.cumsum(lengths) - lengths)[first], 0)
+    lengths[first] += 1
+    texts = [units[u] if not k else units[u][k * WINDOW : (k + 1) * WINDOW + v.longest] for u, k in zip(owner.tolist(), nth.tolist(), strict=True)]
+    none = len(owner)
+    yield pa.RecordBatch.from_arrays(
+        [pa.nulls(none, kind), pa.nulls(none, pa.binary()), pa.array((owner + number).astype(np.int32)),
+         pa.array((nth * WINDOW).astype(np.int32)), pa.array(texts, pa.string()), _lists(code, lengths)], names=_ROWS)
+
+
+_EDGE = pa.struct([("code", pa.int32()), ("score", pa.float64())])
+
+
+def _heads(batch: pa.RecordBatch) -> np.ndarray:
+    """The rows that begin a document or a unit."""
+    return np.flatnonzero(batch.column("spot").fill_null(0).to_numpy(zero_copy_only=False) == 0)
+
+
+def _unit_rows(batch: pa.RecordBatch, v: Vocabulary, scores: np.ndarray) -> pa.RecordBatch:
+    """Edge rows of whole units and document rows as one row each: for each position of the unit the list of edges that end there, in blocks."""
+    head = _heads(batch)
+    some = batch.take(pa.array(head))
+    edge = np.ones(batch.num_rows, dtype=bool)
+    edge[head] = False
+    edge = np.flatnonzero(edge)
+    row = np.searchsorted(head, edge, side="right") - 1
+    number, spot, piece = (batch.column(c).take(pa.array(edge)).to_numpy(zero_copy_only=False) for c in ("number", "spot", "piece_id"))
+    if (number != some.column("number").fill_null(-1).to_numpy(zero_copy_only=False)[row]).any():
+        raise RuntimeError("the edges of a unit came apart")
+    units = ["" if u is None else u for u in some.column("unit").to_pylist()]
+    size = np.array([len(u) for u in units])
+    base = np.cumsum(size) - size
+    point = points("".join(units)).astype(np.int64)
+    alone = v.single[point].astype(np.int64)
+    piece = np.r_[np.where(alone < 0, UNKNOWN + point, alone), piece]
+    n = np.r_[np.ones(len(point), np.int64), spot & 255]
+    place = np.r_[np.arange(len(point)), base[row] + (spot >> 8) + (spot & 255) - 1]
+    order = np.argsort(place, kind="stable")
+    piece, n = piece[order], n[order]
+    code = (n - 1 << ID_BITS) + piece
+    score = np.where(piece < UNKNOWN, scores[np.minimum(piece, len(scores) - 1)], FALLBACK)
+    edges = pa.StructArray.from_arrays([pa.array(code.astype(np.int32)), pa.array(score)], fields=list(_EDGE))
+    inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(place, minlength=len(point)))], pa.int32()), edges)
+    blocks = -(-size // WINDOW)
+    owner = np.repeat(np.arange(len(size)), blocks)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    middle = pa.ListArray.from_arrays(pa.array(np.r_[base[owner] + nth * WINDOW, size.sum()], pa.int32()), inner)
+    outer = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(blocks)], pa.int32()), middle)
+    return pa.RecordBatch.from_arrays([some.column(c) for c in ("doc_id", "doc", "number")] + [outer], names=["doc_id", "doc", "number", "ends"])
+
+
+def _grouped(name: str):
+    """The edges of each unit become one row; documents pass."""
+
+    def whole(parts: list[pa.RecordBatch], v: Vocabulary, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if sum(b.num_rows for b in parts):
+            yield _unit_rows(pa.Table.from_batches(parts).combine_chunks().to_batches()[0], v, scores)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _read(name)
+        scores = np.array(v.scores, np.float64)
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            head = _heads(batch)
+            if len(head):
+                last = int(head[-1])
+                yield from whole([*rest, batch.slice(0, last)], v, scores)
+                rest = [batch.slice(last)]
+            else:
+                rest.append(batch)
+        yield from whole(rest, v, scores)
 
+    return run
 
-_EDGE = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("id", pa.int32()), ("score", pa.float64())])
 
+def last_pieces(ends: Column, longest: int) -> Column:
+    """Viterbi over ``ends``, for each position (in blocks) its edges (code, score): each position's last piece on its best path, from the unit's end.
 
-def _unit_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Edge rows of whole units as one row each: for every position of the unit the list of edges that end there."""
-    head = np.flatnonzero(batch.column("first").to_numpy(zero_copy_only=False))
-    some = batch.take(pa.array(head))
-    size = np.nan_to_num(some.column("size").to_numpy(zero_copy_only=False)).astype(np.int64)
-    base = np.cumsum(size) - size
-    found = batch.column("id").is_valid().to_numpy(zero_copy_only=False)
-    part = batch.filter(pa.array(found))
-    unit = (np.searchsorted(head, np.flatnonzero(found), side="right") - 1) if len(head) else np.zeros(0, np.int64)
-    at, n = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "n"))
-    place = base[unit] + at + n - 1
-    order = np.argsort(place, kind="stable")
-    edges = pa.StructArray.from_arrays([part.column(c).take(pa.array(order)) for c in ("at", "n", "id", "score")], fields=list(_EDGE))
-    inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(place, minlength=int(size.sum())))], pa.int32()), edges)
-    outer = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), inner)
-    return pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("doc"), some.column("unit"), outer], names=["doc_id", "doc", "unit", "ends"])
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges that follow each other for one unit become one row; documents pass."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        head = np.flatnonzero(batch.column("first").to_numpy(zero_copy_only=False))
-        if len(head):
-            last = int(head[-1])
-            whole = [*rest, batch.slice(0, last)]
-            if sum(b.num_rows for b in whole):
-                yield _unit_rows(pa.Table.from_batches(whole).combine_chunks().to_batches()[0])
-            rest = [batch.slice(last)]
-        else:
-            rest.append(batch)
-    if sum(b.num_rows for b in rest):
-        yield _unit_rows(pa.Table.from_batches(rest).combine_chunks().to_batches()[0])
-
-
-def best_path(ends: Column) -> Column:
-    """Viterbi over ``ends``, for each position its edges (at, n, id, score): the ids of the best path, reversed.
-
-    The fold keeps for each position the best score and its last piece. The character before position i can be passed
-    by falling back, shown as -i. Reading the last pieces from the end gives the path.
+    The fold carries the best score and the last piece of the positions so far, newest first; after each block only those of the
+    last ``longest`` positions go on and the pieces are put aside. Following the pieces from the first gives the best path.
     """
-    kind = "struct<s:double,n:int,id:int>"
-    origin = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("id"))).cast(f"array<{kind}>")
+    best = "array<struct<s:double,code:int>>"
+    states = f"struct<win:{best},back:array<array<int>>>"
 
-    def position(done: Column, edges: Column) -> Column:
-        fallback = F.struct((F.get(done, F.size(done) - 1)["s"] + FALLBACK).alias("s"), F.lit(1).alias("n"), (-F.size(done)).alias("id"))
-        paths = F.transform(edges, lambda e: F.struct((F.get(done, e["at"])["s"] + e["score"]).alias("s"), e["n"].alias("n"), e["id"].alias("id")))
-        return F.concat(done, F.array(F.array_max(F.concat(F.array(fallback).cast(f"array<{kind}>"), paths.cast(f"array<{kind}>"))))).cast(f"array<{kind}>")
+    def position(acc: Column, edges: Column) -> Column:
+        paths = F.transform(edges, lambda e: F.struct((F.get(acc, F.shiftright(e["code"], ID_BITS))["s"] + e["score"]).alias("s"), e["code"].alias("code")))
+        return F.concat(F.array(F.array_max(paths)), acc)
 
-    def back(acc: Column, x: Column) -> Column:
-        on = acc["left"] == 0
-        return F.struct(F.when(on, x["n"] - 1).otherwise(acc["left"] - 1).alias("left"),
-                        F.when(on, F.concat(acc["ids"], F.array(x["id"]))).otherwise(acc["ids"]).alias("ids"))
+    def block(acc: Column, positions: Column) -> Column:
+        new = F.array(F.aggregate(positions, acc["win"], position))
+        return F.get(F.transform(new, lambda x: F.struct(F.slice(x, 1, longest).alias("win"), F.concat(
+            F.array(F.transform(F.slice(x, 1, F.size(positions)), lambda y: y["code"])), acc["back"]).alias("back")).cast(states)), F.lit(0))
 
-    reached = F.reverse(F.slice(F.aggregate(ends, origin, position), 2, F.size(ends)))
-    start = F.struct(F.lit(0).alias("left"), F.array().cast("array<int>").alias("ids"))
-    return F.aggregate(reached, start, back, lambda acc: acc["ids"])
+    origin = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("code"))).cast(best)
+    return F.aggregate(ends, F.struct(origin.alias("win"), F.array().cast("array<array<int>>").alias("back")).cast(states), block, lambda acc: F.flatten(acc["back"]))
 
 
-def _assembled(name: str, decoded: bool):
+def _assembled(name: str, known, decoded: bool):
     """Documents as ids, from the paths of the units that precede them; also as the text that these decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _read(name)
-        flat: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
+        first = ([known.value.ids], [known.value.sizes]) if known else ([], [])
+        flat, sizes = (list(x) for x in first)
         ready = None
         for batch in batches:
-            is_unit = batch.column("unit").is_valid().to_numpy(zero_copy_only=False)
+            is_unit = batch.column("number").is_valid().to_numpy(zero_copy_only=False)
             edge = np.flatnonzero(np.diff(np.r_[-1, is_unit.astype(np.int8), -1])).tolist()
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 part = batch.slice(a, b - a)
                 if is_unit[a]:
                     if ready is not None:
-                        flat, sizes, ready = [], [], None
-                    ids, n = _forward(v, part.column("unit"), part.column("path"))
+                        flat, sizes, ready = *(list(x) for x in first), None
+                    if part.column("number")[0].as_py() != sum(map(len, sizes)):
+                        raise RuntimeError("the units of a portion came apart")
+                    ids, n = _forward(v, part.column("lasts"))
                     flat.append(ids)
                     sizes.append(n)
                     continue
@@ -214,44 +412,53 @@ def _assembled(name: str, decoded: bool):
                     n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
                     ready = (np.concatenate(flat) if flat else np.zeros(0, np.int32), np.cumsum(n) - n, n)
                 ids, begin, n = ready
-                doc = part.column("doc")
-                units = doc.flatten().to_numpy(zero_copy_only=False)
-                many, each = n[units], doc.value_lengths().to_numpy(zero_copy_only=False)
+                doc = part.column("doc").to_pylist()
+                units = np.frombuffer(b"".join(doc), np.int32)
+                many, each = n[units], np.array([len(x) // 4 for x in doc])
                 ends = np.cumsum(many)
                 at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many - begin[units], many)
                 bounds = np.r_[0, ends][np.r_[0, np.cumsum(each)]]
                 out = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids[at], pa.int32()))
                 columns, names = [part.column("doc_id"), out], ["doc_id", "ids"]
                 if decoded:
-                    columns.append(pa.array([_text(v, x.as_py()) for x in out], pa.string()))
+                    each = [ids[at[a:b]].tolist() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                    columns.append(pa.array([_text(v, x) for x in each], pa.string()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def _forward(v: Vocabulary, units: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all units, one after the other, and their numbers: paths turned round, characters without piece as bytes."""
-    n = paths.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    ids = paths.flatten().to_numpy(zero_copy_only=False)
-    ends = np.cumsum(n)
-    ids = ids[np.repeat(ends + ends - n, n) - 1 - np.arange(len(ids))] if len(ids) else ids
-    if not (ids < 0).any():
+def _forward(v: Vocabulary, lasts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all units, one after the other, and their numbers: last pieces followed from the end, characters without piece as bytes."""
+    size = lasts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = lasts.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size)
+    on = np.zeros(len(codes), dtype=bool)
+    at, stop = ends - size, ends
+    while len(at):
+        on[at] = True
+        at = at + (codes[at] >> ID_BITS) + 1
+        at, stop = at[at < stop], stop[at < stop]
+    owner = np.repeat(np.arange(len(size)), size)[on][::-1]
+    ids = codes[on][::-1] & (1 << ID_BITS) - 1
+    order = np.argsort(owner, kind="stable")
+    ids, n = ids[order], np.bincount(owner, minlength=len(size))
+    odd = np.flatnonzero(ids >= UNKNOWN)
+    if not len(odd):
         return ids, n
-    out, sizes = [], n.copy()
-    odd = np.unique(np.searchsorted(ends, np.flatnonzero(ids < 0), side="right"))
-    at = 0
-    for i in odd.tolist():
-        unit, lo, hi = units[i].as_py(), ends[i] - n[i], ends[i]
-        one = [j for x in ids[lo:hi].tolist() for j in ([x] if x >= 0 else v.bytes[list(unit[-x - 1].encode("utf-8", "surrogatepass"))].tolist())]
-        out += [ids[at:lo], np.array(one, ids.dtype)]
-        sizes[i], at = len(one), hi
-    return np.concatenate([*out, ids[at:]]), sizes
+    spelt = [v.bytes[list(chr(c - UNKNOWN).encode("utf-8", "surrogatepass"))] for c in ids[odd].tolist()]
+    extra = np.array([len(x) - 1 for x in spelt])
+    begin = odd + np.cumsum(extra) - extra
+    n = n + np.bincount(np.searchsorted(np.cumsum(n), odd, side="right"), extra, len(n)).astype(np.int64)
+    ids = np.repeat(ids, 1 + np.bincount(odd, extra, len(ids)).astype(np.int64))
+    ids[np.repeat(begin - np.r_[0, np.cumsum(extra + 1)[:-1]], extra + 1) + np.arange((extra + 1).sum())] = np.concatenate(spelt)
+    return ids, n
 
 
 def _text(v: Vocabulary, ids: list[int]) -> str:
     """What ids stand for, without the space of the dummy word start."""
-    return b"".join([v.text[i] for i in ids])[1:].decode("utf-8", "replace")
+    return b"".join(map(v.text.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
 def encode(docs: DataFrame, model: str = MODEL, decoded: bool = False) -> DataFrame:
@@ -260,28 +467,31 @@ def encode(docs: DataFrame, model: str = MODEL, decoded: bool = False) -> DataFr
     White space is kept (a space is a word-start mark, everything else that is no piece falls back to bytes), so
     ``decode`` restores each text exactly, except that a mark U+2581 in a text decodes as a space. Null
     and empty texts have no ids; an empty table gives no rows; repeated rows and null ids of
-    documents are returned as they are; other columns are ignored.
+    documents are returned as they are; other columns are ignored. Very long texts, also without any space, are encoded whole.
     """
+    name = vocabulary(docs.sparkSession, model)
+    units = docs.select("text").mapInArrow(_common(name), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    units = units.orderBy(F.desc("n"), "unit").limit(COMMON_UNITS).select(F.col("unit").alias("doc_id"), F.col("unit").alias("text"))
+    found = _encoded(units.repartition(docs.sparkSession.sparkContext.defaultParallelism), name, model).collect()
+    known = Known([r.doc_id for r in found], [r.ids for r in found])
+    return _encoded(docs, name, model, docs.sparkSession.sparkContext.broadcast(known), decoded)
+
+
+def _encoded(docs: DataFrame, name: str, model: str, known=None, decoded: bool = False) -> DataFrame:
     spark = docs.sparkSession
-    name = vocabulary(spark, model)
     longest = _read(name).longest
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(_portions(name), f"doc_id {kind}, doc array<int>, unit string")
-    size = F.length("unit")
-
-    def from_place(i: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), size - i)), lambda n: F.struct(i.alias("at"), n.alias("n")))
-
-    places = F.when(size > 0, F.flatten(F.transform(F.sequence(F.lit(0), size - 1), from_place)))
-    edges = rows.select("doc_id", "doc", "unit", F.explode_outer(places).alias("e"))
-    edges = edges.select("doc_id", "doc", "unit", "e.at", "e.n", F.substring("unit", F.col("e.at") + 1, F.col("e.n")).alias("piece"))
-    first = F.coalesce((F.col("at") == 0) & (F.col("n") == 1), F.lit(True))
-    edges = edges.join(F.broadcast(piece_table(spark, model)), "piece", "left").withColumn("first", first).filter("first or id is not null")
-    # The unit stands in the first of its rows only.
-    units = edges.select("doc_id", "doc", F.when(F.col("first"), F.col("unit")).alias("unit"), F.when(F.col("first"), size).alias("size"), "at", "n", "id", "score", "first").mapInArrow(
-        _grouped, f"doc_id {kind}, doc array<int>, unit string, ends array<array<struct<at:int,n:int,id:int,score:double>>>")
-    paths = units.select("doc_id", "doc", "unit", F.when(F.col("unit").isNotNull(), best_path(F.col("ends"))).alias("path"))
-    return paths.mapInArrow(_assembled(name, decoded), f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded)
+    rows = docs.select("doc_id", "text").mapInArrow(_portions(name, known), f"doc_id {kind}, doc binary, number int, place int, word string, codes array<int>")
+    start, n = F.shiftright("code", 8), F.col("code").bitwiseAND(255)
+    edges = rows.select("doc_id", "doc", "number", "place", "word", F.explode_outer("codes").alias("code")).select(
+        "doc_id", "doc", "number", ((F.col("place") + start).cast("long") * 256 + n).alias("spot"), F.substring("word", start + 1, n).alias("piece"),
+        F.when(F.col("code") == 0, F.col("word")).alias("unit"))
+    edges = edges.join(F.broadcast(piece_table(spark, model)), "piece", "left").filter("number is null or unit is not null or id is not null")
+    edges = edges.select("doc_id", "doc", "number", "spot", F.col("id").alias("piece_id"), "unit")
+    units = edges.mapInArrow(_grouped(name), f"doc_id {kind}, doc binary, number int, ends array<array<array<struct<code:int,score:double>>>>")
+    # Lists that are null for many rows on end are slow to send to Python, so a document's is empty.
+    lasts = F.when(F.col("number").isNotNull(), last_pieces(F.col("ends"), longest)).otherwise(F.array().cast("array<int>"))
+    return units.select("doc_id", "doc", "number", lasts.alias("lasts")).mapInArrow(_assembled(name, known, decoded), f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded)
 
 
 def _decoded(name: str, columns: list[str]):
