@@ -15,7 +15,7 @@ The commonest units of the corpus (a bounded number) are worked out first and th
 one narrow pass for the rest: each task looks up the distinct units of its portion of documents, the (small, size-checked) piece
 table is broadcast, and nothing is shuffled. So the edges of a unit stay in one task; they are grouped there by the unit's number, and a unit
 whose edges aren't all together ends the job instead of giving wrong ids. A task holds the distinct units of one portion
-(24 MB of text, or one longer text) and the lattice of one batch of edges. A unit of many characters is exploded in
+(6 million characters, or one longer text) and the lattice of one batch of edges. A unit of many characters is exploded in
 windows and folded in blocks, so its cost is in proportion to its length.
 """
 
@@ -40,11 +40,13 @@ MARK = "▁"
 MOST_PIECES = 1_000_000
 LONGEST = 255
 #: Characters of text whose distinct units are looked up together.
-PORTION = 24 << 20
+PORTION = 6 << 20
 #: The commonest units, of so many characters at most, whose ids are worked out first and broadcast; and how often a portion must have one to name it.
 COMMON_UNITS = 250_000
 COMMON_LENGTH = 40
-COMMON_TIMES = 3
+COMMON_TIMES = 2
+#: Words of common units only that a task remembers from one portion to the next.
+MOST_WORDS = 200_000
 #: Below every path of ordinary pieces: the cost of falling back to bytes.
 FALLBACK = -1e9
 #: Positions of a unit that are exploded in one row, and that are folded before their pieces are put aside.
@@ -248,7 +250,8 @@ def _portions(name: str, known):
                 have += len(text or "")
             if have >= PORTION:
                 yield from _portion(v, ids, docs, list(units), len(given))
-                words, units, ids, docs, have = {}, {}, [], [], 0
+                words = {w: x for w, x in words.items() if max(x) < len(given)} if len(words) < MOST_WORDS else {}
+                units, ids, docs, have = {}, [], [], 0
         if docs:
             yield from _portion(v, ids, docs, list(units), len(given))
 
