@@ -95,3 +95,43 @@ def test_stage_keeps_unlike_rows_of_one_id(spark):
     kept = [(r.doc_id, " ".join(r.text.split())) for r in minhash.keep_one_of_each(docs).collect()]
     want = [(1, "one two three"), (9, "other text"), (9, "third text"), (None, "copy of none"), (None, "alone"), (7, "again")]
     assert sorted(map(str, kept)) == sorted(map(str, want))
+
+
+def test_many_blocks_and_crowds_equal_brute_force(spark, monkeypatch):
+    docs = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", 5)
+    got = minhash.near_duplicates(df).collect()  # groups of up to 32 blocks
+    assert sorted((r.doc_id, r.class_id) for r in got) == brute(docs)
+    monkeypatch.setattr(minhash, "MOST_BLOCKS", 2)
+    got = minhash.near_duplicates(df).collect()  # leaders, then blocks within buckets
+    assert sorted((r.doc_id, r.class_id) for r in got) == brute(docs)
+
+
+def test_joining_links_are_a_spanning_forest_of_all_links():
+    rng = np.random.default_rng(3)
+    for n, most in ((60, 40), (300, 30_000)):
+        base = rng.integers(1, 2**63, 2 * most, dtype=np.uint64)
+        sets = [np.unique(np.r_[base[: most // 2 + 1], rng.choice(base, rng.integers(1, most // 8))]) for _ in range(n)]
+        for side in (np.zeros(n, int), rng.integers(0, 2, n)):
+            want = {}
+            for i in range(n):
+                for j in range(i):
+                    both = len(np.intersect1d(sets[i], sets[j]))
+                    if n == 300 and j > 3:
+                        break  # the large case is held against a part only
+                    want[i, j] = both >= 0.9 * (len(sets[i]) + len(sets[j]) - both) and (side[i] != side[j] or not side.any())
+            found = minhash.joining_links(sets, side, 0.9)
+            root = list(range(n))
+
+            def find(x, root=root):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for a, b in found:
+                assert find(a) != find(b)
+                root[find(a)] = find(b)
+            assert all(find(i) == find(j) for (i, j), linked in want.items() if linked)
+            if n == 60:
+                assert all(want[max(p), min(p)] for p in found)

@@ -30,6 +30,8 @@ RANK = 8
 PASSES = 12
 #: A text with at least this score is predicted to be of quality 1.
 THRESHOLD = 0.7
+#: Bytes of text whose features are held at once.
+PART = 1 << 20
 #: Bins of each structure statistic.
 BINS = 12
 
@@ -149,14 +151,24 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     return fit([(np.array(r["ids"], np.int64), np.array(r["values"]), r["label"]) for r in made])
 
 
+def _parts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts as bytes, of about ``PART`` bytes together and at most 256 texts, and where each begins."""
+    at, part, have = 0, [], 0
+    for i, t in enumerate(column):
+        text = t.as_py() or b""
+        part.append(text.encode() if isinstance(text, str) else text)
+        have += len(part[-1])
+        if have >= PART or len(part) == 256 or i == len(column) - 1:
+            yield at, part
+            at, part, have = i + 1, [], 0
+
+
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = batch.column("text")
-            for at in range(0, batch.num_rows, 256):
-                part = [t.as_py() or b"" for t in texts.slice(at, 256)]
-                rest = [batch.column(i).slice(at, 256) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
+            for at, part in _parts(batch.column("text")):
+                rest = [batch.column(i).slice(at, len(part)) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(model.score(part))], names=[*[c for c in batch.schema.names if c != "text"], "score"])
 
     return run
@@ -175,17 +187,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject: those with a score of at least ``least``; all columns stay."""
+    """The rows of ``docs`` that the classifier doesn't reject: those with a score of at least ``least``; all columns stay.
+
+    Each row is judged by its own text: null and empty texts by the score of a text without words, rows that repeat or share a doc_id
+    each for itself, null ids like others; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [(t.as_py() or "").encode() for t in part.column(names.index("text"))]
-                yield part.filter(pa.array(model.score(texts) >= least))
+            for at, texts in _parts(batch.column(names.index("text"))):
+                yield batch.slice(at, len(texts)).filter(pa.array(model.score(texts) >= least))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -35,7 +35,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``stored`` wrote for these frames; only for tables that nothing to come reads."""
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
@@ -73,11 +83,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         links = both.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         near = links.join(labels.select(F.col("node").alias("b"), "label").hint("merge"), "b").groupBy("a").agg(F.min("label").alias("label"))
-        labels = stored(near.select(F.col("a").alias("node"), "label"), "labels")
+        old, labels = labels, stored(near.select(F.col("a").alias("node"), "label"), "labels")
+        discard(old)
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return labels.withColumnRenamed("label", "component")
+    discard(both)
+    return labels.select("node", F.col("label").alias("component"))
