@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from usagelake.llm.html_extract import extract, extract_pages
@@ -16,6 +18,13 @@ CASES = {
     "line breaks end blocks": ("<article>one<br>two<hr/>three<div>four</div>five</article>", "one\ntwo\nthree\nfour\nfive"),
     "header of the page, header of the article": (f"<header><p>{MORE}</p></header><article><header><h1>T</h1></header><p>{PROSE}</p></article>", f"T\n{PROSE}"),
     "roles": (f"<div role=banner>{MORE}</div><div role=main><p>{PROSE}</p></div><div role='contentinfo'>{MORE}</div>", PROSE),
+    "class that tells a state": (f"<div class='has-comments post'><p>{PROSE}</p><p>{MORE}</p></div>", f"{PROSE}\n{MORE}"),
+    "share button on the article": (f"<div class='share-enabled content'><p>{PROSE}</p></div><div class=share><p>{MORE}</p></div>", PROSE),
+    "page in a form": (f"<form id=f><div class=menu>{MORE}</div><p>{PROSE}</p><p>{MORE}</p><p>{PROSE}</p><div class=comments><p>{MORE}</p></div></form>", f"{PROSE}\n{MORE}\n{PROSE}"),
+    "apostrophe in a bare value": (f"<article><img alt=it's src=x><p>{PROSE}</p></article><footer>it's {MORE}</footer>", PROSE),
+    "links and adverts in the article": (f"<article><p>{PROSE}</p><ul><li><a href=a>One page</a><li><a href=b>Two pages</a></ul><p>Advertisement</p><p>So.</p><p>{MORE}</p></article>", f"{PROSE}\nSo.\n{MORE}"),
+    "heading of links": (f"<article><p>{PROSE}</p><h3>See more</h3><ul><li><a href=a>One page of it</a></ul></article>", PROSE),
+    "nearest neighbour decides": (f"<div><a href=a>Some long link text</a></div><div>Near.</div><div>Nearer.</div><div>Yes.</div><p>{PROSE}</p>", f"Nearer.\nYes.\n{PROSE}"),
     "no article": ("<nav><a href=a>Home</a></nav><footer>All rights</footer>", ""),
     "broken": (f"<article><p>{PROSE}<p class='x>{MORE}", PROSE),
     "empty": ("", ""), "none": (None, ""), "plain text": (PROSE, PROSE),
@@ -33,6 +42,13 @@ def test_long_page_keeps_everything():
     assert extract(page) == "\n".join([PROSE] * 5000)
 
 
+def test_broken_pages_take_linear_time():
+    for page in ("<div>" * 40_000, "<b>" * 20_000 + "</i>" * 20_000, "<td>x" * 20_000, "<p>Hm.</p>" * 30_000, "<a href='" * 20_000, "<i =" * 20_000):
+        began = time.perf_counter()
+        extract(page + PROSE)
+        assert time.perf_counter() - began < 5, page[:20]
+
+
 def test_deep_nesting_and_many_tags():
     assert extract("<div>" * 3000 + PROSE + "</div>" * 3000) == PROSE
 

@@ -2,9 +2,12 @@
 
 A page is cut into blocks at block-level tags. First pass: a block inside a part that its tag, role or
 class names as no article (navigation, header, footer, sidebar, notice, advert, form, comments) is bad; of the others, stop-word
-density, length and link density decide: many links are bad (outside an article element), enough stop words or length
-without links good, short ones undecided. Second pass: an undecided block takes the label of the nearest decided blocks on both sides;
-where they differ, or there is none, the part that it stands in decides (inside the article element: good).
+density, length and link density decide: many links are bad, enough stop words or length without links good, short ones and
+headings undecided. Second pass: an undecided block takes the label of the nearest decided block, of two equally near ones a heading that of the
+later, others the good one; a block of an article element looks at its own article only. Where nothing is decided, the element does.
+
+Names are a hint that text can outvote: a part that is bad only by its class or as a form, and that holds nearly all running
+text of the page, is the article. A class that only says what a part has (``has-comments``) names nothing.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ STOP_WORDS = frozenset(
 #: Blocks shorter than SHORT words are undecided unless links decide; from LONG words on, length alone makes a block good.
 SHORT, LONG = 6, 20
 LINK_DENSITY, STOP_DENSITY = 0.5, 0.12
+#: A part that only its name makes bad is the article if it holds this share of the page's running text, in so many blocks.
+OUTVOTES, OUTVOTING_BLOCKS = 0.8, 3
 
 #: Tags that start and end blocks, that hold no text, and that have no end.
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -41,22 +46,31 @@ BAD_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead "
     "cookie cookies consent notice alert popup modal overlay newsletter subscribe signup login comment comments respond reply replies disqus "
     "related share sharing social widget toolbar pagination pager search form toc copyright legal disclaimer".split())
+#: Of these, those that text can't outvote, and tags of which text may.
+FIRM_WORDS = frozenset("comment comments respond reply replies disqus footer cookie cookies consent nav navbar navigation menu".split())
+SOFT_TAGS = frozenset("form fieldset dialog".split())
+#: Words of a class that only tell a state of the part.
+STATES = frozenset("has no with without is enabled disabled open closed allow show hide".split())
+#: Blocks that only mark an advert.
+NOTICES = frozenset("ad ads advert advertisement advertising sponsored anzeige werbung publicité publicidad anuncio".split())
 ARTICLE_TAGS = frozenset("article main".split())
 ARTICLE_WORDS = frozenset("article content post entry story main".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|[^>])*)(?:>|$)", re.S)
 _NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SPACE = re.compile(r"\s+")
 GOOD, BAD, UNDECIDED = 1, -1, 0
+#: Bad by its name only, which text can outvote.
+DOUBTFUL = -2
 
 
 def _part(tag: str, attributes: str, inside: bool) -> int:
-    """Whether an element starts a part that isn't the article (BAD), the article (GOOD), or neither."""
-    if tag in BAD_TAGS or tag == "header" and not inside:
+    """Whether an element starts a part that isn't the article (BAD, DOUBTFUL), the article (GOOD), or neither."""
+    if tag in BAD_TAGS and tag not in SOFT_TAGS or tag == "header" and not inside:
         return BAD
-    part = GOOD if tag in ARTICLE_TAGS else UNDECIDED
+    part = DOUBTFUL if tag in SOFT_TAGS else GOOD if tag in ARTICLE_TAGS else UNDECIDED
     if attributes:
         for m in _NAMES.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
@@ -67,24 +81,34 @@ def _part(tag: str, attributes: str, inside: bool) -> int:
             if name == "role" and value.lower() in ("main", "article"):
                 part = GOOD
             if name in ("class", "id") and tag not in ("body", "html"):
-                words = {w.lower() for w in _PARTS.findall(value)}
-                if words & BAD_WORDS and part != GOOD:
-                    return BAD
-                if words & ARTICLE_WORDS:
+                named = [{w.lower() for w in _PARTS.findall(token)} for token in value.split()]
+                words = {w for one in named if not one & STATES for w in one}
+                if part != GOOD and words & BAD_WORDS:
+                    if words & FIRM_WORDS:
+                        return BAD
+                    part = DOUBTFUL
+                elif words & ARTICLE_WORDS and part != DOUBTFUL:
                     part = GOOD
     return part
 
 
-def blocks(page: str) -> Iterator[tuple[str, int, int, int]]:
-    """The blocks of a page in order: text, characters inside links, and the part: BAD, GOOD or UNDECIDED; the last value is 1 for a heading."""
-    stack: list[tuple[str, int, bool]] = []  # open elements: tag, part inside, hidden
+def blocks(page: str) -> Iterator[tuple[str, int, int, int, int]]:
+    """The blocks of a page in order: text, characters inside links, the part (BAD, GOOD or UNDECIDED), 1 for a heading, and the number of the outermost doubtful part."""
+    stack: list[tuple[str, int, bool, int]] = []  # open elements: tag, part inside, hidden, doubtful part
+    opened: dict[str, int] = {}  # how many elements of each tag are open
+    doubts = doubt = 0
     text: list[str] = []
     linked = links = at = heading = 0
     part, hidden = UNDECIDED, False
 
-    def ended() -> tuple[str, int, int, int] | None:
+    def ended() -> tuple[str, int, int, int, int] | None:
         joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
-        return (joined, linked, part, heading) if joined else None
+        return (joined, linked, part, heading, doubt) if joined else None
+
+    def close(i: int) -> None:
+        for one in stack[i:]:
+            opened[one[0]] -= 1
+        del stack[i:]
 
     size = len(page)
     while at < size:
@@ -109,62 +133,106 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int]]:
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if opened.get(tag):
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                close(i)
         else:
-            for i in range(len(stack) - 1, -1, -1):
+            ends = any(opened.get(x) for x in _CLOSES.get(tag, ()))
+            for i in range(len(stack) - 1, -1, -1) if ends else ():
                 if stack[i][0] in _CLOSES.get(tag, ()):
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] not in ("b", "i", "a", "em", "strong", "span", "td", "th") or tag in ("p", "li") and stack[i][0] in ("td", "th"):
                     break
             if tag == "p" and links:
                 links = 0
             if tag in RAW and not m[0].endswith("/>"):
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(page, at)
-                at = close.end() if close else size
+                end_tag = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(page, at)
+                at = end_tag.end() if end_tag else size
                 continue
             if tag not in VOID and not m[3].endswith("/"):
-                own = _part(tag, m[3], any(p == GOOD for _, p, _ in stack[-1:]))
+                own = _part(tag, m[3], bool(stack) and stack[-1][1] == GOOD)
+                if own == DOUBTFUL:
+                    if doubt:  # inside a doubtful part the name counts
+                        own = BAD
+                    else:
+                        own, doubts = part, doubts + 1
+                        doubt = doubts
                 if part == BAD:
                     own = BAD
                 elif own == UNDECIDED:
                     own = part
-                stack.append((tag, own, hidden or tag in HIDDEN))
+                stack.append((tag, own, hidden or tag in HIDDEN, doubt))
+                opened[tag] = opened.get(tag, 0) + 1
                 if tag == "a":
                     links += 1
                 if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
                     heading = 1
-        part, hidden = (stack[-1][1], stack[-1][2]) if stack else (UNDECIDED, False)
+        part, hidden, doubt = stack[-1][1:] if stack else (UNDECIDED, False, 0)
     block = ended()
     if block:
         yield block
 
 
-def classify(found: list[tuple[str, int, int, int]]) -> list[int]:
+def _first(text: str, linked: int, part: int, heading: int) -> int:
+    """The label of a block by itself."""
+    words = text.split(" ")
+    if part == BAD or len(words) < SHORT and text.strip(".:!- ").lower() in NOTICES:
+        return BAD
+    if heading:
+        return UNDECIDED
+    if linked / len(text) > LINK_DENSITY:
+        return BAD
+    if len(words) < SHORT:
+        return UNDECIDED
+    stop = sum(w.strip(".,;:!?\"'()*#$%&|").lower() in STOP_WORDS for w in words) / len(words)
+    return GOOD if stop >= STOP_DENSITY or len(words) >= LONG else UNDECIDED
+
+
+def _nearest(labels: list[int], marks: list[bool]) -> list[tuple[int, int]]:
+    """For each place the distance to the last decided one before it (far, if there is none) and its label; only marked places count."""
+    out, far, label = [], 1 << 30, UNDECIDED
+    for one, mark in zip(labels, marks, strict=True):
+        out.append((far, label))
+        if mark and one:
+            far, label = 0, one
+        far += 1
+    return out
+
+
+def classify(found: list[tuple[str, int, int, int, int]]) -> list[int]:
     """A label for each block: GOOD or BAD."""
-    labels = []
-    for text, linked, part, heading in found:
-        words = text.split(" ")
-        density = linked / len(text)
-        if part == BAD or density > LINK_DENSITY and part != GOOD:
-            labels.append(BAD)
-        elif len(words) < SHORT or heading:
-            labels.append(UNDECIDED)
-        else:
-            stop = sum(w.strip(".,;:!?\"'()*#$%&|").lower() in STOP_WORDS for w in words) / len(words)
-            labels.append(GOOD if stop >= STOP_DENSITY or len(words) >= LONG else UNDECIDED)
+    labels = [_first(*block[:4]) for block in found]
+    prose: dict[int, list[int]] = {}  # characters and blocks of running text by doubtful part
+    for (text, _, _, _, doubt), label in zip(found, labels, strict=True):
+        if label == GOOD:
+            one = prose.setdefault(doubt, [0, 0])
+            one[0] += len(text)
+            one[1] += 1
+    total = sum(x for x, _ in prose.values())
+    outvoted = {d for d, (chars, n) in prose.items() if d and n >= OUTVOTING_BLOCKS and chars >= OUTVOTES * total}
+    # Adverts inside an article are nobody's neighbours.
+    notices = [text.strip(".:!- ").lower() in NOTICES for text, *_ in found]
+    for i, block in enumerate(found):
+        if block[4] and block[4] not in outvoted:
+            labels[i] = BAD
+    inside = [block[2] == GOOD and (not block[4] or block[4] in outvoted) for block in found]
+    everywhere = [not x for x in notices]
+    article = [a and b for a, b in zip(inside, everywhere, strict=True)]
+    both = [(_nearest(labels, marks), _nearest(labels[::-1], marks[::-1])[::-1]) for marks in (everywhere, article)]
     out = []
     for i, label in enumerate(labels):
         if label == UNDECIDED:
-            before = next((x for x in reversed(labels[:i]) if x), 0)
-            after = next((x for x in labels[i + 1 :] if x), 0)
-            part = found[i][2]
-            label = before if before == after and before else part or (GOOD if GOOD in (before, after) and BAD not in (before, after) else BAD)
-            if part == GOOD or found[i][3] and after == GOOD:  # a heading goes with what it heads
-                label = GOOD
+            (near, before), (far, after) = (x[i] for x in both[inside[i]])
+            if before == after:
+                label = before
+            elif near == far:
+                label = after if found[i][3] else GOOD
+            else:
+                label = before if near < far else after
+            label = label or (GOOD if inside[i] else BAD)
         out.append(label)
     return out
 
