@@ -42,11 +42,11 @@ LONGEST = 255
 #: Characters of text whose distinct units are looked up together.
 PORTION = 6 << 20
 #: The commonest units, of so many characters at most, whose ids are worked out first and broadcast; and how often a portion must have one to name it.
-COMMON_UNITS = 250_000
+COMMON_UNITS = 150_000
 COMMON_LENGTH = 40
 COMMON_TIMES = 2
 #: Words of common units only that a task remembers from one portion to the next.
-MOST_WORDS = 200_000
+MOST_WORDS = 100_000
 #: Below every path of ordinary pieces: the cost of falling back to bytes.
 FALLBACK = -1e9
 #: Positions of a unit that are exploded in one row, and that are folded before their pieces are put aside.
@@ -216,24 +216,15 @@ def _common(name: str):
     return run
 
 
-class Known:
-    """Units whose ids are known already: a number for each, and the ids of all, one after the other."""
-
-    def __init__(self, units: list[str], ids: list[list[int]]):
-        self.number = {u: i for i, u in enumerate(units)}
-        self.ids = np.fromiter(chain.from_iterable(ids), np.int32)
-        self.sizes = np.array([len(x) for x in ids], np.int64)
-
-
-def _portions(name: str, known):
+def _portions(name: str, common=None):
     """For each portion of documents its distinct units beyond the known ones, then its documents as numbers of units.
 
-    Without ``known`` the texts are units themselves.
+    Without ``common``, which numbers the known units, the texts are units themselves.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _read(name)
-        given = known.value.number if known else {}
+        given = common.value if common else {}
         words: dict[str, tuple[int, ...]] = {}
         units: dict[str, int] = {}
         ids, docs, have = [], [], 0
@@ -241,7 +232,7 @@ def _portions(name: str, known):
             ids.append(batch.column("doc_id"))
             for text in batch.column("text"):
                 text = text.as_py()
-                mine = [] if not text else v.words.findall(" " + text) if known else [text]
+                mine = [] if not text else v.words.findall(" " + text) if common else [text]
                 new = [w for w in set(mine) if w not in words]
                 if new:
                     for w, parts in zip(new, v.units(new), strict=True):
@@ -394,7 +385,7 @@ def _assembled(name: str, known, decoded: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _read(name)
-        first = ([known.value.ids], [known.value.sizes]) if known else ([], [])
+        first = ([known.value[0]], [known.value[1]]) if known else ([], [])  # the known units' ids, one after the other, and their numbers
         flat, sizes = (list(x) for x in first)
         ready = None
         for batch in batches:
@@ -476,15 +467,17 @@ def encode(docs: DataFrame, model: str = MODEL, decoded: bool = False) -> DataFr
     units = docs.select("text").mapInArrow(_common(name), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     units = units.orderBy(F.desc("n"), "unit").limit(COMMON_UNITS).select(F.col("unit").alias("doc_id"), F.col("unit").alias("text"))
     found = _encoded(units.repartition(docs.sparkSession.sparkContext.defaultParallelism), name, model).collect()
-    known = Known([r.doc_id for r in found], [r.ids for r in found])
-    return _encoded(docs, name, model, docs.sparkSession.sparkContext.broadcast(known), decoded)
+    share = docs.sparkSession.sparkContext.broadcast
+    common = share({r.doc_id: i for i, r in enumerate(found)})
+    known = share((np.fromiter(chain.from_iterable(r.ids for r in found), np.int32), np.array([len(r.ids) for r in found], np.int64)))
+    return _encoded(docs, name, model, common, known, decoded)
 
 
-def _encoded(docs: DataFrame, name: str, model: str, known=None, decoded: bool = False) -> DataFrame:
+def _encoded(docs: DataFrame, name: str, model: str, common=None, known=None, decoded: bool = False) -> DataFrame:
     spark = docs.sparkSession
     longest = _read(name).longest
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(_portions(name, known), f"doc_id {kind}, doc binary, number int, place int, word string, codes array<int>")
+    rows = docs.select("doc_id", "text").mapInArrow(_portions(name, common), f"doc_id {kind}, doc binary, number int, place int, word string, codes array<int>")
     start, n = F.shiftright("code", 8), F.col("code").bitwiseAND(255)
     edges = rows.select("doc_id", "doc", "number", "place", "word", F.explode_outer("codes").alias("code")).select(
         "doc_id", "doc", "number", ((F.col("place") + start).cast("long") * 256 + n).alias("spot"), F.substring("word", start + 1, n).alias("piece"),
