@@ -105,3 +105,28 @@ def test_limits_registry_and_snapshots(spark):
     people, log = accounts.read_registry(spark.createDataFrame([(json.dumps({"accounts": [{"name": "work", "org_uuid": "o"}], "switch_log": [{"at": "2024-01-01T00:00:00Z", "org_uuid": "o", "name": "work", "source": "explicit"}]}),)], "value string"))
     assert people.first().name == "work" and log.first().pos == 0
     assert accounts.read_registry(spark.createDataFrame([("{}",)], "value string"))[0].count() == 0
+
+
+def test_fields_of_another_type_count_as_missing(spark):
+    claude = '{"type":"assistant","timestamp":"2024-01-01T00:00:07Z","requestId":3,"message":{"id":4,"model":"opus","usage":{"input_tokens":1}}}'
+    row = providers.extract_claude(lines(spark, "/x/projects/-p/s.jsonl", claude)).first()
+    assert (row.message_id, row.request_id) == ("", "")
+    amp = {"id": 5, "messages": [], "usageLedger": {"events": [{"id": 9, "timestamp": "2024-01-01T00:00:00Z", "model": 7, "tokens": {"input": 1, "output": 2}}]}}
+    row = providers.extract_amp(lines(spark, "/x.json", json.dumps(amp))).first()
+    assert (row.session_id, row.message_id, row.model) == ("unknown", "", "unknown")
+    kimi = '{"timestamp":%s,"model":7,"message":{"type":"StatusUpdate","payload":{"token_usage":{"input_other":1,"output":2}}}}'
+    got = providers.extract_kimi(lines(spark, "/sessions/g/s/wire.jsonl", kimi % "1700000000.5", kimi % "1e300", kimi % "-9e17", kimi % "9e12"))
+    assert [(r.model, r.seq) for r in got.collect()] == [("kimi-for-coding", 0)]
+    gemini = {"sessionId": "s", "messages": [{"id": "i", "type": "gemini", "model": "m", "timestamp": "2024-01-01T00:00:00Z", "tokens": {"input": 1, "output": 1}}]}
+    bad = {**gemini, "messages": [*gemini["messages"], {"type": "user", "model": 7}]}
+    got = providers.extract_gemini(lines(spark, "/g.json", json.dumps(gemini), json.dumps(bad), json.dumps({**gemini, "sessionId": 1})))
+    assert [(r.session_id, r.message_id) for r in got.collect()] == [("s", "gemini:s:i")]
+    droid = {"model": "m", "providerLockTimestamp": "2024-01-01T00:00:00Z", "tokenUsage": {"inputTokens": 1, "outputTokens": 1}}
+    got = providers.extract_droid(lines(spark, "/d/a.settings.json", json.dumps(droid), json.dumps({**droid, "model": 7})))
+    assert [r.model for r in got.collect()] == ["m"]
+
+
+def test_times_and_tokens_beyond_all_bounds_end_no_job(spark):
+    far = '{"message":{"role":"assistant","model":"m","timestamp":%d,"usage":{"input":%d,"output":2}}}'
+    got = providers.extract_openclaw(lines(spark, "/agents/a/s.jsonl", far % (9_000_000_000_000_000_000, 1), far % (1_700_000_000_000, 2_000_000_000_000)))
+    assert [r.input_tokens for r in got.collect()] == [2_000_000_000_000]

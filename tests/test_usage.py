@@ -86,15 +86,36 @@ def test_threshold_classes(spark):
 
 
 def test_status_without_usage(spark, prices):
-    row = outputs.status_row(cost.price(usage(spark, []), prices), "{cost}").first()
+    row = outputs.status_row(cost.price(usage(spark, []), prices), "{models} for {cost}").first()
     assert (row.text, row.tooltip, row["class"], row.currency) == ("$0.00", "No usage", "normal", "USD")
 
 
+def test_status_and_table_of_unpriced_usage(spark, prices):
+    free = cost.price(usage(spark, [{"model": "claude-none-1-20250101"}]), prices)
+    row = outputs.status_row(free, "{cost} {models}", warn=0.0, label="Week").first()
+    assert (row.text, row.tooltip, row["class"]) == ("$0.00 none-1", "Week: $0.00\n  none-1: N/A", "warning")
+    rows = outputs.table_rows(free, "all", ["period", "cost", "models", "what"], details=True).collect()
+    assert [tuple(r) for r in rows] == [("bar", "N/A", "none-1", ""), ("  claude-none-1-20250101", "N/A", "", ""), ("TOTAL", "N/A", "", "")]
+
+
+def test_pace_at_the_edges_of_a_cycle(spark):
+    rows = [("start", 3.0, "2024-05-01 00:00:00", "2024-05-08 00:00:00"), ("end", 40.0, "2024-04-24 00:00:00", "2024-05-01 00:00:00"), ("idle", 0.0, "2024-05-01 00:00:00", "2024-05-08 00:00:00"),
+            ("half", 24.5, "2024-04-24 00:00:00", "2024-05-01 00:00:00"), ("full", 100.0, "2024-04-28 00:00:00", "2024-05-05 00:00:00"), ("fast", 60.0, "2024-04-29 00:00:00", "2024-05-06 00:00:00")]
+    df = spark.createDataFrame(rows, "org_uuid string, pct double, start string, end string").selectExpr("org_uuid", "pct", "cast(start as timestamp_ntz) start", "cast(end as timestamp_ntz) end")
+    got = {r.org_uuid: (r.projected, r.status) for r in cycles.pace(df, "2024-05-01 00:00:00").collect()}
+    assert got == {"start": (200.0, "hits 100% in 0m"), "end": (40.0, "~40% at reset, 0m left"), "idle": (None, None), "half": (24.5, "~24% at reset, 0m left"),
+                   "full": (200.0, "at capacity"), "fast": (200.0, "hits 100% in 1d 8h")}
+
+
 def test_recommend(spark):
-    cases = {"a": ("max5x", [88, 90, 92, 87]), "b": ("pro", [96, 95, 60]), "c": ("max5x", [10, 12, 15]), "d": ("max5x", [40, 50, 40]), "e": ("max5x", [None])}
+    # Each bound is touched from both sides: two full cycles, an average of 85, a peak that is 85 on the lower plan.
+    cases = {"two full": ("pro", [95, 95, 1]), "one full": ("pro", [95, 94.9, 1]), "average": ("max5x", [85, 84, 86]), "below": ("max5x", [84.9, 85]), "top": ("max20x", [99, 99, 99]),
+             "down": ("max5x", [17, 3]), "not down": ("max5x", [17.1, 3]), "down a lot": ("max20x", [21.25, 0]), "nothing known": ("max20x", [None])}
     df = spark.createDataFrame([(k, p, None if v is None else float(v)) for k, (p, vs) in cases.items() for v in vs], "org_uuid string, plan string, pct double")
     got = {r.org_uuid: (r.action, r.target) for r in plans.recommend(df).collect()}
-    assert got == {"a": ("upgrade", "max20x"), "b": ("upgrade", "max5x"), "c": ("downgrade", "pro"), "d": ("stay", None), "e": ("stay", None)}
+    stay = ("stay", None)
+    assert got == {"two full": ("upgrade", "max5x"), "one full": stay, "average": ("upgrade", "max20x"), "below": stay, "top": stay, "down": ("downgrade", "pro"), "not down": stay,
+                   "down a lot": ("downgrade", "max5x"), "nothing known": stay}
 
 
 def test_snapshots_keep_plan_changes(spark):
@@ -145,7 +166,7 @@ def test_scalars(spark):
     assert [one(X.format_tokens(F.lit(n))) for n in (999, 1200, 3_400_000)] == ["999", "1.2K", "3.4M"]
     assert one(X.format_cost(F.lit(None).cast("double"), "$")) == "N/A" and X.symbol("XYZ") == "XYZ "
     assert one(X.projection_text(F.lit(120.0))) == ">100% (~120%)"
-    assert outputs.choose_columns(["+projects", "-tools"])[-1] == "projects" and outputs.choose_columns(["cost", "date"]) == ["cost", "date"]
+    assert outputs.choose_columns(["+projects", "-tools"])[-1] == "projects" and outputs.choose_columns(["cost", "period"]) == ["cost", "period"]
     with pytest.raises(ValueError):
         cost.rate_for(spark.createDataFrame([("USD", "$", 1.0)], "code string, symbol string, rate double"), "12")
 

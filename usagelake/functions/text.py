@@ -61,15 +61,15 @@ def format_duration(secs: Column) -> Column:
 
 def format_duration_short(hours: Column) -> Column:
     total = F.round(hours * 60).cast("bigint")
-    d, h, m = F.floor(total / 1440), F.floor(total % 1440 / 60), total % 60
+    d, h, m = (total / 1440).cast("bigint"), (total % 1440 / 60).cast("bigint"), total % 60  # a time that is over counts towards 0
     return (F.when((d == 0) & (h == 0), F.format_string("%dm", m)).when((d == 0) & (m == 0), F.format_string("%dh", h))
             .when(d == 0, F.format_string("%dh %dm", h, m)).when(h == 0, F.format_string("%dd", d)).otherwise(F.format_string("%dd %dh", d, h)))
 
 
 #: Signs of currencies; another code stands before the amount.
 SYMBOLS = {
-    "USD": "$", "EUR": "€", "GBP": "£", "JPY": "¥", "CNY": "¥", "KRW": "₩", "INR": "₹", "BRL": "R$", "CAD": "C$", "AUD": "A$",
-    "CHF": "CHF ", "SEK": "kr ", "NOK": "kr ", "DKK": "kr ", "PLN": "zł ", "CZK": "Kč ", "TRY": "₺", "THB": "฿", "MXN": "MX$", "NZD": "NZ$",
+    "USD": "$", "EUR": "€", "GBP": "£", "JPY": "¥", "CNY": "¥", "KRW": "₩", "INR": "₹", "BRL": "R$", "CHF": "CHF ", "CAD": "CA$",
+    "AUD": "A$", "SEK": "kr ", "NOK": "kr ", "DKK": "kr ", "PLN": "zł", "CZK": "Kč ", "TRY": "₺", "THB": "฿", "MXN": "MX$", "ZAR": "R ",
 }
 
 
@@ -93,8 +93,13 @@ def tier_label(kind: Column, tier: Column) -> Column:
     return F.concat(plan, F.when(tier.contains("20x"), " (20x)").when(tier.contains("5x"), " (5x)").otherwise(""))
 
 
+def percent(pct: Column) -> Column:
+    """A percentage without decimals, halves to the even number."""
+    return F.concat(F.bround(pct, 0).cast("bigint").cast("string"), F.lit("%"))
+
+
 def projection_text(pct: Column) -> Column:
-    return F.when(pct > 100, F.format_string(">100%% (~%.0f%%)", pct)).otherwise(F.format_string("~%.0f%%", pct))
+    return F.when(pct > 100, F.concat(F.lit(">100% (~"), percent(pct), F.lit(")"))).otherwise(F.concat(F.lit("~"), percent(pct)))
 
 
 def overage_text(enabled: Column, used_cents: Column, limit_cents: Column, sign: str = "$") -> Column:

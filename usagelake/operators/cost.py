@@ -12,11 +12,11 @@ def price(usage: DataFrame, pricing: DataFrame) -> DataFrame:
     ``pricing(model, i, o, cr, cw)`` holds USD per token; a missing cache price adds nothing. It is a price
     list of some thousand models and is broadcast.
     """
-    tokens = lambda c: F.col(c).cast("decimal(12,0)")
+    part = lambda c, p: (F.col(c).cast("decimal(19,0)") * p).cast("decimal(34,12)")  # noqa: E731  # whatever a bigint holds
     nothing = F.lit(0).cast("decimal(16,12)")
     priced = usage.join(F.broadcast(pricing.withColumnRenamed("model", "_model")), F.col("model") == F.col("_model"), "left")
-    cost = (tokens("input_tokens") * F.col("i") + tokens("output_tokens") * F.col("o") + tokens("cache_read_input_tokens") * F.coalesce("cr", nothing)
-            + tokens("cache_creation_input_tokens") * F.coalesce("cw", nothing))
+    cost = (part("input_tokens", F.col("i")) + part("output_tokens", F.col("o")) + part("cache_read_input_tokens", F.coalesce("cr", nothing))
+            + part("cache_creation_input_tokens", F.coalesce("cw", nothing)))
     return priced.withColumn("cost", cost).drop("_model", "i", "o", "cr", "cw")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from usagelake.functions.text import format_duration_short, overage_text
+from usagelake.functions.text import format_duration_short, overage_text, percent
 from usagelake.operators.attribution import account_name_at
 from usagelake.operators.cost import cost_sum
 
@@ -111,12 +111,15 @@ def _hours(a: Column, b: Column) -> Column:
 
 
 def pace(orgs: DataFrame, now: str) -> DataFrame:
-    """``orgs(pct, start, end)`` with ``projected`` percent at the cycle's end (at most 200) and a status text."""
+    """``orgs(pct, start, end)`` with ``projected`` percent at the cycle's end (at most 200) and a status text.
+
+    At the very start of a cycle any use projects to the most.
+    """
     elapsed, left = _hours(F.col("start"), at(now)), _hours(at(now), F.col("end"))
-    rate = F.col("pct") / elapsed
+    rate = F.when(elapsed == 0, F.lit(float("inf"))).otherwise(F.try_divide("pct", elapsed))
     projected = F.when(F.col("pct") > 0, F.least(F.col("pct") + rate * left, F.lit(200.0)))
     status = F.when(F.col("pct") >= 100, "at capacity").when(projected >= 100, F.concat(F.lit("hits 100% in "), format_duration_short((100 - F.col("pct")) / rate)))
-    status = status.when(projected.isNotNull(), F.format_string("~%.0f%% at reset", projected))
+    status = status.when(projected.isNotNull(), F.concat(F.lit("~"), percent(projected), F.lit(" at reset, "), format_duration_short(left), F.lit(" left")))
     return orgs.withColumns({"projected": projected, "status": status})
 
 

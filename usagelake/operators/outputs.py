@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from usagelake.functions.text import format_cost, format_duration, format_tokens, short_model, symbol, threshold_class
 from usagelake.operators.cost import cost_sum
-from usagelake.operators.reports import breakdown, bucket, sums
+from usagelake.operators.reports import breakdown, bucket, report, sums
 from usagelake.schema import TOKENS
 
 #: Columns of a table: name to show and the report's column.
-COLUMNS = {"date": "bucket", "input": "input_tokens", "output": "output_tokens", "cache_write": "cache_creation_input_tokens", "cache_read": "cache_read_input_tokens",
+COLUMNS = {"period": "bucket", "input": "input_tokens", "output": "output_tokens", "cache_write": "cache_creation_input_tokens", "cache_read": "cache_read_input_tokens",
            "cost": "cost", "models": "models", "projects": "projects", "tools": "tools"}
 DEFAULT = [c for c in COLUMNS if c != "projects"]
 
@@ -26,51 +26,80 @@ def choose_columns(spec: list[str] | None) -> list[str]:
     return [x for x in spec if x[0] not in "+-"]
 
 
-def table_rows(report: DataFrame, columns: list[str] | None = None, code: str = "USD") -> DataFrame:
-    """A report as texts; an unknown column is empty under its own name."""
+def table_rows(priced: DataFrame, by: str = "daily", columns: list[str] | None = None, details: bool = False, code: str = "USD", rate: float = 1.0) -> DataFrame:
+    """A report as texts: one row for each bucket, with ``details`` its models below it, the dearest first, and the row TOTAL.
+
+    Lists stand in the buckets' rows only; an unknown column is empty under its own name.
+    """
+    lists = [F.array_join(c, ", ").alias(c) for c in ("models", "projects", "tools")]
+    empty = [F.lit("").alias(c) for c in ("models", "projects", "tools")]
+    place = lambda last, bucket_, detail, cost: [F.lit(last).alias("_last"), bucket_.alias("_bucket"), F.lit(detail).alias("_detail"), cost.alias("_cost")]
+    none = F.lit(0.0)
+    rows = report(priced, by).select("bucket", *TOKENS, "cost", *lists, *place(0, F.col("bucket"), 0, none))
+    if details:
+        below = breakdown(priced, by).select(F.concat(F.lit("  "), "model").alias("bucket"), *TOKENS, "cost", *empty, *place(0, F.col("bucket"), 1, -F.coalesce("cost", none)))
+        rows = rows.unionByName(below)
+    total = priced.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOKENS], cost_sum("ignore").alias("cost"))
+    rows = rows.unionByName(total.select(F.lit("TOTAL").alias("bucket"), *TOKENS, "cost", *empty, *place(1, F.lit(""), 0, none)))
+
     def cell(name: str):
         source = COLUMNS.get(name)
         if source in TOKENS:
             return format_tokens(F.col(source)).alias(name)
         if name == "cost":
-            return format_cost(F.col("cost"), symbol(code)).alias(name)
-        if name in ("models", "projects", "tools"):
-            return F.array_join(name, ", ").alias(name)
+            return format_cost(F.col("cost") * rate, symbol(code)).alias(name)
         return (F.col(source) if source else F.lit("")).alias(name)
 
-    return report.select(*[cell(c) for c in columns or DEFAULT])
+    return rows.orderBy("_last", "_bucket", "_detail", "_cost", "bucket").select(*[cell(c) for c in columns or DEFAULT])
 
 
-def burn_rows(burn: DataFrame, code: str = "USD") -> DataFrame:
+def burn_rows(burn: DataFrame, code: str = "USD", rate: float = 1.0) -> DataFrame:
     """A burn report as texts; a rate that isn't known is a dash."""
-    rate = lambda c, text: F.when(F.col(c).isNull(), "–").otherwise(text).alias(c)
-    return burn.select("model", format_tokens(F.col("tokens")).alias("tokens"), format_cost(F.col("cost"), symbol(code)).alias("cost"), format_duration(F.col("active_secs")).alias("active"),
-                       F.col("calendar_days").cast("string").alias("days"), rate("tokens_per_min", format_tokens(F.col("tokens_per_min").cast("bigint"))),
-                       rate("cost_per_active_hour", format_cost(F.col("cost_per_active_hour"), symbol(code))), rate("cost_per_calendar_day", format_cost(F.col("cost_per_calendar_day"), symbol(code))))
+    shown = lambda c, text: F.when(F.col(c).isNull(), "–").otherwise(text)
+    money = lambda c: format_cost(F.col(c) * rate, symbol(code))
+    return burn.select(
+        short_model(F.col("model")).alias("model"), format_tokens(F.col("tokens")).alias("tokens"), money("cost").alias("cost"), format_duration(F.col("active_secs")).alias("active"),
+        shown("tokens_per_min", format_tokens(F.round("tokens_per_min").cast("bigint"))).alias("tok/min"),
+        shown("cost_per_active_hour", money("cost_per_active_hour")).alias("$/act-hr"), shown("cost_per_calendar_day", money("cost_per_calendar_day")).alias("$/cal-day"))
+
+
+def json_burn(burn: DataFrame, code: str = "USD", rate: float = 1.0) -> DataFrame:
+    """A burn report as it is written to JSON: full model names, converted costs and rates, nulls where they aren't known."""
+    money = lambda c: (F.col(c) * rate).alias(c)
+    return burn.select("model", "tokens", money("cost"), F.col("active_secs").alias("active_seconds"), "tokens_per_min", money("cost_per_active_hour"),
+                       money("cost_per_calendar_day"), F.lit(code).alias("currency"))
+
 
+def status_row(priced: DataFrame, template: str = "{cost}", warn: float | None = None, critical: float | None = None, label: str = "Today",
+               code: str = "USD", rate: float = 1.0) -> DataFrame:
+    """One row (text, tooltip, class, currency) over all records: the filled template, the cost and each model's below it, a class by thresholds.
 
-def status_row(priced: DataFrame, template: str = "{cost}", warn: float | None = None, critical: float | None = None, code: str = "USD", rate: float = 1.0) -> DataFrame:
-    """One row (text, tooltip, class, currency) over all records; without records a zero cost and "No usage"."""
+    Usage without any price costs zero. Without records the text is a zero cost, whatever the template, and the tooltip "No usage".
+    """
     by_model = priced.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"), F.collect_set("project").alias("ps"), *sums())
+    one = F.struct((-F.coalesce(F.col("cost"), F.lit(0))).alias("o"), "model", F.col("cost").cast("double").alias("cost"))
     row = by_model.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_sort(F.collect_list(F.struct((-F.coalesce(F.col("cost"), F.lit(0))).alias("c"), F.col("model")))).alias("ms"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("ps"), cost_sum("ignore").alias("cost"), *sums())
-    cost = F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.col("cost")) * rate
-    values = {"cost": format_cost(cost, symbol(code)), "input": format_tokens(F.coalesce("input_tokens", F.lit(0))), "output": format_tokens(F.coalesce("output_tokens", F.lit(0))),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_sort(F.collect_list(one)).alias("ms"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("ps"), cost_sum("zero").alias("cost"), *sums())
+    cost, shown = F.col("cost") * rate, lambda c: format_cost(c, symbol(code))
+    values = {"cost": shown(cost), "input": format_tokens(F.coalesce("input_tokens", F.lit(0))), "output": format_tokens(F.coalesce("output_tokens", F.lit(0))),
               "models": F.array_join(F.transform("ms", lambda m: short_model(m["model"])), ", "), "projects": F.array_join("ps", ", ")}
     text = F.lit(template)
     for name, value in values.items():
         text = F.replace(text, F.lit("{" + name + "}"), value)
-    tip = F.concat_ws("\n", F.concat(F.lit("Input: "), values["input"]), F.concat(F.lit("Output: "), values["output"]), F.concat(F.lit("Models: "), values["models"]))
-    return row.select(text.alias("text"), F.when(F.col("n") == 0, "No usage").otherwise(tip).alias("tooltip"), threshold_class(F.coalesce(cost, F.lit(0.0)), warn, critical).alias("class"), F.lit(code).alias("currency"))
+    below = F.transform("ms", lambda m: F.concat(F.lit("  "), short_model(m["model"]), F.lit(": "), shown(m["cost"] * rate)))
+    tip = F.array_join(F.concat(F.array(F.concat(F.lit(f"{label}: "), shown(cost))), below), "\n")
+    used = F.col("n") > 0
+    return row.select(F.when(used, text).otherwise(shown(F.lit(0.0))).alias("text"), F.when(used, tip).otherwise("No usage").alias("tooltip"),
+                      F.when(used, threshold_class(cost, warn, critical)).otherwise("normal").alias("class"), F.lit(code).alias("currency"))
 
 
 def json_report(priced: DataFrame, by: str = "daily", rate: float = 1.0, code: str = "USD") -> DataFrame:
-    """One nested row for each bucket, as it is written to JSON: sums, converted cost, short model names, and details by model."""
+    """One nested row for each bucket, as it is written to JSON: sums, converted cost, short model names, projects, and details by model."""
     rows = breakdown(priced, by).withColumn("d", F.struct((-F.coalesce(F.col("cost"), F.lit(0.0))).alias("o"), "model", *TOKENS, (F.col("cost") * rate).alias("cost")))
     out = rows.groupBy("bucket").agg(*sums(), F.array_sort(F.collect_list("d")).alias("details"))
-    exact = priced.groupBy(bucket(by).alias("bucket")).agg(cost_sum("ignore").alias("cost"))
-    return out.join(exact, "bucket").select("bucket", F.lit(code).alias("currency"), *TOKENS, (F.col("cost") * rate).alias("cost"), F.transform("details", lambda d: short_model(d["model"])).alias("models"),
+    exact = priced.groupBy(bucket(by).alias("bucket")).agg(cost_sum("ignore").alias("cost"), F.array_sort(F.collect_set("project")).alias("projects"))
+    return out.join(exact, "bucket").select("bucket", F.lit(code).alias("currency"), *TOKENS, (F.col("cost") * rate).alias("cost"), F.transform("details", lambda d: short_model(d["model"])).alias("models"), "projects",
                                             F.transform("details", lambda d: d.dropFields("o")).alias("details")).orderBy("bucket")
 
 

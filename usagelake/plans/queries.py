@@ -267,10 +267,19 @@ def format_durations(s, d):
     return _usage(s, d).select("seq", X.format_duration(F.col("output_tokens") * 3).alias("duration"), X.short_org(F.col("model")).alias("org"))
 
 
-@query(None)
+def _tok(n: str) -> str:
+    """A number of tokens as text, halves up, in whole numbers."""
+    return (f"CASE WHEN {n} >= 1000000 THEN printf('%d.%dM', ({n} + 50000) // 1000000, ({n} + 50000) // 100000 % 10) "
+            f"WHEN {n} >= 1000 THEN printf('%d.%dK', ({n} + 50) // 1000, ({n} + 50) // 100 % 10) ELSE CAST({n} AS VARCHAR) END")
+
+
+def _money(c: str, sign: str = "$") -> str:
+    return f"CASE WHEN {c} IS NULL THEN 'N/A' ELSE concat('{sign}', printf('%.2f', {c})) END"
+
+
+@query(f"SELECT seq, {_tok('n')} AS tokens FROM (SELECT seq, CAST({_ALL} AS BIGINT) * 37 AS n FROM usage)")
 def format_tokens(s, d):
-    """Without SQL: both engines round halves differently."""
-    return _usage(s, d).select("seq", X.format_tokens(burn.record_tokens()).alias("tokens"))
+    return _usage(s, d).select("seq", X.format_tokens(burn.record_tokens() * 37).alias("tokens"))
 
 
 # ---- ingestion: usage rows are rendered to each tool's lines and read back ----
@@ -592,7 +601,14 @@ def pace(s, d):
     return cycles.pace(fx.orgs(s, d).withColumn("pct", F.col("live_pct")), NOW).select("org_uuid", "projected")
 
 
-@query(None)
+_SHORT = """CASE WHEN abs(t) < 60 THEN printf('%dm', t) WHEN abs(t) < 1440 AND t % 60 = 0 THEN printf('%dh', t // 60) WHEN abs(t) < 1440 THEN printf('%dh %dm', t // 60, t % 60)
+  WHEN t % 1440 // 60 = 0 THEN printf('%dd', t // 1440) ELSE printf('%dd %dh', t // 1440, t % 1440 // 60) END"""
+
+
+@query(_HOURS + f""", p AS (SELECT org_uuid, live_pct AS pct, live_pct / eh AS rate, lh, CASE WHEN live_pct > 0 THEN least(live_pct + live_pct / eh * lh, 200.0::DOUBLE) END AS projected FROM h),
+m AS (SELECT *, CAST(round(CASE WHEN projected >= 100 AND rate <> 0 THEN (100 - pct) / rate ELSE lh END * 60) AS BIGINT) AS t FROM p)
+SELECT org_uuid, CASE WHEN pct >= 100 THEN 'at capacity' WHEN projected >= 100 THEN concat('hits 100% in ', {_SHORT})
+  WHEN projected IS NOT NULL THEN concat(printf('~%.0f%% at reset, ', projected), {_SHORT}, ' left') END AS status FROM m""")
 def pace_status(s, d):
     return cycles.pace(fx.orgs(s, d).withColumn("pct", F.col("live_pct")), NOW).select("org_uuid", "status")
 
@@ -671,25 +687,69 @@ def tier_labels(s, d):
 # ---- outputs ----
 
 
-@query(None)
+_PLAIN = "regexp_replace(regexp_replace(model, '^claude-', ''), '^(.+)-[0-9]{8}$', '\\1')"
+
+
+@query(f""", m AS (SELECT {_PLAIN} AS short, model, CAST(sum(cost) AS DOUBLE) AS c, coalesce(sum(cost), 0) AS o, sum(input_tokens) AS a, sum(output_tokens) AS b FROM priced GROUP BY 1, 2),
+t AS (SELECT CAST(coalesce(sum(cost), 0) AS DOUBLE) AS c, CAST(sum(input_tokens) AS BIGINT) AS a, CAST(sum(output_tokens) AS BIGINT) AS b FROM priced),
+l AS (SELECT string_agg(short, ', ' ORDER BY o DESC, model) AS models, string_agg(concat(chr(10), '  ', short, ': ', {_money('c')}), '' ORDER BY o DESC, model) AS lines FROM m)
+SELECT concat({_money('c')}, ' ', {_tok('a')}, '/', {_tok('b')}, ' ', models) AS text, concat('This month: ', {_money('c')}, lines) AS tooltip,
+  CASE WHEN c >= 1e9 THEN 'critical' WHEN c >= 1.0 THEN 'warning' ELSE 'normal' END AS class, 'USD' AS currency FROM t, l""")
 def status_row(s, d):
-    return outputs.status_row(_priced(s, d), "{cost} {input}/{output} {models}", warn=1.0, critical=1e9)
+    return outputs.status_row(_priced(s, d), "{cost} {input}/{output} {models}", warn=1.0, critical=1e9, label="This month")
 
 
-@query(None)
+def _table_sql(details: bool) -> str:
+    cells = f"{_tok('input_tokens')} AS input, {_tok('output_tokens')} AS output, {_tok('cache_creation_input_tokens')} AS cache_write, {_tok('cache_read_input_tokens')} AS cache_read, {_money('cost', '€')} AS cost"
+    sums = f"{_SUMS}, CAST(sum(cost) AS DOUBLE) * 0.5::DOUBLE AS cost"
+    below = f" UNION ALL SELECT concat('  ', model), {sums}, '', '' FROM k GROUP BY bucket, model" if details else ""
+    return f""", k AS (SELECT *, strftime(ts, '%Y-%m-%d') AS bucket FROM priced),
+m AS (SELECT bucket, model, coalesce(sum(cost), 0) AS c FROM k GROUP BY 1, 2),
+ml AS (SELECT bucket, string_agg({_PLAIN}, ', ' ORDER BY c DESC, model) AS models FROM m GROUP BY 1),
+r AS (SELECT k.bucket AS period, {sums}, any_value(models) AS models, string_agg(DISTINCT project, ', ' ORDER BY project) AS projects FROM k JOIN ml ON k.bucket = ml.bucket GROUP BY k.bucket
+  UNION ALL SELECT 'TOTAL', {sums}, '', '' FROM k{below})
+SELECT period, {cells}, models, projects, '' AS nope FROM r"""
+
+
+@query(_table_sql(False))
 def table_rows(s, d):
-    return outputs.table_rows(reports.report(_priced(s, d), "daily"), outputs.choose_columns(["+projects", "-tools", "+nope"]))
+    return outputs.table_rows(_priced(s, d), "daily", outputs.choose_columns(["+projects", "-tools", "+nope"]), code="EUR", rate=0.5)
+
+
+@query(_table_sql(True))
+def table_rows_breakdown(s, d):
+    return outputs.table_rows(_priced(s, d), "daily", outputs.choose_columns(["+projects", "-tools", "+nope"]), details=True, code="EUR", rate=0.5)
 
 
-@query(None)
+def _both_burns() -> str:
+    """The rows of models and of all together, as a table ``br``."""
+    models, everything = _burn_sql("model", "model, session_id"), _burn_sql("'ALL'", "session_id")
+    return f""", br AS (SELECT * FROM (WITH {models[2:]}) UNION ALL SELECT * FROM (WITH {everything[2:]}))"""
+
+
+@query(_both_burns() + f""" SELECT {_PLAIN} AS model, {_tok('tokens')} AS tokens, {_money('cost')} AS cost,
+  CASE WHEN active_secs >= 3600 THEN printf('%dh%02dm', active_secs // 3600, active_secs % 3600 // 60) ELSE printf('%dm', active_secs // 60) END AS active,
+  CASE WHEN tokens_per_min IS NULL THEN '–' ELSE {_tok('CAST(round(tokens_per_min) AS BIGINT)')} END AS "tok/min",
+  CASE WHEN cost_per_active_hour IS NULL THEN '–' ELSE {_money('cost_per_active_hour')} END AS "$/act-hr", CASE WHEN cost_per_calendar_day IS NULL THEN '–' ELSE {_money('cost_per_calendar_day')} END AS "$/cal-day" FROM br""")
 def burn_rows(s, d):
     return outputs.burn_rows(burn.burn(_priced(s, d)))
 
 
-@query(f"SELECT strftime(ts, '%Y-%m') AS bucket, 'EUR' AS currency, {_SUMS}, CAST(sum(cost) AS DOUBLE) * 0.92::DOUBLE AS cost, count(DISTINCT model) AS n_models, count(DISTINCT model) AS n_details FROM priced GROUP BY 1")
+@query(_both_burns() + """ SELECT model, tokens, cost * 0.92::DOUBLE AS cost, active_secs AS active_seconds, tokens_per_min, cost_per_active_hour * 0.92::DOUBLE AS cost_per_active_hour,
+  cost_per_calendar_day * 0.92::DOUBLE AS cost_per_calendar_day, 'EUR' AS currency FROM br""")
+def burn_json(s, d):
+    return outputs.json_burn(burn.burn(_priced(s, d)), "EUR", 0.92)
+
+
+@query(f""", m AS (SELECT strftime(ts, '%Y-%m') AS bucket, model, {_PLAIN} AS short, sum(cost) AS c, {_SUMS} FROM priced GROUP BY ALL),
+ml AS (SELECT bucket, string_agg(short, ', ' ORDER BY coalesce(c, 0) DESC, model) AS models,
+  string_agg(concat_ws('/', model, input_tokens, output_tokens, cache_creation_input_tokens, cache_read_input_tokens, CASE WHEN c IS NULL THEN 'null' ELSE 'cost' END), ';' ORDER BY coalesce(c, 0) DESC, model) AS details FROM m GROUP BY 1)
+SELECT strftime(ts, '%Y-%m') AS bucket, 'EUR' AS currency, {_SUMS}, CAST(sum(cost) AS DOUBLE) * 0.92::DOUBLE AS cost, any_value(models) AS models,
+  string_agg(DISTINCT project, ', ' ORDER BY project) AS projects, any_value(details) AS details FROM priced JOIN ml ON strftime(ts, '%Y-%m') = ml.bucket GROUP BY 1""")
 def json_report(s, d):
     out = outputs.json_report(_priced(s, d), "monthly", 0.92, "EUR")
-    return out.select("bucket", "currency", *TOKENS, "cost", F.size("models").cast("bigint").alias("n_models"), F.size("details").cast("bigint").alias("n_details"))
+    detail = F.transform("details", lambda x: F.concat_ws("/", x["model"], *[x[c].cast("string") for c in TOKENS], F.when(x["cost"].isNull(), "null").otherwise("cost")))
+    return out.select("bucket", "currency", *TOKENS, "cost", F.array_join("models", ", ").alias("models"), F.array_join("projects", ", ").alias("projects"), F.array_join(detail, ";").alias("details"))
 
 
 # ---- streaming: the usage rows as landed files, read to the end ----

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Files and lines beyond these sizes (bytes) are skipped.
 MOST_FILE, MOST_LINE = 500 << 20, 16 << 20
+#: Records of one file of the usage table, at most.
+MOST_RECORDS = 5_000_000
 
 
 def read_lines(spark: SparkSession, paths: list[str], glob: str = "*.jsonl") -> DataFrame:
@@ -56,5 +58,6 @@ def drop_known(json: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def write_usage(usage: DataFrame, path: str, mode: str = "append") -> None:
-    """The usage table as Parquet by provider and UTC date."""
-    usage.withColumn("usage_date", F.to_date("ts")).repartition("provider", "usage_date").write.mode(mode).partitionBy("provider", "usage_date").parquet(path)
+    """The usage table as Parquet by provider and UTC date; a day of very many records is split over tasks and files."""
+    dated = usage.withColumn("usage_date", F.to_date("ts")).hint("rebalance", "provider", "usage_date")
+    dated.write.mode(mode).option("maxRecordsPerFile", MOST_RECORDS).partitionBy("provider", "usage_date").parquet(path)

@@ -29,5 +29,23 @@ def rfc3339(c: Column) -> Column:
     return F.when(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ].*([Zz]|[+-][0-9]{2}:?[0-9]{2})$"), F.try_to_timestamp(c))
 
 
+#: Milliseconds since 1970 of the years 1 to 9999.
+FIRST_MILLI, LAST_MILLI = -62_135_596_800_000, 253_402_300_799_999
+
+
 def millis(c: Column) -> Column:
-    return F.timestamp_millis(c)
+    """Time of milliseconds since 1970, null outside of the years 1 to 9999."""
+    return F.timestamp_millis(F.when(c.between(FIRST_MILLI, LAST_MILLI), c))
+
+
+def string(v: Column) -> Column:
+    """A variant's text; null if it is of another type."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def mistyped(*fields: Column) -> Column:
+    """Whether one of the variants is neither missing nor a text."""
+    out = F.lit(False)
+    for v in fields:
+        out = out | F.coalesce(~F.schema_of_variant(v).isin("STRING", "VOID"), F.lit(False))
+    return out

@@ -12,11 +12,11 @@ from pyspark.sql.window import Window
 
 from usagelake.functions.text import claude_folder, claude_project, droid_model, path_part, stem
 from usagelake.sources.ingest import guarded
-from usagelake.sources.jsonx import millis, rfc3339, text, tokens, u64
+from usagelake.sources.jsonx import LAST_MILLI, millis, mistyped, rfc3339, string, text, tokens, u64
 
-_MESSAGE = "struct<id:string, model:string, usage:struct<input_tokens:bigint, output_tokens:bigint, cache_creation_input_tokens:bigint, cache_read_input_tokens:bigint>>"
-CLAUDE = (f"type string, timestamp string, requestId string, cwd string, message {_MESSAGE}, "
-          f"data struct<type:string, message:struct<timestamp:string, requestId:string, message:{_MESSAGE}>>")
+_MESSAGE = "struct<id:variant, model:string, usage:struct<input_tokens:bigint, output_tokens:bigint, cache_creation_input_tokens:bigint, cache_read_input_tokens:bigint>>"
+CLAUDE = (f"type string, timestamp string, requestId variant, cwd string, message {_MESSAGE}, "
+          f"data struct<type:string, message:struct<timestamp:string, requestId:variant, message:{_MESSAGE}>>")
 _USE = "struct<input_tokens:bigint, output_tokens:bigint, cached_input_tokens:bigint, cache_read_input_tokens:bigint>"
 CODEX = f"timestamp string, payload struct<type:string, model:string, metadata:struct<model:string>, info:struct<model:string, metadata:struct<model:string>, last_token_usage:{_USE}, total_token_usage:{_USE}>>"
 
@@ -49,8 +49,8 @@ def extract_claude(lines: DataFrame) -> DataFrame:
     use = "m.usage."
     out = j.withColumn("model", model).filter(F.col("m.usage").isNotNull() & F.col("model").isNotNull() & (F.col("model") != "<synthetic>"))
     return _record(out, "claude", tuple(tokens(F.col(use + c)) for c in ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")),
-                   session_id=stem(F.col("file_path")), ts=at, project=folder, model=F.col("model"), message_id=F.coalesce("m.id", F.lit("")),
-                   request_id=F.coalesce(F.when(own, F.col("j.requestId")).otherwise(F.col("j.data.message.requestId")), F.lit("")))
+                   session_id=stem(F.col("file_path")), ts=at, project=folder, model=F.col("model"), message_id=F.coalesce(string(F.col("m.id")), F.lit("")),
+                   request_id=F.coalesce(string(F.when(own, F.col("j.requestId")).otherwise(F.col("j.data.message.requestId"))), F.lit("")))
 
 
 def _in_order() -> Window:
@@ -103,13 +103,14 @@ def extract_pi(lines: DataFrame) -> DataFrame:
 
 def extract_amp(docs: DataFrame) -> DataFrame:
     """Events of a document's ledger; cache tokens are those of the message that the event names (the last of equal ids)."""
-    schema = ("id string, messages array<struct<role:string, messageId:bigint, usage:struct<cacheCreationInputTokens:bigint, cacheReadInputTokens:bigint>>>, "
-              "usageLedger struct<events:array<struct<id:string, timestamp:string, model:string, tokens:struct<input:bigint, output:bigint>, toMessageId:bigint>>>")
+    schema = ("id variant, messages array<struct<role:string, messageId:bigint, usage:struct<cacheCreationInputTokens:bigint, cacheReadInputTokens:bigint>>>, "
+              "usageLedger struct<events:array<struct<id:variant, timestamp:string, model:variant, tokens:struct<input:bigint, output:bigint>, toMessageId:bigint>>>")
     j = _parsed(docs, schema).select("file_path", "line_id", "value", "j", F.posexplode("j.usageLedger.events").alias("n", "e")).filter("e.tokens is not null")
     message = F.try_element_at(F.filter("j.messages", lambda m: (m["role"] == "assistant") & (m["messageId"] == F.col("e.toMessageId"))), F.lit(-1))["usage"]
     return _record(j.withColumn("line_id", F.col("n").cast("bigint")), "amp",
                    (tokens(F.col("e.tokens.input")), tokens(F.col("e.tokens.output")), tokens(message["cacheCreationInputTokens"]), tokens(message["cacheReadInputTokens"])),
-                   session_id=F.coalesce("j.id", F.lit("unknown")), ts=rfc3339(F.col("e.timestamp")), project=F.lit("amp"), model=F.coalesce("e.model", F.lit("unknown")), message_id=F.coalesce("e.id", F.lit("")))
+                   session_id=F.coalesce(string(F.col("j.id")), F.lit("unknown")), ts=rfc3339(F.col("e.timestamp")), project=F.lit("amp"),
+                   model=F.coalesce(string(F.col("e.model")), F.lit("unknown")), message_id=F.coalesce(string(F.col("e.id")), F.lit("")))
 
 
 OPENCODE = "id string, sessionID string, providerID string, modelID string, role string, time struct<created:bigint>, tokens struct<input:bigint, output:bigint, cache:struct<read:bigint, write:bigint>>"
@@ -145,27 +146,32 @@ def extract_opencode_table(table: DataFrame) -> DataFrame:
 
 def extract_gemini(docs: DataFrame) -> DataFrame:
     """Messages of a session document; one field of a wrong type drops the whole document."""
-    schema = "sessionId string, projectHash string, messages array<struct<id:string, type:string, model:string, timestamp:string, tokens:struct<input:bigint, output:bigint, cached:bigint>>>, _bad string"
+    schema = "sessionId variant, projectHash variant, messages array<struct<id:variant, type:variant, model:variant, timestamp:variant, tokens:struct<input:bigint, output:bigint, cached:bigint>>>, _bad string"
     j = docs.withColumn("j", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"})).filter("j._bad is null")
-    j = j.select("file_path", "mtime", "j", F.posexplode("j.messages").alias("n", "m")).withColumn("line_id", F.col("n").cast("bigint"))
+    bad = mistyped(F.col("j.sessionId"), F.col("j.projectHash")) | F.coalesce(
+        F.exists("j.messages", lambda m: mistyped(m["id"], m["type"], m["model"], m["timestamp"])), F.lit(False))
+    j = j.filter(~bad).select("file_path", "mtime", "j", F.posexplode("j.messages").alias("n", "m")).withColumn("line_id", F.col("n").cast("bigint"))
     a, b = tokens(F.col("m.tokens.input")), tokens(F.col("m.tokens.output"))
-    out = j.filter((F.col("m.type") == "gemini") & F.col("m.tokens").isNotNull() & F.col("m.model").isNotNull() & (a + b > 0))
-    sid = F.coalesce("j.sessionId", F.lit("unknown"))
-    return _record(out, "gemini", (a, b, F.lit(0), tokens(F.col("m.tokens.cached"))), session_id=sid, ts=F.coalesce(rfc3339(F.col("m.timestamp")), F.col("mtime")),
-                   project=F.coalesce(F.nullif(F.col("j.projectHash"), F.lit("")), F.lit("gemini")), model=F.col("m.model"), message_id=F.concat_ws(":", F.lit("gemini"), sid, F.coalesce("m.id", F.lit("unknown"))))
+    model = string(F.col("m.model"))
+    out = j.filter((string(F.col("m.type")) == "gemini") & F.col("m.tokens").isNotNull() & model.isNotNull() & (a + b > 0))
+    sid = F.coalesce(string(F.col("j.sessionId")), F.lit("unknown"))
+    return _record(out, "gemini", (a, b, F.lit(0), tokens(F.col("m.tokens.cached"))), session_id=sid, ts=F.coalesce(rfc3339(string(F.col("m.timestamp"))), F.col("mtime")),
+                   project=F.coalesce(F.nullif(string(F.col("j.projectHash")), F.lit("")), F.lit("gemini")), model=model,
+                   message_id=F.concat_ws(":", F.lit("gemini"), sid, F.coalesce(string(F.col("m.id")), F.lit("unknown"))))
 
 
 def extract_droid(docs: DataFrame) -> DataFrame:
     """One record for each settings file; a field of a wrong type drops it."""
-    schema = "model string, providerLockTimestamp string, tokenUsage struct<inputTokens:bigint, outputTokens:bigint, cacheCreationTokens:bigint, cacheReadTokens:bigint>, _bad string"
+    schema = "model variant, providerLockTimestamp variant, tokenUsage struct<inputTokens:bigint, outputTokens:bigint, cacheCreationTokens:bigint, cacheReadTokens:bigint>, _bad string"
     j = docs.filter(F.col("file_path").endswith(".settings.json")).withColumn("j", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"}))
     u = "j.tokenUsage."
     a, b = tokens(F.col(u + "inputTokens")), tokens(F.col(u + "outputTokens"))
-    out = j.filter(F.col("j._bad").isNull() & F.col("j.tokenUsage").isNotNull() & (a + b > 0))
+    bad = mistyped(F.col("j.model"), F.col("j.providerLockTimestamp"))
+    out = j.filter(F.col("j._bad").isNull() & ~bad & F.col("j.tokenUsage").isNotNull() & (a + b > 0))
     sid = F.regexp_replace(path_part(F.col("file_path"), 1), r"\.settings\.json$", "")
-    at = F.coalesce(rfc3339(F.col("j.providerLockTimestamp")), F.col("mtime"))
+    at = F.coalesce(rfc3339(string(F.col("j.providerLockTimestamp"))), F.col("mtime"))
     return _record(out, "droid", (a, b, tokens(F.col(u + "cacheCreationTokens")), tokens(F.col(u + "cacheReadTokens"))), session_id=sid, ts=at, project=F.lit("droid"),
-                   model=F.coalesce(droid_model(F.col("j.model")), F.lit("unknown")), message_id=_id("droid", sid, at, a, b))
+                   model=F.coalesce(droid_model(string(F.col("j.model"))), F.lit("unknown")), message_id=_id("droid", sid, at, a, b))
 
 
 def extract_openclaw(lines: DataFrame) -> DataFrame:
@@ -185,16 +191,16 @@ def extract_openclaw(lines: DataFrame) -> DataFrame:
 
 def extract_kimi(lines: DataFrame, default_model: str | None = None) -> DataFrame:
     """Status updates of wire logs; the model is the line's, else the configured, else a fixed one."""
-    schema = ("type string, model string, timestamp double, message struct<type:string, payload:struct<message_id:string, "
+    schema = ("type string, model variant, timestamp double, message struct<type:string, payload:struct<message_id:string, "
               "token_usage:struct<input_other:bigint, output:bigint, input_cache_creation:bigint, input_cache_read:bigint>>>")
     j = _parsed(guarded(lines, "token_usage"), schema)
     u = "j.message.payload.token_usage."
     a, b = tokens(F.col(u + "input_other")), tokens(F.col(u + "output"))
     out = j.filter((F.coalesce("j.type", F.lit("")) != "metadata") & (F.col("j.message.type") == "StatusUpdate") & F.col("j.message.payload.token_usage").isNotNull() & (a + b > 0))
     sid, group = path_part(F.col("file_path"), 2), path_part(F.col("file_path"), 3)
-    at = millis(F.floor(F.col("j.timestamp") * 1000).cast("bigint"))
+    at = millis(F.when(F.abs("j.timestamp") <= LAST_MILLI / 1000, F.floor(F.col("j.timestamp") * 1000).cast("bigint")))
     return _record(out, "kimi", (a, b, tokens(F.col(u + "input_cache_creation")), tokens(F.col(u + "input_cache_read"))), session_id=sid, ts=at,
-                   project=F.when(group.isin("", "sessions"), "kimi").otherwise(group), model=F.coalesce("j.model", F.lit(default_model or "kimi-for-coding")),
+                   project=F.when(group.isin("", "sessions"), "kimi").otherwise(group), model=F.coalesce(string(F.col("j.model")), F.lit(default_model or "kimi-for-coding")),
                    message_id=F.coalesce("j.message.payload.message_id", _id("kimi", sid, at, a, b)))
 
 
