@@ -2,6 +2,7 @@ import datetime
 import random
 import re
 
+import pytest
 from usagelake.llm import pii
 
 
@@ -14,7 +15,10 @@ def iban_ok(text):
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-def run(spark, texts, key=pii.KEY):
+KEY = "test key"
+
+
+def run(spark, texts, key=KEY):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, pii_kinds string")
     return [(r.text, r.pii_kinds) for r in sorted(pii.pseudonymise(df, key).collect(), key=lambda r: r.doc_id)]
 
@@ -77,6 +81,27 @@ def test_permutations_are_bijections(spark):
 
 def test_rows(spark):
     df = spark.createDataFrame([(None, "a 97.51.17.173"), (1, None), (1, None)], "doc_id long, text string")
-    got = pii.digest(df).collect()
+    got = pii.digest(df, KEY).collect()
     assert len(got) == 3 and sorted(r.n_pii for r in got) == [0, 0, 1] and "97.51.17.173" not in str(got)
-    assert pii.digest(df.limit(0)).count() == 0
+    assert pii.digest(df.limit(0), KEY).count() == 0
+    with pytest.raises(ValueError):
+        pii.pseudonymise(df, "")
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([("mail a@b.org", 1, 2, 3, "k")], "text string, _found int, _new int, row int, `pii_kinds` string")
+    got = pii.pseudonymise(df, KEY)
+    assert got.columns == ["text", "_found", "_new", "row", "pii_kinds"]
+    assert tuple(got.first())[1:] == (1, 2, 3, ["email"])
+
+
+def test_texts_keep_their_format_and_are_permuted(spark):
+    from pyspark.sql import functions as F
+
+    rows = ["abc", "x1", "Zz9-a.b", "7", "", "hello.World_22", "0123456789"]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    got = [r.p for r in df.select(pii.permute_text(F.col("t"), "local", KEY).alias("p")).collect()]
+    # Equal texts are equal, classes of symbols stay, and an inverse exists: all texts of a small format are hit once.
+    assert all([bool(re.match("[0-9]", a)), bool(re.match("[a-z]", a))] == [bool(re.match("[0-9]", b)), bool(re.match("[a-z]", b))] for x, y in zip(rows, got, strict=True) for a, b in zip(x, y, strict=True))
+    small = spark.range(676).select(F.concat(F.chr(97 + F.floor(F.col("id") / 26).cast("long")), F.chr(97 + F.col("id") % 26)).alias("t"))
+    assert small.select(pii.permute_text(F.col("t"), "local", KEY).alias("p")).distinct().count() == 676

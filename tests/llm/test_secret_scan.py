@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from usagelake.llm import secret_scan
 
@@ -87,6 +88,32 @@ def test_random_tokens_without_two_digits_are_tested(spark):
     assert wrong <= secret_scan.FALSE_DISCOVERY * sum("random" in r.spans for r in got.values())
 
 
+def test_few_random_tokens_among_many_paths_are_found(spark):
+    rng = random.Random(31)
+    found = wrong = 0
+    for _ in range(4):
+        drawn = ["".join(rng.choices(secret_scan.ALPHABETS["base64"], k=40)) for _ in range(5)]
+        plain = ["/".join(rng.choices(["Usr", "local", "share", "Library", "python3", "Site", "packages", "Main", "v2"], k=12))[:40] for _ in range(300)]
+        got = rows(spark, list(enumerate(f"see {t} here" for t in drawn + plain)))
+        found += sum("random" in got[i].spans for i in range(5))
+        wrong += sum("random" in got[i].spans for i in range(5, 305))
+    assert found >= 18 and wrong <= 12
+
+
+def test_many_hits_in_a_text_take_linear_time(spark):
+    text = " ".join(f"token={i:08d}" for i in range(20_000))
+    began = time.perf_counter()
+    got = rows(spark, [(1, text)])[1]
+    assert got.n_assign == 20_000 and time.perf_counter() - began < 60
+    assert got.base_sha256 == hashlib.sha256(",".join(base(text)).encode()).hexdigest()
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, 'a token = "abcdefghij" b', 5, 6, 7)], "doc_id long, text string, _spans int, _row int, key int")
+    got = secret_scan.redact(df)
+    assert got.columns == df.columns and tuple(got.first()) == (1, 'a [SECRET]" b', 5, 6, 7)
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, 'a token = "abcdefghij" b', 99, "en"), (2, "clean", 5, "fr"), (None, None, None, None)],
                                  "doc_id long, text string, n_chars long, spans string")

@@ -6,6 +6,8 @@ whose rounds add a hash of one half to the other, symbol by symbol within the sy
 value's ordinal where not every string of the format is valid (walking the cycle until it is). Check
 digits are computed anew. So a pseudonym is valid, different values have different pseudonyms, and equal values
 stay linked across documents. What fails validation stays.
+
+Whoever knows the key can invert the pseudonyms, so there is no key by default: the caller brings one and keeps it secret.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "usagelake"
 ROUNDS = 8
 #: Steps of a walk along a cycle: enough that a value out of range remains with a chance below 1e-9.
 WALK = 24
@@ -203,25 +204,29 @@ def _pseudonym(m: Column, key: str) -> Column:
     return F.struct(kind.alias("kind"), new.alias("new"))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced and a column ``pii_kinds``, the kinds replaced, in order.
 
-    All other columns and all other text stay, a column ``n_chars`` too; null texts stay null with no kinds, as texts without personal data; an
-    empty table gives no rows; repeated rows and null ids are treated alike. Equal values have equal pseudonyms everywhere.
+    All other columns and all other text stay, a column ``n_chars`` too, whatever their names; of a column ``pii_kinds`` that is there
+    already the new one takes the place. Null texts stay null with no kinds, as texts without personal data; an
+    empty table gives no rows; repeated rows and null ids are treated alike. Equal values have equal pseudonyms everywhere under one key.
     """
-    docs = docs.drop("pii_kinds") if "pii_kinds" in docs.columns else docs
+    if not key:
+        raise ValueError("pseudonyms need a key")
     has = F.coalesce(F.col("text").rlike(LIKELY), F.lit(False))
     found = F.when(has, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = docs.withColumn("_found", found)
-    out = out.withColumn("_new", F.transform("_found", lambda m: _pseudonym(m, key)))
-    gaps = F.split("text", ANY, -1)
-    joined = F.array_join(F.zip_with(gaps, "_new", lambda g, n: F.concat(g, F.coalesce(n["new"], F.lit("")))), "")
-    out = out.withColumn("text", F.when(F.size("_found") > 0, joined).otherwise(F.col("text")))
-    kinds = F.filter(F.transform("_new", lambda n: n["kind"]), lambda k: k.isNotNull())
-    return out.withColumn("pii_kinds", kinds).drop("_found", "_new")
-
-
-def digest(docs: DataFrame, key: str = KEY) -> DataFrame:
+    # One column holds the row, so no name of it can clash.
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), found.alias("found"))
+    out = out.select("row", "found", F.transform("found", lambda m: _pseudonym(m, key)).alias("new"))
+    gaps = F.split("row.text", ANY, -1)
+    joined = F.array_join(F.zip_with(gaps, "new", lambda g, n: F.concat(g, F.coalesce(n["new"], F.lit("")))), "")
+    text = F.when(F.size("found") > 0, joined).otherwise(F.col("row.text"))
+    kinds = F.filter(F.transform("new", lambda n: n["kind"]), lambda k: k.isNotNull())
+    rest = [text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "pii_kinds"]
+    return out.select(*rest, kinds.alias("pii_kinds"))
+
+
+def digest(docs: DataFrame, key: str) -> DataFrame:
     """Each document's new text, how many values of each kind were replaced, and of all."""
     out = pseudonymise(docs.select("doc_id", "text"), key)
     counts = [F.size(F.filter("pii_kinds", _is(k))).cast("long").alias(f"n_{k}") for k in FORMATS]

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from usagelake.llm import decontaminate, embedding_dedup, html_extract, lm_scoring, minhash, pii, quality, secret_scan, sentencepiece, substring_dedup
 
 
+#: The session's setting that holds the secret key of pseudonyms. Without it a key is used that only serves for test tables.
+PII_KEY = "spark.usagelake.pii.key"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,7 +34,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(_table(spark, sf_dir, "documents"))
+    return pii.digest(_table(spark, sf_dir, "documents"), spark.conf.get(PII_KEY, "key of the test tables"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ p-values are joined by the Cauchy combination.
 
 Random tokens have evenly spread p-values, words and paths have small ones. Within each stratum of
 encoding and length, tokens above a p-value t hold about 2 (1 - t) n(p > 0.5) random ones; the smallest t is
-taken at which at most ``FALSE_DISCOVERY`` of the tokens above it are not. Short tokens, which the tests tell apart
+taken at which at most ``FALSE_DISCOVERY`` of the tokens above it are not (or one token, in a thin stratum: there the random ones are
+counted above 0.1 instead of 0.5, which so few tokens allow, and power doesn't depend on how many there are). Short tokens, which the tests tell apart
 less well, so need larger p-values. The counts behind it are a small histogram over the whole input, in which
 a token counts once however often it occurs: the p-values of copies are one draw, not many.
 """
@@ -31,6 +32,8 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 FALSE_DISCOVERY = 0.05
+#: A stratum with fewer tokens above a p-value of 0.5 is thin.
+THIN = 20
 #: Bins of the p-value histogram of a stratum.
 BINS = 50
 #: Alphabets by name, narrowest first; each symbol's place is its value.
@@ -43,6 +46,8 @@ ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 
+#: Matches of a text that are placed together.
+BLOCK = 128
 SPAN = "array<struct<start:int,end:int,s:string>>"
 
 
@@ -51,7 +56,8 @@ def _spans(text: Column, pattern: str, prefilter: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     lengths = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     pairs = F.arrays_zip(F.transform(found, lambda x: F.length(x)).alias("m"), lengths.alias("gap"), found.alias("s"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    none = F.array().cast(SPAN)
+    state = "struct<at:int,out:array<array<struct<start:int,end:int,s:string>>>>"
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
@@ -59,7 +65,21 @@ def _spans(text: Column, pattern: str, prefilter: str) -> Column:
         one = F.struct(begin.alias("start"), end.alias("end"), x["s"].alias("s"))
         return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
 
-    return F.when(text.rlike(prefilter), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    def block(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return _let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")).cast(state))
+
+    def spans(every: Column) -> Column:
+        # In blocks, so that no long array is copied for each of its elements.
+        parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(every) / BLOCK).cast("int")), lambda i: F.slice(every, i * BLOCK + 1, BLOCK))
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(state), block, lambda acc: F.flatten(acc["out"]))
+
+    return F.when(text.rlike(prefilter), _let(pairs, spans)).otherwise(none)
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _normal_two_sided(z: Column) -> Column:
@@ -121,11 +141,13 @@ def _thresholds(tested: DataFrame) -> DataFrame:
     bins = distinct.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
     above = Window.partitionBy("stratum").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy("stratum")
-    bins = bins.withColumns({
-        "kept": F.sum("n").over(above),
-        "random": 2.0 * F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).over(everything)})
-    wrong = 1 - F.col("random") * (1 - F.col("bin") / F.lit(float(BINS))) / F.col("kept")
-    return bins.filter((wrong <= FALSE_DISCOVERY) & (F.col("random") > 0)).groupBy("stratum").agg(F.min("bin").alias("least"))
+    over = lambda share: F.sum(F.when(F.col("bin") >= int(BINS * share), F.col("n")).otherwise(0)).over(everything)
+    bins = bins.withColumns({"kept": F.sum("n").over(above), "half": over(0.5), "most": over(0.1)})
+    thin = F.col("half") < THIN
+    random = F.when(thin, F.col("most") / 0.9).otherwise(F.col("half") * 2.0)
+    wrong = F.col("kept") - random * (1 - F.col("bin") / F.lit(float(BINS)))
+    allowed = F.greatest(FALSE_DISCOVERY * F.col("kept"), F.when(thin, 1.0).otherwise(0.0))
+    return bins.filter((wrong <= allowed) & (random > 0) & (F.col("bin") > 0)).groupBy("stratum").agg(F.min("bin").alias("least"))
 
 
 def _found(docs: DataFrame) -> DataFrame:
@@ -190,21 +212,23 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The rows of ``docs`` with every secret span of ``text`` replaced by ``mark`` (touching spans by one mark).
 
     ``n_chars``, where present, follows the text; rows without a secret and all other columns stay as they
-    are. Rows of one doc_id with different texts are matched by id and text.
+    are, whatever their names. Rows of one doc_id with different texts are matched by id and text; rows that repeat are each returned, null ids
+    and texts stay, an empty table gives no rows.
     """
-    key = F.xxhash64("doc_id", "text")
-    keyed = docs.withColumn("_row", key)
-    spans = find_secrets(keyed.select(F.col("_row").alias("doc_id"), "text")).filter(F.size("spans") > 0)
-    spans = spans.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # One column holds the row, so no name of it can clash.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    spans = find_secrets(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))).filter(F.size("spans") > 0)
+    spans = spans.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("key"), "spans")
+    text = F.col("row.text")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        gap = F.when(x["start"] > acc["at"], F.substring("text", acc["at"] + 1, x["start"] - acc["at"])).otherwise("")
-        new = (x["start"] >= acc["at"]) & ((x["start"] > acc["at"]) | (acc["out"] == ""))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap, F.when(new, F.lit(mark)).otherwise("")).alias("out"))
-
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    out = keyed.join(spans.hint("merge"), F.col("_row") == F.col("_id"), "left").withColumn("text", F.when(F.col("_id").isNull(), F.col("text")).otherwise(clean))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        gap = F.when(x["start"] > acc["at"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"])).otherwise("")
+        new = (x["start"] >= acc["at"]) & ((x["start"] > acc["at"]) | (F.size(acc["out"]) == 0))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], F.array(gap, F.when(new, F.lit(mark)).otherwise(""))).alias("out"))
+
+    clean = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    hit = F.col("spans").isNotNull()
+    out = keyed.join(spans.hint("merge"), "key", "left").select("row", "spans", F.when(hit, clean).otherwise(text).alias("new"))
+    follows = F.when(hit, F.length("new")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return out.select(*[F.col("new").alias(c) if c == "text" else follows.alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns])
