@@ -11,18 +11,16 @@ piece wins.
 Pieces that score less than their own best split are on no best path; they are left out of the table before everything
 else, which leaves a third of a BPE vocabulary. A substring is exploded only where pieces begin like it; single characters, of which each has its edge, come with the unit.
 
-The commonest units of the corpus (a bounded number) are worked out first and their ids are broadcast. Documents then take
-one narrow pass for the rest: each task looks up the distinct units of its portion of documents, the (small, size-checked) piece
+Everything is one narrow pass: each task looks up the distinct units of its portion of documents, the (small, size-checked) piece
 table is broadcast, and nothing is shuffled. So the edges of a unit stay in one task; they are grouped there by the unit's number, and a unit
 whose edges aren't all together ends the job instead of giving wrong ids. A task holds the distinct units of one portion
-(6 million characters, or one longer text) and the lattice of one batch of edges. A unit of many characters is exploded in
+(16 million characters, or one longer text) and the lattice of one batch of edges. A unit of many characters is exploded in
 windows and folded in blocks, so its cost is in proportion to its length.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -40,12 +38,8 @@ MARK = "▁"
 MOST_PIECES = 1_000_000
 LONGEST = 255
 #: Characters of text whose distinct units are looked up together.
-PORTION = 6 << 20
-#: The commonest units, of so many characters at most, whose ids are worked out first and broadcast; and how often a portion must have one to name it.
-COMMON_UNITS = 150_000
-COMMON_LENGTH = 40
-COMMON_TIMES = 2
-#: Words of common units only that a task remembers from one portion to the next.
+PORTION = 16 << 20
+#: Words whose units a task remembers.
 MOST_WORDS = 100_000
 #: Below every path of ordinary pieces: the cost of falling back to bytes.
 FALLBACK = -1e9
@@ -186,45 +180,11 @@ def piece_table(spark: SparkSession, model: str = MODEL) -> DataFrame:
 _ROWS = ["doc_id", "doc", "number", "place", "word", "codes"]
 
 
-def _common(name: str):
-    """The units that a portion has several times, and how often."""
+def _portions(name: str):
+    """For each portion of documents its distinct units, then its documents as numbers of units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _read(name)
-        seen: Counter[str] = Counter()
-        have = 0
-
-        def counted() -> pa.RecordBatch:
-            words, units = list(seen), Counter()
-            for word, parts in zip(words, v.units(words) if words else [], strict=True):
-                for unit in parts:
-                    units[unit] += seen[word]
-            some = [(u, n) for u, n in units.items() if n >= COMMON_TIMES and len(u) <= COMMON_LENGTH]
-            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], names=["unit", "n"])
-
-        for batch in batches:
-            for text in batch.column("text"):
-                text = text.as_py()
-                if text:
-                    seen.update(v.words.findall(" " + text))
-                    have += len(text)
-            if have >= PORTION:
-                yield counted()
-                seen, have = Counter(), 0
-        yield counted()
-
-    return run
-
-
-def _portions(name: str, common=None):
-    """For each portion of documents its distinct units beyond the known ones, then its documents as numbers of units.
-
-    Without ``common``, which numbers the known units, the texts are units themselves.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _read(name)
-        given = common.value if common else {}
         words: dict[str, tuple[int, ...]] = {}
         units: dict[str, int] = {}
         ids, docs, have = [], [], 0
@@ -232,19 +192,20 @@ def _portions(name: str, common=None):
             ids.append(batch.column("doc_id"))
             for text in batch.column("text"):
                 text = text.as_py()
-                mine = [] if not text else v.words.findall(" " + text) if common else [text]
+                mine = v.words.findall(" " + text) if text else []
+                if len(words) > MOST_WORDS:
+                    words.clear()
                 new = [w for w in set(mine) if w not in words]
                 if new:
                     for w, parts in zip(new, v.units(new), strict=True):
-                        words[w] = tuple([given[u] if u in given else units.setdefault(u, len(units) + len(given)) for u in parts])
+                        words[w] = tuple([units.setdefault(u, len(units)) for u in parts])
                 docs.append(np.fromiter(chain.from_iterable(map(words.__getitem__, mine)), np.int32))
                 have += len(text or "")
             if have >= PORTION:
-                yield from _portion(v, ids, docs, list(units), len(given))
-                words = {w: x for w, x in words.items() if max(x) < len(given)} if len(words) < MOST_WORDS else {}
-                units, ids, docs, have = {}, [], [], 0
+                yield from _portion(v, ids, docs, list(units))
+                words, units, ids, docs, have = {}, {}, [], [], 0
         if docs:
-            yield from _portion(v, ids, docs, list(units), len(given))
+            yield from _portion(v, ids, docs, list(units))
 
     return run
 
@@ -253,15 +214,15 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(values, pa.int32()))
 
 
-def _portion(v: Vocabulary, ids: list[pa.Array], docs: list[np.ndarray], units: list[str], base: int) -> Iterator[pa.RecordBatch]:
+def _portion(v: Vocabulary, ids: list[pa.Array], docs: list[np.ndarray], units: list[str]) -> Iterator[pa.RecordBatch]:
     doc_ids = pa.concat_arrays(ids)
-    number, part, have = base, [], 0
+    number, part, have = 0, [], 0
     for i, unit in enumerate(units):
         part.append(unit)
         have += len(unit)
         if have >= 1 << 17 or i == len(units) - 1:
             yield from _windows(v, part, number, doc_ids.type)
-            number, part, have = base + i + 1, [], 0
+            number, part, have = i + 1, [], 0
     for a in range(0, len(docs), 1000):
         some = docs[a : a + 1000]
         n = len(some)
@@ -380,13 +341,13 @@ def last_pieces(ends: Column, longest: int) -> Column:
     return F.aggregate(ends, F.struct(origin.alias("win"), F.array().cast("array<array<int>>").alias("back")).cast(states), block, lambda acc: F.flatten(acc["back"]))
 
 
-def _assembled(name: str, known, decoded: bool):
+def _assembled(name: str, decoded: bool):
     """Documents as ids, from the paths of the units that precede them; also as the text that these decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _read(name)
-        first = ([known.value[0]], [known.value[1]]) if known else ([], [])  # the known units' ids, one after the other, and their numbers
-        flat, sizes = (list(x) for x in first)
+        flat: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         ready = None
         for batch in batches:
             is_unit = batch.column("number").is_valid().to_numpy(zero_copy_only=False)
@@ -395,7 +356,7 @@ def _assembled(name: str, known, decoded: bool):
                 part = batch.slice(a, b - a)
                 if is_unit[a]:
                     if ready is not None:
-                        flat, sizes, ready = *(list(x) for x in first), None
+                        flat, sizes, ready = [], [], None
                     if part.column("number")[0].as_py() != sum(map(len, sizes)):
                         raise RuntimeError("the units of a portion came apart")
                     ids, n = _forward(v, part.column("lasts"))
@@ -463,21 +424,11 @@ def encode(docs: DataFrame, model: str = MODEL, decoded: bool = False) -> DataFr
     and empty texts have no ids; an empty table gives no rows; repeated rows and null ids of
     documents are returned as they are; other columns are ignored. Very long texts, also without any space, are encoded whole.
     """
-    name = vocabulary(docs.sparkSession, model)
-    units = docs.select("text").mapInArrow(_common(name), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    units = units.orderBy(F.desc("n"), "unit").limit(COMMON_UNITS).select(F.col("unit").alias("doc_id"), F.col("unit").alias("text"))
-    found = _encoded(units.repartition(docs.sparkSession.sparkContext.defaultParallelism), name, model).collect()
-    share = docs.sparkSession.sparkContext.broadcast
-    common = share({r.doc_id: i for i, r in enumerate(found)})
-    known = share((np.fromiter(chain.from_iterable(r.ids for r in found), np.int32), np.array([len(r.ids) for r in found], np.int64)))
-    return _encoded(docs, name, model, common, known, decoded)
-
-
-def _encoded(docs: DataFrame, name: str, model: str, common=None, known=None, decoded: bool = False) -> DataFrame:
     spark = docs.sparkSession
+    name = vocabulary(spark, model)
     longest = _read(name).longest
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(_portions(name, common), f"doc_id {kind}, doc binary, number int, place int, word string, codes array<int>")
+    rows = docs.select("doc_id", "text").mapInArrow(_portions(name), f"doc_id {kind}, doc binary, number int, place int, word string, codes array<int>")
     start, n = F.shiftright("code", 8), F.col("code").bitwiseAND(255)
     edges = rows.select("doc_id", "doc", "number", "place", "word", F.explode_outer("codes").alias("code")).select(
         "doc_id", "doc", "number", ((F.col("place") + start).cast("long") * 256 + n).alias("spot"), F.substring("word", start + 1, n).alias("piece"),
@@ -487,7 +438,7 @@ def _encoded(docs: DataFrame, name: str, model: str, common=None, known=None, de
     units = edges.mapInArrow(_grouped(name), f"doc_id {kind}, doc binary, number int, ends array<array<array<struct<code:int,score:double>>>>")
     # Lists that are null for many rows on end are slow to send to Python, so a document's is empty.
     lasts = F.when(F.col("number").isNotNull(), last_pieces(F.col("ends"), longest)).otherwise(F.array().cast("array<int>"))
-    return units.select("doc_id", "doc", "number", lasts.alias("lasts")).mapInArrow(_assembled(name, known, decoded), f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded)
+    return units.select("doc_id", "doc", "number", lasts.alias("lasts")).mapInArrow(_assembled(name, decoded), f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded)
 
 
 def _decoded(name: str, columns: list[str]):
