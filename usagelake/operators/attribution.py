@@ -2,51 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A switch log up to so many entries is broadcast as intervals; a longer one is merged in time order.
-BROADCAST_LOG = 10_000
+#: The switches by hour are broadcast up to so many hours and so many switches, else joined by shuffle.
+BROADCAST_HOURS, BROADCAST_LOG = 200_000, 100_000
 
 
-def _intervals(switch_log: DataFrame) -> DataFrame:
-    """Entries with the time of the next one; of entries at one time the last in the log counts."""
-    last = switch_log.groupBy("at_ts").agg(F.max_by(F.struct("org", "nm"), "pos").alias("e"))
-    order = Window.orderBy("at_ts")  # one row for each switch: a dimension
-    return last.select(F.col("e.org").alias("log_org"), F.col("e.nm").alias("log_name"), F.col("at_ts").alias("_from"), F.lead("at_ts").over(order).alias("_until"))
+def hour(ts: str | Column) -> Column:
+    """Whole hours since 1970."""
+    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp")) / 3_600)
 
 
-def account_name_at(usage: DataFrame, switch_log: DataFrame) -> DataFrame:
-    """``usage`` with log_org and log_name of the newest switch at or before each record; null before the first."""
-    if switch_log.limit(BROADCAST_LOG + 1).count() <= BROADCAST_LOG:
-        log = F.broadcast(_intervals(switch_log))
-        return usage.join(log, (F.col("ts") >= F.col("_from")) & (F.col("_until").isNull() | (F.col("ts") < F.col("_until"))), "left").drop("_from", "_until")
-    return _merged(usage, switch_log)
+def account_name_at(usage: DataFrame, switch_log: DataFrame, broadcast: bool | None = None) -> DataFrame:
+    """``usage`` with log_org and log_name of the newest switch at or before each record; null before the first.
 
-
-def _merged(usage: DataFrame, switch_log: DataFrame) -> DataFrame:
-    """The same for a long log: records and switches meet by day, each day opened by the last switch before it."""
-    log = _intervals(switch_log).select("log_org", "log_name", "_from")
-    days = usage.select(F.to_date("ts").alias("_day")).distinct()
-    state = F.struct("_from", "log_org", "log_name")
-    in_day = log.withColumn("_day", F.to_date("_from"))
-    last = in_day.groupBy("_day").agg(F.max(state).alias("s"))
-    carried = last.unionByName(days.select("_day", F.lit(None).cast("struct<_from:timestamp_ntz,log_org:string,log_name:string>").alias("s")))
-    carried = carried.groupBy("_day").agg(F.max("s").alias("s"))
-    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
-    opened = carried.select("_day", F.last("s", ignorenulls=True).over(before).alias("s"))
-    switches = in_day.select("_day", F.col("_from").alias("ts"), F.lit(0).alias("_record"), state.alias("s")).unionByName(
-        opened.filter("s is not null").select("_day", F.col("_day").cast("timestamp_ntz").alias("ts"), F.lit(-1).alias("_record"), "s"))
-    both = usage.withColumns({"_day": F.to_date("ts"), "_record": F.lit(1)}).unionByName(switches, allowMissingColumns=True)
-    order = Window.partitionBy("_day").orderBy("ts", "_record").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("s", F.last("s", ignorenulls=True).over(order)).filter("_record = 1")
-    return found.select(*usage.columns, F.col("s.log_org").alias("log_org"), F.col("s.log_name").alias("log_name"))
+    An equi-join on the hour: each hour of usage has its own switches and the last one before it, and the record picks among these. Only the hours,
+    a dimension, are put in order. ``broadcast`` overrides the choice by size.
+    """
+    last = switch_log.groupBy("at_ts").agg(F.max_by(F.struct("org", "nm"), "pos").alias("e"))  # of entries at one time the last in the log
+    entries = last.select(hour("at_ts").alias("_hour"), F.struct(F.col("at_ts").alias("at"), F.col("e.org").alias("org"), F.col("e.nm").alias("nm")).alias("s"))
+    own = entries.groupBy("_hour").agg(F.array_sort(F.collect_list("s")).alias("own"), F.max("s").alias("last"))
+    hours = usage.select(hour("ts").alias("_hour")).distinct().join(own, "_hour", "full")
+    before = F.last("last", ignorenulls=True).over(Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1))  # one row an hour
+    table = hours.select("_hour", F.filter(F.concat(F.array(before), F.coalesce("own", F.array())), lambda x: x.isNotNull()).alias("_switches"))
+    if broadcast is None:
+        broadcast = switch_log.limit(BROADCAST_LOG + 1).count() <= BROADCAST_LOG and hours.limit(BROADCAST_HOURS + 1).count() <= BROADCAST_HOURS
+    found = usage.withColumn("_hour", hour("ts")).join(F.broadcast(table) if broadcast else table.hint("merge"), "_hour", "left")
+    # ``_switches`` is in order of time, so the last one that isn't later than the record counts.
+    found = found.withColumn("_s", F.try_element_at(F.filter("_switches", lambda x: x["at"] <= F.col("ts")), F.lit(-1)))
+    return found.select(*usage.columns, F.col("_s.org").alias("log_org"), F.col("_s.nm").alias("log_name"))
 
 
 def with_account_name(usage: DataFrame, accounts: DataFrame) -> DataFrame:
-    """``usage`` with account_name, the name of its account's organisation (the first of equal ones)."""
-    names = accounts.groupBy(F.col("org_uuid").alias("_org")).agg(F.min("name").alias("account_name"))
+    """``usage`` with account_name, the name of its account's organisation.
+
+    Of several accounts of one organisation that of the smallest ``position`` counts, without such a column the first name.
+    """
+    first = F.min_by("name", "position") if "position" in accounts.columns else F.min("name")
+    names = accounts.groupBy(F.col("org_uuid").alias("_org")).agg(first.alias("account_name"))
     return usage.join(F.broadcast(names), F.col("account_uuid") == F.col("_org"), "left").drop("_org")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from usagelake.functions.text import format_duration_short, overage_text, percent
-from usagelake.operators.attribution import account_name_at
+from usagelake.operators.attribution import account_name_at, hour, with_account_name
 from usagelake.operators.cost import cost_sum
 
 #: Percentages at which an estimate is checked against the service.
@@ -68,21 +68,44 @@ def cost_in_range(priced: DataFrame, start: str, end: str) -> DataFrame:
 def cycle_costs(priced: DataFrame, cycles_: DataFrame) -> DataFrame:
     """Cost of the records within each cycle [start, end); records without a price count nothing.
 
-    Only the distinct spans, a few a cycle time, are broadcast; each record meets those of its time and is added up at once.
+    Records are added up by time and by hour first. A span then adds its whole hours, and of the hours at its edges the times
+    within, by equi-joins on the hour: its work is in proportion to its hours, not to the records.
     """
     spans = cycles_.select("start", "end").distinct()
-    records = priced.select("ts", "cost").join(F.broadcast(spans), (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")))
-    sums = records.groupBy("start", "end").agg(F.sum("cost").cast("double").alias("cost"))
+    times = priced.groupBy(hour("ts").alias("_hour"), "ts").agg(F.sum("cost").alias("cost"))
+    hours = times.groupBy("_hour").agg(F.sum("cost").alias("cost"))
+    each = spans.withColumn("_hour", F.explode(F.sequence(hour("start"), hour("end"))))
+    edge = (F.col("_hour") == hour("start")) | (F.col("_hour") == hour("end"))
+    inside = each.filter(~edge).join(hours, "_hour").select("start", "end", "cost")
+    partly = each.filter(edge).join(times, "_hour").filter((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end"))).select("start", "end", "cost")
+    sums = inside.unionByName(partly).groupBy("start", "end").agg(F.sum("cost").cast("double").alias("cost"))
     return cycles_.join(sums, ["start", "end"], "left").select("org_uuid", "number", "start", "end", F.coalesce("cost", F.lit(0.0)).alias("cost"))
 
 
-def cycle_report(priced: DataFrame, snapshots: DataFrame, resets: DataFrame, n: int = 4) -> DataFrame:
-    """Each cycle's period, utilization and its source, cost, and cost for one percent."""
+def of_account(usage: DataFrame, accounts: DataFrame, switch_log: DataFrame, name: str) -> DataFrame:
+    """The records of one account: those whose organisation has its name, and those without organisation while the switch log named it."""
+    known = account_name_at(with_account_name(usage, accounts), switch_log)
+    return known.filter(F.when(F.col("account_uuid").isNotNull(), F.col("account_name")).otherwise(F.col("log_name")) == name).select(*usage.columns)
+
+
+def cycle_report(priced: DataFrame, snapshots: DataFrame, resets: DataFrame, n: int = 4, state: DataFrame | None = None) -> DataFrame:
+    """Each cycle's period, utilization and its source, cost, cost for one percent, and overage text.
+
+    Completed cycles have the utilization of their newest snapshot, cached. The current one (number 0) is live where
+    ``state(org_uuid, live_pct, enabled, used_cents, limit_cents)`` says so, else estimated from its cost, else cached. Overage is the current
+    cycle's. ``priced`` may be one account's records (``of_account``).
+    """
     spans = cycles(resets, n)
-    known = snapshot_for(snapshots, spans).select("org_uuid", "number", "utilization")
-    out = cycle_costs(priced.filter("provider = 'claude'"), spans).join(known, ["org_uuid", "number"])
-    return out.select("org_uuid", "number", "start", "end", "utilization", F.lit("cached").alias("source"), "cost",
-                      F.when(F.col("utilization") > 0, F.col("cost") / F.col("utilization")).alias("cost_per_pct")).orderBy("org_uuid", "start")
+    last = latest_snapshots(snapshots).select("org_uuid", F.col("cycle").alias("_c"), "utilization", "cost_at_calibration")
+    rows = cycle_costs(priced.filter("provider = 'claude'"), spans).withColumn("_c", minute("end")).join(last, ["org_uuid", "_c"], "left").withColumn("cost_now", F.col("cost"))
+    if state is None:
+        rows = rows.select("*", F.lit(None).cast("double").alias("live_pct"), F.lit("—").alias("_over"))
+    else:
+        rows = rows.join(state.select("org_uuid", "live_pct", overage_text(F.col("enabled"), F.col("used_cents"), F.col("limit_cents")).alias("_over")), "org_uuid", "left")
+    current = F.col("number") == 0
+    out = resolve_usage(rows).withColumns({"utilization": F.when(current, F.col("pct")).otherwise(F.col("utilization")), "source": F.when(current, F.col("source")).otherwise("cached")})
+    return out.select("org_uuid", "number", "start", "end", "utilization", "source", "cost", F.when(F.col("utilization") > 0, F.col("cost") / F.col("utilization")).alias("cost_per_pct"),
+                      F.when(current, F.coalesce("_over", F.lit("—"))).otherwise("—").alias("overage")).orderBy("org_uuid", "start")
 
 
 def resolve_usage(orgs: DataFrame) -> DataFrame:
@@ -132,8 +155,8 @@ def account_overview(priced: DataFrame, accounts: DataFrame, switch_log: DataFra
     """One row for each account: own records in its current cycle up to ``now``, estimated utilization, and TOTAL for more than one account."""
     own = account_name_at(priced.filter("provider = 'claude'"), switch_log).withColumn("org", F.coalesce("account_uuid", "log_org"))
     spans = current_cycle(snapshots, now)
-    listed = accounts.select("name", "org_uuid", "subscription_type", "rate_limit_tier").join(F.broadcast(spans), "org_uuid", "left")
-    cost = own.join(F.broadcast(spans.withColumnRenamed("org_uuid", "org")), "org").filter((F.col("ts") >= F.col("start")) & (F.col("ts") < F.least("end", at(now))))
+    listed = accounts.select("name", "org_uuid", "subscription_type", "rate_limit_tier").join(spans, "org_uuid", "left")
+    cost = own.join(spans.withColumnRenamed("org_uuid", "org"), "org").filter((F.col("ts") >= F.col("start")) & (F.col("ts") < F.least("end", at(now))))
     cost = cost.groupBy(F.col("org").alias("org_uuid")).agg(cost_sum("zero").alias("cost_now"))
     last = latest_snapshots(snapshots).select("org_uuid", F.col("cycle"), "utilization", "cost_at_calibration")
     rows = listed.join(cost, "org_uuid", "left").withColumn("cycle", minute("end")).join(last, ["org_uuid", "cycle"], "left").withColumn("live_pct", F.lit(None).cast("double"))

@@ -58,7 +58,7 @@ def plan_report(snapshots: DataFrame, current: DataFrame, now: str) -> DataFrame
     projected current cycle. A way down to Pro is barred while the live Opus limit is at 25 or more. ``basis``
     says what was judged, ``mixed`` whether the four hold cycles of other or unknown plans.
     """
-    done = latest_snapshots_by_plan(snapshots).join(F.broadcast(current.select("org_uuid", F.col("plan").alias("own"), minute("end").alias("now_cycle"))), "org_uuid").filter("cycle <> now_cycle")
+    done = latest_snapshots_by_plan(snapshots).join(current.select("org_uuid", F.col("plan").alias("own"), minute("end").alias("now_cycle")), "org_uuid").filter("cycle <> now_cycle")
     newest = Window.partitionBy("org_uuid").orderBy(F.desc("cycle"), F.desc("captured_at"))
     recent = done.withColumn("_n", F.row_number().over(newest)).filter("_n <= 4")
     native = recent.filter("plan = own").select("org_uuid", "plan", F.col("utilization").alias("pct"))
@@ -82,8 +82,16 @@ def latest_snapshots_by_plan(snapshots: DataFrame) -> DataFrame:
     return out.select("org_uuid", "cycle", "plan", "s.utilization", "s.captured_at")
 
 
-def plan_table(snapshots: DataFrame, spark_plans: DataFrame) -> DataFrame:
-    """Each recent cycle's utilization as it would be on every plan; null for an unknown plan."""
-    rows = latest_snapshots(snapshots).join(F.broadcast(spark_plans.select("plan", F.col("units").alias("own"))), "plan", "left")
-    units = {r["plan"]: r["units"] for r in spark_plans.select("plan", "units").collect()}  # three rows
-    return rows.select("org_uuid", "cycle", "plan", *[project_pct(F.col("utilization"), F.col("own"), F.lit(u)).alias(f"on_{p}") for p, u in units.items()])
+def plan_table(snapshots: DataFrame, spark_plans: DataFrame, current: DataFrame) -> DataFrame:
+    """The last four completed cycles of each organisation of ``current(org_uuid, plan, end)`` as they would be on every plan.
+
+    Cycles of another plan are first taken to the organisation's own and from there to the others; null for an unknown plan.
+    """
+    done = latest_snapshots_by_plan(snapshots).join(current.select("org_uuid", F.col("plan").alias("own"), minute("end").alias("now_cycle")), "org_uuid").filter("cycle <> now_cycle")
+    newest = Window.partitionBy("org_uuid").orderBy(F.desc("cycle"), F.desc("captured_at"))
+    recent = done.withColumn("_n", F.row_number().over(newest)).filter("_n <= 4")
+    units = lambda name, to: F.broadcast(spark_plans.select(F.col("plan").alias(name), F.col("units").alias(to)))
+    rows = recent.join(units("plan", "units"), "plan", "left").join(units("own", "own_units"), "own", "left")
+    on_own = F.when(F.col("plan") == F.col("own"), F.col("utilization")).otherwise(project_pct(F.col("utilization"), F.col("units"), F.col("own_units")))
+    to = {r["plan"]: r["units"] for r in spark_plans.select("plan", "units").collect()}  # three rows
+    return rows.select("org_uuid", "cycle", "plan", *[F.when(F.col("own") == p, on_own).otherwise(project_pct(on_own, F.col("own_units"), F.lit(u))).alias(f"on_{p}") for p, u in to.items()])

@@ -170,7 +170,7 @@ def asof_account(s, d):
 
 @query("SELECT seq, log_org, log_name FROM named")
 def asof_account_merged(s, d):
-    return attribution._merged(_usage(s, d), fx.switch_log(s)).select("seq", "log_org", "log_name")
+    return attribution.account_name_at(_usage(s, d), fx.switch_log(s), broadcast=False).select("seq", "log_org", "log_name")
 
 
 @query("SELECT seq, CASE WHEN provider = 'claude' THEN coalesce(log_org, 'org-9') END AS account_uuid FROM named")
@@ -565,13 +565,33 @@ def weekly_cycles(s, d):
     return cycles.cycles(cycles.current_cycle(fx.snapshots(s, d), NOW).select("org_uuid", F.col("end").alias("resets_at")))
 
 
-@query(_CURRENT + """, cy AS (SELECT org_uuid, n AS number, e - (n + 1) * INTERVAL 7 DAY AS start, e - n * INTERVAL 7 DAY AS stop FROM cur, (SELECT CAST(unnest(range(4)) AS INT) AS n)),
-co AS (SELECT start, stop, CAST(coalesce(sum(cost), 0) AS DOUBLE) AS cost FROM (SELECT DISTINCT start, stop FROM cy) LEFT JOIN priced ON provider = 'claude' AND ts >= start AND ts < stop GROUP BY 1, 2)
-SELECT cy.org_uuid, number, cy.start, cy.stop AS "end", utilization, 'cached' AS source, cost, CASE WHEN utilization > 0 THEN cost / utilization END AS cost_per_pct
-FROM cy JOIN co USING (start, stop) LEFT JOIN latest ON latest.org_uuid = cy.org_uuid AND latest.cycle = date_trunc('minute', cy.stop)""")
-def cycle_report(s, d):
+def _cycle_sql(records: str) -> str:
+    """Cycles with live, estimated or cached utilization of the current one; ``records`` (cost, ts) are those that count."""
+    return _CURRENT + f""", cy AS (SELECT org_uuid, n AS number, e - (n + 1) * INTERVAL 7 DAY AS start, e - n * INTERVAL 7 DAY AS stop FROM cur, (SELECT CAST(unnest(range(4)) AS INT) AS n)),
+rec AS ({records}),
+co AS (SELECT start, stop, CAST(coalesce(sum(cost), 0) AS DOUBLE) AS cost FROM (SELECT DISTINCT start, stop FROM cy) LEFT JOIN rec ON ts >= start AND ts < stop GROUP BY 1, 2),
+r AS (SELECT cy.org_uuid, number, cy.start, cy.stop, cost, latest.utilization AS u, latest.cost_at_calibration AS k, o.live_pct, o.enabled, o.used_cents, o.limit_cents, number = 0 AS cur
+  FROM cy JOIN co USING (start, stop) LEFT JOIN latest ON latest.org_uuid = cy.org_uuid AND latest.cycle = date_trunc('minute', cy.stop) LEFT JOIN orgs o ON o.org_uuid = cy.org_uuid),
+f AS (SELECT *, CASE WHEN NOT cur THEN u WHEN live_pct IS NOT NULL THEN live_pct WHEN u > 0 AND k > 0 THEN cost / (k / u) ELSE u END AS utilization,
+  CASE WHEN NOT cur THEN 'cached' WHEN live_pct IS NOT NULL THEN 'live' WHEN u > 0 AND k > 0 THEN 'estimated' ELSE 'cached' END AS source FROM r)
+SELECT org_uuid, number, start, stop AS "end", utilization, source, cost, CASE WHEN utilization > 0 THEN cost / utilization END AS cost_per_pct,
+  CASE WHEN NOT cur OR enabled IS NULL THEN '—' WHEN NOT enabled THEN 'disabled' ELSE printf('$%d.%02d / $%d.%02d', used_cents // 100, used_cents % 100, limit_cents // 100, limit_cents % 100) END AS overage FROM f"""
+
+
+def _cycle_report(s, d, priced: DataFrame) -> DataFrame:
     n = fx.snapshots(s, d)
-    return cycles.cycle_report(_priced(s, d), n, cycles.current_cycle(n, NOW).select("org_uuid", F.col("end").alias("resets_at")))
+    return cycles.cycle_report(priced, n, cycles.current_cycle(n, NOW).select("org_uuid", F.col("end").alias("resets_at")), state=fx.orgs(s, d))
+
+
+@query(_cycle_sql("SELECT cost, ts FROM priced WHERE provider = 'claude'"))
+def cycle_report(s, d):
+    return _cycle_report(s, d, _priced(s, d))
+
+
+@query(_cycle_sql("""SELECT p.cost, p.ts FROM priced p JOIN named n ON p.seq = n.seq WHERE p.provider = 'claude'
+  AND CASE WHEN n.account_uuid IS NOT NULL THEN n.account_name ELSE n.log_name END = 'work'"""))
+def cycle_report_account(s, d):
+    return _cycle_report(s, d, cycles.of_account(_priced(s, d), fx.accounts(s), fx.switch_log(s), "work"))
 
 
 @query("SELECT CAST(coalesce(sum(cost), 0) AS DOUBLE) AS cost FROM priced WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-17 00:00:00'")
@@ -655,12 +675,16 @@ def plan_report(s, d):
     return plans.plan_report(fx.snapshots(s, d), _current(s, d), NOW)
 
 
-@query(""", la AS (SELECT org_uuid, date_trunc('minute', cycle_end) AS cycle, arg_max({'u': utilization, 'p': plan}, captured_at) AS s FROM snaps GROUP BY 1, 2)
-SELECT org_uuid, cycle, s.p AS plan, CAST(s.u * u / 1.0 AS DOUBLE) AS on_pro, CAST(s.u * u / 5.0 AS DOUBLE) AS on_max5x, CAST(s.u * u / 20.0 AS DOUBLE) AS on_max20x FROM la LEFT JOIN units ON units.plan = s.p""")
+@query(_CURRENT + """, cu AS (SELECT cur.org_uuid, plan AS own, e FROM cur JOIN orgs USING (org_uuid)),
+ls AS (SELECT org_uuid, date_trunc('minute', cycle_end) AS cycle, plan, arg_max(utilization, captured_at) AS util, max(captured_at) AS cap FROM snaps GROUP BY 1, 2, 3),
+re AS (SELECT * FROM (SELECT ls.*, own, row_number() OVER (PARTITION BY ls.org_uuid ORDER BY cycle DESC, cap DESC) AS n FROM ls JOIN cu ON ls.org_uuid = cu.org_uuid WHERE cycle <> date_trunc('minute', e)) WHERE n <= 4),
+oc AS (SELECT re.*, o.u AS ou, CASE WHEN re.plan = own THEN util ELSE util * p.u / o.u END AS x FROM re LEFT JOIN units p ON p.plan = re.plan LEFT JOIN units o ON o.plan = own)
+SELECT org_uuid, cycle, plan, CAST(CASE WHEN own = 'pro' THEN x ELSE x * ou / 1.0 END AS DOUBLE) AS on_pro, CAST(CASE WHEN own = 'max5x' THEN x ELSE x * ou / 5.0 END AS DOUBLE) AS on_max5x,
+  CAST(CASE WHEN own = 'max20x' THEN x ELSE x * ou / 20.0 END AS DOUBLE) AS on_max20x FROM oc""")
 def plan_table(s, d):
     from usagelake.schema import plans as table
 
-    return plans.plan_table(fx.snapshots(s, d), table(s))
+    return plans.plan_table(fx.snapshots(s, d), table(s), _current(s, d))
 
 
 @query(_CURRENT + f""", own AS (SELECT p.cost, p.ts, coalesce(n.account_uuid, n.log_org) AS org FROM priced p JOIN named n ON p.seq = n.seq WHERE p.provider = 'claude'),
