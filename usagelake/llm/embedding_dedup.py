@@ -3,8 +3,10 @@
 Each tree splits the unit vectors by random projections at the median of a bounded sample, down to
 leaves of about ``LEAF`` vectors; vectors within the spill margin of a split go to both sides. Vectors that
 share a leaf in any tree are compared, so a pair is missed only if every tree parts it. Leaves get vectors as sketches of
-16-bit numbers, a quarter of their bytes; pairs that the rounding leaves open are compared exactly (double precision) with
-the vectors joined later, so a link is never wrong. A leaf that holds more vectors than expected, because they lie close together, is compared in
+16-bit numbers, a quarter of their bytes, by which they are also routed; pairs that the rounding leaves open are compared exactly (double
+precision) with the vectors joined later, so a link is never wrong. A task can tell from the sketches which leaves two vectors share, so a pair
+counts in the first of them only, and the task returns each vector's number of links and links that join them, not
+the pairs: its rows grow with the vectors, however many are close together. A leaf that holds more vectors than expected, because they lie close together, is compared in
 blocks, pair of blocks by pair of blocks. Equal vectors are one vector with a multiplicity.
 
 The trees are fitted on at most ``FIT_ROWS`` distinct vectors chosen by hash; every vector is indexed.
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelake.llm.shared import broadcast_if_small, components, stored
+from usagelake.llm.shared import broadcast_if_small, components, spanning_links, stored
 
 COSINE = 0.9
 TREES = 6
@@ -34,6 +36,8 @@ BLOCK = 1_000
 ROUTED = 1_000
 #: A component of 1 in a sketch.
 UNIT = 32_767
+#: What a row of a leaf's results is: a vector and the number of rows that it is linked with, a link that joins, or a pair left open.
+COUNT, JOIN, OPEN = 0, 1, 2
 #: Overfull leaves are broadcast up to so many (20 bytes each).
 BROADCAST_LEAVES = 1_000_000
 
@@ -44,7 +48,7 @@ class Forest:
     def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 5):
         self.spill, self.seed, self.size = spill, seed, sample.shape[1] if len(sample) else 0
         self.depth = max(0, int(np.ceil(np.log2(max(1, rows) / leaf))))
-        self.thresholds: list[dict[int, float]] = []
+        self.thresholds: list[tuple[np.ndarray, np.ndarray]] = []  # nodes in order, and where they split
         for tree in range(trees):
             found: dict[int, float] = {}
             parts = {1: np.arange(len(sample))}
@@ -53,24 +57,25 @@ class Forest:
                 for node, mine in parts.items():
                     if len(mine) < 2:  # below what the sample tells, splits are at 0, so the forest is bounded by the sample
                         continue
-                    place = sample[mine] @ self.direction(tree, level)
+                    place = (sample[mine] * self.direction(tree, level)).sum(axis=1)
                     found[node] = float(np.median(place))
                     below[2 * node], below[2 * node + 1] = mine[place <= found[node]], mine[place > found[node]]
                 parts = below
-            self.thresholds.append(found)
+            nodes = np.array(sorted(found), np.int64)
+            self.thresholds.append((nodes, np.array([found[int(n)] for n in nodes])))
 
     def direction(self, tree: int, level: int) -> np.ndarray:
         v = np.random.default_rng([self.seed, tree, level]).normal(size=self.size)
         return v / np.linalg.norm(v)
 
-    def leaves(self, vectors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each tree: rows and leaves; a row in spill zones is in several leaves."""
-        for tree, thresholds in enumerate(self.thresholds):
+    def leaves(self, vectors: np.ndarray, trees: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each tree, or the first ``trees``: rows and leaves; a row in spill zones is in several leaves."""
+        for tree, (nodes, splits) in enumerate(self.thresholds[:trees]):
             row, node = np.arange(len(vectors)), np.ones(len(vectors), np.int64)
             for level in range(self.depth):
-                place = (vectors @ self.direction(tree, level))[row]
-                nodes, of = np.unique(node, return_inverse=True)
-                split = np.array([thresholds.get(int(n), 0.0) for n in nodes], float)[of]
+                place = (vectors * self.direction(tree, level)).sum(axis=1)[row]  # the same to the last bit in every task
+                at = np.minimum(np.searchsorted(nodes, node), max(0, len(nodes) - 1))
+                split = np.where(nodes[at] == node, splits[at], 0.0) if len(nodes) else 0.0
                 left, right = place <= split + self.spill, place > split - self.spill
                 row, node = np.r_[row[left], row[right]], np.r_[2 * node[left], 2 * node[right] + 1]
             yield tree, row, node
@@ -103,12 +108,12 @@ def _routed(shared):
         for batch in batches:
             for start in range(0, batch.num_rows, ROUTED):
                 part = batch.slice(start, ROUTED)
-                vectors = _vectors(part.column("v"))
-                sketches = pa.array([x.tobytes() for x in np.rint(vectors * UNIT).astype("<i2")], pa.binary())
-                for tree, row, node in forest.leaves(vectors):
+                sketch = np.rint(_vectors(part.column("v")) * UNIT)
+                sketches = pa.array([x.tobytes() for x in sketch.astype("<i2")], pa.binary())
+                for tree, row, node in forest.leaves(sketch / UNIT):
                     at = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), tree, np.int32)), pa.array(node), part.column("id").take(at), sketches.take(at)],
-                                                     names=["tree", "leaf", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), tree, np.int32)), pa.array(node), part.column("id").take(at), part.column("times").take(at), sketches.take(at)],
+                                                     names=["tree", "leaf", "id", "times", "v"])
 
     return run
 
@@ -118,22 +123,55 @@ def _sketched(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<i2").reshape(len(column), -1).astype(np.float64)
 
 
-def _compared(least: float):
-    """Pairs that may be links, within a block (one side only) or between two blocks of a leaf; ``sure`` ones are links whatever the rounding."""
+def _met_before(forest: Forest, x: np.ndarray, y: np.ndarray, tree: int, leaf: int) -> np.ndarray:
+    """Which vectors of x and y share a leaf of an earlier tree, or an earlier leaf of this one."""
+    seen = np.zeros((len(x), len(y)), dtype=bool)
+    for (number, row, node), (_, other, its) in zip(forest.leaves(x, tree + 1), forest.leaves(y, tree + 1), strict=True):
+        if number == tree:
+            row, node, other, its = row[node < leaf], node[node < leaf], other[its < leaf], its[its < leaf]
+        nodes = np.intersect1d(node, its)
+        for at in range(0, len(nodes), 2_000):
+            some = nodes[at : at + 2_000]
+            sides = []
+            for n, r, v in ((len(x), row, node), (len(y), other, its)):
+                on = np.isin(v, some)
+                one = np.zeros((n, len(some)), dtype=np.float32)
+                one[r[on], np.searchsorted(some, v[on])] = 1
+                sides.append(one)
+            seen |= sides[0] @ sides[1].T > 0
+    return seen
+
+
+def _compared(least: float, shared):
+    """The links within a block (one side only) or between two blocks of a leaf, of pairs that meet there first: COUNT, JOIN and OPEN rows."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         one = rows[rows["side"] == 0]
         two = rows[rows["side"] == 1] if rows["x"].iloc[0] < rows["y"].iloc[0] else one
-        if not len(one) or not len(two):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "sure": np.zeros(0, bool)})
-        x, y = _sketched(one["v"]), _sketched(two["v"])
-        off = np.sqrt(x.shape[1]) * 0.5 / UNIT  # the most by which a sketch is off its unit vector
-        slack = 2 * off + off * off + 1e-9
-        dot = x @ y.T
-        i, j = np.nonzero(dot >= (least - slack) * UNIT**2)
-        a, b = one["id"].to_numpy()[i], two["id"].to_numpy()[j]
-        on = (a < b) if two is one else (a != b)
-        return pd.DataFrame({"a": np.minimum(a, b)[on], "b": np.maximum(a, b)[on], "sure": (dot[i, j] >= (least + slack) * UNIT**2)[on]})
+        out = [np.zeros((3, 0), np.int64)]
+        if len(one) and len(two):
+            x, y = _sketched(one["v"]), _sketched(two["v"])
+            off = np.sqrt(x.shape[1]) * 0.5 / UNIT  # the most by which a sketch is off its unit vector
+            slack = 2 * off + off * off + 1e-9
+            dot = x @ y.T
+            a, b = one["id"].to_numpy(), two["id"].to_numpy()
+            near = (dot >= (least - slack) * UNIT**2) & (a[:, None] < b[None, :] if two is one else a[:, None] != b[None, :])
+            i, j = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            near, dot, a, b = near[np.ix_(i, j)], dot[np.ix_(i, j)], a[i], b[j]
+            if near.any():
+                near &= ~_met_before(shared.value, x[i] / UNIT, y[j] / UNIT, int(rows["tree"].iloc[0]), int(rows["leaf"].iloc[0]))
+                sure = near & (dot >= (least + slack) * UNIT**2)
+                p, q = np.nonzero(near & ~sure)
+                out.append(np.array([np.full(len(p), OPEN), np.minimum(a[p], b[q]), np.maximum(a[p], b[q])]))
+                for ids, count in ((a, sure @ two["times"].to_numpy()[j]), (b, one["times"].to_numpy()[i] @ sure)):
+                    out.append(np.array([np.full((count > 0).sum(), COUNT), ids[count > 0], count[count > 0]]))
+                ids = np.union1d(a, b)
+                square = np.zeros((len(ids), len(ids)), dtype=bool)
+                square[np.ix_(np.searchsorted(ids, a), np.searchsorted(ids, b))] = sure
+                joins = np.array(spanning_links(square | square.T), np.int64).reshape(-1, 2)
+                out.append(np.array([np.full(len(joins), JOIN), ids[joins].min(axis=1), ids[joins].max(axis=1)]))
+        kind, a, b = np.concatenate(out, axis=1)
+        return pd.DataFrame({"kind": kind.astype(np.int32), "a": a, "b": b})
 
     return run
 
@@ -164,12 +202,12 @@ def link(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: i
     same = units.groupBy("size", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("times"), F.countDistinct("vec_id").alias("ids"))
     same = stored(same, "distinct-vectors")
     sizes = [r[0] for r in same.select("size").distinct().collect()]
-    pairs = None
+    links = None
     for size in sizes:
         mine = same.filter(F.col("size") == size)
         sample = mine.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toPandas()
         shared = spark.sparkContext.broadcast(Forest(_vectors(sample["v"]), mine.count(), trees, leaf, spill))
-        routed = mine.select("id", "v").mapInArrow(_routed(shared), "tree int, leaf long, id long, v binary")
+        routed = mine.select("id", "times", "v").mapInArrow(_routed(shared), "tree int, leaf long, id long, times long, v binary")
         full = routed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
         full = stored(full.select("tree", "leaf", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "full-leaves")
         rows = routed.join(broadcast_if_small(full, BROADCAST_LEAVES), ["tree", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -180,22 +218,23 @@ def link(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: i
             F.transform(F.sequence(block, last), lambda y: F.struct(block.alias("x"), y.alias("y"), F.lit(0).alias("side"))),
             F.when(block > 0, F.transform(F.sequence(F.lit(0), block - 1), lambda x: F.struct(x.alias("x"), block.alias("y"), F.lit(1).alias("side")))).otherwise(
                 F.array().cast("array<struct<x:int,y:int,side:int>>")))
-        rows = rows.select("tree", "leaf", "id", "v", F.explode(meets).alias("m")).select("tree", "leaf", "id", "v", "m.*")
-        met = rows.groupBy("tree", "leaf", "x", "y").applyInPandas(_compared(cosine), "a long, b long, sure boolean").distinct()
-        met = stored(met, "met")
-        known = met.filter("not sure").join(mine.select(F.col("id").alias("a"), F.col("v").alias("x")).hint("merge"), "a")
+        rows = rows.select("tree", "leaf", "id", "times", "v", F.explode(meets).alias("m")).select("tree", "leaf", "id", "times", "v", "m.*")
+        met = stored(rows.groupBy("tree", "leaf", "x", "y").applyInPandas(_compared(cosine, shared), "kind int, a long, b long"), "met")
+        known = met.filter(F.col("kind") == OPEN).join(mine.select(F.col("id").alias("a"), F.col("v").alias("x")).hint("merge"), "a")
         known = known.join(mine.select(F.col("id").alias("b"), F.col("v").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
-        met = met.filter("sure").select("a", "b").unionByName(known.mapInArrow(_exact(cosine), "a long, b long")).distinct()
-        pairs = met if pairs is None else pairs.unionByName(met)
-    if pairs is None:
-        pairs = spark.createDataFrame([], "a long, b long")
-    pairs = stored(pairs, "vector-links")
-    times = same.select("id", "times")
+        met = met.filter(F.col("kind") != OPEN).unionByName(known.mapInArrow(_exact(cosine), "a long, b long").withColumn("kind", F.lit(OPEN)))
+        links = met if links is None else links.unionByName(met)
+    if links is None:
+        links = spark.createDataFrame([], "kind int, a long, b long")
+    links = stored(links, "vector-links")
+    times, pairs = same.select("id", "times"), links.filter(F.col("kind") == OPEN)
     sides = pairs.select(F.col("a").alias("id"), F.col("b").alias("o")).union(pairs.select(F.col("b").alias("id"), F.col("a").alias("o")))
-    others = sides.join(times.select(F.col("id").alias("o"), "times").hint("merge"), "o").groupBy("id").agg(F.sum("times").alias("others"))
+    sides = sides.join(times.select(F.col("id").alias("o"), "times").hint("merge"), "o").select("id", "times")
+    counted = links.filter(F.col("kind") == COUNT).select(F.col("a").alias("id"), F.col("b").alias("times"))
+    others = counted.union(sides).groupBy("id").agg(F.sum("times").alias("others"))
     of_row = units.join(same.select("size", "v", "id", "times").hint("merge"), ["size", "v"]).select("vec_id", "id", "times")
     of_row = stored(of_row.groupBy("vec_id", "id", "times").agg(F.count("*").alias("rows")), "vector-ids")
-    edges = pairs.unionByName(of_row.filter("vec_id <> id").select(F.col("vec_id").alias("a"), F.col("id").alias("b")))
+    edges = links.filter(F.col("kind") != COUNT).select("a", "b").unionByName(of_row.filter("vec_id <> id").select(F.col("vec_id").alias("a"), F.col("id").alias("b")))
     labels = components(edges)
     linked = of_row.join(others.hint("merge"), "id", "left").select("vec_id", (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("n"))
     linked = linked.groupBy("vec_id").agg(F.max("n").alias("n"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagelake.llm.hashing import mix, run_hashes, split_words, word_hashes
-from usagelake.llm.shared import broadcast_if_small, components, discard, stored
+from usagelake.llm.shared import broadcast_if_small, components, discard, spanning_links, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -198,18 +198,7 @@ def joining_links(sets: list[np.ndarray], side: np.ndarray, similarity: float) -
     if side.any() and not side.all():
         near &= side[:, None] != side[None, :]
     np.fill_diagonal(near, False)
-    out: list[tuple[int, int]] = []
-    new = near.any(axis=1)
-    while new.any():
-        todo = [int(np.argmax(new))]
-        new[todo[0]] = False
-        while todo:
-            at = todo.pop()
-            found = np.flatnonzero(near[at] & new).tolist()
-            new[found] = False
-            out += [(at, x) for x in found]
-            todo += found
-    return out
+    return spanning_links(near)
 
 
 def _linked(similarity: float):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,22 @@ def held_out(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == 2, F.lit(False))
 
 
+def spanning_links(near: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join all that the symmetric matrix joins: a spanning forest."""
+    out: list[tuple[int, int]] = []
+    new = near.any(axis=1)
+    while new.any():
+        todo = [int(np.argmax(new))]
+        new[todo[0]] = False
+        while todo:
+            at = todo.pop()
+            found = np.flatnonzero(near[at] & new).tolist()
+            new[found] = False
+            out += [(at, x) for x in found]
+            todo += found
+    return out
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``node, component`` for each node of an edge.
 
