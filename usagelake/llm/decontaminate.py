@@ -19,8 +19,8 @@ WINDOW = 10
 K = 5
 #: The fingerprints of a benchmark are broadcast up to so many rows (about 30 bytes each).
 BROADCAST_FINGERPRINTS = 1_000_000
-#: The texts of a benchmark are broadcast up to so many items.
-BROADCAST_ITEMS = 20_000
+#: The texts of a benchmark are broadcast up to so many items and words.
+BROADCAST_ITEMS, BROADCAST_WORDS = 20_000, 4_000_000
 
 
 def words(text: Column) -> Column:
@@ -97,7 +97,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: in
         {"n_words": F.size("w"), "row_no": F.monotonically_increasing_id()})
     marked = _fingerprints(read, ["row_no", "doc_id", "n_words"], lengths, window, k, context=True)
     # One more entry for each row keeps its word count when no fingerprint of it is found.
-    none = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).cast("bigint").alias("h"), F.lit(-1).alias("p"),
+    # Its hash is the row's number, so that these entries are spread where the join shuffles.
+    none = F.array(F.struct(F.lit(-1).alias("kind"), F.col("row_no").alias("h"), F.lit(-1).alias("p"),
                             F.array().cast("array<string>").alias("near")))
     marked = marked.select("row_no", "doc_id", "n_words", F.explode_outer(F.concat(none, "fps")).alias("f")).select(
         "row_no", "doc_id", "n_words", "f.*")
@@ -105,7 +106,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: in
         "kind = -1 or item_no is not null")
     found = stored(found.drop("h"), "found")
 
-    texts = broadcast_if_small(items.select("item_no", F.col("item_id").cast("string").alias("item"), F.col("w").alias("iw")), BROADCAST_ITEMS)
+    texts = items.select("item_no", F.col("item_id").cast("string").alias("item"), F.col("w").alias("iw"))
+    size = items.agg(F.count("*").alias("items"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
+    if size["items"] <= BROADCAST_ITEMS and size["words"] <= BROADCAST_WORDS:
+        texts = F.broadcast(texts)
     length, ahead = F.least(F.lit(window), F.size("iw")), F.least(F.when(F.col("kind") == 0, window - k).otherwise(0), "p")
 
     def agrees(s: Column) -> Column:
@@ -128,12 +132,14 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those in which a window of a benchmark item occurs; all columns stay.
 
     Each row is judged by its own text: rows are matched by id and text, so clean rows that share their doc_id, null
-    included, with a contaminated one stay.
+    included, with a contaminated one stay. Null and empty texts stay, rows that repeat are each judged, whatever the names of other columns; an
+    empty table gives no rows.
     """
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    hits = find_hits(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark)
-    bad = hits.filter(F.size("hits") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return keyed.join(bad.hint("merge"), keyed["_row"] == bad["_bad"], "left_anti").select(*docs.columns)
+    # One column holds the row, so no name of it can clash.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    hits = find_hits(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), benchmark)
+    bad = hits.filter(F.size("hits") > 0).select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(bad.hint("merge"), "key", "left_anti").select("row.*")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

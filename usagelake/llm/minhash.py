@@ -383,16 +383,18 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document of each class; all columns stay.
 
     Classes are of rows, matched by id and text, so unlike texts that share a doc_id, null included, each stay. Of a class the row
-    of the smallest doc_id stays (null ids last); of rows that repeat both id and text one.
+    of the smallest doc_id stays (null ids last); of rows that repeat both id and text one. Of all null and empty texts, which are one class, one
+    stays; other columns may have any name; an empty table gives no rows.
     """
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    classes = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("_row")).agg(
+    # One column holds the row, so no name of it can clash.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    classes = near_duplicates(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))).groupBy(F.col("doc_id").alias("key")).agg(
         F.min("class_id").alias("class_id"), F.count("*").alias("n"))
-    ids = keyed.select("_row", "doc_id").distinct()
-    first = F.min_by(F.struct("_row", "n"), F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("one")
-    kept = classes.join(ids.hint("merge"), "_row").groupBy("class_id").agg(first)
-    kept = stored(kept.select(F.col("one._row").alias("_kept"), "one.n"), "kept")
-    out = keyed.join(kept.select("_kept").hint("merge"), keyed["_row"] == kept["_kept"], "left_semi")
+    ids = keyed.select("key", F.col("row")["doc_id"].alias("doc_id")).distinct()
+    first = F.min_by(F.struct("key", "n"), F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("one")
+    kept = classes.join(ids.hint("merge"), "key").groupBy("class_id").agg(first)
+    kept = stored(kept.select("one.key", "one.n"), "kept")
+    out = keyed.join(kept.select("key").hint("merge"), "key", "left_semi")
     if kept.filter("n > 1").limit(1).count():
-        out = out.dropDuplicates(["_row"])
-    return out.select(*docs.columns)
+        out = out.dropDuplicates(["key"])
+    return out.select("row.*")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelake.llm.hashing import run_hashes, split_words, word_hashes
+from usagelake.llm.hashing import mix, run_hashes, split_words, word_hashes
 from usagelake.llm.shared import stored
 
 #: Words of a window: shorter repeats are kept.
@@ -53,6 +53,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iterator[
                 start, held, have = i + 1, [], 0
 
 
+def _again(words: np.ndarray) -> np.ndarray:
+    """Other hashes of the words, so that runs of words are told apart by 128 bits."""
+    return mix(words ^ np.uint64(0xA0761D6478BD642F))
+
+
 def _windows(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """The starts of all whole windows and the text of each."""
     counts = np.maximum(np.diff(first) - window + 1, 0)
@@ -79,11 +84,11 @@ def _blocks(window: int, anchor: int):
             head = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (text[1:] != text[:-1])])
             tail = np.r_[head[1:], len(start)] - 1
             a, b = start[head], start[tail]
-            block = run_hashes(words, a, b + window)
+            block, check = run_hashes(words, a, b + window), run_hashes(_again(words), a, b + window)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows[text[head]]), pa.array((a - first[text[head]]).astype(np.int32)), pa.array((b - a + 1).astype(np.int16)),
-                 pa.array(low[head].view(np.int64)), pa.array(block.view(np.int64))],
-                names=["row", "at", "n", "anchor", "block"],
+                 pa.array(low[head].view(np.int64)), pa.array(block.view(np.int64)), pa.array(check.view(np.int64))],
+                names=["row", "at", "n", "anchor", "block", "check"],
             )
 
     return run
@@ -95,19 +100,20 @@ def _edge_windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, (wanted,), texts in _pieces(batches):
             _, _, _, words, first = _batch_words(texts)
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            second = _again(words)
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for i, row in enumerate(rows):
                 w = wanted[i].values
                 at = w.field("at").to_numpy(zero_copy_only=False).astype(np.int64)
                 n = w.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
                 block = np.repeat(np.arange(len(at)), n)
                 start = at[block] + np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n)
-                h = run_hashes(words, first[i] + start, first[i] + start + window)
-                for k, x in enumerate((np.full(len(start), row), start.astype(np.int32), h.view(np.int64),
+                h, check = (run_hashes(x, first[i] + start, first[i] + start + window) for x in (words, second))
+                for k, x in enumerate((np.full(len(start), row), start.astype(np.int32), h.view(np.int64), check.view(np.int64),
                                        w.field("times").to_numpy(zero_copy_only=False)[block],
                                        w.field("lone").to_numpy(zero_copy_only=False)[block])):
                     out[k].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["row", "at", "h", "times", "lone"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["row", "at", "h", "check", "times", "lone"])
 
     return run
 
@@ -123,15 +129,15 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     ``row`` is xxhash64(doc_id, text); rows equal in both share it and all their windows are repeated.
     """
     texts = _numbered(docs)
-    blocks = stored(texts.mapInArrow(_blocks(window, anchor), "row long, at int, n short, anchor long, block long"), "blocks")
-    kinds = blocks.groupBy("anchor", "block").agg(F.count("*").alias("times"))
+    blocks = stored(texts.mapInArrow(_blocks(window, anchor), "row long, at int, n short, anchor long, block long, check long"), "blocks")
+    kinds = blocks.groupBy("anchor", "block", "check").agg(F.count("*").alias("times"))
     # Anchors of at least two different blocks: their windows have to be looked at one by one.
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("times").alias("total")).filter("total > 1")
     mixed = stored(mixed.select("anchor", (F.col("kinds") > 1).alias("mixed")), "anchors")
     met = stored(blocks.join(mixed, "anchor"), "met")
-    times = stored(met.groupBy("block").agg(
+    times = stored(met.groupBy("block", "check").agg(
         F.count("*").alias("times"), F.min(F.struct("row", "at", "n")).alias("one"), F.max("mixed").alias("mixed")), "kinds")
-    whole = met.join(times.filter("times > 1").select("block"), "block").select("row", "at", "n")
+    whole = met.join(times.filter("times > 1").select("block", "check"), ["block", "check"]).select("row", "at", "n")
 
     # One occurrence of each distinct block of such an anchor speaks for all its occurrences.
     wanted = times.filter("mixed").select(
@@ -139,10 +145,10 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
                                                (F.col("times") == 1).alias("lone")).alias("w"))
     wanted = wanted.groupBy("id").agg(F.collect_list("w").alias("wanted"))
     edges = texts.join(wanted, F.col("row") == F.col("id")).select("row", "text", "wanted").mapInArrow(
-        _edge_windows(window), "row long, at int, h long, times long, lone boolean")
+        _edge_windows(window), "row long, at int, h long, check long, times long, lone boolean")
     edges = stored(edges, "edges")
-    again = stored(edges.groupBy("h").agg(F.sum("times").alias("times")).filter("times > 1").select("h"), "again")
-    single = edges.filter("lone").join(again, "h").select("row", "at", F.lit(1).cast("short").alias("n"))
+    again = stored(edges.groupBy("h", "check").agg(F.sum("times").alias("times")).filter("times > 1").select("h", "check"), "again")
+    single = edges.filter("lone").join(again, ["h", "check"]).select("row", "at", F.lit(1).cast("short").alias("n"))
     return whole.unionByName(single)
 
 
