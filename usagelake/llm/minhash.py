@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagelake.llm.hashing import mix, run_hashes, split_words, word_hashes
-from usagelake.llm.shared import broadcast_if_small, components, discard, spanning_links, stored
+from usagelake.llm.shared import broadcast_if_small, components, discard, freeing, spanning_links, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -241,9 +241,9 @@ def _compared(members: DataFrame, texts: DataFrame, similarity: float, shingle:
     """Links a, b between the texts of ``members(id, block, side)`` that meet in a block; an id stands in as many blocks as it has rows."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = stored(members.select("id").distinct(), "ids")
-    chosen = texts.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi").mapInArrow(_items(shingle), "id long, items binary")
+    chosen = texts.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi").mapInArrow(freeing(_items(shingle)), "id long, items binary")
     rows = members.join(chosen.hint("merge"), "id").select("block", "id", "side", "items")
-    found = rows.repartition(parts, "block").sortWithinPartitions("block", "id").mapInArrow(_linked(similarity), "a long, b long")
+    found = rows.repartition(parts, "block").sortWithinPartitions("block", "id").mapInArrow(freeing(_linked(similarity)), "a long, b long")
     return stored(found.filter("a <> b").distinct(), "links")
 
 
@@ -257,7 +257,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: in
     def side(column: str, as_name: str) -> DataFrame:
         ids = stored(pairs.select(F.col(column).alias("id")).distinct(), "ids")
         chosen = texts.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi")
-        return chosen.mapInArrow(_items(shingle), "id long, items binary").select(F.col("id").alias(column), F.col("items").alias(as_name)).hint("merge")
+        return chosen.mapInArrow(freeing(_items(shingle)), "id long, items binary").select(F.col("id").alias(column), F.col("items").alias(as_name)).hint("merge")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +267,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: in
             yield batch.select(["a", "b"]).filter(pa.array(both >= similarity * (size - both)))
 
     met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-    return stored(met.mapInArrow(alike, "a long, b long").distinct(), "links")
+    return stored(met.mapInArrow(freeing(alike), "a long, b long").distinct(), "links")
 
 
 def _blocks(rows: str, shingles: str):
@@ -344,7 +344,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     other, and each is returned (a doc_id with several texts joins their classes); other columns are ignored; an empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    signed = stored(texts.mapInArrow(_signed(shingle, bands, rows), "id long, k1 long, k2 long, n int, bands array<long>"), "signed")
+    signed = stored(texts.mapInArrow(freeing(_signed(shingle, bands, rows)), "id long, k1 long, k2 long, n int, bands array<long>"), "signed")
     same = signed.filter("id is not null").groupBy("k1", "k2").agg(F.min(F.struct("id", "n", "bands")).alias("one"))
     same = stored(same.select("k1", "k2", F.col("one.id").alias("id"), F.col("one.n").alias("n"), F.col("one.bands").alias("bands")), "texts")
     spread = same.filter("n > 0").select("id", F.posexplode("bands").alias("band", "key"))

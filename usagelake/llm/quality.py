@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagelake.llm.hashing import split_words, word_hashes
-from usagelake.llm.shared import held_out
+from usagelake.llm.shared import freeing, held_out
 
 #: The most labelled rows that the model is fitted on, chosen by a hash of their id.
 FIT_ROWS = 6_000
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     marked = marked.filter(~held_out(F.col("doc_id"), 4)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("_id"), F.col("label").cast("int").alias("label"))
     docs = docs.select("doc_id", "text")
     sample = docs.join(F.broadcast(marked), docs["doc_id"] == marked["_id"]).select("doc_id", F.col("text").cast("binary").alias("text"), "label")
-    made = sample.mapInArrow(_featured, "label int, ids array<int>, values array<double>").collect()
+    made = sample.mapInArrow(freeing(_featured), "label int, ids array<int>, values array<double>").collect()
     made.sort(key=lambda r: (r["label"], zlib.crc32(str(r["ids"]).encode())))  # the order of tasks doesn't matter
     return fit([(np.array(r["ids"], np.int64), np.array(r["values"]), r["label"]) for r in made])
 
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_scored(shared), f"doc_id {kind}, score double")
+    out = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(freeing(_scored(shared)), f"doc_id {kind}, score double")
     return out.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -201,6 +201,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
             for at, texts in _parts(batch.column(names.index("text"))):
                 yield batch.slice(at, len(texts)).filter(pa.array(model.score(texts) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)
 
 

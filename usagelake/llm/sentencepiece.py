@@ -31,6 +31,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagelake.llm.shared import freeing
+
 #: The vocabulary used by the registered queries.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -428,17 +430,17 @@ def encode(docs: DataFrame, model: str = MODEL, decoded: bool = False) -> DataFr
     name = vocabulary(spark, model)
     longest = _read(name).longest
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(_portions(name), f"doc_id {kind}, doc binary, number int, place int, word string, codes array<int>")
+    rows = docs.select("doc_id", "text").mapInArrow(freeing(_portions(name)), f"doc_id {kind}, doc binary, number int, place int, word string, codes array<int>")
     start, n = F.shiftright("code", 8), F.col("code").bitwiseAND(255)
     edges = rows.select("doc_id", "doc", "number", "place", "word", F.explode_outer("codes").alias("code")).select(
         "doc_id", "doc", "number", ((F.col("place") + start).cast("long") * 256 + n).alias("spot"), F.substring("word", start + 1, n).alias("piece"),
         F.when(F.col("code") == 0, F.col("word")).alias("unit"))
     edges = edges.join(F.broadcast(piece_table(spark, model)), "piece", "left").filter("number is null or unit is not null or id is not null")
     edges = edges.select("doc_id", "doc", "number", "spot", F.col("id").alias("piece_id"), "unit")
-    units = edges.mapInArrow(_grouped(name), f"doc_id {kind}, doc binary, number int, ends array<array<array<struct<code:int,score:double>>>>")
+    units = edges.mapInArrow(freeing(_grouped(name)), f"doc_id {kind}, doc binary, number int, ends array<array<array<struct<code:int,score:double>>>>")
     # Lists that are null for many rows on end are slow to send to Python, so a document's is empty.
     lasts = F.when(F.col("number").isNotNull(), last_pieces(F.col("ends"), longest)).otherwise(F.array().cast("array<int>"))
-    return units.select("doc_id", "doc", "number", lasts.alias("lasts")).mapInArrow(_assembled(name, decoded), f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded)
+    return units.select("doc_id", "doc", "number", lasts.alias("lasts")).mapInArrow(freeing(_assembled(name, decoded)), f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded)
 
 
 def _decoded(name: str, columns: list[str]):
