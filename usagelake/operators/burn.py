@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from usagelake.operators.cost import cost_sum
 from usagelake.schema import TOKENS
 
 
@@ -27,8 +26,8 @@ def _capped(gap: Column, cap: int) -> Column:
 def _gaps(usage: DataFrame, keys: list[str], cap: int) -> DataFrame:
     """Seconds from each record to the one before of its group, at most the cap; the first has none.
 
-    A group is split by day before it is sorted, so a session of any length is no single task: each day's first record
-    looks at the last record of the group's day before.
+    A group is split by day before it is sorted, so what one task sorts is a group's day, not a session of any length: each day's first
+    record looks at the last record of the group's day before.
     """
     at = usage.select(*keys, seconds(F.col("ts")).alias("s")).withColumn("_day", F.floor(F.col("s") / 86_400))
     inside = Window.partitionBy(*keys, "_day").orderBy("s")
@@ -57,22 +56,37 @@ def _rates(sums: DataFrame, key: str) -> DataFrame:
                        per("cost", "active_secs", 3600.0).alias("cost_per_active_hour"), per("cost", "calendar_days", 1.0).alias("cost_per_calendar_day"))
 
 
+def _by_day(priced: DataFrame, keys: list[str], cap: int, tz: str) -> DataFrame:
+    """One row for each group, session and day: tokens, cost, numbers of records and of priced ones, active seconds, and local days.
+
+    One pass serves all: gaps within a day are taken where the day is grouped, those between days from its first and last record.
+    """
+    at = priced.select(*keys, "session_id", seconds(F.col("ts")).alias("s"), F.to_date(F.from_utc_timestamp(F.col("ts").cast("timestamp"), tz)).alias("d"),
+                       record_tokens().alias("t"), "cost").withColumn("_day", F.floor(F.col("s") / 86_400))
+    near = at.withColumn("gap", _capped(F.col("s") - F.lag("s").over(Window.partitionBy(*keys, "session_id", "_day").orderBy("s")), cap))
+    days = near.groupBy(*keys, "session_id", "_day").agg(
+        F.sum("t").alias("tokens"), F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("n"), F.count("cost").alias("priced"),
+        F.min("s").alias("first"), F.max("s").alias("last"), F.sum("gap").alias("gap"), F.collect_set("d").alias("days"))
+    edge = _capped(F.col("first") - F.lag("last").over(Window.partitionBy(*keys, "session_id").orderBy("_day")), cap)
+    return days.withColumn("gap", F.coalesce("gap", F.lit(0)) + F.coalesce(edge, F.lit(0)))
+
+
+def _burned(days: DataFrame, key: Column) -> DataFrame:
+    out = days.groupBy(key.alias("model")).agg(
+        F.sum("tokens").alias("tokens"), F.when(F.sum("n") == F.sum("priced"), F.sum("cost")).cast("double").alias("cost"), F.sum("gap").alias("active_secs"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("days")))).cast("bigint").alias("calendar_days"))
+    return _rates(out, "model")
+
+
 def burn_models(priced: DataFrame, idle_gap_mins: int = 5, tz: str = "UTC") -> DataFrame:
     """One row for each model, the dearest first, unpriced ones last; a record without a price makes its model's cost null."""
-    cap = 60 * idle_gap_mins
-    sums = priced.groupBy("model").agg(F.sum(record_tokens()).alias("tokens"), cost_sum("poison").alias("cost"))
-    active = _gaps(priced, ["model", "session_id"], cap).groupBy("model").agg(F.coalesce(F.sum("gap"), F.lit(0)).alias("active_secs"))
-    out = _rates(sums.join(active, "model").join(local_days(priced, ["model"], tz), "model"), "model")
+    out = _burned(_by_day(priced, ["model"], 60 * idle_gap_mins, tz), F.col("model"))
     return out.orderBy(F.col("cost").desc_nulls_last(), F.col("tokens").desc(), "model")
 
 
 def burn_all(priced: DataFrame, idle_gap_mins: int = 5, tz: str = "UTC") -> DataFrame:
     """The row ALL: gaps within sessions whatever the model, so its active time isn't the models' sum."""
-    one = F.lit("ALL").alias("model")
-    sums = priced.groupBy(one).agg(F.sum(record_tokens()).alias("tokens"), cost_sum("poison").alias("cost"))
-    active = _gaps(priced, ["session_id"], 60 * idle_gap_mins).groupBy(one).agg(F.coalesce(F.sum("gap"), F.lit(0)).alias("active_secs"))
-    days = local_days(priced.withColumn("model", F.lit("ALL")), ["model"], tz)
-    return _rates(sums.join(active, "model").join(days, "model"), "model")
+    return _burned(_by_day(priced, [], 60 * idle_gap_mins, tz), F.lit("ALL"))
 
 
 def burn(priced: DataFrame, idle_gap_mins: int = 5, tz: str = "UTC") -> DataFrame:

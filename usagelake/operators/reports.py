@@ -30,16 +30,21 @@ def report(priced: DataFrame, by: str = "daily") -> DataFrame:
     """One row for each bucket: token sums, cost (unpriced records ignored), and lists of models, projects and tools.
 
     ``models`` are short names by cost, dearest first; ``projects`` and ``tools`` are sorted. Two levels of
-    grouping: the first, by bucket, model, project and tool, is small whatever the input.
+    grouping: the first, by bucket, model, project and tool, is small whatever the input; a bucket's models are added up in its row.
     """
     fine = priced.groupBy(bucket(by).alias("bucket"), "model", "project", "provider").agg(*sums(), F.sum("cost").alias("cost"))
-    by_model = fine.groupBy("bucket", "model").agg(
-        *sums(), F.sum("cost").alias("cost"), F.collect_set("project").alias("ps"), F.collect_set("provider").alias("ts"))
-    order = F.struct((-F.coalesce(F.col("cost"), F.lit(0))).alias("c"), F.col("model"))
-    out = by_model.groupBy("bucket").agg(
-        *sums(), F.sum("cost").cast("double").alias("cost"), F.array_sort(F.collect_list(order)).alias("ms"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("projects"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("tools"))
-    return out.select("bucket", *TOKENS, "cost", F.transform("ms", lambda m: short_model(m["model"])).alias("models"), "projects", "tools").orderBy("bucket")
+    out = fine.groupBy("bucket").agg(
+        *sums(), F.sum("cost").cast("double").alias("cost"), F.collect_list(F.struct("model", "cost")).alias("parts"),
+        F.array_sort(F.collect_set("project")).alias("projects"), F.array_sort(F.collect_set("provider")).alias("tools"))
+    money = "decimal(38,12)"
+
+    def cost_of(model: Column) -> Column:
+        mine = F.filter("parts", lambda p: p["model"] == model)
+        return F.aggregate(mine, F.lit(0).cast(money), lambda a, p: (a - F.coalesce(p["cost"], F.lit(0).cast(money))).cast(money))
+
+    order = F.transform(F.array_distinct(F.transform("parts", lambda p: p["model"])), lambda m: F.struct(cost_of(m).alias("c"), m.alias("model")))
+    models = F.transform(F.array_sort(order), lambda m: short_model(m["model"]))
+    return out.select("bucket", *TOKENS, "cost", models.alias("models"), "projects", "tools").orderBy("bucket")
 
 
 def totals(priced: DataFrame, by: str) -> DataFrame:
