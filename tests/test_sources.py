@@ -130,3 +130,17 @@ def test_times_and_tokens_beyond_all_bounds_end_no_job(spark):
     far = '{"message":{"role":"assistant","model":"m","timestamp":%d,"usage":{"input":%d,"output":2}}}'
     got = providers.extract_openclaw(lines(spark, "/agents/a/s.jsonl", far % (9_000_000_000_000_000_000, 1), far % (1_700_000_000_000, 2_000_000_000_000)))
     assert [r.input_tokens for r in got.collect()] == [2_000_000_000_000]
+
+
+def test_documents_and_storage_folders_are_read(spark, tmp_path):
+    session, message = tmp_path / "storage/session/p", tmp_path / "storage/message/s1"
+    session.mkdir(parents=True)
+    message.mkdir(parents=True)
+    (session / "s1.json").write_text(json.dumps({"id": "s1", "directory": "/home/u/app"}))
+    one = {"id": "m1", "sessionID": "s1", "providerID": "x", "modelID": "m", "time": {"created": 1_700_000_000_000}, "tokens": {"input": 1, "output": 2}}
+    (message / "m1.json").write_text(json.dumps(one, indent=1))
+    (message / "m2.json").write_text(json.dumps({**one, "id": "m2", "modelID": 7}))
+    (message / "m3.txt").write_text(json.dumps({**one, "id": "m3"}))
+    docs = ingest.read_docs(spark, [str(tmp_path)])
+    assert docs.count() == 3 and docs.filter("size > 0 and mtime is not null").count() == 3
+    assert [(r.message_id, r.project, r.session_id) for r in providers.extract_opencode_files(docs).collect()] == [("m1", "app", "s1")]

@@ -93,6 +93,10 @@ def tier_label(kind: Column, tier: Column) -> Column:
     return F.concat(plan, F.when(tier.contains("20x"), " (20x)").when(tier.contains("5x"), " (5x)").otherwise(""))
 
 
+def plan_label(plan: Column) -> Column:
+    return F.when(plan == "pro", "Claude Pro").when(plan == "max5x", "Claude Max (5x)").when(plan == "max20x", "Claude Max (20x)")
+
+
 def percent(pct: Column) -> Column:
     """A percentage without decimals, halves to the even number."""
     return F.concat(F.bround(pct, 0).cast("bigint").cast("string"), F.lit("%"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from usagelake.functions.text import format_duration_short, overage_text, percent
+from usagelake.functions.text import format_duration_short, overage_text, percent, plan_label, tier_label
 from usagelake.operators.attribution import account_name_at, hour, with_account_name
 from usagelake.operators.cost import cost_sum
 
@@ -151,15 +151,34 @@ def overage(payloads: DataFrame) -> DataFrame:
     return payloads.select("org_uuid", overage_text(F.col("enabled"), F.col("used_cents"), F.col("limit_cents")).alias("overage"))
 
 
-def account_overview(priced: DataFrame, accounts: DataFrame, switch_log: DataFrame, snapshots: DataFrame, now: str) -> DataFrame:
-    """One row for each account: own records in its current cycle up to ``now``, estimated utilization, and TOTAL for more than one account."""
-    own = account_name_at(priced.filter("provider = 'claude'"), switch_log).withColumn("org", F.coalesce("account_uuid", "log_org"))
-    spans = current_cycle(snapshots, now)
-    listed = accounts.select("name", "org_uuid", "subscription_type", "rate_limit_tier").join(spans, "org_uuid", "left")
-    cost = own.join(spans.withColumnRenamed("org_uuid", "org"), "org").filter((F.col("ts") >= F.col("start")) & (F.col("ts") < F.least("end", at(now))))
-    cost = cost.groupBy(F.col("org").alias("org_uuid")).agg(cost_sum("zero").alias("cost_now"))
-    last = latest_snapshots(snapshots).select("org_uuid", F.col("cycle"), "utilization", "cost_at_calibration")
-    rows = listed.join(cost, "org_uuid", "left").withColumn("cycle", minute("end")).join(last, ["org_uuid", "cycle"], "left").withColumn("live_pct", F.lit(None).cast("double"))
-    rows = resolve_usage(rows).select("name", "pct", "source", F.coalesce("cost_now", F.lit(0.0)).alias("cost"))
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost")).filter("n > 1")
-    return rows.unionByName(total.select(F.lit("TOTAL").alias("name"), F.lit(None).cast("double").alias("pct"), F.lit(None).cast("string").alias("source"), "cost"))
+def account_overview(priced: DataFrame, accounts: DataFrame, switch_log: DataFrame, snapshots: DataFrame, now: str, live: DataFrame | None = None,
+                     active: str | None = None) -> DataFrame:
+    """One row for each account: its plan, weekly and five-hour use, reset, cost and note, and TOTAL (the cost alone) for more than one account.
+
+    ``live(org_uuid, live_pct, five_hour_pct, plan, resets_at, token)`` is what the service said, ``token`` being fresh, expired or null
+    (no stored credentials); only a fresh token's values count. ``active`` is the organisation in use. The reset is the live one, else
+    the current cycle's of the snapshots; the cost is that of the account's own records in these seven days up to ``now``, null without a
+    reset. The plan is the live one of the active account, else that of the newest snapshot, else what the account was registered with.
+    """
+    if live is None:
+        live = accounts.sparkSession.createDataFrame([], "org_uuid string, live_pct double, five_hour_pct double, plan string, resets_at timestamp_ntz, token string")
+    fresh = lambda c: F.when(F.col("token") == "fresh", F.col(c)).alias(c)
+    said = live.select("org_uuid", "token", *[fresh(c) for c in ("live_pct", "five_hour_pct", "plan", "resets_at")])
+    rows = accounts.select("name", "org_uuid", "subscription_type", "rate_limit_tier").join(said, "org_uuid", "left").join(
+        current_cycle(snapshots, now).select("org_uuid", F.col("end").alias("known_end")), "org_uuid", "left")
+    rows = rows.withColumn("end", F.coalesce("resets_at", "known_end")).drop("resets_at", "known_end")
+    own = account_name_at(priced.filter("provider = 'claude'"), switch_log).withColumn("org_uuid", F.coalesce("account_uuid", "log_org"))
+    spans = rows.filter("end is not null").select("org_uuid", "end").distinct()
+    inside = (F.col("ts") >= F.col("end") - _week()) & (F.col("ts") < F.least("end", at(now)))
+    cost = own.join(spans, "org_uuid").filter(inside).groupBy("org_uuid", "end").agg(cost_sum("zero").alias("cost_now"))
+    last = latest_snapshots(snapshots).select("org_uuid", "cycle", "utilization", "cost_at_calibration")
+    newest = snapshots.groupBy("org_uuid").agg(F.max_by("plan", "captured_at").alias("snapshot_plan"))
+    rows = rows.join(cost, ["org_uuid", "end"], "left").withColumn("cycle", minute("end")).join(last, ["org_uuid", "cycle"], "left").join(newest, "org_uuid", "left")
+    is_active = F.coalesce(F.col("org_uuid") == F.lit(active), F.lit(False))
+    label = F.coalesce(plan_label(F.when(is_active, F.col("plan"))), plan_label(F.col("snapshot_plan")), tier_label(F.col("subscription_type"), F.col("rate_limit_tier")), F.lit("unknown"))
+    note = F.when(~is_active & F.col("token").isNull(), "no stored credentials").when(~is_active & (F.col("token") != "fresh"), "token expired")
+    rows = resolve_usage(rows).select(
+        "name", is_active.alias("active"), label.alias("plan"), F.when(F.col("end").isNotNull(), F.col("pct")).alias("pct"), "source", "five_hour_pct", F.col("end").alias("resets_at"),
+        F.when(F.col("end").isNotNull(), F.coalesce("cost_now", F.lit(0.0))).alias("cost"), note.alias("note"))
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost")).filter("n > 1 and cost is not null")
+    return rows.unionByName(total.select(F.lit("TOTAL").alias("name"), "cost"), allowMissingColumns=True)

@@ -383,6 +383,18 @@ def ingest_opencode(s, d):
     return _read(providers.extract_opencode(messages, _lines(sessions, F.concat(F.lit("/storage/session/"), "session_id"), value)))
 
 
+@query(_ingest_sql(ts=_MILLIS, project="CASE session_id WHEN 's3' THEN 'opencode' ELSE concat('app-', session_id) END", where=_NOT_EMPTY + " AND seq % 3 <> 1"))
+def ingest_opencode_files(s, d):
+    u = fx.usage_raw(s, d)
+    # A third of the messages lies elsewhere; a part named message further up doesn't count below one named session.
+    place = F.when(F.col("seq") % 3 == 0, "/storage/session/message/").when(F.col("seq") % 3 == 1, "/storage/part/").otherwise("/storage/message/")
+    messages = _lines(u, F.concat(place, "session_id", F.lit("/"), F.col("seq").cast("string"), F.lit(".json")), _opencode_value())
+    sessions = u.filter("session_id <> 's3'").groupBy("session_id").agg(F.min("ts").alias("ts"), F.min("seq").alias("seq"))
+    value = F.to_json(F.struct(F.col("session_id").alias("id"), F.concat(F.lit("/home/u/app-"), "session_id").alias("directory")))
+    files = messages.unionByName(_lines(sessions, F.concat(F.lit("/message/session/p/"), "session_id", F.lit(".json")), value))
+    return _read(providers.extract_opencode_files(files))
+
+
 @query(f"SELECT CAST(seq AS VARCHAR) AS message_id, session_id, {_MILLIS} AS ts, model, {_TOK} FROM raw WHERE {_NOT_EMPTY} AND seq % 3 <> 0")
 def ingest_opencode_table(s, d):
     u = fx.usage_raw(s, d)
@@ -687,14 +699,26 @@ def plan_table(s, d):
     return plans.plan_table(fx.snapshots(s, d), table(s), _current(s, d))
 
 
+_LABEL = "CASE {} WHEN 'pro' THEN 'Claude Pro' WHEN 'max5x' THEN 'Claude Max (5x)' WHEN 'max20x' THEN 'Claude Max (20x)' END"
+
+
 @query(_CURRENT + f""", own AS (SELECT p.cost, p.ts, coalesce(n.account_uuid, n.log_org) AS org FROM priced p JOIN named n ON p.seq = n.seq WHERE p.provider = 'claude'),
+li AS (SELECT org_uuid, CASE WHEN enabled THEN 'fresh' WHEN NOT enabled THEN 'expired' END AS token, live_pct, opus_pct, plan FROM orgs),
+np AS (SELECT org_uuid, arg_max({{'p': plan}}, captured_at).p AS p FROM snaps GROUP BY 1),
+b AS (SELECT a.*, li.token, CASE WHEN token = 'fresh' THEN live_pct END AS lp, CASE WHEN token = 'fresh' THEN opus_pct END AS five, CASE WHEN token = 'fresh' THEN li.plan END AS pl, cur.e, np.p, a.org_uuid = 'org-1' AS active
+  FROM accounts a LEFT JOIN li ON a.org_uuid = li.org_uuid LEFT JOIN cur ON a.org_uuid = cur.org_uuid LEFT JOIN np ON a.org_uuid = np.org_uuid),
 co AS (SELECT org AS org_uuid, CAST(coalesce(sum(cost), 0) AS DOUBLE) AS c FROM own JOIN cur ON own.org = cur.org_uuid WHERE ts >= e - INTERVAL 7 DAY AND ts < least(e, TIMESTAMP '{NOW}') GROUP BY 1),
-ro AS (SELECT a.name, CASE WHEN utilization > 0 AND cost_at_calibration > 0 THEN coalesce(c, 0) / (cost_at_calibration / utilization) ELSE utilization END AS pct,
-  CASE WHEN utilization > 0 AND cost_at_calibration > 0 THEN 'estimated' ELSE 'cached' END AS source, coalesce(c, 0) AS cost
-  FROM accounts a LEFT JOIN cur ON a.org_uuid = cur.org_uuid LEFT JOIN co ON a.org_uuid = co.org_uuid LEFT JOIN latest l ON l.org_uuid = a.org_uuid AND l.cycle = date_trunc('minute', e))
-SELECT * FROM ro UNION ALL SELECT 'TOTAL', NULL, NULL, sum(cost) FROM ro HAVING count(*) > 1""")
+ro AS (SELECT name, active, coalesce(CASE WHEN active THEN {_LABEL.format('b.pl')} END, {_LABEL.format('b.p')}, concat(CASE subscription_type WHEN 'max' THEN 'Claude Max' WHEN 'pro' THEN 'Claude Pro' ELSE subscription_type END,
+    CASE WHEN contains(rate_limit_tier, '20x') THEN ' (20x)' WHEN contains(rate_limit_tier, '5x') THEN ' (5x)' ELSE '' END), 'unknown') AS plan,
+  CASE WHEN lp IS NOT NULL THEN lp WHEN utilization > 0 AND cost_at_calibration > 0 THEN coalesce(c, 0) / (cost_at_calibration / utilization) ELSE utilization END AS pct,
+  CASE WHEN lp IS NOT NULL THEN 'live' WHEN utilization > 0 AND cost_at_calibration > 0 THEN 'estimated' ELSE 'cached' END AS source, five AS five_hour_pct, e AS resets_at, coalesce(c, 0) AS cost,
+  CASE WHEN active THEN NULL WHEN token IS NULL THEN 'no stored credentials' WHEN token <> 'fresh' THEN 'token expired' END AS note
+  FROM b LEFT JOIN co ON b.org_uuid = co.org_uuid LEFT JOIN latest l ON l.org_uuid = b.org_uuid AND l.cycle = date_trunc('minute', e))
+SELECT * FROM ro UNION ALL SELECT 'TOTAL', NULL, NULL, NULL, NULL, NULL, NULL, sum(cost), NULL FROM ro HAVING count(*) > 1""")
 def account_overview(s, d):
-    return cycles.account_overview(_priced(s, d), fx.accounts(s), fx.switch_log(s), fx.snapshots(s, d), NOW)
+    token = F.when(F.col("enabled"), "fresh").when(~F.col("enabled"), "expired")
+    live = fx.orgs(s, d).select("org_uuid", "live_pct", F.col("opus_pct").alias("five_hour_pct"), "plan", F.lit(None).cast("timestamp_ntz").alias("resets_at"), token.alias("token"))
+    return cycles.account_overview(_priced(s, d), fx.accounts(s), fx.switch_log(s), fx.snapshots(s, d), NOW, live, active="org-1")
 
 
 @query("SELECT org_uuid, CASE WHEN enabled IS NULL THEN '—' WHEN NOT enabled THEN 'disabled' ELSE printf('$%d.%02d / $%d.%02d', used_cents // 100, used_cents % 100, limit_cents // 100, limit_cents % 100) END AS overage FROM orgs")
@@ -776,12 +800,35 @@ def json_report(s, d):
     return out.select("bucket", "currency", *TOKENS, "cost", F.array_join("models", ", ").alias("models"), F.array_join("projects", ", ").alias("projects"), F.array_join(detail, ";").alias("details"))
 
 
+@query(f"SELECT org_uuid, {_SHORT} AS duration, CASE WHEN live_pct >= 90 THEN 'critical' WHEN live_pct >= 50 THEN 'warning' ELSE 'normal' END AS class,\n"
+       "  CASE WHEN x > 100 THEN printf('>100%% (~%.0f%%)', x) ELSE printf('~%.0f%%', x) END AS projection FROM (SELECT *, limit_cents AS t, utilization * 1.5::DOUBLE AS x FROM orgs)")
+def short_texts(s, d):
+    return fx.orgs(s, d).select("org_uuid", X.format_duration_short(F.col("limit_cents") / 60).alias("duration"), X.threshold_class(F.col("live_pct"), 50, 90).alias("class"),
+                                X.projection_text(F.col("utilization") * 1.5).alias("projection"))
+
+
+@query(f"SELECT provider, strftime(ts, '%Y-%m-%d') AS usage_date, count(*) AS records, {_SUMS} FROM usage WHERE provider <> 'amp' GROUP BY 1, 2")
+def usage_table(s, d):
+    """Usage written as a partitioned table and read back with a partition left out."""
+    path = f"{_shared(s)}/usage-{uuid.uuid4().hex}"
+    ingest.write_usage(_usage(s, d), path)
+    table = s.read.parquet(path).filter("provider <> 'amp'")
+    return table.groupBy("provider", F.date_format("usage_date", "yyyy-MM-dd").alias("usage_date")).agg(F.count(F.lit(1)).alias("records"), *[F.sum(c).alias(c) for c in TOKENS])
+
+
+def _shared(s: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only in a session of one machine."""
+    where = s.conf.get("spark.checkpoint.dir", None)
+    if not where and not s.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (where or "file://" + tempfile.mkdtemp(prefix="usagelake-")).rstrip("/")
+
+
 # ---- streaming: the usage rows as landed files, read to the end ----
 
 
 def _streamed(s: SparkSession, d: str, make) -> DataFrame:
-    where = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="usagelake-")
-    base, name = f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}", f"live_{uuid.uuid4().hex}"
+    base, name = f"{_shared(s)}/stream-{uuid.uuid4().hex}", f"live_{uuid.uuid4().hex}"
     usage = fx.usage_raw(s, d)
     usage.write.parquet(f"{base}/landed")
     run = live.start(live.read_usage(s, f"{base}/landed", usage.schema), f"{base}/landed", make, name, f"{base}/state", once=True)

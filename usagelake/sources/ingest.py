@@ -23,7 +23,7 @@ def read_lines(spark: SparkSession, paths: list[str], glob: str = "*.jsonl") ->
 
 def read_docs(spark: SparkSession, paths: list[str], glob: str = "*.json") -> DataFrame:
     """Whole documents under the paths."""
-    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("ignoreMissingFiles", True).option("wholetext", True).text(paths)
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("ignoreMissingFiles", True).text(paths, wholetext=True)
     return read.select(F.col("_metadata.file_path").alias("file_path"), F.lit(0).cast("bigint").alias("block_start"), F.lit(0).cast("bigint").alias("line_id"),
                        F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"), "value")
 

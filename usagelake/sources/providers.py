@@ -113,15 +113,28 @@ def extract_amp(docs: DataFrame) -> DataFrame:
                    model=F.coalesce(string(F.col("e.model")), F.lit("unknown")), message_id=F.coalesce(string(F.col("e.id")), F.lit("")))
 
 
-OPENCODE = "id string, sessionID string, providerID string, modelID string, role string, time struct<created:bigint>, tokens struct<input:bigint, output:bigint, cache:struct<read:bigint, write:bigint>>"
+OPENCODE = "id variant, sessionID variant, providerID variant, modelID variant, role string, time struct<created:bigint>, tokens struct<input:bigint, output:bigint, cache:struct<read:bigint, write:bigint>>"
 
 
 def _opencode(j: DataFrame, sid: Column, mid: Column, project: Column) -> DataFrame:
     t = "j.tokens."
     a, b = tokens(F.col(t + "input")), tokens(F.col(t + "output"))
-    out = j.filter(F.col("j.modelID").isNotNull() & F.col("j.time.created").isNotNull() & F.col("j.tokens").isNotNull() & (a + b > 0))
+    model = string(F.col("j.modelID"))
+    out = j.filter(model.isNotNull() & F.col("j.time.created").isNotNull() & F.col("j.tokens").isNotNull() & (a + b > 0))
     return _record(out, "opencode", (a, b, tokens(F.col(t + "cache.write")), tokens(F.col(t + "cache.read"))), session_id=sid, ts=millis(F.col("j.time.created")),
-                   project=project, model=F.col("j.modelID"), message_id=mid)
+                   project=project, model=model, message_id=mid)
+
+
+def opencode_kind(path: Column) -> Column:
+    """``session`` or ``message``: the part of the path nearest to its end that is one of these; null for other files than JSON and other places."""
+    part = F.filter(F.split(path, "/"), lambda p: p.isin("session", "message"))
+    return F.when(path.endswith(".json"), F.try_element_at(part, F.lit(-1)))
+
+
+def extract_opencode_files(docs: DataFrame) -> DataFrame:
+    """The files of a storage folder, told apart by their path: messages with the projects of their sessions."""
+    kind = opencode_kind(F.col("file_path"))
+    return extract_opencode(docs.filter(kind == "message"), docs.filter(kind == "session"))
 
 
 def opencode_sessions(docs: DataFrame) -> DataFrame:
@@ -133,9 +146,10 @@ def opencode_sessions(docs: DataFrame) -> DataFrame:
 
 def extract_opencode(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     """Message files with the project of their session. Sessions are far fewer than messages; Spark picks the join by their size."""
-    j = _parsed(messages, OPENCODE).filter("j.id is not null and j.providerID is not null")
-    joined = j.join(opencode_sessions(sessions), F.col("j.sessionID") == F.col("sid"), "left")
-    return _opencode(joined, F.coalesce("j.sessionID", F.lit("unknown")), F.col("j.id"), F.coalesce("session_project", F.lit("opencode")))
+    j = _parsed(messages, OPENCODE).withColumns({"message": string(F.col("j.id")), "session": string(F.col("j.sessionID"))})
+    j = j.filter(F.col("message").isNotNull() & string(F.col("j.providerID")).isNotNull())
+    joined = j.join(opencode_sessions(sessions), F.col("session") == F.col("sid"), "left")
+    return _opencode(joined, F.coalesce("session", F.lit("unknown")), F.col("message"), F.coalesce("session_project", F.lit("opencode")))
 
 
 def extract_opencode_table(table: DataFrame) -> DataFrame:
