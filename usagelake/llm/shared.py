@@ -21,9 +21,11 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one of the application."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset, in a session of one machine (tests), a temporary one of the application."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         where = _own[app] = _own.get(app) or "file://" + tempfile.mkdtemp(prefix="usagelake-")
     return where.rstrip("/")
