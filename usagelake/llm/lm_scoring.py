@@ -6,7 +6,8 @@ over all segmentations into pieces, by the forward recursion in log space. Piece
 starts, so a text's log probability is the sum over its words, and each distinct word is worked out
 once a portion.
 
-The vocabulary's scores rank the pieces; the ranks give starting weights (Zipf's law), which expectation
+The public vocabulary file is a BPE model: its scores are ranks of merges, not log probabilities, so they can't weight
+segmentations as they stand. The ranks give starting weights (Zipf's law), which expectation
 maximisation over the word counts of all training texts turns into probabilities: each step adds up,
 over the distinct words of the corpus, the expected number of uses of each piece. Piece counts are as
 long as the vocabulary; word counts, which grow with the corpus, stay distributed.
