@@ -47,9 +47,13 @@ def burns(spark, rows, prices, gap=5):
 
 
 def test_active_seconds_are_capped(spark, prices):
-    rows = [(0, "m"), (2, "m"), (122, "m")]
-    assert burns(spark, rows, prices)["m"].active_secs == 420
-    assert burns(spark, rows, prices, 9999)["m"].active_secs == 7320
+    # Gaps of 7, 7.5 and, over midnight, 8 minutes; two records at one time add nothing.
+    rows = [(1425, "m"), (1425, "m"), (1432, "m"), (1439.5, "m"), (1447.5, "m")]
+    assert burns(spark, rows, prices, 8)["m"].active_secs == 60 * 22 + 30
+    assert burns(spark, rows, prices, 7)["m"].active_secs == 60 * 21
+    # A cap beyond every gap gives the whole span, whatever the order of the rows and the days without records.
+    far = [(4321, "m"), (1, "m"), (2881, "m")]
+    assert burns(spark, far, prices, 1_000_000)["m"].active_secs == 4320 * 60
 
 
 def test_burn_cases(spark, prices):
@@ -64,8 +68,23 @@ def test_burn_cases(spark, prices):
 
 
 def test_unpriced_models(spark, prices):
-    rows = [(0, "zeta"), (1, "m"), (2, "alpha"), (3, "beta"), (4, "alpha")]
-    assert [r.model for r in cost.unpriced_models(usage(spark, rows), prices).collect()] == ["alpha", "beta", "zeta"]
+    rows = [(0, "m"), (1, "m-2"), (2, "M"), (3, ""), (4, "m-2")]
+    assert [r.model for r in cost.unpriced_models(usage(spark, rows), prices).collect()] == ["", "M", "m-2"]
+    assert cost.unpriced_models(usage(spark, [(0, "m")]), prices).count() == 0
+
+
+def test_costs_of_very_many_tokens(spark, prices):
+    row = cost.price(usage(spark, [{"input_tokens": 2_000_000_000_000, "output_tokens": 9_223_372_036_854_775_807}]), prices).first()
+    assert float(row.cost) == pytest.approx(2e6 + 9_223_372_036_854_775_807 * 2e-6)
+
+
+def test_cycle_costs_within_hours(spark, prices):
+    # Records on, before and after the edges of two overlapping spans, one within an hour.
+    rows = [{"ts": at(m), "message_id": f"k{m}"} for m in (0, 10, 59.9, 60, 61, 150, 179, 180, 181)]
+    spans = spark.createDataFrame([("a", 0, at(10), at(180)), ("b", 0, at(60), at(61)), ("c", 0, at(500), at(900))], "org_uuid string, number int, start timestamp_ntz, end timestamp_ntz")
+    priced = cost.price(usage(spark, rows), prices)
+    got = {r.org_uuid: round(r.cost / 0.000012) for r in cycles.cycle_costs(priced, spans).collect()}
+    assert got == {"a": 6, "b": 1, "c": 0}
 
 
 def test_cost_rules_and_total(spark, prices):
