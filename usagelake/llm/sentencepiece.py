@@ -14,7 +14,7 @@ else, which leaves a third of a BPE vocabulary. A substring is exploded only whe
 Everything is one narrow pass: each task looks up the distinct units of its portion of documents, the (small, size-checked) piece
 table is broadcast, and nothing is shuffled. So the edges of a unit stay in one task; they are grouped there by the unit's number, and a unit
 whose edges aren't all together ends the job instead of giving wrong ids. A task holds the distinct units of one portion
-(32 million characters, or one longer text) and the lattice of one batch of edges. A unit of many characters is exploded in
+(16 million characters, or one longer text) and the lattice of one batch of edges. A unit of many characters is exploded in
 windows and folded in blocks, so its cost is in proportion to its length.
 """
 
@@ -40,7 +40,9 @@ MARK = "▁"
 MOST_PIECES = 1_000_000
 LONGEST = 255
 #: Characters of text whose distinct units are looked up together.
-PORTION = 32 << 20
+PORTION = 16 << 20
+#: Documents that are put together at a time.
+TOGETHER = 256
 #: Words whose units a task remembers.
 MOST_WORDS = 100_000
 #: Below every path of ordinary pieces: the cost of falling back to bytes.
@@ -354,7 +356,8 @@ def _assembled(name: str, decoded: bool):
         for batch in batches:
             is_unit = batch.column("number").is_valid().to_numpy(zero_copy_only=False)
             edge = np.flatnonzero(np.diff(np.r_[-1, is_unit.astype(np.int8), -1])).tolist()
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
+            runs = list(zip(edge[:-1], edge[1:], strict=True))
+            for a, b in [(i, min(b, i + TOGETHER)) for a, b in runs for i in range(a, b, TOGETHER)]:
                 part = batch.slice(a, b - a)
                 if is_unit[a]:
                     if ready is not None:
