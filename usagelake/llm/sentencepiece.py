@@ -357,7 +357,7 @@ def _assembled(name: str, decoded: bool):
             is_unit = batch.column("number").is_valid().to_numpy(zero_copy_only=False)
             edge = np.flatnonzero(np.diff(np.r_[-1, is_unit.astype(np.int8), -1])).tolist()
             runs = list(zip(edge[:-1], edge[1:], strict=True))
-            for a, b in [(i, min(b, i + TOGETHER)) for a, b in runs for i in range(a, b, TOGETHER)]:
+            for a, b in [(i, min(b, i + step)) for a, b in runs for step in [b - a if is_unit[a] else TOGETHER] for i in range(a, b, step)]:
                 part = batch.slice(a, b - a)
                 if is_unit[a]:
                     if ready is not None:
