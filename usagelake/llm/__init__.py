@@ -1,4 +1,4 @@
-"""Training-data operators: ten independent DataFrame functions and their registered queries.
+"""Training-data operators: independent DataFrame functions and their registered queries.
 
 Nothing outside this subpackage imports it.
 """

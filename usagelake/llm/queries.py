@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: thin readers of the given tables."""
+"""The registered queries of the operators: thin readers of the given tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagelake.llm import decontaminate, embedding_dedup, html_extract, lm_scoring, minhash, pii, quality, secret_scan, sentencepiece, substring_dedup
+from usagelake.llm import byte_bpe, decontaminate, embedding_dedup, html_extract, lm_scoring, minhash, pii, quality, secret_scan, sentencepiece, substring_dedup
 
 
 #: The session's setting that holds the secret key of pseudonyms. Without it a key is used that only serves for test tables.
@@ -58,6 +58,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(_table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
