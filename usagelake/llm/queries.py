@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagelake.llm import byte_bpe, decontaminate, embedding_dedup, html_extract, lm_scoring, minhash, pii, quality, secret_scan, sentencepiece, substring_dedup
+from usagelake.llm import byte_bpe, decontaminate, embedding_dedup, html_extract, lm_scoring, minhash, periodic_runs, pii, quality, secret_scan, sentencepiece, substring_dedup, vector_codes
 
 
 #: The session's setting that holds the secret key of pseudonyms. Without it a key is used that only serves for test tables.
@@ -58,10 +58,18 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.planted(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -106,5 +114,30 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
 
+def _round(k: int) -> str:
+    """Assigns the parts to the entries b{k} and averages them to b{k + 1}."""
+    return f"""
+n{k} AS (SELECT vec_id, p, any_value(part) AS part, arg_min(e, d * 256 + e) AS e, min(d) AS d
+  FROM (SELECT vec_id, parts.p, part, e, CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(part, entry)]) AS BIGINT) AS d
+        FROM parts JOIN b{k} ON parts.p = b{k}.p) GROUP BY vec_id, p),
+m{k} AS (SELECT p, e, list((s - ((s % c) + c) % c) // c ORDER BY i) AS entry
+  FROM (SELECT p, e, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS c
+        FROM (SELECT p, e, unnest(part) AS x, unnest(range(1, len(part) + 1)) AS i FROM n{k}) GROUP BY p, e, i) GROUP BY p, e),
+b{k + 1} AS (SELECT b{k}.p, b{k}.e, coalesce(m{k}.entry, b{k}.entry) AS entry FROM b{k} LEFT JOIN m{k} ON b{k}.p = m{k}.p AND b{k}.e = m{k}.e),"""
+
+
+OP11_SQL = f"""
+WITH kept AS (SELECT vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS (SELECT vec_id, p, list_slice(v, 1 + p * len(v) // 4, (p + 1) * len(v) // 4) AS part FROM kept, range(4) AS r(p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept),
+b0 AS (SELECT p, e, part AS entry FROM parts JOIN first USING (vec_id) WHERE e < 256),{"".join(_round(k) for k in range(5))}
+codes AS (SELECT vec_id, string_agg(lower(right('0' || to_hex(e), 2)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM n4 GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM codes JOIN kept USING (vec_id), books
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op6_substring_dedup": OP6_SQL}
+    return {"op11_vector_codes": OP11_SQL, "op3_decontaminate": OP3_SQL, "op6_substring_dedup": OP6_SQL}
