@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from usagelake.functions import text as X
 from usagelake.operators import attribution, burn, cost, cycles, filters, histogram, outputs, plans, reports
 from usagelake.operators.dedup import dedup
-from usagelake.streaming import live
 
 USAGE = ("provider string, session_id string, ts timestamp_ntz, project string, model string, message_id string, request_id string, input_tokens bigint, "
          "output_tokens bigint, cache_creation_input_tokens bigint, cache_read_input_tokens bigint, account_uuid string, seq bigint")
@@ -188,15 +187,3 @@ def test_scalars(spark):
     assert outputs.choose_columns(["+projects", "-tools"])[-1] == "projects" and outputs.choose_columns(["cost", "period"]) == ["cost", "period"]
     with pytest.raises(ValueError):
         cost.rate_for(spark.createDataFrame([("USD", "$", 1.0)], "code string, symbol string, rate double"), "12")
-
-
-def test_live_totals_count_files_that_land_days_late(spark, prices, tmp_path):
-    path = str(tmp_path / "landed")
-    make = lambda u: live.live_totals(u, prices, "daily")
-    for n, day in enumerate((9, 2, 9)):  # the last file repeats the first
-        late = usage(spark, [{"ts": at(0, day), "message_id": f"m{day}", "request_id": "r"}])
-        late.coalesce(1).write.mode("append").parquet(path)
-        run = live.start(live.read_usage(spark, path, late.schema, 1), path, make, "late_totals", str(tmp_path / "state"), once=True)
-        run.awaitTermination()
-        got = spark.table("late_totals").collect()
-        assert len(got) == min(n + 1, 2) and sum(r.cost for r in got) == sum(r.cost for r in make(spark.read.parquet(path)).collect())

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,9 +15,9 @@ from usagelake.operators.dedup import dedup
 from usagelake.plans import fixtures as fx
 from usagelake.schema import TOKENS
 from usagelake.sources import accounts as sa
-from usagelake.sources import ingest, providers
+from usagelake.sources import ingest, providers, storage
 from usagelake.sources import pricing as sp
-from usagelake.streaming import live
+from usagelake.streaming import growing, live
 
 NOW = fx.NOW
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -810,45 +809,69 @@ def short_texts(s, d):
 @query(f"SELECT provider, strftime(ts, '%Y-%m-%d') AS usage_date, count(*) AS records, {_SUMS} FROM usage WHERE provider <> 'amp' GROUP BY 1, 2")
 def usage_table(s, d):
     """Usage written as a partitioned table and read back with a partition left out."""
-    path = f"{_shared(s)}/usage-{uuid.uuid4().hex}"
+    path = f"{storage.shared_folder(s)}/usage-{uuid.uuid4().hex}"
     ingest.write_usage(_usage(s, d), path)
     table = s.read.parquet(path).filter("provider <> 'amp'")
     return table.groupBy("provider", F.date_format("usage_date", "yyyy-MM-dd").alias("usage_date")).agg(F.count(F.lit(1)).alias("records"), *[F.sum(c).alias(c) for c in TOKENS])
 
 
-def _shared(s: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only in a session of one machine."""
-    where = s.conf.get("spark.checkpoint.dir", None)
-    if not where and not s.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return (where or "file://" + tempfile.mkdtemp(prefix="usagelake-")).rstrip("/")
+# ---- streaming: the usage rows as files that land in parts, the last part days older than the first ----
 
 
-# ---- streaming: the usage rows as landed files, read to the end ----
-
-
-def _streamed(s: SparkSession, d: str, make) -> DataFrame:
-    base, name = f"{_shared(s)}/stream-{uuid.uuid4().hex}", f"live_{uuid.uuid4().hex}"
+def _streamed(s: SparkSession, d: str, totals: live.Totals) -> DataFrame:
+    """The view after two runs of one stream: the second reads its own files only and lands the earlier half of the duplicates."""
+    base, name = f"{storage.shared_folder(s)}/stream-{uuid.uuid4().hex}", f"live_{uuid.uuid4().hex}"
     usage = fx.usage_raw(s, d)
-    usage.write.parquet(f"{base}/landed")
-    run = live.start(live.read_usage(s, f"{base}/landed", usage.schema), f"{base}/landed", make, name, f"{base}/state", once=True)
-    run.awaitTermination()
+    late = F.pmod(F.xxhash64("seq"), F.lit(3)) == 0
+    for part in (usage.filter(~late), usage.filter(late)):
+        part.write.mode("append").parquet(f"{base}/landed")
+        live.start(live.read_usage(s, f"{base}/landed", usage.schema), totals, name, f"{base}/state", once=True).awaitTermination()
     return s.table(name)
 
 
 @query(f"SELECT strftime(ts, '%Y-%m-%d') AS bucket, {_SUMS}, CAST(sum(cost) AS DOUBLE) AS cost FROM priced WHERE provider = 'codex' GROUP BY 1")
 def stream_daily(s, d):
-    return _streamed(s, d, lambda u: live.live_totals(u, fx.pricing(s), "daily", lambda kept: filters.by_tool(kept, "codex")))
+    totals = live.Totals(fx.pricing(s), "daily", lambda kept: filters.by_tool(kept, "codex"))
+    return totals.report(_streamed(s, d, totals))
 
 
 @query(f"SELECT 'bar' AS bucket, {_SUMS}, CAST(sum(cost) AS DOUBLE) AS cost FROM priced WHERE contains(project, 'oj-2')")
 def stream_total(s, d):
-    return _streamed(s, d, lambda u: live.live_totals(u, fx.pricing(s), "all", lambda kept: filters.by_project(kept, "OJ-2")))
+    totals = live.Totals(fx.pricing(s), "all", lambda kept: filters.by_project(kept, "OJ-2"))
+    return totals.report(_streamed(s, d, totals))
 
 
 @query("SELECT model, CAST(sum(cost) AS DOUBLE) AS cost FROM priced GROUP BY 1")
 def stream_models(s, d):
-    return _streamed(s, d, lambda u: live.live_models(u, fx.pricing(s)))
+    totals = live.Totals(fx.pricing(s))
+    return totals.models(_streamed(s, d, totals))
+
+
+@query("""SELECT concat('January: $', printf('%.2f', CAST(sum(cost) AS DOUBLE)), ' | ',
+  string_agg(concat(regexp_replace(regexp_replace(model, '^claude-', ''), '^(.+)-[0-9]{8}$', '\\1'), ': $', printf('%.2f', CAST(cost AS DOUBLE))), ', ' ORDER BY cost DESC, model)
+  FILTER (cost > 0)) AS text
+FROM (SELECT model, sum(cost) AS cost FROM priced WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-02' AND DATE '2024-01-20' GROUP BY 1)""")
+def stream_line(s, d):
+    totals = live.Totals(fx.pricing(s), "all", lambda kept: filters.in_range(kept, "2024-01-02", "2024-01-20"))
+    return totals.line(_streamed(s, d, totals), "January")
+
+
+@query(f"SELECT strftime(ts, '%Y-%m-%d') AS bucket, {_SUMS}, CAST(sum(cost) AS DOUBLE) AS cost FROM priced WHERE provider = 'claude' AND regexp_matches(message_id, '[02468]$') GROUP BY 1")
+def stream_growing(s, d):
+    """Claude logs that grow between two runs: lines to records to live totals."""
+    base, name = f"{storage.shared_folder(s)}/growing-{uuid.uuid4().hex}", f"live_{uuid.uuid4().hex}"
+    u = fx.usage_raw(s, d).filter("provider = 'claude' and message_id rlike '[02468]$'")
+    line = F.to_json(F.struct(F.lit("assistant").alias("type"), _iso().alias("timestamp"), F.col("request_id").alias("requestId"),
+                              F.concat(F.lit("/"), "project").alias("cwd"), F.struct(
+        F.col("message_id").alias("id"), "model", F.struct(*TOKENS).alias("usage")).alias("message")))
+    lines = u.select(F.concat(F.lit("s"), F.pmod("seq", F.lit(4)).cast("string")).alias("file"), F.pmod("seq", F.lit(2)).alias("half"), line.alias("value"))
+    totals = live.Totals(fx.pricing(s))
+    for half in (0, 1):
+        lines.filter(F.col("half") == half).select("value").write.mode("append").text(f"{base}/logs")
+        growing.land(growing.read_growing(s, [f"{base}/logs"], "part-*"), providers.extract_claude, f"{base}/landed", f"{base}/land", once=True).awaitTermination()
+    landed = s.read.parquet(f"{base}/landed/0").schema
+    live.start(live.read_usage(s, f"{base}/landed", landed), totals, name, f"{base}/state", once=True).awaitTermination()
+    return totals.report(s.table(name))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,57 +1,177 @@
-"""Live totals over landed files: each refresh aggregates all that has landed with the exact deduplication, so nothing is late."""
+"""Live totals with Structured Streaming: a trigger reads only what has landed since the last one.
+
+The stream keeps one state for each key of the deduplication: the record that counts, the first by time, file and place. A record that
+lands late and comes before it takes its place, and the stream gives out both with their signs, so totals are corrected whatever the
+age of a file. State is in RocksDB, dealt by key, and saved with the checkpoint. Records of one key are reduced within each task before
+they are dealt, so a key that a third of all records share sends a few rows a task.
+
+Totals are sums by bucket and model, which a trigger adds to those of the trigger before: their size is that of the report. A trigger that is run
+again after a failure writes its own version again.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from usagelake.functions.text import format_cost, short_model
 from usagelake.operators.cost import cost_sum, price
-from usagelake.operators.dedup import dedup
+from usagelake.operators.dedup import KEY, dedup
 from usagelake.operators.reports import bucket, sums
+from usagelake.schema import TOKENS
+from usagelake.sources import storage
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = "spark.sql.streaming.stateStore.providerClass"
+_KEYS = (*KEY, "account")
+_PLACE = ("ts", "file", "seq")
+_PACKED = ", ".join(f"{k} string" for k in _KEYS) + ", ts long, file string, seq long, record string"
 
 
 def read_usage(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files of usage records as they land; a file is read once."""
-    read = spark.readStream.schema(schema)
+    """Parquet files of usage records as they land, in the folder or below; a file is read once, whatever its age."""
+    read = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFileAge", "36500d")
     return (read.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else read).parquet(path)
 
 
-def _kept(usage: DataFrame) -> DataFrame:
-    return dedup(usage.withColumn("ts", F.col("ts").cast("timestamp")))
+def _packed(usage: DataFrame) -> DataFrame:
+    """Key, place and the whole record as JSON, times as microseconds. A missing place comes first."""
+    def of(name: str, kind: str) -> Column:
+        return F.col(name).cast(kind) if name in usage.columns else F.lit(None).cast(kind)
+
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    record = F.to_json(F.struct(*[micros.alias("ts") if c == "ts" else F.col(c) for c in usage.columns]))
+    first = F.lit(-(1 << 63))
+    return usage.select(
+        *KEY, F.coalesce("account_uuid", F.lit("")).alias("account"), F.coalesce(micros, first).alias("ts"),
+        F.coalesce(F.concat(F.lit("/"), of("source_file", "string")), F.lit("")).alias("file"), F.coalesce(of("seq", "bigint"), first).alias("seq"), record.alias("record"))
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the records of one key in a batch of a task the first."""
+    for batch in batches:
+        kept: dict[tuple, tuple] = {}
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            key = row[: len(_KEYS)]
+            if key not in kept or row[len(_KEYS) :] < kept[key][len(_KEYS) :]:
+                kept[key] = row
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept.values(), strict=True), batch.schema, strict=True)], schema=batch.schema) if kept else batch
+
+
+def _first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The record that counts from now on with sign 1, and the one that did so far with sign -1, if they differ."""
+    old = tuple(state.get) if state.exists else None
+    new = old
+    for frame in frames:
+        for row in zip(frame["ts"].tolist(), frame["file"].tolist(), frame["seq"].tolist(), frame["record"].tolist(), strict=True):
+            if new is None or row < new:
+                new = row
+    if new != old:
+        state.update(new)
+        out = [(new[-1], 1)] if old is None else [(old[-1], -1), (new[-1], 1)]
+        yield pd.DataFrame(out, columns=["record", "sign"])
+
+
+def changes(usage: DataFrame) -> DataFrame:
+    """The records of a stream that count, as they come (``sign`` 1) and go (-1): at any time their sum is ``dedup`` of all that has landed."""
+    packed = _packed(usage).mapInArrow(_combined, _PACKED)
+    state = "ts long, file string, seq long, record string"
+    signed = packed.groupBy(*_KEYS).applyInPandasWithState(_first, "record string, sign int", state, "update", GroupStateTimeout.NoTimeout)
+    kind = usage.schema["ts"].dataType
+    fields = T.StructType([T.StructField(f.name, T.LongType() if f.name == "ts" else f.dataType) for f in usage.schema])
+    out = signed.select(F.from_json("record", fields).alias("r"), "sign").select("r.*", "sign")
+    return out.withColumn("ts", F.timestamp_micros("ts").cast(kind))
+
+
+@dataclass(frozen=True)
+class Totals:
+    """Sums of a live view by bucket and model. ``chosen`` filters rows; like all filters it works on what deduplication has kept."""
+
+    pricing: DataFrame
+    by: str = "daily"
+    chosen: Callable[[DataFrame], DataFrame] | None = None
+
+    def of(self, signed: DataFrame) -> DataFrame:
+        """Sums of signed records: bucket, model, n, priced, four kinds of tokens, cost."""
+        kept = price(self.chosen(signed) if self.chosen else signed, self.pricing)
+        plus = lambda c: F.sum(F.when(F.col("sign") > 0, c).otherwise(-c))
+        return kept.groupBy(bucket(self.by).alias("bucket"), "model").agg(
+            F.sum("sign").alias("n"), F.sum(F.when(F.col("cost").isNotNull(), F.col("sign")).otherwise(0)).alias("priced"), *[plus(F.col(c)).alias(c) for c in TOKENS],
+            plus(F.col("cost")).cast("decimal(38,12)").alias("cost"))
+
+    @staticmethod
+    def added(*parts: DataFrame) -> DataFrame:
+        """Sums of sums; what has no record left is gone."""
+        both = parts[0]
+        for more in parts[1:]:
+            both = both.unionByName(more)
+        out = both.groupBy("bucket", "model").agg(
+            *[F.sum(c).alias(c) for c in ("n", "priced", *TOKENS)], F.sum(F.coalesce("cost", F.lit(0))).cast("decimal(38,12)").alias("cost"))
+        return out.filter("n <> 0")
+
+    @staticmethod
+    def _cost() -> Column:
+        return F.when(F.sum("priced") > 0, F.sum("cost")).cast("double").alias("cost")
+
+    def report(self, table: DataFrame) -> DataFrame:
+        """One row a bucket; a bucket without a priced record has no cost."""
+        return table.groupBy("bucket").agg(*sums(), self._cost())
+
+    def models(self, table: DataFrame) -> DataFrame:
+        """Cost of each model."""
+        return table.groupBy("model").agg(self._cost())
+
+    def line(self, table: DataFrame, label: str, sign: str = "$", rate: float = 1.0) -> DataFrame:
+        """One row ``text``: label, cost of all, and of each model that costs anything, the dearest first; without records a cost of 0."""
+        models = table.groupBy("model").agg(self._cost(), F.sum("n").alias("n"))
+        part = F.struct((-F.col("cost")).alias("c"), "model")
+        out = models.agg(F.sum("cost").alias("cost"), F.sum("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("cost") > 0, part))).alias("parts"))
+        total = F.when(F.coalesce("n", F.lit(0)) == 0, F.lit(0.0)).otherwise(F.col("cost") * rate)
+        each = F.transform("parts", lambda p: F.concat(short_model(p["model"]), F.lit(": "), format_cost(-p["c"] * rate, sign)))
+        return out.select(F.concat(F.lit(f"{label}: "), format_cost(total, sign), F.when(F.size("parts") > 0, F.concat(F.lit(" | "), F.array_join(each, ", "))).otherwise("")).alias("text"))
 
 
 def live_totals(usage: DataFrame, pricing: DataFrame, by: str = "daily", chosen: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Sums and cost of each bucket over all records of ``usage`` (``all``: one bucket).
-
-    ``chosen`` filters rows; like all filters it works on what deduplication has kept.
-    """
-    kept = _kept(usage)
+    """The rows of ``Totals.report`` over a whole table, without a stream."""
+    kept = dedup(usage.withColumn("ts", F.col("ts").cast("timestamp")))
     return price(chosen(kept) if chosen else kept, pricing).groupBy(bucket(by).alias("bucket")).agg(*sums(), cost_sum("ignore").alias("cost"))
 
 
-def live_models(usage: DataFrame, pricing: DataFrame) -> DataFrame:
-    """Cost of each model; a model without a price has none."""
-    return price(_kept(usage), pricing).groupBy("model").agg(cost_sum("ignore").alias("cost"))
+def versions(spark: SparkSession, checkpoint: str) -> list[int]:
+    return sorted(int(x) for x in storage.names(spark, f"{checkpoint}-totals") if x.isdigit())
 
 
-def start(landing: DataFrame, path: str, totals: Callable[[DataFrame], DataFrame], name: str, checkpoint: str, once: bool = False,
-          interval: str = "2 seconds") -> StreamingQuery:
-    """Keep ``totals`` of all records under ``path`` as the view ``name``, renewed every interval in which files land, or once.
+def start(usage: DataFrame, totals: Totals, name: str, checkpoint: str, once: bool = False, interval: str = "2 seconds") -> StreamingQuery:
+    """Keep the sums of ``totals`` over the stream ``usage`` as the view ``name``, renewed every interval in which records land, or once.
 
-    ``landing`` is ``read_usage`` of that path and only tells that files have landed; each renewal reads them all, as the reference
-    does, whatever their age. The last two totals are kept as Parquet beside the checkpoint.
+    ``totals.report``, ``models`` and ``line`` of that view are what is shown. The last two versions are kept beside the checkpoint; a
+    version that fails half-way is written again from the one before. Prices are those of the start.
     """
-    spark, schema = landing.sparkSession, landing.schema
-
-    def renew(_: DataFrame, number: int) -> None:
-        to = f"{checkpoint.rstrip('/')}-totals/{number % 2 if number >= 0 else 'first'}"
-        out = totals(spark.read.schema(schema).parquet(path))
-        out.write.mode("overwrite").parquet(to)
-        spark.read.schema(out.schema).parquet(to).createOrReplaceTempView(name)
-
-    renew(landing, -1)  # what has landed before, also if no file is new
-    write = landing.writeStream.foreachBatch(renew).option("checkpointLocation", checkpoint)
+    spark, checkpoint = usage.sparkSession, checkpoint.rstrip("/")
+    place = lambda n: f"{checkpoint}-totals/{n}"
+    fields = ", ".join(["bucket string", "model string", "n bigint", "priced bigint", *[f"{c} bigint" for c in TOKENS], "cost decimal(38,12)"])
+
+    def renew(signed: DataFrame, number: int) -> None:
+        new = totals.of(signed)
+        if number:
+            new = totals.added(new, spark.read.schema(fields).parquet(place(number - 1)))
+        else:
+            new = totals.added(new)
+        new.write.mode("overwrite").parquet(place(number))
+        spark.read.schema(fields).parquet(place(number)).createOrReplaceTempView(name)
+        storage.remove(spark, place(number - 2))
+
+    have = versions(spark, checkpoint)
+    (spark.read.schema(fields).parquet(place(have[-1])) if have else spark.createDataFrame([], fields)).createOrReplaceTempView(name)
+    if spark.conf.get(_STATE, ROCKSDB) != ROCKSDB or not spark.conf.get(_STATE, None):
+        spark.conf.set(_STATE, ROCKSDB)
+    write = changes(usage).writeStream.outputMode("update").foreachBatch(renew).option("checkpointLocation", checkpoint)
     return (write.trigger(availableNow=True) if once else write.trigger(processingTime=interval)).start()
