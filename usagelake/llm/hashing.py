@@ -1,33 +1,17 @@
 """Vectorised 64-bit hashes of words and of runs of words, for tasks that work on whole batches.
 
-All arithmetic is modulo 2**64 with odd bases, so a prefix sum gives the hash of any run in one
-subtraction and one multiplication.
+No hash is a polynomial: modulo 2**64 these have the same value for whole families of words (Thue-Morse words), whatever the base. A word is the sum of
+its bytes, each mixed with its place; a run of words is built by mixing halves, so each step is non-linear in both. Different seeds give
+independent hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Odd bases of the two polynomials and their inverses modulo 2**64.
-BYTE_BASE = 0x9E3779B97F4A7C15
-WORD_BASE = 0xD6E8FEB86659FD93
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1), kept by the worker for later batches."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        have = np.full(size, base, dtype=np.uint64)
-        have[0] = 1
-        have = _powers[base] = np.multiply.accumulate(have)
-    return have[:n]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
+_LEFT = np.uint64(0xD6E8FEB86659FD93)
+_RIGHT = np.uint64(0xA0761D6478BD642F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,14 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SPREAD = mix(np.arange(1, 257, dtype=np.uint64))
-
-
-def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hash of values[start:end] for each pair."""
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * powers(base, len(values)), out=sums[1:])
-    return (sums[ends] - sums[starts]) * powers(inverse(base), len(values) + 1)[starts]
+_bytes: dict[int, np.ndarray] = {}
 
 
 def split_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -58,12 +35,43 @@ def split_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    h = _runs(_SPREAD[np.frombuffer(data, dtype=np.uint8)], starts, ends, BYTE_BASE)
-    return mix(h ^ (ends - starts).astype(np.uint64))
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; words follow each other without overlap."""
+    if seed not in _bytes:
+        _bytes[seed] = mix(np.arange(1, 257, dtype=np.uint64) + np.uint64(seed << 32))
+    lengths = ends - starts
+    before = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
+    at = np.repeat(starts, lengths) + place
+    sums = np.zeros(len(at) + 1, dtype=np.uint64)
+    np.cumsum(mix(_bytes[seed][np.frombuffer(data, dtype=np.uint8)[at]] + place.astype(np.uint64) * _PLACE), out=sums[1:])
+    return mix((sums[before + lengths] - sums[before]) ^ lengths.astype(np.uint64))
+
+
+class Runs:
+    """Hashes of runs of ``words``: those of 2**j words are made of two halves, any other of the two such runs at its ends."""
+
+    def __init__(self, words: np.ndarray):
+        self._levels = [mix(words ^ _RIGHT)]
+
+    @staticmethod
+    def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix(a * _LEFT + mix(b + _RIGHT))
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each run words[start:end]."""
+        n = (ends - starts).astype(np.int64)
+        out = np.zeros(len(n), dtype=np.uint64)
+        level = np.frexp(n)[1] - 1  # of the largest power of two up to n
+        for j in np.unique(level[n > 0]).tolist():
+            while len(self._levels) <= j:
+                last, step = self._levels[-1], 1 << (len(self._levels) - 1)
+                self._levels.append(self._joined(last[:-step], last[step:]))
+            at = np.flatnonzero((level == j) & (n > 0))
+            out[at] = self._joined(self._levels[j][starts[at]], self._levels[j][ends[at] - (1 << j)])
+        return mix(out ^ n.astype(np.uint64))
 
 
 def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run words[start:end]."""
-    return mix(_runs(words, starts, ends, WORD_BASE) ^ (ends - starts).astype(np.uint64))
+    return Runs(words).hashes(starts, ends)

@@ -17,6 +17,7 @@ component meet the others of the bucket. Links are exact similarities, so bandin
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,7 +124,7 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 
 def _signed(shingle: int, bands: int, rows: int):
-    """For each text two hashes of its words, its number of shingles and its bands (none without words)."""
+    """For each text a hash of its words (128 bits of the words themselves), its number of shingles and its bands (none without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (ids,), texts in _texts(batches):
@@ -137,10 +138,9 @@ def _signed(shingle: int, bands: int, rows: int):
             at = np.arange(0, len(sig), rows)
             lengths = np.zeros(len(texts), np.int64)
             lengths[own] = bands
-            whole = np.array([run_hashes(w, np.zeros(1, np.int64), np.full(1, len(w)))[0] for w in words], np.uint64)
-            again = np.array([run_hashes(mix(w), np.zeros(1, np.int64), np.full(1, len(w)))[0] for w in words], np.uint64)
+            whole = np.frombuffer(b"".join([hashlib.md5(b" ".join(t.split())).digest() for t in texts]), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(whole.view(np.int64)), pa.array(again.view(np.int64)), pa.array(np.bincount(doc, counts, len(texts)).astype(np.int32)),
+                [ids.cast(pa.int64()), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(np.bincount(doc, counts, len(texts)).astype(np.int32)),
                  _lists(run_hashes(sig, at, at + rows), lengths)], names=["id", "k1", "k2", "n", "bands"])
 
     return run

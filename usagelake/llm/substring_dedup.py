@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelake.llm.hashing import mix, run_hashes, split_words, word_hashes
+from usagelake.llm.hashing import Runs, split_words, word_hashes
 from usagelake.llm.shared import stored
 
 #: Words of a window: shorter repeats are kept.
@@ -30,12 +30,12 @@ WINDOW = 35
 ANCHOR = 18
 
 
-def _batch_words(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All texts as one buffer; word starts, ends, hashes; the first word of each text (one more at the end)."""
+def _batch_words(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts as one buffer; word starts and ends; the first word of each text (one more at the end)."""
     data = b"\n".join(texts)
     starts, ends = split_words(data)
     at = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return data, starts, ends, word_hashes(data, starts, ends), np.searchsorted(starts, at)
+    return data, starts, ends, np.searchsorted(starts, at)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iterator[tuple[np.ndarray, list, list[bytes]]]:
@@ -53,9 +53,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iterator[
                 start, held, have = i + 1, [], 0
 
 
-def _again(words: np.ndarray) -> np.ndarray:
-    """Other hashes of the words, so that runs of words are told apart by 128 bits."""
-    return mix(words ^ np.uint64(0xA0761D6478BD642F))
+def _both_runs(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[Runs, Runs]:
+    """Two independent hashes of words and of their runs, so that runs are told apart by 128 bits."""
+    return Runs(word_hashes(data, starts, ends)), Runs(word_hashes(data, starts, ends, seed=1))
 
 
 def _windows(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,11 +69,12 @@ def _windows(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 def _blocks(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, texts in _pieces(batches):
-            _, _, _, words, first = _batch_words(texts)
+            data, begin, end, first = _batch_words(texts)
             start, text = _windows(first, window)
             if not len(start):
                 continue
-            grams = run_hashes(words, np.arange(len(words) - anchor + 1), np.arange(anchor, len(words) + 1))
+            runs, second = _both_runs(data, begin, end)
+            grams = runs.hashes(np.arange(len(begin) - anchor + 1), np.arange(anchor, len(begin) + 1))
             span = window - anchor + 1
             low, where = grams[start], start.copy()
             for j in range(1, span):  # leftmost smallest: equal windows choose the same place
@@ -84,7 +85,7 @@ def _blocks(window: int, anchor: int):
             head = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (text[1:] != text[:-1])])
             tail = np.r_[head[1:], len(start)] - 1
             a, b = start[head], start[tail]
-            block, check = run_hashes(words, a, b + window), run_hashes(_again(words), a, b + window)
+            block, check = (x.hashes(a, b + window) for x in (runs, second))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows[text[head]]), pa.array((a - first[text[head]]).astype(np.int32)), pa.array((b - a + 1).astype(np.int16)),
                  pa.array(low[head].view(np.int64)), pa.array(block.view(np.int64)), pa.array(check.view(np.int64))],
@@ -99,8 +100,8 @@ def _edge_windows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, (wanted,), texts in _pieces(batches):
-            _, _, _, words, first = _batch_words(texts)
-            second = _again(words)
+            data, begin, end, first = _batch_words(texts)
+            runs = _both_runs(data, begin, end)
             out: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for i, row in enumerate(rows):
                 w = wanted[i].values
@@ -108,7 +109,7 @@ def _edge_windows(window: int):
                 n = w.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
                 block = np.repeat(np.arange(len(at)), n)
                 start = at[block] + np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n)
-                h, check = (run_hashes(x, first[i] + start, first[i] + start + window) for x in (words, second))
+                h, check = (x.hashes(first[i] + start, first[i] + start + window) for x in runs)
                 for k, x in enumerate((np.full(len(start), row), start.astype(np.int32), h.view(np.int64), check.view(np.int64),
                                        w.field("times").to_numpy(zero_copy_only=False)[block],
                                        w.field("lone").to_numpy(zero_copy_only=False)[block])):
@@ -155,7 +156,7 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
 def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, (ids, spans), texts in _pieces(batches):
-            data, starts, ends, _, first = _batch_words(texts)
+            data, starts, ends, first = _batch_words(texts)
             kept, total, removed, cut = [], [], [], []
             for i in range(len(rows)):
                 lo, hi = first[i], first[i + 1]
