@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 import random
 import re
 
@@ -105,3 +106,84 @@ def test_texts_keep_their_format_and_are_permuted(spark):
     assert all([bool(re.match("[0-9]", a)), bool(re.match("[a-z]", a))] == [bool(re.match("[0-9]", b)), bool(re.match("[a-z]", b))] for x, y in zip(rows, got, strict=True) for a, b in zip(x, y, strict=True))
     small = spark.range(676).select(F.concat(F.chr(97 + F.floor(F.col("id") / 26).cast("long")), F.chr(97 + F.col("id") % 26)).alias("t"))
     assert small.select(pii.permute_text(F.col("t"), "local", KEY).alias("p")).distinct().count() == 676
+
+
+def number(*parts):
+    return int(hashlib.sha256("|".join(parts).encode()).hexdigest()[:7], 16)
+
+
+def plain_number(value, a, b, kind, valid):
+    """The network once, and again until the value is a valid one."""
+    while True:
+        for r in range(8):
+            high, low = divmod(value, b)
+            value = (high + number(KEY, kind, str(r), str(low))) % a * b + low if r % 2 == 0 else high * b + (low + number(KEY, kind, str(r), str(high))) % b
+        if valid(value):
+            return value
+
+
+def plain_text(text, kind):
+    def moved(part, other, r):
+        out = ""
+        for i, c in enumerate(part, 1):
+            low, n = next(((x, n) for x, n in (("0", 10), ("A", 26), ("a", 26)) if x <= c < chr(ord(x) + n)), (c, 1))
+            out += chr(ord(low) + (ord(c) - ord(low) + number(KEY, kind, str(r), str(i), other)) % n)
+        return out
+
+    for r in range(8):
+        half = len(text) // 2
+        left, right = text[:half], text[half:]
+        text = moved(left, right, r) + right if r % 2 == 0 else left + moved(right, left, r)
+    return text
+
+
+FIRST, USUAL, FAR = 693_595, 73_049, 3_652_059 - 73_049
+
+
+def plain_day(day, kind="date", also=lambda d: True):
+    at = day.toordinal() - 1
+    back = lambda x: datetime.date.fromordinal(x + 1)
+    if FIRST <= at < FIRST + USUAL:
+        return back(FIRST + plain_number(at - FIRST, 271, 270, kind, lambda x: x < USUAL and also(back(x + FIRST))))
+    real = lambda x: x if x < FIRST else x + USUAL
+    return back(real(plain_number(at if at < FIRST else at - USUAL, 1892, 1892, f"far-{kind}", lambda x: x < FAR and also(back(real(x))))))
+
+
+def test_equals_a_plain_network(spark):
+    rng = random.Random(6)
+    texts, want = [], []
+    for _ in range(12):
+        d = datetime.date.fromordinal(rng.randint(1, 3_652_059))
+        texts.append(f"on {d:%d.%m.}{d.year:04} and {d.year:04}{d:-%m-%d}")
+        new = plain_day(d)
+        want.append(f"on {new:%d.%m.}{new.year:04} and {new.year:04}{new:-%m-%d}")
+        ip = rng.randrange(1 << 32)
+        dotted = lambda x: ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
+        texts.append(dotted(ip))
+        want.append(dotted(plain_number(ip, 65536, 65536, "ip", lambda x: True)))
+        local, name = (rng.choice(["Joe.Doe", "x", "a_b9"]), rng.choice(["mail7.example", "x-y"]))
+        texts.append(f"{local}@{name}.org")
+        want.append(f"{plain_text(local, 'local')}@{plain_text(name, 'domain')}.org")
+        texts.append("+1 555-0123-4567"[: rng.randint(15, 16)])
+        want.append("+1" + plain_text(texts[-1][2:], "phone"))
+    us = datetime.date(2150, 2, 27)
+    texts.append(f"{us:%m/%d/%Y}")
+    want.append(f"{plain_day(us, 'us-date', lambda d: d.day > 12):%m/%d/%Y}")
+    assert [t for t, _ in run(spark, texts)] == want
+
+
+def test_all_valid_dates_go(spark):
+    texts = ["born 2150-01-02 and 1890-05-06", "0001-01-01", "9999-12-31", "31.12.1899", "01.01.2100", "0000-01-01", "2023-02-29"]
+    got = run(spark, texts)
+    assert [k for _, k in got] == [["date", "date"], ["date"], ["date"], ["date"], ["date"], [], []]
+    assert all(a != b for a, (b, _) in zip(texts[:5], got[:5]))
+
+
+def test_a_megabyte_of_each_formats_signs(spark):
+    n = 1 << 20
+    units = ["a@", "ab.", "a@ab.", "x", "9", "9.", "1-", "1/", "+", "(", "+1", "DE89", " 1234", "1234 ", "(12)", "000-", "a-", "%", "@", "2020-01-01", "1.1.1.1", "a@b.co ", "4111 1111 1111 1111 "]
+    texts = [(u * (n // len(u) + 1))[:n] for u in units[:3]] + [(u * (n // 8 // len(u) + 1))[: n // 8] for u in units[3:]]
+    texts += ["a@" + "ab." * 3000, "a@" + "ab." * 125 + "org", "a@" + "ab." * 126 + "org", "a@" + "ab." * 127 + "org"]
+    got = run(spark, texts)
+    assert all(len(t) == len(new) or "ip" in kinds for t, (new, kinds) in zip(texts, got))
+    assert [k for _, k in got[-3:]] == [["email"]] * 3 and got[-1][0].endswith(".org") and not got[-2][0].startswith("a@ab.")

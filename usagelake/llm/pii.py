@@ -18,12 +18,16 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: Steps of a walk along a cycle: enough that a value out of range remains with a chance below 1e-9.
 WALK = 24
-#: Dates from FIRST_DAY, so many days.
-FIRST_DAY, DAYS = "1900-01-01", 73_049
+#: All dates of the years 1 to 9999, by days since the first one; those of 1900 to 2099 stay among themselves, as do the others.
+FIRST_DAY, ALL_DAYS = "0001-01-01", 3_652_059
+USUAL_FROM, USUAL_DAYS = 693_595, 73_049
+#: Most labels of a domain: what is longer than a domain can be (253 characters) ends with the label before.
+LABELS = 126
 
 #: The formats. The order is the priority of formats that begin at one place.
 FORMATS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,"
+             + str(LABELS) + r"}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
@@ -161,18 +165,27 @@ def _date(m: Column, key: str) -> tuple[Column, Column]:
     iso = m.rlike("^[0-9]{4}-")
     year = F.when(iso, F.substring(m, 1, 4)).otherwise(F.substring(m, 7, 4))
     a, b = F.when(iso, F.substring(m, 9, 2)).otherwise(F.substring(m, 1, 2)), F.when(iso, F.substring(m, 6, 2)).otherwise(F.substring(m, 4, 2))
-    by_day = F.try_to_timestamp(F.concat_ws("-", year, b, a), F.lit("yyyy-MM-dd")).cast("date")
-    by_month = F.try_to_timestamp(F.concat_ws("-", year, a, b), F.lit("yyyy-MM-dd")).cast("date")
+    there = lambda day, month: F.when(year != "0000", F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("yyyy-MM-dd")).cast("date"))
+    by_day, by_month = there(a, b), there(b, a)
     ordinal = lambda d: F.datediff(d, first).cast("long")
-    inside = lambda x: (x >= 0) & (x < DAYS)
     day_of = lambda x: F.date_add(first, x.cast("int"))
-    new = day_of(permute_number(ordinal(by_day), 271, 270, "date", key, inside))
+    far_back = lambda x: F.when(x < USUAL_FROM, x).otherwise(x + USUAL_DAYS)  # noqa: E731  # the other dates without a gap
+
+    def moved(day: Column, kind: str, also) -> Column:
+        def of(x: Column) -> Column:
+            usual = permute_number(x - USUAL_FROM, 271, 270, kind, key, lambda y: (y < USUAL_DAYS) & also(day_of(F.least(y, F.lit(USUAL_DAYS)) + USUAL_FROM)))
+            others, far = ALL_DAYS - USUAL_DAYS, F.when(x < USUAL_FROM, x).otherwise(x - USUAL_DAYS)
+            odd = permute_number(far, 1_892, 1_892, f"far-{kind}", key, lambda y: (y < others) & also(day_of(far_back(F.least(y, F.lit(others - 1))))))
+            return F.when(x.between(USUAL_FROM, USUAL_FROM + USUAL_DAYS - 1), usual + USUAL_FROM).otherwise(far_back(odd))
+
+        return day_of(_let(ordinal(day), of))
+
+    new = moved(by_day, "date", lambda d: F.lit(True))
     # Written month first, and so that it can be read no other way.
-    us = day_of(permute_number(ordinal(by_month), 271, 270, "us-date", key, lambda x: inside(x) & (F.dayofmonth(day_of(F.least(x, F.lit(DAYS)))) > 12)))
+    us = moved(by_month, "us-date", lambda d: F.dayofmonth(d) > 12)
     text = F.when(by_day.isNull(), F.date_format(us, "MM/dd/yyyy")).when(iso, F.date_format(new, "yyyy-MM-dd")).when(
         sign == "/", F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
-    us_valid = by_day.isNull() & (sign == "/") & by_month.isNotNull() & inside(ordinal(by_month))
-    return F.coalesce(inside(ordinal(by_day)), F.lit(False)) | F.coalesce(us_valid, F.lit(False)), text
+    return by_day.isNotNull() | (sign == "/") & by_month.isNotNull(), text
 
 
 def _phone(m: Column, key: str) -> tuple[Column, Column]:
@@ -209,7 +222,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
     All other columns and all other text stay, a column ``n_chars`` too, whatever their names; of a column ``pii_kinds`` that is there
     already the new one takes the place. Null texts stay null with no kinds, as texts without personal data; an
-    empty table gives no rows; repeated rows and null ids are treated alike. Equal values have equal pseudonyms everywhere under one key.
+    empty table gives no rows; repeated rows and null ids are treated alike. Texts of any length are searched whole, a domain up to ``LABELS`` labels. Equal values have equal pseudonyms everywhere under one key.
     """
     if not key:
         raise ValueError("pseudonyms need a key")
