@@ -1,10 +1,12 @@
 """Hand-written log lines and payloads of each format, and lines that must give no record."""
 
 import json
+import random
+import time
 
 import pytest
 from usagelake.schema import LINES
-from usagelake.sources import accounts, ingest, pricing, providers
+from usagelake.sources import accounts, carry, ingest, pricing, providers
 
 
 def lines(spark, path, *values, mtime=None):
@@ -144,3 +146,98 @@ def test_documents_and_storage_folders_are_read(spark, tmp_path):
     docs = ingest.read_docs(spark, [str(tmp_path)])
     assert docs.count() == 3 and docs.filter("size > 0 and mtime is not null").count() == 3
     assert [(r.message_id, r.project, r.session_id) for r in providers.extract_opencode_files(docs).collect()] == [("m1", "app", "s1")]
+
+
+def codex_lines(n):
+    """A file of turns, totals, given usages, broken times and foreign lines, and its records by a plain walk."""
+    rng = random.Random(n)
+    made, want, model, totals = [], [], None, (0, 0, 0)
+    for i in range(n):
+        kind = rng.random()
+        at = f"2024-01-01T00:{i // 60 % 60:02}:{i % 60:02}Z"
+        if kind < 0.1:
+            model = rng.choice(["x", "y", None]) or model
+            made.append(json.dumps({"type": "turn_context", "payload": {"model": model}}))
+            continue
+        total = tuple(rng.randrange(50) for _ in range(3))
+        info = {"total_token_usage": dict(zip(("input_tokens", "output_tokens", "cached_input_tokens"), total))}
+        if kind < 0.4:
+            info["last_token_usage"] = {"input_tokens": i}
+        if kind > 0.95:
+            at = at[:-1]
+        made.append(json.dumps({"timestamp": at, "payload": {"type": "token_count", "info": info}}))
+        if kind > 0.95:
+            continue
+        if kind < 0.4:
+            add = (i, 0, 0)
+        else:
+            add, totals = tuple(max(a - b, 0) for a, b in zip(total, totals)), total
+        if sum(add):
+            want.append((i, model or "unknown", *add))
+    return made, want
+
+
+@pytest.mark.parametrize("segment", [1, 7, 1 << 20])
+def test_carried_over_segments_and_blocks(spark, monkeypatch, segment):
+    monkeypatch.setattr(carry.carried, "__defaults__", ((), segment))
+    rows, want = [], []
+    for f in range(3):
+        made, expected = codex_lines(80 + f)
+        # Blocks of a file: the line numbers of a later block may be smaller.
+        rows += [(f"/sessions/a/{f}.jsonl", i // 30 * 1000, i % 30, None, 10, v) for i, v in enumerate(made)]
+        want += [(f"a/{f}", i % 30, *x) for i, *x in expected]
+    df = spark.createDataFrame(rows, LINES).repartition(4)
+    got = providers.extract_codex(df)
+    assert sorted((r.session_id, r.seq, r.model, r.input_tokens, r.output_tokens, r.cache_read_input_tokens) for r in got.collect()) == sorted(want)
+
+
+def test_no_window_over_a_whole_file(spark):
+    df = spark.createDataFrame([], LINES)
+    for extract in (providers.extract_codex, providers.extract_openclaw):
+        plan = extract(df)._jdf.queryExecution().optimizedPlan().toString()
+        windows = [x for x in plan.split("\n") if "Window [" in x]
+        assert windows and all("_segment" in x.split("], [")[1] for x in windows), windows
+
+
+def test_openclaw_models_over_segments(spark, monkeypatch):
+    monkeypatch.setattr(carry.carried, "__defaults__", ((), 2))
+    message = '{"type":"message","message":{"role":"assistant",%s"timestamp":1704067207179,"usage":{"input":1,"output":2}}}'
+    rows = [message % "", '{"type":"model_change","model":"m1"}', message % "", message % "", '{"type":"model_change","model":7}', message % '"model":"own",', message % ""]
+    got = providers.extract_openclaw(lines(spark, "/h/agents/bot/s1.jsonl", *rows))
+    assert [r.model for r in got.orderBy("seq").collect()] == ["unknown", "m1", "m1", "own", "m1"]
+
+
+def test_amp_documents_of_very_many_events(spark):
+    n = 100_000
+    messages = [{"role": "assistant", "messageId": i % (n // 2), "usage": {"cacheReadInputTokens": i}} for i in range(n)] + [{"role": "user", "messageId": 0, "usage": {"cacheReadInputTokens": 7}}]
+    # The last of equal ids counts, also with nothing in it; one without usage doesn't.
+    messages += [{"role": "assistant", "messageId": 1, "usage": None}, {"role": "assistant", "messageId": 3}, {"role": "assistant", "messageId": 5, "usage": {"cacheReadInputTokens": "8"}}]
+    events = [{"id": f"e{i}", "timestamp": "2024-01-01T00:00:00Z", "tokens": {"input": 1, "output": 2}, "toMessageId": i if i % 2 else None} for i in range(n // 2)]
+    doc = json.dumps({"id": "T", "messages": messages, "usageLedger": {"events": events}})
+    began = time.time()
+    got = {r.message_id: r.cache_read_input_tokens for r in providers.extract_amp(lines(spark, "/a.json", doc)).collect()}
+    assert time.time() - began < 60 and len(got) == n // 2
+    assert got == {f"e{i}": (i + n // 2 if i % 2 and i not in (1, 5) else 0) for i in range(n // 2)}
+
+
+def test_files_beyond_the_bound_are_never_opened(spark, tmp_path):
+    (tmp_path / "small.jsonl").write_text("one\ntwo\n")
+    (tmp_path / "large.jsonl").write_text("x" * 5000 + "\n")
+    (tmp_path / "large.jsonl").chmod(0)
+    for read, want in ((ingest.read_lines, 2), (ingest.read_docs, 1)):
+        kept = read(spark, [str(tmp_path)], "*.jsonl", most_file=1000)
+        assert kept.count() == want and {r.size for r in kept.collect()} == {8}
+        scan = kept._jdf.queryExecution().executedPlan().collectLeaves().head()
+        scan.execute().count()
+        assert scan.metrics().get("numFiles").get().value() == 1
+    (tmp_path / "large.jsonl").chmod(0o644)
+    assert ingest.read_lines(spark, [str(tmp_path)], most_file=None).count() == 3
+
+
+def test_ids_and_places_of_another_type(spark):
+    kimi = '{"timestamp":1704067207,"message":{"type":"StatusUpdate","payload":{"message_id":7,"token_usage":{"input_other":1,"output":2}}}}'
+    assert providers.extract_kimi(lines(spark, "/s/g/u/wire.jsonl", kimi)).first().message_id == "kimi:u:2024-01-01 00:00:07:1:2"
+    claude = '{"type":"assistant","timestamp":"2024-01-01T00:00:07Z","cwd":5,"message":{"id":"m","model":"opus","usage":{}}}'
+    assert providers.extract_claude(lines(spark, "/x/projects/-home-u-git-app/s.jsonl", claude)).first().project == "app"
+    sessions = lines(spark, "/s.json", '{"id":7,"directory":"/d"}', '{"id":"s","directory":8,"projectID":"p"}')
+    assert [tuple(r) for r in providers.opencode_sessions(sessions).collect()] == [("s", "p")]

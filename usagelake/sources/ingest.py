@@ -13,19 +13,27 @@ MOST_FILE, MOST_LINE = 500 << 20, 16 << 20
 MOST_RECORDS = 5_000_000
 
 
-def read_lines(spark: SparkSession, paths: list[str], glob: str = "*.jsonl") -> DataFrame:
-    """Lines of all files under the paths, with their place: files stay splittable, order is block start and line number."""
-    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("ignoreMissingFiles", True).text(paths)
-    return read.select(
+def _read(spark: SparkSession, paths: list[str], glob: str, most_file: int | None, **options) -> DataFrame:
+    """Text files below the paths. Files beyond ``most_file`` bytes are left out by their listing and never opened; None reads all."""
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("ignoreMissingFiles", True).text(paths, **options)
+    return read if most_file is None else read.filter(F.col("_metadata.file_size") <= most_file)
+
+
+def read_lines(spark: SparkSession, paths: list[str], glob: str = "*.jsonl", most_file: int | None = MOST_FILE) -> DataFrame:
+    """Lines of all files under the paths, with their place: files stay splittable, order is block start and line number.
+
+    Two formats (codex, openclaw) have no bound in the tool whose results are to be matched: ``most_file=None`` for these.
+    """
+    return _read(spark, paths, glob, most_file).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("line_id"),
         F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"), "value")
 
 
-def read_docs(spark: SparkSession, paths: list[str], glob: str = "*.json") -> DataFrame:
+def read_docs(spark: SparkSession, paths: list[str], glob: str = "*.json", most_file: int | None = MOST_FILE) -> DataFrame:
     """Whole documents under the paths."""
-    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("ignoreMissingFiles", True).text(paths, wholetext=True)
-    return read.select(F.col("_metadata.file_path").alias("file_path"), F.lit(0).cast("bigint").alias("block_start"), F.lit(0).cast("bigint").alias("line_id"),
-                       F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"), "value")
+    return _read(spark, paths, glob, most_file, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file_path"), F.lit(0).cast("bigint").alias("block_start"), F.lit(0).cast("bigint").alias("line_id"),
+        F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"), "value")
 
 
 def guarded(lines: DataFrame, needle: str) -> DataFrame:

@@ -43,6 +43,11 @@ def string(v: Column) -> Column:
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
+def integer(v: Column) -> Column:
+    """A variant's whole number; null if it is of another type."""
+    return F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get(v, "$", "bigint"))
+
+
 def mistyped(*fields: Column) -> Column:
     """Whether one of the variants is neither missing nor a text."""
     out = F.lit(False)

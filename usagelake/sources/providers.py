@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from usagelake.functions.text import claude_folder, claude_project, droid_model, path_part, stem
+from usagelake.sources.carry import carried
 from usagelake.sources.ingest import guarded
-from usagelake.sources.jsonx import LAST_MILLI, millis, mistyped, rfc3339, string, text, tokens, u64
+from usagelake.sources.jsonx import LAST_MILLI, integer, millis, mistyped, rfc3339, string, text, tokens, u64
 
 _MESSAGE = "struct<id:variant, model:string, usage:struct<input_tokens:bigint, output_tokens:bigint, cache_creation_input_tokens:bigint, cache_read_input_tokens:bigint>>"
-CLAUDE = (f"type string, timestamp string, requestId variant, cwd string, message {_MESSAGE}, "
+CLAUDE = (f"type string, timestamp string, requestId variant, cwd variant, message {_MESSAGE}, "
           f"data struct<type:string, message:struct<timestamp:string, requestId:variant, message:{_MESSAGE}>>")
 _USE = "struct<input_tokens:bigint, output_tokens:bigint, cached_input_tokens:bigint, cache_read_input_tokens:bigint>"
 CODEX = f"timestamp string, payload struct<type:string, model:string, metadata:struct<model:string>, info:struct<model:string, metadata:struct<model:string>, last_token_usage:{_USE}, total_token_usage:{_USE}>>"
@@ -45,7 +45,7 @@ def extract_claude(lines: DataFrame) -> DataFrame:
     j = j.withColumn("m", F.when(own, F.col("j.message")).when(agent, F.col("j.data.message.message")))
     model = F.when(own, text(F.col("m.model"), F.col("value"), "$.message.model")).otherwise(text(F.col("m.model"), F.col("value"), "$.data.message.message.model"))
     at = F.when(own, rfc3339(F.col("j.timestamp"))).otherwise(rfc3339(F.coalesce("j.data.message.timestamp", "j.timestamp")))
-    folder = F.coalesce(F.nullif(path_part(F.regexp_replace("j.cwd", "/+$", ""), 1), F.lit("")), claude_project(claude_folder(F.col("file_path"))))
+    folder = F.coalesce(F.nullif(path_part(F.regexp_replace(string(F.col("j.cwd")), "/+$", ""), 1), F.lit("")), claude_project(claude_folder(F.col("file_path"))))
     use = "m.usage."
     out = j.withColumn("model", model).filter(F.col("m.usage").isNotNull() & F.col("model").isNotNull() & (F.col("model") != "<synthetic>"))
     return _record(out, "claude", tuple(tokens(F.col(use + c)) for c in ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")),
@@ -53,37 +53,34 @@ def extract_claude(lines: DataFrame) -> DataFrame:
                    request_id=F.coalesce(string(F.when(own, F.col("j.requestId")).otherwise(F.col("j.data.message.requestId"))), F.lit("")))
 
 
-def _in_order() -> Window:
-    return Window.partitionBy("file_path").orderBy("block_start", "line_id")
-
-
 def extract_codex(lines: DataFrame) -> DataFrame:
-    """Token counts of each turn, as given or as differences of running totals; the model is carried along the file.
+    """Token counts of each turn, as given or as differences of running totals; model and totals are carried along the file.
 
-    Only lines of the two kinds are kept before the file is put in order, one window a file.
+    Only lines of the two kinds are kept, and of these the fields in use, before they are dealt by segments of the file.
     """
     turn = F.col("value").contains('"turn_context"')
     kept = lines.filter(turn | F.col("value").contains('"token_count"')).withColumn("turn", turn)
     j = _parsed(kept, CODEX)
     p, info = "j.payload.", "j.payload.info."
     model = F.coalesce(*[text(F.col("j" + x), F.col("value"), "$" + x) for x in (".payload.info.model", ".payload.info.metadata.model", ".payload.model", ".payload.metadata.model")])
-    j = j.withColumn("own", model)
-    carried = F.last(F.when(F.col("turn"), F.col("own")), ignorenulls=True).over(_in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    j = j.withColumns({"carried": carried, "at": rfc3339(F.col("j.timestamp"))})
     # A usage that is present but null counts as present.
     last_given = F.try_variant_get(F.try_parse_json("value"), "$.payload.info.last_token_usage", "variant").isNotNull()
-    events = j.filter(~F.col("turn") & (F.col(p + "type") == "token_count") & F.col("at").isNotNull()).withColumn(
-        "given", F.col(info + "last_token_usage").isNotNull() | (F.col("value").contains('"last_token_usage"') & F.coalesce(last_given, F.lit(False))))
-
-    def read(use: str) -> list[Column]:
-        return [tokens(F.col(f"{use}.input_tokens")), tokens(F.col(f"{use}.output_tokens")), tokens(F.coalesce(f"{use}.cached_input_tokens", f"{use}.cache_read_input_tokens"))]
-
-    total = events.filter(~F.col("given") & F.col(info + "total_token_usage").isNotNull())
-    names = ("a", "b", "c")
-    total = total.withColumns(dict(zip(names, read(info + "total_token_usage"), strict=True)))
-    total = total.withColumns({x: F.greatest(F.col(x) - F.lag(x, 1, 0).over(_in_order()), F.lit(0)) for x in names})
-    given = events.filter("given").withColumns(dict(zip(names, read(info + "last_token_usage"), strict=True)))
-    out = given.unionByName(total).filter("a + b + c > 0")
+    given = F.col(info + "last_token_usage").isNotNull() | (F.col("value").contains('"last_token_usage"') & F.coalesce(last_given, F.lit(False)))
+
+    def read(use: str) -> Column:
+        use = info + use
+        return F.struct(tokens(F.col(f"{use}.input_tokens")).alias("a"), tokens(F.col(f"{use}.output_tokens")).alias("b"),
+                        tokens(F.coalesce(f"{use}.cached_input_tokens", f"{use}.cache_read_input_tokens")).alias("c"))
+
+    j = j.select("file_path", "block_start", "line_id", "turn", model.alias("own"), rfc3339(F.col("j.timestamp")).alias("at"), given.alias("given"),
+                 F.coalesce(F.col(p + "type") == "token_count", F.lit(False)).alias("count"), read("last_token_usage").alias("last"),
+                 F.when(F.col(info + "total_token_usage").isNotNull(), read("total_token_usage")).alias("total"))
+    # Events whose time is broken don't move the totals.
+    event = ~F.col("turn") & F.col("count") & F.col("at").isNotNull() & (F.col("given") | F.col("total").isNotNull())
+    j = j.filter(event | F.col("turn") & F.col("own").isNotNull())
+    j = carried(j, {"carried": F.when(F.col("turn"), F.col("own")), "before": F.when(~F.col("turn") & ~F.col("given"), F.col("total"))}, strict=("before",))
+    added = {x: F.when(F.col("given"), F.col(f"last.{x}")).otherwise(F.greatest(F.col(f"total.{x}") - F.coalesce(f"before.{x}", F.lit(0)), F.lit(0))) for x in "abc"}
+    out = j.filter(~F.col("turn")).withColumns(added).filter("a + b + c > 0")
     sid = F.coalesce(F.nullif(F.regexp_extract("file_path", r"/sessions/(.*?)(?:\.jsonl)?$", 1), F.lit("")), stem(F.col("file_path")))
     return _record(out, "codex", (F.col("a"), F.col("b"), F.lit(0), F.col("c")), session_id=sid, ts=F.col("at"),
                    project=F.coalesce(F.nullif(F.when(F.col("file_path").contains("/sessions/"), F.split_part(sid, F.lit("/"), F.lit(1))), F.lit("")), F.lit("codex")),
@@ -102,13 +99,20 @@ def extract_pi(lines: DataFrame) -> DataFrame:
 
 
 def extract_amp(docs: DataFrame) -> DataFrame:
-    """Events of a document's ledger; cache tokens are those of the message that the event names (the last of equal ids)."""
-    schema = ("id variant, messages array<struct<role:string, messageId:bigint, usage:struct<cacheCreationInputTokens:bigint, cacheReadInputTokens:bigint>>>, "
-              "usageLedger struct<events:array<struct<id:variant, timestamp:string, model:variant, tokens:struct<input:bigint, output:bigint>, toMessageId:bigint>>>")
-    j = _parsed(docs, schema).select("file_path", "line_id", "value", "j", F.posexplode("j.usageLedger.events").alias("n", "e")).filter("e.tokens is not null")
-    message = F.try_element_at(F.filter("j.messages", lambda m: (m["role"] == "assistant") & (m["messageId"] == F.col("e.toMessageId"))), F.lit(-1))["usage"]
+    """Events of a document's ledger; cache tokens are those of the message that the event names (the last of equal ids).
+
+    Events meet messages in an equi-join on document and message id, so a document's cost is linear in both.
+    """
+    schema = "id variant, usageLedger struct<events:array<struct<id:variant, timestamp:string, model:variant, tokens:struct<input:bigint, output:bigint>, toMessageId:bigint>>>"
+    j = _parsed(docs, schema).select("file_path", "j", F.posexplode("j.usageLedger.events").alias("n", "e")).filter("e.tokens is not null")
+    told = _parsed(docs, "messages array<struct<role:string, messageId:bigint, usage:variant>>").select("file_path", F.posexplode("j.messages").alias("at", "m"))
+    # A message without usage says nothing, one with a null says none.
+    told = told.filter("m.role = 'assistant' and m.messageId >= 0 and m.usage is not null")
+    use = F.struct(*[integer(F.try_variant_get("m.usage", f"$.{c}", "variant")).alias(c) for c in ("cacheCreationInputTokens", "cacheReadInputTokens")])
+    told = told.groupBy(F.col("file_path").alias("_file"), F.col("m.messageId").alias("_message")).agg(F.max_by(use, "at").alias("u"))
+    j = j.join(told, (F.col("file_path") == F.col("_file")) & (F.col("e.toMessageId") == F.col("_message")), "left")
     return _record(j.withColumn("line_id", F.col("n").cast("bigint")), "amp",
-                   (tokens(F.col("e.tokens.input")), tokens(F.col("e.tokens.output")), tokens(message["cacheCreationInputTokens"]), tokens(message["cacheReadInputTokens"])),
+                   (tokens(F.col("e.tokens.input")), tokens(F.col("e.tokens.output")), tokens(F.col("u.cacheCreationInputTokens")), tokens(F.col("u.cacheReadInputTokens"))),
                    session_id=F.coalesce(string(F.col("j.id")), F.lit("unknown")), ts=rfc3339(F.col("e.timestamp")), project=F.lit("amp"),
                    model=F.coalesce(string(F.col("e.model")), F.lit("unknown")), message_id=F.coalesce(string(F.col("e.id")), F.lit("")))
 
@@ -139,9 +143,10 @@ def extract_opencode_files(docs: DataFrame) -> DataFrame:
 
 def opencode_sessions(docs: DataFrame) -> DataFrame:
     """One row (sid, project) for each session file; of equal ids the last path counts."""
-    j = _parsed(docs, "id string, directory string, projectID string").filter("j.id is not null")
-    name = F.coalesce(F.nullif(path_part(F.regexp_replace("j.directory", "/+$", ""), 1), F.lit("")), F.col("j.projectID"), F.lit("opencode"))
-    return j.groupBy(F.col("j.id").alias("sid")).agg(F.max_by(name, "file_path").alias("session_project"))
+    j = _parsed(docs, "id variant, directory variant, projectID variant")
+    j = j.select("file_path", *[string(F.col(f"j.{c}")).alias(c) for c in ("id", "directory", "projectID")]).filter("id is not null")
+    name = F.coalesce(F.nullif(path_part(F.regexp_replace("directory", "/+$", ""), 1), F.lit("")), F.col("projectID"), F.lit("opencode"))
+    return j.groupBy(F.col("id").alias("sid")).agg(F.max_by(name, "file_path").alias("session_project"))
 
 
 def extract_opencode(messages: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -193,19 +198,22 @@ def extract_openclaw(lines: DataFrame) -> DataFrame:
     change = F.col("value").contains('"model_change"')
     kept = lines.filter(change | F.col("value").contains('"message"') & F.col("value").contains('"assistant"')).withColumn("change", change)
     j = _parsed(kept, "model string, message struct<role:string, model:string, timestamp:bigint, usage:struct<input:bigint, output:bigint, cacheRead:bigint, cacheWrite:bigint>>")
-    changed = F.when(F.col("change"), text(F.col("j.model"), F.col("value"), "$.model"))
-    j = j.withColumn("carried", F.last(changed, ignorenulls=True).over(_in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     u = "j.message.usage."
-    a, b, sid, at = tokens(F.col(u + "input")), tokens(F.col(u + "output")), stem(F.col("file_path")), millis(F.col("j.message.timestamp"))
-    out = j.filter(~F.col("change") & (F.col("j.message.role") == "assistant") & F.col("j.message.usage").isNotNull() & (a + b > 0))
-    return _record(out, "openclaw", (a, b, tokens(F.col(u + "cacheWrite")), tokens(F.col(u + "cacheRead"))), session_id=sid, ts=at,
+    a, b = tokens(F.col(u + "input")), tokens(F.col(u + "output"))
+    own = F.when(F.col("change"), text(F.col("j.model"), F.col("value"), "$.model")).otherwise(text(F.col("j.message.model"), F.col("value"), "$.message.model"))
+    said = ~F.col("change") & (F.col("j.message.role") == "assistant") & F.col("j.message.usage").isNotNull() & (a + b > 0)
+    j = j.select("file_path", "block_start", "line_id", "change", own.alias("own"), millis(F.col("j.message.timestamp")).alias("at"), a.alias("a"), b.alias("b"),
+                 tokens(F.col(u + "cacheWrite")).alias("w"), tokens(F.col(u + "cacheRead")).alias("r"), said.alias("said"))
+    out = carried(j.filter(F.col("said") | F.col("change") & F.col("own").isNotNull()), {"carried": F.when(F.col("change"), F.col("own"))}).filter(~F.col("change"))
+    sid, at = stem(F.col("file_path")), F.col("at")
+    return _record(out, "openclaw", tuple(F.col(x) for x in "abwr"), session_id=sid, ts=at,
                    project=F.coalesce(F.nullif(F.regexp_extract("file_path", "/agents/([^/]+)/", 1), F.lit("")), F.lit("openclaw")),
-                   model=F.coalesce(text(F.col("j.message.model"), F.col("value"), "$.message.model"), "carried", F.lit("unknown")), message_id=_id("openclaw", sid, at, a, b))
+                   model=F.coalesce("own", "carried", F.lit("unknown")), message_id=_id("openclaw", sid, at, F.col("a"), F.col("b")))
 
 
 def extract_kimi(lines: DataFrame, default_model: str | None = None) -> DataFrame:
     """Status updates of wire logs; the model is the line's, else the configured, else a fixed one."""
-    schema = ("type string, model variant, timestamp double, message struct<type:string, payload:struct<message_id:string, "
+    schema = ("type string, model variant, timestamp double, message struct<type:string, payload:struct<message_id:variant, "
               "token_usage:struct<input_other:bigint, output:bigint, input_cache_creation:bigint, input_cache_read:bigint>>>")
     j = _parsed(guarded(lines, "token_usage"), schema)
     u = "j.message.payload.token_usage."
@@ -215,7 +223,7 @@ def extract_kimi(lines: DataFrame, default_model: str | None = None) -> DataFram
     at = millis(F.when(F.abs("j.timestamp") <= LAST_MILLI / 1000, F.floor(F.col("j.timestamp") * 1000).cast("bigint")))
     return _record(out, "kimi", (a, b, tokens(F.col(u + "input_cache_creation")), tokens(F.col(u + "input_cache_read"))), session_id=sid, ts=at,
                    project=F.when(group.isin("", "sessions"), "kimi").otherwise(group), model=F.coalesce(string(F.col("j.model")), F.lit(default_model or "kimi-for-coding")),
-                   message_id=F.coalesce("j.message.payload.message_id", _id("kimi", sid, at, a, b)))
+                   message_id=F.coalesce(string(F.col("j.message.payload.message_id")), _id("kimi", sid, at, a, b)))
 
 
 EXTRACTORS = {"claude": extract_claude, "codex": extract_codex, "pi": extract_pi, "amp": extract_amp, "opencode": extract_opencode, "gemini": extract_gemini,
