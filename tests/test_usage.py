@@ -1,12 +1,14 @@
 """Values of the usage operators on small fixtures."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from usagelake.functions import text as X
 from usagelake.operators import attribution, burn, cost, cycles, filters, histogram, outputs, plans, reports
 from usagelake.operators.dedup import dedup
+from usagelake.sources import ingest
 
 USAGE = ("provider string, session_id string, ts timestamp_ntz, project string, model string, message_id string, request_id string, input_tokens bigint, "
          "output_tokens bigint, cache_creation_input_tokens bigint, cache_read_input_tokens bigint, account_uuid string, seq bigint")
@@ -55,15 +57,41 @@ def test_active_seconds_are_capped(spark, prices):
     assert burns(spark, far, prices, 1_000_000)["m"].active_secs == 4320 * 60
 
 
+def test_active_seconds_of_many_sessions(spark, prices):
+    """Against a plain walk: several sessions and models, times before 1970, caps from nothing to more than a day."""
+    rng = random.Random(17)
+    rows = [{"session_id": rng.choice("ab"), "model": rng.choice("mn"), "ts": dt.datetime(1969, 12, 30) + dt.timedelta(seconds=rng.choice([rng.randrange(400_000), rng.randrange(4_000)]), microseconds=rng.randrange(10**6))}
+            for _ in range(400)]
+    for gap in (0, 1, 61, 3000):
+        got = burns(spark, rows, prices, gap)
+        for name in ("m", "n", "ALL"):
+            total = 0
+            for session in "ab":
+                times = sorted(int((r["ts"] - dt.datetime(1969, 1, 1)).total_seconds()) for r in rows if r["session_id"] == session and name in (r["model"], "ALL"))
+                total += sum(min(b - a, 60 * gap) for a, b in zip(times, times[1:]))
+            assert got[name].active_secs == total, (name, gap)
+
+
+def test_a_session_of_all_records_is_spread(spark):
+    """Two and a half days of a record each second: every task sorts an hour's seconds, each once."""
+    n = 60 * 3600
+    one = spark.range(0, 3 * n).select(F.lit("s").alias("session_id"), F.timestamp_seconds(F.lit(1_700_000_000 - 1_700_000_000 % 3600) + F.col("id") % n).alias("ts"))
+    slices = burn._slices(one, ["session_id"], 300, F.count(F.lit(1)).alias("n"))
+    got = slices.agg(F.count(F.lit(1)).alias("slices"), F.max("n").alias("records"), F.sum("gap").alias("gap")).first()
+    assert (got.slices, got.records, got.gap) == (60, 3 * 3600, n - 1)
+    plan = slices._jdf.queryExecution().executedPlan().toString()
+    assert "session_id" in plan and plan.count("Window [") == 1 and "_slice" in plan.split("Window [")[1].split("\n")[0]
+
+
 def test_burn_cases(spark, prices):
-    one = burns(spark, [(0, "m")], prices)["m"]
+    one = burns(spark, [(3, "m")], prices)["m"]
     assert one.active_secs == 0 and one.tokens_per_min is None and one.cost_per_active_hour is None
-    mixed = burns(spark, [(0, "m"), (1, "b"), (2, "m"), (3, "b")], prices)
-    assert [mixed[k].active_secs for k in ("m", "b", "ALL")] == [120, 120, 180]
-    assert burns(spark, [(0, "m"), (1440, "m")], prices)["m"].calendar_days == 2
-    assert burns(spark, [(0, "m"), (1440, "m")], prices)["m"].active_secs == 300
-    free = burns(spark, [(0, "x"), (1, "x")], prices)["x"]
-    assert free.cost is None and free.tokens == 14 and free.active_secs == 60 and free.tokens_per_min is not None
+    mixed = burns(spark, [(0, "m"), (0.5, "b"), (4, "m"), (4.25, "m"), (4.75, "b")], prices)
+    assert [mixed[k].active_secs for k in ("m", "b", "ALL")] == [255, 255, 285]
+    days = burns(spark, [(10, "m"), (20, "m"), (2900, "m"), (4400, "m")], prices)["m"]
+    assert (days.calendar_days, days.active_secs, days.tokens) == (3, 900, 28)
+    free = burns(spark, [(0, "x"), (0.75, "x"), (1.5, "x")], prices)["x"]
+    assert free.cost is None and free.tokens == 21 and free.active_secs == 90 and free.tokens_per_min == 14.0
 
 
 def test_unpriced_models(spark, prices):
@@ -99,8 +127,8 @@ def test_cost_rules_and_total(spark, prices):
 def test_threshold_classes(spark):
     one = spark.range(1)
     cls = lambda c, w, k: one.select(X.threshold_class(F.lit(c), w, k).alias("c")).first().c
-    assert [cls(4.9, 5, 10), cls(5.0, 5, 10), cls(10.0, 5, 10), cls(99.0, None, None), cls(7.0, 5, None), cls(11.0, None, 10)] == [
-        "normal", "warning", "critical", "normal", "warning", "critical"]
+    assert [cls(2.49, 2.5, 40), cls(2.5, 2.5, 40), cls(39.9, 2.5, 40), cls(40.0, 2.5, 40), cls(1e6, None, None), cls(41.0, 2.5, None), cls(39.0, None, 40), cls(40.5, None, 40)] == [
+        "normal", "warning", "warning", "critical", "normal", "warning", "normal", "critical"]
 
 
 def test_status_without_usage(spark, prices):
@@ -156,13 +184,86 @@ def test_filters(spark):
     assert filters.named_range("month", day)[0] == dt.date(2024, 3, 1) and filters.named_range("1m", day)[0] == dt.date(2024, 2, 14)
 
 
-def test_as_of_ties_and_long_logs(spark, monkeypatch):
+def test_as_of_ties_and_both_joins(spark):
     log = spark.createDataFrame([(at(10), "a", "x", 1), (at(20), "b", "y", 2), (at(20), "c", "z", 3), (at(30, 2), "d", "w", 4)], "at_ts timestamp_ntz, org string, nm string, pos int")
     u = usage(spark, [(5, "m"), (10, "m"), (20, "m"), (25, "m"), (1440, "m"), (1440 * 3, "m")])
     want = [(0, None), (1, "a"), (2, "c"), (3, "c"), (4, "c"), (5, "d")]
-    assert sorted((r.seq, r.log_org) for r in attribution.account_name_at(u, log).collect()) == want
-    monkeypatch.setattr(attribution, "BROADCAST_LOG", 1)
-    assert sorted((r.seq, r.log_org) for r in attribution.account_name_at(u, log).collect()) == want
+    for broadcast in (None, True, False):
+        assert sorted((r.seq, r.log_org) for r in attribution.account_name_at(u, log, broadcast).collect()) == want
+    assert {r.log_org for r in attribution.account_name_at(u, log.limit(0)).collect()} == {None}
+
+
+def test_as_of_against_a_plain_search(spark):
+    """Logs with gaps of years, crowded hours and entries at one time; records from long before to long after."""
+    rng = random.Random(23)
+    base = dt.datetime(1965, 3, 1)
+    moments = [base + dt.timedelta(days=rng.choice([0, 1, 2, 40, 9000]), seconds=rng.choice([rng.randrange(86_400), 3600 * rng.randrange(24), 7200 + rng.randrange(60)])) for _ in range(80)]
+    entries = [(m, f"o{i}", f"n{i}", i) for i, m in enumerate(moments)]
+    log = spark.createDataFrame(entries, "at_ts timestamp_ntz, org string, nm string, pos int")
+    times = [rng.choice(moments) + dt.timedelta(microseconds=rng.choice([-1, 0, 1, 10**9, -(10**9)])) for _ in range(300)]
+    times += [dt.datetime(1900, 1, 1), dt.datetime(2262, 1, 1), base + dt.timedelta(days=300)]
+    got = {r.seq: (r.log_org, r.log_name) for r in attribution.account_name_at(usage(spark, [{"ts": t} for t in times]), log).collect()}
+    for i, t in enumerate(times):
+        best = max((e for e in entries if e[0] <= t), key=lambda e: (e[0], e[3]), default=(None,) * 4)
+        assert got[i] == best[1:3], t
+
+
+def test_the_as_of_join_runs_nothing_before_it_is_run(spark):
+    log = spark.createDataFrame([(at(10), "a", "x", 1)], "at_ts timestamp_ntz, org string, nm string, pos int")
+    u = usage(spark, [(5, "m")])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("as-of", "")
+    plan = attribution.account_name_at(u, log)._jdf.queryExecution().executedPlan().toString()
+    spark.sparkContext.setJobGroup("", "")
+    assert not list(tracker.getJobIdsForGroup("as-of")) and "Window" not in plan and "NestedLoop" not in plan
+
+
+def test_owners_of_records(spark):
+    accounts = spark.createDataFrame([("zeta", "o1", 0), ("alpha", "o1", 1), ("beta", "o2", 2)], "name string, org_uuid string, position int")
+    log = spark.createDataFrame([(at(10), "o9", "beta", 1), (at(20), "o1", "gone", 2)], "at_ts timestamp_ntz, org string, nm string, pos int")
+    u = usage(spark, [{"account_uuid": "o1"}, {"account_uuid": "other"}, {"ts": at(5)}, {"ts": at(15)}, {"ts": at(25)}])
+    assert [r.org_uuid for r in attribution.with_owner(u, accounts, log).orderBy("seq").collect()] == ["o1", None, None, "o2", None]
+    assert attribution.with_account_name(u, accounts).orderBy("seq").first().account_name == "zeta"
+
+
+def test_own_costs_of_cycles(spark, prices):
+    end = dt.datetime(2024, 1, 20, 10, 30)
+    week = dt.timedelta(days=7)
+    times = [end, end - dt.timedelta(microseconds=1), end - week, end - week - dt.timedelta(microseconds=1), end - 2 * week, end - 2 * week - dt.timedelta(microseconds=1)]
+    u = usage(spark, [{"ts": t, "account_uuid": "a"} for t in times] + [{"ts": times[1], "account_uuid": "b"}]).withColumn("org_uuid", F.col("account_uuid"))
+    resets = spark.createDataFrame([("a", end), ("b", end + dt.timedelta(hours=1)), ("c", end)], "org_uuid string, resets_at timestamp_ntz")
+    got = {(r.org_uuid, r.number): round(r.cost / 0.000012) for r in cycles.own_cycle_costs(cost.price(u, prices), resets, 2).collect()}
+    assert got == {("a", 0): 2, ("a", 1): 2, ("b", 0): 1, ("b", 1): 0, ("c", 0): 0, ("c", 1): 0}
+
+
+def test_a_range_reads_its_days_only(spark, tmp_path):
+    u = usage(spark, [{"ts": at(100, d), "provider": p} for d in range(1, 10) for p in ("pi", "amp")])
+    ingest.write_usage(u, str(tmp_path / "table"))
+    table = spark.read.parquet(str(tmp_path / "table"))
+    some = filters.in_range(table, "2024-01-03", dt.date(2024, 1, 4))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(usage_date" in plan and some.count() == 4
+    scan = some._jdf.queryExecution().executedPlan().collectLeaves().head()
+    scan.executeColumnar().count()
+    assert scan.metrics().get("numFiles").get().value() == 4
+    assert filters.in_range(table, None, "2024-01-01").count() == 2 and filters.in_range(table, "2024-01-09", None).count() == 2
+
+
+def test_lists_of_reports(spark, prices):
+    rows = [{"project": p, "provider": t, "model": m, "input_tokens": n} for p, t, m, n in (("b", "pi", "m", 1), ("a", "pi", "x", 1), ("a", "amp", "m", 1), (None, "amp", "y", 5))]
+    got = reports.report(cost.price(usage(spark, rows), prices), "all").first()
+    assert (got.models, got.projects, got.tools, got.input_tokens) == (["m", "x", "y"], ["a", "b"], ["amp", "pi"], 8) and got.cost == pytest.approx(2 * 11e-6)
+
+
+def test_plans_that_credentials_claim(spark, prices):
+    accounts = spark.createDataFrame([("one", "o1", "pro", None), ("two", "o2", "pro", None), ("three", "o3", "max", "x_5x")], "name string, org_uuid string, subscription_type string, rate_limit_tier string")
+    live = spark.createDataFrame([("o1", "expired", "max", "a_20x"), ("o2", "fresh", None, None), ("o3", None, "max", "a_20x")], "org_uuid string, token string, claim_type string, claim_tier string")
+    live = live.select("org_uuid", F.lit(1.0).alias("live_pct"), F.lit(None).cast("double").alias("five_hour_pct"), F.lit(None).cast("string").alias("plan"), F.lit(None).cast("timestamp_ntz").alias("resets_at"),
+                       "token", "claim_type", "claim_tier")
+    snaps = spark.createDataFrame([], "org_uuid string, cycle_end timestamp_ntz, utilization double, captured_at timestamp_ntz, cost_at_calibration double, plan string")
+    log = spark.createDataFrame([], "at_ts timestamp_ntz, org string, nm string, pos int")
+    rows = cycles.account_overview(cost.price(usage(spark, []), prices), accounts, log, snaps, "2024-01-15 00:00:00", live)
+    assert {r.name: r.plan for r in rows.collect()} == {"one": "Claude Max (20x)", "two": "unknown", "three": "Claude Max (5x)"}
 
 
 def test_histogram_edges(spark):

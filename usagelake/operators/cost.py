@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 def price(usage: DataFrame, pricing: DataFrame) -> DataFrame:
     """``usage`` with ``cost`` (decimal, USD): tokens by kind times the model's price, null for a model without one.
 
-    ``pricing(model, i, o, cr, cw)`` holds USD per token; a missing cache price adds nothing. It is a price
-    list of some thousand models and is broadcast.
+    ``pricing(model, i, o, cr, cw)`` holds USD per token; a missing cache price adds nothing. A price list has some
+    thousand models; Spark picks the join by its size.
     """
     part = lambda c, p: (F.col(c).cast("decimal(19,0)") * p).cast("decimal(34,12)")  # noqa: E731  # whatever a bigint holds
     nothing = F.lit(0).cast("decimal(16,12)")
-    priced = usage.join(F.broadcast(pricing.withColumnRenamed("model", "_model")), F.col("model") == F.col("_model"), "left")
+    priced = usage.join(pricing.withColumnRenamed("model", "_model"), F.col("model") == F.col("_model"), "left")
     cost = (part("input_tokens", F.col("i")) + part("output_tokens", F.col("o")) + part("cache_read_input_tokens", F.coalesce("cr", nothing))
             + part("cache_creation_input_tokens", F.coalesce("cw", nothing)))
     return priced.withColumn("cost", cost).drop("_model", "i", "o", "cr", "cw")
@@ -22,7 +22,7 @@ def price(usage: DataFrame, pricing: DataFrame) -> DataFrame:
 
 def unpriced_models(usage: DataFrame, pricing: DataFrame) -> DataFrame:
     """Models in use without a price, in order."""
-    return usage.select("model").distinct().join(F.broadcast(pricing.select("model")), "model", "left_anti").orderBy("model")
+    return usage.select("model").distinct().join(pricing.select("model"), "model", "left_anti").orderBy("model")
 
 
 def cost_sum(rule: str, cost: str | Column = "cost") -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from usagelake.functions.text import format_duration_short, overage_text, percent, plan_label, tier_label
 from usagelake.operators.attribution import account_name_at, hour, with_account_name
 from usagelake.operators.cost import cost_sum
+from usagelake.sources.accounts import LIMITS, scoped_limits
 
 #: Percentages at which an estimate is checked against the service.
 THRESHOLDS = (2.5, 5.0, 10.0, 30.0, 50.0, 70.0, 90.0, 95.0, 96.0, 97.0, 98.0, 99.0, 100.0)
@@ -66,22 +67,39 @@ def cost_in_range(priced: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def cycle_costs(priced: DataFrame, cycles_: DataFrame) -> DataFrame:
-    """Cost of the records within each cycle [start, end); records without a price count nothing.
+    """Cost of the records within each cycle [start, end), whosever they are; records without a price count nothing.
 
-    Records are added up by time and by hour first. A span then adds its whole hours, and of the hours at its edges the times
-    within, by equi-joins on the hour: its work is in proportion to its hours, not to the records.
+    Records are added up by hour. A span then adds its whole hours, and of the hours at its edges, whose records alone are taken by
+    their times, what lies within, by equi-joins on the hour: its work is in proportion to its hours, not to the records.
     """
     spans = cycles_.select("start", "end").distinct()
-    times = priced.groupBy(hour("ts").alias("_hour"), "ts").agg(F.sum("cost").alias("cost"))
-    hours = times.groupBy("_hour").agg(F.sum("cost").alias("cost"))
+    priced = priced.select(hour("ts").alias("_hour"), "ts", "cost")
+    hours = priced.groupBy("_hour").agg(F.sum("cost").alias("cost"))
     each = spans.withColumn("_hour", F.explode(F.sequence(hour("start"), hour("end"))))
     edge = (F.col("_hour") == hour("start")) | (F.col("_hour") == hour("end"))
+    edges = spans.select(F.explode(F.array_distinct(F.array(hour("start"), hour("end")))).alias("_hour")).distinct()
+    times = priced.join(edges, "_hour", "left_semi").groupBy("_hour", "ts").agg(F.sum("cost").alias("cost"))
     inside = each.filter(~edge).join(hours, "_hour").select("start", "end", "cost")
     partly = each.filter(edge).join(times, "_hour").filter((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end"))).select("start", "end", "cost")
     sums = inside.unionByName(partly).groupBy("start", "end").agg(F.sum("cost").cast("double").alias("cost"))
     return cycles_.join(sums, ["start", "end"], "left").select("org_uuid", "number", "start", "end", F.coalesce("cost", F.lit(0.0)).alias("cost"))
 
 
+def own_cycle_costs(owned: DataFrame, resets: DataFrame, n: int = 4) -> DataFrame:
+    """Cost of each organisation's own records (``owned`` has org_uuid) in its n weekly cycles before ``resets(org_uuid, resets_at)``.
+
+    The cycle is arithmetic: the whole weeks from a record to its organisation's reset. Sums by organisation and cycle are partial in
+    each task; the resets, a row an organisation, are joined by Spark's choice.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    week = 7 * 86_400 * 1_000_000
+    ends = resets.select(F.col("org_uuid").alias("_org"), micros("resets_at").alias("_reset"))
+    at = owned.filter("org_uuid is not null").join(ends, F.col("org_uuid") == F.col("_org")).select("org_uuid", "_reset", micros("ts").alias("t"), "cost")
+    number = F.floor((F.col("_reset") - F.col("t") - 1) / week).cast("int")
+    sums = at.withColumn("number", number).filter(F.col("number").between(0, n - 1)).groupBy("org_uuid", "number").agg(F.sum("cost").cast("double").alias("cost"))
+    return cycles(resets, n).join(sums, ["org_uuid", "number"], "left").select("org_uuid", "number", "start", "end", F.coalesce("cost", F.lit(0.0)).alias("cost"))
+
+
 def of_account(usage: DataFrame, accounts: DataFrame, switch_log: DataFrame, name: str) -> DataFrame:
     """The records of one account: those whose organisation has its name, and those without organisation while the switch log named it."""
     known = account_name_at(with_account_name(usage, accounts), switch_log)
@@ -93,11 +111,13 @@ def cycle_report(priced: DataFrame, snapshots: DataFrame, resets: DataFrame, n:
 
     Completed cycles have the utilization of their newest snapshot, cached. The current one (number 0) is live where
     ``state(org_uuid, live_pct, enabled, used_cents, limit_cents)`` says so, else estimated from its cost, else cached. Overage is the current
-    cycle's. ``priced`` may be one account's records (``of_account``).
+    cycle's. ``priced`` may be one account's records (``of_account``). With a column org_uuid (``with_owner``) each organisation has the cost
+    of its own records, without one each cycle that of all.
     """
-    spans = cycles(resets, n)
+    mine = priced.filter("provider = 'claude'")
+    costs = own_cycle_costs(mine, resets, n) if "org_uuid" in priced.columns else cycle_costs(mine, cycles(resets, n))
     last = latest_snapshots(snapshots).select("org_uuid", F.col("cycle").alias("_c"), "utilization", "cost_at_calibration")
-    rows = cycle_costs(priced.filter("provider = 'claude'"), spans).withColumn("_c", minute("end")).join(last, ["org_uuid", "_c"], "left").withColumn("cost_now", F.col("cost"))
+    rows = costs.withColumn("_c", minute("end")).join(last, ["org_uuid", "_c"], "left").withColumn("cost_now", F.col("cost"))
     if state is None:
         rows = rows.select("*", F.lit(None).cast("double").alias("live_pct"), F.lit("—").alias("_over"))
     else:
@@ -108,6 +128,14 @@ def cycle_report(priced: DataFrame, snapshots: DataFrame, resets: DataFrame, n:
                       F.when(current, F.coalesce("_over", F.lit("—"))).otherwise("—").alias("overage")).orderBy("org_uuid", "start")
 
 
+def cycle_sub_rows(payloads: DataFrame) -> DataFrame:
+    """The rows below the current cycle, of the usage-limit payloads ``(org_uuid, value)``: the five-hour window, then each model's weekly limit above 0."""
+    five = payloads.withColumn("j", F.from_json("value", LIMITS)).filter("j.five_hour is not null").select(
+        "org_uuid", F.lit(0).alias("pos"), F.lit("5h window").alias("name"), F.col("j.five_hour.utilization").alias("pct"))
+    models = scoped_limits(payloads).filter("pct > 0").select("org_uuid", (F.col("pos") + 1).alias("pos"), "name", "pct")
+    return five.unionByName(models).select("org_uuid", "pos", F.concat(F.lit("  └─ "), "name").alias("label"), percent(F.col("pct")).alias("usage"))
+
+
 def resolve_usage(orgs: DataFrame) -> DataFrame:
     """``orgs(live_pct, utilization, cost_at_calibration, cost_now)`` with ``pct`` and ``source``: live, else estimated from the cost, else cached."""
     can = (F.col("utilization") > 0) & (F.col("cost_at_calibration") > 0)
@@ -158,12 +186,14 @@ def account_overview(priced: DataFrame, accounts: DataFrame, switch_log: DataFra
     ``live(org_uuid, live_pct, five_hour_pct, plan, resets_at, token)`` is what the service said, ``token`` being fresh, expired or null
     (no stored credentials); only a fresh token's values count. ``active`` is the organisation in use. The reset is the live one, else
     the current cycle's of the snapshots; the cost is that of the account's own records in these seven days up to ``now``, null without a
-    reset. The plan is the live one of the active account, else that of the newest snapshot, else what the account was registered with.
+    reset. The plan is the live one of the active account, else that of the newest snapshot, else what the stored credentials claim (``live`` with claim_type
+    and claim_tier, where there is a token, fresh or not), else what the account was registered with.
     """
     if live is None:
         live = accounts.sparkSession.createDataFrame([], "org_uuid string, live_pct double, five_hour_pct double, plan string, resets_at timestamp_ntz, token string")
     fresh = lambda c: F.when(F.col("token") == "fresh", F.col(c)).alias(c)
-    said = live.select("org_uuid", "token", *[fresh(c) for c in ("live_pct", "five_hour_pct", "plan", "resets_at")])
+    claims = [c for c in ("claim_type", "claim_tier") if c in live.columns]
+    said = live.select("org_uuid", "token", *claims, *[fresh(c) for c in ("live_pct", "five_hour_pct", "plan", "resets_at")])
     rows = accounts.select("name", "org_uuid", "subscription_type", "rate_limit_tier").join(said, "org_uuid", "left").join(
         current_cycle(snapshots, now).select("org_uuid", F.col("end").alias("known_end")), "org_uuid", "left")
     rows = rows.withColumn("end", F.coalesce("resets_at", "known_end")).drop("resets_at", "known_end")
@@ -175,7 +205,8 @@ def account_overview(priced: DataFrame, accounts: DataFrame, switch_log: DataFra
     newest = snapshots.groupBy("org_uuid").agg(F.max_by("plan", "captured_at").alias("snapshot_plan"))
     rows = rows.join(cost, ["org_uuid", "end"], "left").withColumn("cycle", minute("end")).join(last, ["org_uuid", "cycle"], "left").join(newest, "org_uuid", "left")
     is_active = F.coalesce(F.col("org_uuid") == F.lit(active), F.lit(False))
-    label = F.coalesce(plan_label(F.when(is_active, F.col("plan"))), plan_label(F.col("snapshot_plan")), tier_label(F.col("subscription_type"), F.col("rate_limit_tier")), F.lit("unknown"))
+    claimed = F.when(F.col("token").isNotNull(), F.coalesce(tier_label(F.coalesce("claim_type", F.lit("unknown")), F.col("claim_tier")), F.lit("unknown"))) if claims else F.lit(None)
+    label = F.coalesce(plan_label(F.when(is_active, F.col("plan"))), plan_label(F.col("snapshot_plan")), claimed, tier_label(F.col("subscription_type"), F.col("rate_limit_tier")), F.lit("unknown"))
     note = F.when(~is_active & F.col("token").isNull(), "no stored credentials").when(~is_active & (F.col("token") != "fresh"), "token expired")
     rows = resolve_usage(rows).select(
         "name", is_active.alias("active"), label.alias("plan"), F.when(F.col("end").isNotNull(), F.col("pct")).alias("pct"), "source", "five_hour_pct", F.col("end").alias("resets_at"),

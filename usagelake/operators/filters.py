@@ -14,13 +14,16 @@ from usagelake.schema import PROVIDERS
 def in_range(usage: DataFrame, first: str | dt.date | None, last: str | dt.date | None) -> DataFrame:
     """Records whose UTC date lies between both dates, each included; None is open.
 
-    Plain comparisons of the timestamp, so they reach the scan.
+    Plain comparisons of the timestamp, so they reach the scan, and of the date by which the usage table is partitioned, where it is there.
     """
+    dated = "usage_date" in usage.columns
     if first is not None:
         usage = usage.filter(F.col("ts") >= F.lit(str(first)).cast("timestamp_ntz"))
+        usage = usage.filter(F.col("usage_date") >= F.lit(str(first)).cast("date")) if dated else usage
     if last is not None:
         after = dt.date.fromisoformat(str(last)) + dt.timedelta(days=1)
         usage = usage.filter(F.col("ts") < F.lit(str(after)).cast("timestamp_ntz"))
+        usage = usage.filter(F.col("usage_date") <= F.lit(str(last)).cast("date")) if dated else usage
     return usage
 
 

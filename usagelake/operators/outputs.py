@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from usagelake.functions.text import format_cost, format_duration, format_tokens, short_model, symbol, threshold_class
 from usagelake.operators.cost import cost_sum
-from usagelake.operators.reports import breakdown, bucket, report, sums
+from usagelake.operators.reports import breakdown, bucket, by_cost, named_sums, of_kind, report, sums
 from usagelake.schema import TOKENS
 
 #: Columns of a table: name to show and the report's column.
@@ -76,11 +76,9 @@ def status_row(priced: DataFrame, template: str = "{cost}", warn: float | None =
 
     Usage without any price costs zero. Without records the text is a zero cost, whatever the template, and the tooltip "No usage".
     """
-    by_model = priced.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"), F.collect_set("project").alias("ps"), *sums())
-    one = F.struct((-F.coalesce(F.col("cost"), F.lit(0))).alias("o"), "model", F.col("cost").cast("double").alias("cost"))
-    row = by_model.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_sort(F.collect_list(one)).alias("ms"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("ps"), cost_sum("zero").alias("cost"), *sums())
+    rows = named_sums(priced, names=("model", "project"))
+    row = rows.agg(F.coalesce(F.sum(of_kind("model", "n")), F.lit(0)).alias("n"), by_cost().alias("ms"), F.array_sort(F.collect_list(of_kind("project", "name"))).alias("ps"),
+                   cost_sum("zero", of_kind("model", "cost")).alias("cost"), *[F.sum(of_kind("model", c)).alias(c) for c in TOKENS])
     cost, shown = F.col("cost") * rate, lambda c: format_cost(c, symbol(code))
     values = {"cost": shown(cost), "input": format_tokens(F.coalesce("input_tokens", F.lit(0))), "output": format_tokens(F.coalesce("output_tokens", F.lit(0))),
               "models": F.array_join(F.transform("ms", lambda m: short_model(m["model"])), ", "), "projects": F.array_join("ps", ", ")}

@@ -26,24 +26,38 @@ def sums() -> list[Column]:
     return [F.sum(c).alias(c) for c in TOKENS]
 
 
+def named_sums(priced: DataFrame, *keys: Column, names: tuple[str, ...]) -> DataFrame:
+    """Sums by the keys and one of ``names`` at a time: rows ``keys, kind, name, n``, token sums and cost, ``kind`` being the column that ``name`` is of."""
+    keyed = priced.select(*keys, *names, *TOKENS, "cost")
+    own = [c for c in keyed.columns if c not in (*names, *TOKENS, "cost")]
+    fine = keyed.groupBy(*own, *names).agg(F.count(F.lit(1)).alias("n"), *sums(), F.sum("cost").alias("cost"))
+    sets = fine.groupingSets([[*own, c] for c in names], *own, *names).agg(
+        F.sum("n").alias("n"), *sums(), F.sum("cost").alias("cost"), *[F.grouping(c).alias(f"_no_{c}") for c in names])
+    kind = F.coalesce(*[F.when(F.col(f"_no_{c}") == 0, c) for c in names])
+    return sets.select(*own, kind.alias("kind"), F.coalesce(*names).alias("name"), "n", *TOKENS, "cost")
+
+
+def of_kind(kind: str, c: str | Column) -> Column:
+    return F.when(F.col("kind") == kind, F.col(c) if isinstance(c, str) else c)
+
+
+def by_cost() -> Column:
+    """The models, the dearest first, those without a price last, of ``named_sums`` rows."""
+    order = F.struct((-F.coalesce(F.col("cost"), F.lit(0))).alias("o"), F.col("name").alias("model"), F.col("cost").cast("double").alias("cost"))
+    return F.array_sort(F.collect_list(of_kind("model", order)))
+
+
 def report(priced: DataFrame, by: str = "daily") -> DataFrame:
     """One row for each bucket: token sums, cost (unpriced records ignored), and lists of models, projects and tools.
 
-    ``models`` are short names by cost, dearest first; ``projects`` and ``tools`` are sorted. Two levels of
-    grouping: the first, by bucket, model, project and tool, is small whatever the input; a bucket's models are added up in its row.
+    ``models`` are short names by cost, dearest first; ``projects`` and ``tools`` are sorted. A bucket's row is made of one row for each of its models,
+    projects and tools, never of their combinations.
     """
-    fine = priced.groupBy(bucket(by).alias("bucket"), "model", "project", "provider").agg(*sums(), F.sum("cost").alias("cost"))
-    out = fine.groupBy("bucket").agg(
-        *sums(), F.sum("cost").cast("double").alias("cost"), F.collect_list(F.struct("model", "cost")).alias("parts"),
-        F.array_sort(F.collect_set("project")).alias("projects"), F.array_sort(F.collect_set("provider")).alias("tools"))
-    money = "decimal(38,12)"
-
-    def cost_of(model: Column) -> Column:
-        mine = F.filter("parts", lambda p: p["model"] == model)
-        return F.aggregate(mine, F.lit(0).cast(money), lambda a, p: (a - F.coalesce(p["cost"], F.lit(0).cast(money))).cast(money))
-
-    order = F.transform(F.array_distinct(F.transform("parts", lambda p: p["model"])), lambda m: F.struct(cost_of(m).alias("c"), m.alias("model")))
-    models = F.transform(F.array_sort(order), lambda m: short_model(m["model"]))
+    rows = named_sums(priced, bucket(by).alias("bucket"), names=("model", "project", "provider"))
+    out = rows.groupBy("bucket").agg(
+        *[F.sum(of_kind("model", c)).alias(c) for c in TOKENS], F.sum(of_kind("model", "cost")).cast("double").alias("cost"), by_cost().alias("parts"),
+        F.array_sort(F.collect_list(of_kind("project", "name"))).alias("projects"), F.array_sort(F.collect_list(of_kind("provider", "name"))).alias("tools"))
+    models = F.transform("parts", lambda m: short_model(m["model"]))
     return out.select("bucket", *TOKENS, "cost", models.alias("models"), "projects", "tools").orderBy("bucket")
 
 

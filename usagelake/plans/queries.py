@@ -304,6 +304,9 @@ def _ingest_sql(session="session_id", ts="ts", project="project", model="model",
 
 
 _NOT_EMPTY = "input_tokens + output_tokens > 0"
+#: Times as the composite ids have them: without a point where there are no parts of a second.
+_STAMP = "regexp_replace(regexp_replace(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0+$', ''), '[.]$', '')"
+_STAMP_S = "strftime(ts, '%Y-%m-%d %H:%M:%S')"
 
 
 @query(_ingest_sql(where="model <> 'gpt-5-codex'"))
@@ -355,7 +358,7 @@ def ingest_pi(s, d):
 
 @query("SELECT message_id, session_id, ts, model, CAST(input_tokens AS BIGINT) AS input_tokens, output_tokens, cache_creation_input_tokens, cache_read_input_tokens FROM raw")
 def ingest_amp(s, d):
-    u = fx.usage_raw(s, d).withColumn("doc", F.concat_ws("-", "session_id", F.date_format("ts", "yyyyMMddHH")))
+    u = fx.usage_raw(s, d).withColumn("doc", F.concat_ws("-", "session_id", F.date_format("ts", "yyyyMMddHHmm")))
     event = F.struct(F.col("message_id").alias("id"), _iso().alias("timestamp"), "model", F.struct(F.col("input_tokens").alias("input"), F.col("output_tokens").alias("output")).alias("tokens"), F.col("seq").alias("toMessageId"))
     message = F.struct(F.lit("assistant").alias("role"), F.col("seq").alias("messageId"), F.struct(F.col("cache_creation_input_tokens").alias("cacheCreationInputTokens"), F.col("cache_read_input_tokens").alias("cacheReadInputTokens")).alias("usage"))
     docs = u.groupBy("doc", "session_id").agg(F.collect_list(event).alias("e"), F.collect_list(message).alias("m"), F.min("ts").alias("ts"), F.min("seq").alias("seq"))
@@ -409,7 +412,7 @@ def drop_known(s, d):
 
 @query(f"SELECT concat('gemini:', session_id, ':', seq) AS message_id, session_id, ts, 'h' AS project, model, input_tokens, output_tokens, CAST(0 AS BIGINT) AS cache_creation_input_tokens, cache_read_input_tokens FROM raw WHERE {_NOT_EMPTY}")
 def ingest_gemini(s, d):
-    u = fx.usage_raw(s, d).withColumn("doc", F.concat_ws("-", "session_id", F.date_format("ts", "yyyyMMddHH")))
+    u = fx.usage_raw(s, d).withColumn("doc", F.concat_ws("-", "session_id", F.date_format("ts", "yyyyMMddHHmm")))
     message = F.struct(F.col("seq").cast("string").alias("id"), F.lit("gemini").alias("type"), "model", _iso().alias("timestamp"), F.struct(F.col("input_tokens").alias("input"), F.col("output_tokens").alias("output"), F.col("cache_read_input_tokens").alias("cached")).alias("tokens"))
     docs = u.groupBy("doc", "session_id").agg(F.collect_list(message).alias("m"), F.min("ts").alias("ts"), F.min("seq").alias("seq"))
     out = providers.extract_gemini(_lines(docs, F.col("doc"), F.to_json(F.struct(F.col("session_id").alias("sessionId"), F.lit("h").alias("projectHash"), F.col("m").alias("messages")))))
@@ -529,7 +532,7 @@ def _payloads(s, d) -> DataFrame:
     limit = lambda group, name, pct: F.struct(F.lit(group).alias("group"), pct.cast("double").alias("percent"), F.struct(F.struct(F.lit(name).alias("display_name")).alias("model")).alias("scope"))
     k = F.col("c_custkey") % 100
     new = F.when(F.col("c_custkey") % 2 == 0, F.array(limit("session", "Opus", k), limit("weekly", "Fable", k), limit("weekly", "Opus", 100 - k)))
-    return c.select("org_uuid", F.to_json(F.struct(window(k).alias("seven_day_opus"), F.when(F.col("c_custkey") % 3 > 0, window(k + 1)).alias("seven_day_sonnet"), new.alias("limits"))).alias("value"))
+    return c.select("org_uuid", F.to_json(F.struct(F.when(F.col("c_custkey") % 5 == 0, window(k)).alias("five_hour"), window(k).alias("seven_day_opus"), F.when(F.col("c_custkey") % 3 > 0, window(k + 1)).alias("seven_day_sonnet"), new.alias("limits"))).alias("value"))
 
 
 @query("""SELECT concat('org-', c_custkey) AS org_uuid, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY n) - 1 AS INT) AS pos, name, pct FROM (
@@ -539,6 +542,17 @@ def scoped_limits(s, d):
     return sa.scoped_limits(_payloads(s, d))
 
 
+_SCOPED = """SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY n) - 1 AS INT) AS pos, name, pct FROM (
+  SELECT c_custkey, 1 AS n, 'Fable' AS name, c_custkey % 100 AS pct FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 2, 'Opus', 100 - c_custkey % 100 FROM customer WHERE c_custkey % 2 = 0
+  UNION ALL SELECT c_custkey, 1, 'Sonnet', c_custkey % 100 + 1 FROM customer WHERE c_custkey % 2 = 1 AND c_custkey % 3 > 0 UNION ALL SELECT c_custkey, 2, 'Opus', c_custkey % 100 FROM customer WHERE c_custkey % 2 = 1)"""
+
+
+@query(f"""SELECT concat('org-', c_custkey) AS org_uuid, CAST(pos + 1 AS INT) AS pos, concat('  └─ ', name) AS label, concat(pct, '%') AS usage FROM ({_SCOPED}) WHERE pct > 0
+UNION ALL SELECT concat('org-', c_custkey), 0, '  └─ 5h window', concat(c_custkey % 100, '%') FROM customer WHERE c_custkey % 5 = 0""")
+def cycle_sub_rows(s, d):
+    return cycles.cycle_sub_rows(_payloads(s, d))
+
+
 @query("SELECT concat('org-', c_custkey) AS org_uuid, CAST(CASE WHEN c_custkey % 2 = 0 THEN 100 - c_custkey % 100 ELSE c_custkey % 100 END AS DOUBLE) AS pct FROM customer")
 def model_limit(s, d):
     return sa.model_limit_pct(_payloads(s, d), "opus")
@@ -548,7 +562,7 @@ def model_limit(s, d):
 def snapshots_v1_v2(s, d):
     n = fx.snapshots(s, d)
     one = F.struct(_iso("cycle_end").alias("cycle_end"), "utilization", _iso("captured_at").alias("captured_at"), "cost_at_calibration", "plan")
-    by_org = n.groupBy("org_uuid").agg(F.collect_list(one).alias("snapshots"))
+    by_org = n.groupBy("org_uuid", F.date_trunc("minute", "captured_at")).agg(F.collect_list(one).alias("snapshots"))  # a store of each
     new = by_org.filter("org_uuid <> 'org-0'").select(F.to_json(F.struct(F.lit(2).alias("version"), F.create_map("org_uuid", F.struct("snapshots")).alias("accounts"))).alias("value"))
     old = by_org.filter("org_uuid = 'org-0'").select(F.to_json(F.struct("snapshots")).alias("value"))
     return sa.read_snapshots(new.unionByName(old), "org-0")
@@ -576,13 +590,16 @@ def weekly_cycles(s, d):
     return cycles.cycles(cycles.current_cycle(fx.snapshots(s, d), NOW).select("org_uuid", F.col("end").alias("resets_at")))
 
 
-def _cycle_sql(records: str) -> str:
-    """Cycles with live, estimated or cached utilization of the current one; ``records`` (cost, ts) are those that count."""
+def _cycle_sql(records: str, own: bool = False) -> str:
+    """Cycles with live, estimated or cached utilization of the current one; ``records`` (cost, ts, and org if they count for their own only) are those that count."""
+    costs = """SELECT c.org_uuid, c.start, c.stop, CAST(coalesce(sum(cost), 0) AS DOUBLE) AS cost FROM cy c LEFT JOIN rec ON rec.org = c.org_uuid AND ts >= c.start AND ts < c.stop GROUP BY ALL""" if own else (
+        "SELECT d.*, cost FROM (SELECT DISTINCT org_uuid, start, stop FROM cy) d JOIN (SELECT start, stop, CAST(coalesce(sum(cost), 0) AS DOUBLE) AS cost "
+        "FROM (SELECT DISTINCT start, stop FROM cy) LEFT JOIN rec ON ts >= start AND ts < stop GROUP BY 1, 2) USING (start, stop)")
     return _CURRENT + f""", cy AS (SELECT org_uuid, n AS number, e - (n + 1) * INTERVAL 7 DAY AS start, e - n * INTERVAL 7 DAY AS stop FROM cur, (SELECT CAST(unnest(range(4)) AS INT) AS n)),
 rec AS ({records}),
-co AS (SELECT start, stop, CAST(coalesce(sum(cost), 0) AS DOUBLE) AS cost FROM (SELECT DISTINCT start, stop FROM cy) LEFT JOIN rec ON ts >= start AND ts < stop GROUP BY 1, 2),
+co AS ({costs}),
 r AS (SELECT cy.org_uuid, number, cy.start, cy.stop, cost, latest.utilization AS u, latest.cost_at_calibration AS k, o.live_pct, o.enabled, o.used_cents, o.limit_cents, number = 0 AS cur
-  FROM cy JOIN co USING (start, stop) LEFT JOIN latest ON latest.org_uuid = cy.org_uuid AND latest.cycle = date_trunc('minute', cy.stop) LEFT JOIN orgs o ON o.org_uuid = cy.org_uuid),
+  FROM cy JOIN co USING (org_uuid, start, stop) LEFT JOIN latest ON latest.org_uuid = cy.org_uuid AND latest.cycle = date_trunc('minute', cy.stop) LEFT JOIN orgs o ON o.org_uuid = cy.org_uuid),
 f AS (SELECT *, CASE WHEN NOT cur THEN u WHEN live_pct IS NOT NULL THEN live_pct WHEN u > 0 AND k > 0 THEN cost / (k / u) ELSE u END AS utilization,
   CASE WHEN NOT cur THEN 'cached' WHEN live_pct IS NOT NULL THEN 'live' WHEN u > 0 AND k > 0 THEN 'estimated' ELSE 'cached' END AS source FROM r)
 SELECT org_uuid, number, start, stop AS "end", utilization, source, cost, CASE WHEN utilization > 0 THEN cost / utilization END AS cost_per_pct,
@@ -605,6 +622,13 @@ def cycle_report_account(s, d):
     return _cycle_report(s, d, cycles.of_account(_priced(s, d), fx.accounts(s), fx.switch_log(s), "work"))
 
 
+@query(_cycle_sql("""SELECT p.cost, p.ts, CASE WHEN n.account_uuid IS NULL THEN a.org_uuid WHEN n.account_name IS NOT NULL THEN n.account_uuid END AS org
+  FROM priced p JOIN named n ON p.seq = n.seq LEFT JOIN accounts a ON a.name = n.log_name WHERE p.provider = 'claude'""", own=True))
+def cycle_report_owners(s, d):
+    """All organisations at once, each with the cost of its own records."""
+    return _cycle_report(s, d, attribution.with_owner(_priced(s, d), fx.accounts(s), fx.switch_log(s)))
+
+
 @query("SELECT CAST(coalesce(sum(cost), 0) AS DOUBLE) AS cost FROM priced WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-17 00:00:00'")
 def cost_in_range(s, d):
     return cycles.cost_in_range(_priced(s, d), "2024-01-10 00:00:00", "2024-01-17 00:00:00")
@@ -698,16 +722,18 @@ def plan_table(s, d):
     return plans.plan_table(fx.snapshots(s, d), table(s), _current(s, d))
 
 
+_TIER = """concat(CASE {0} WHEN 'max' THEN 'Claude Max' WHEN 'pro' THEN 'Claude Pro' ELSE {0} END,
+  CASE WHEN contains({1}, '20x') THEN ' (20x)' WHEN contains({1}, '5x') THEN ' (5x)' ELSE '' END)"""
 _LABEL = "CASE {} WHEN 'pro' THEN 'Claude Pro' WHEN 'max5x' THEN 'Claude Max (5x)' WHEN 'max20x' THEN 'Claude Max (20x)' END"
 
 
 @query(_CURRENT + f""", own AS (SELECT p.cost, p.ts, coalesce(n.account_uuid, n.log_org) AS org FROM priced p JOIN named n ON p.seq = n.seq WHERE p.provider = 'claude'),
-li AS (SELECT org_uuid, CASE WHEN enabled THEN 'fresh' WHEN NOT enabled THEN 'expired' END AS token, live_pct, opus_pct, plan FROM orgs),
+li AS (SELECT org_uuid, CASE WHEN enabled THEN 'fresh' WHEN NOT enabled THEN 'expired' END AS token, live_pct, opus_pct, plan, subscription_type AS ct, rate_limit_tier AS cr FROM orgs),
 np AS (SELECT org_uuid, arg_max({{'p': plan}}, captured_at).p AS p FROM snaps GROUP BY 1),
-b AS (SELECT a.*, li.token, CASE WHEN token = 'fresh' THEN live_pct END AS lp, CASE WHEN token = 'fresh' THEN opus_pct END AS five, CASE WHEN token = 'fresh' THEN li.plan END AS pl, cur.e, np.p, a.org_uuid = 'org-1' AS active
+b AS (SELECT a.*, li.token, CASE WHEN token = 'fresh' THEN live_pct END AS lp, CASE WHEN token = 'fresh' THEN opus_pct END AS five, CASE WHEN token = 'fresh' THEN li.plan END AS pl, ct, cr, cur.e, np.p, a.org_uuid = 'org-1' AS active
   FROM accounts a LEFT JOIN li ON a.org_uuid = li.org_uuid LEFT JOIN cur ON a.org_uuid = cur.org_uuid LEFT JOIN np ON a.org_uuid = np.org_uuid),
 co AS (SELECT org AS org_uuid, CAST(coalesce(sum(cost), 0) AS DOUBLE) AS c FROM own JOIN cur ON own.org = cur.org_uuid WHERE ts >= e - INTERVAL 7 DAY AND ts < least(e, TIMESTAMP '{NOW}') GROUP BY 1),
-ro AS (SELECT name, active, coalesce(CASE WHEN active THEN {_LABEL.format('b.pl')} END, {_LABEL.format('b.p')}, concat(CASE subscription_type WHEN 'max' THEN 'Claude Max' WHEN 'pro' THEN 'Claude Pro' ELSE subscription_type END,
+ro AS (SELECT name, active, coalesce(CASE WHEN active THEN {_LABEL.format('b.pl')} END, {_LABEL.format('b.p')}, CASE WHEN token IS NOT NULL THEN {_TIER.format('coalesce(ct, $$unknown$$)', 'cr')} END, concat(CASE subscription_type WHEN 'max' THEN 'Claude Max' WHEN 'pro' THEN 'Claude Pro' ELSE subscription_type END,
     CASE WHEN contains(rate_limit_tier, '20x') THEN ' (20x)' WHEN contains(rate_limit_tier, '5x') THEN ' (5x)' ELSE '' END), 'unknown') AS plan,
   CASE WHEN lp IS NOT NULL THEN lp WHEN utilization > 0 AND cost_at_calibration > 0 THEN coalesce(c, 0) / (cost_at_calibration / utilization) ELSE utilization END AS pct,
   CASE WHEN lp IS NOT NULL THEN 'live' WHEN utilization > 0 AND cost_at_calibration > 0 THEN 'estimated' ELSE 'cached' END AS source, five AS five_hour_pct, e AS resets_at, coalesce(c, 0) AS cost,
@@ -716,7 +742,8 @@ ro AS (SELECT name, active, coalesce(CASE WHEN active THEN {_LABEL.format('b.pl'
 SELECT * FROM ro UNION ALL SELECT 'TOTAL', NULL, NULL, NULL, NULL, NULL, NULL, sum(cost), NULL FROM ro HAVING count(*) > 1""")
 def account_overview(s, d):
     token = F.when(F.col("enabled"), "fresh").when(~F.col("enabled"), "expired")
-    live = fx.orgs(s, d).select("org_uuid", "live_pct", F.col("opus_pct").alias("five_hour_pct"), "plan", F.lit(None).cast("timestamp_ntz").alias("resets_at"), token.alias("token"))
+    live = fx.orgs(s, d).select("org_uuid", "live_pct", F.col("opus_pct").alias("five_hour_pct"), "plan", F.lit(None).cast("timestamp_ntz").alias("resets_at"), token.alias("token"),
+                                F.col("subscription_type").alias("claim_type"), F.col("rate_limit_tier").alias("claim_tier"))
     return cycles.account_overview(_priced(s, d), fx.accounts(s), fx.switch_log(s), fx.snapshots(s, d), NOW, live, active="org-1")
 
 
@@ -815,6 +842,60 @@ def usage_table(s, d):
     return table.groupBy("provider", F.date_format("usage_date", "yyyy-MM-dd").alias("usage_date")).agg(F.count(F.lit(1)).alias("records"), *[F.sum(c).alias(c) for c in TOKENS])
 
 
+@query("SELECT usage_date, count(*) AS records FROM (SELECT strftime(ts, '%Y-%m-%d') AS usage_date FROM usage WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-13') GROUP BY 1")
+def usage_table_range(s, d):
+    """A range of days of the partitioned table, whose other days aren't read."""
+    path = f"{storage.shared_folder(s)}/usage-{uuid.uuid4().hex}"
+    ingest.write_usage(_usage(s, d), path)
+    table = filters.in_range(s.read.parquet(path), "2024-01-10", "2024-01-12")
+    return table.groupBy(F.date_format("usage_date", "yyyy-MM-dd").alias("usage_date")).agg(F.count(F.lit(1)).alias("records"))
+
+
+@query("""SELECT 'month' AS kind, provider, count(*) AS records FROM usage WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-30' GROUP BY 2
+UNION ALL SELECT 'week', provider, count(*) FROM usage WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-24' AND DATE '2024-01-30' GROUP BY 2
+UNION ALL SELECT 'subscription', provider, count(*) FROM usage WHERE CAST(ts AS DATE) BETWEEN DATE '2023-12-26' AND DATE '2024-01-30' GROUP BY 2
+UNION ALL SELECT 'from', provider, count(*) FROM usage WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-20' AND DATE '2024-01-30' GROUP BY 2
+UNION ALL SELECT 'to', provider, count(*) FROM usage WHERE CAST(ts AS DATE) <= DATE '2024-01-05' GROUP BY 2""")
+def named_ranges(s, d):
+    """Records in ranges that are named, and in ranges of which one end is given."""
+    u, today, day = _usage(s, d), dt.date(2024, 1, 30), dt.date
+    ranges = {k: filters.named_range(k, today) for k in ("month", "week", "subscription")}
+    ranges |= {"from": filters.resolve_range(day(2024, 1, 20), None, today), "to": filters.resolve_range(None, day(2024, 1, 5), today)}
+    return ingest.unify(*[filters.in_range(u, *r).groupBy(F.lit(k).alias("kind"), "provider").agg(F.count(F.lit(1)).alias("records")) for k, r in ranges.items()])
+
+
+@query(f"""SELECT 'pi' AS provider, seq, concat_ws(':', 'pi', session_id, {_STAMP}, input_tokens, output_tokens) AS message_id FROM raw
+UNION ALL SELECT 'codex', seq, concat_ws(':', 'codex', concat(project, '/', session_id), {_STAMP}, input_tokens, output_tokens) FROM raw WHERE input_tokens + output_tokens + cache_read_input_tokens > 0
+UNION ALL SELECT 'kimi', seq, CASE WHEN seq % 2 = 0 THEN message_id ELSE concat_ws(':', 'kimi', session_id, {_STAMP_S}, input_tokens, output_tokens) END FROM raw WHERE {_NOT_EMPTY}""")
+def composite_ids(s, d):
+    """Message ids that are made of session, time and tokens where a log gives none."""
+    u = fx.usage_raw(s, d)
+    use = lambda *n: F.struct(*[F.col(c).alias(x) for c, x in zip(TOKENS, n, strict=True)])
+    place = lambda *x: F.concat(*[F.lit(p) if p[0] == "/" or p[0] == "." else F.col(p) for p in x])
+    pi = F.to_json(F.struct(_iso().alias("timestamp"), F.struct(F.lit("assistant").alias("role"), "model", use("input", "output", "cacheWrite", "cacheRead").alias("usage")).alias("message")))
+    given = F.struct("input_tokens", "output_tokens", F.col("cache_read_input_tokens").alias("cached_input_tokens"))
+    codex = F.to_json(F.struct(_iso().alias("timestamp"), F.struct(F.lit("token_count").alias("type"), F.struct(given.alias("last_token_usage")).alias("info")).alias("payload")))
+    kimi = F.to_json(F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("timestamp"), F.struct(F.lit("StatusUpdate").alias("type"), F.struct(
+        F.when(F.col("seq") % 2 == 0, F.col("message_id")).alias("message_id"), use("input_other", "output", "input_cache_creation", "input_cache_read").alias("token_usage")).alias("payload")).alias("message")))
+    parts = (providers.extract_pi(_lines(u, place("/l/sessions/", "project", "/2024_", "session_id", ".jsonl"), pi)),
+             providers.extract_codex(_lines(u, place("/l/sessions/", "project", "/", "session_id", ".jsonl"), codex)),
+             providers.extract_kimi(_lines(u, place("/s/", "project", "/", "session_id", "/wire.jsonl"), kimi)))
+    return ingest.unify(*[p.select("provider", "seq", "message_id") for p in parts])
+
+
+@query("SELECT concat('org-', c_nationkey, '-', c_custkey % 4) AS account_uuid, concat('acc-', min(c_custkey)) AS account_name FROM customer GROUP BY 1")
+def registry_names(s, d):
+    """Registries of all nations: an organisation with several accounts has the name of the first that was registered."""
+    c = s.read.parquet(f"{d}/customer.parquet")
+    text = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in x])
+    org = text("org-", F.col("c_nationkey"), "-", F.col("c_custkey") % 4)
+    entry = F.struct("c_custkey", F.struct(text("acc-", F.col("c_custkey")).alias("name"), org.alias("org_uuid")).alias("a"))
+    listed = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["a"])
+    registries = c.groupBy("c_nationkey").agg(F.to_json(F.struct(F.lit(1).alias("version"), listed.alias("accounts"))).alias("value"))
+    people, _ = sa.read_registry(registries)
+    return attribution.with_account_name(c.select(org.alias("account_uuid")).distinct(), people).select("account_uuid", "account_name")
+
+
 # ---- streaming: the usage rows as files that land in parts, the last part days older than the first ----
 
 

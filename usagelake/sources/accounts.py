@@ -13,11 +13,11 @@ LIMITS = (f"five_hour {_WINDOW}, seven_day {_WINDOW}, seven_day_opus {_WINDOW},
 
 
 def read_registry(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accounts, and the switch log with the place of each entry."""
+    """Accounts with their ``position`` in the registry, and the switch log with the place of each entry."""
     schema = ("version int, accounts array<struct<name:string, org_uuid:string, added_at:string, last_used_at:string, subscription_type:string, rate_limit_tier:string>>, "
               "switch_log array<struct<at:string, org_uuid:string, name:string, source:string>>")
     j = df.select(F.from_json("value", schema).alias("j"))
-    accounts = j.select(F.explode("j.accounts").alias("a")).select("a.*")
+    accounts = j.select(F.posexplode("j.accounts").alias("position", "a")).select("a.*", "position")
     log = j.select(F.posexplode("j.switch_log").alias("pos", "s"))
     return accounts, log.select(F.try_to_timestamp("s.at").cast("timestamp_ntz").alias("at_ts"), F.col("s.org_uuid").alias("org"), F.col("s.name").alias("nm"), "s.source", "pos")
 
