@@ -17,6 +17,7 @@ from usagelake.schema import TOKENS
 from usagelake.sources import accounts as sa
 from usagelake.sources import ingest, providers, storage
 from usagelake.sources import pricing as sp
+from usagelake.sources.table import KeyIndex, UsageTable
 from usagelake.streaming import growing, live
 
 NOW = fx.NOW
@@ -896,6 +897,39 @@ def registry_names(s, d):
     return attribution.with_account_name(c.select(org.alias("account_uuid")).distinct(), people).select("account_uuid", "account_name")
 
 
+# ---- tables with versions ----
+
+_WHOLE = "concat(provider, '/', session_id, '/', strftime(ts, '%Y%m%d'))"
+_NEWER = f"SELECT * REPLACE (input_tokens + 1 AS input_tokens) FROM usage WHERE provider IN ('pi', 'amp') AND {_WHOLE} LIKE '%/s1/%' AND ts < TIMESTAMP '2024-01-20'"
+
+
+@query(f""", gone AS (SELECT DISTINCT {_WHOLE} AS f FROM usage WHERE provider IN ('pi', 'amp') AND session_id = 's1'),
+t AS (SELECT provider, {_WHOLE} AS f, input_tokens FROM usage WHERE {_WHOLE} NOT IN (SELECT f FROM gone) UNION ALL SELECT provider, {_WHOLE}, input_tokens FROM ({_NEWER}))
+SELECT provider, count(*) AS records, count(DISTINCT f) AS files, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM t GROUP BY 1""")
+def versioned_merge(s, d):
+    """The usage table after its first ingestion and a second one, in which some files have changed and some of these have become empty."""
+    u = _usage(s, d).withColumns({"source_file": F.concat_ws("/", "provider", "session_id", F.date_format("ts", "yyyyMMdd")), "ts": F.col("ts").cast("timestamp")})
+    files = u.groupBy("provider", F.col("source_file").alias("path")).agg(F.max(F.unix_seconds("ts")).alias("mtime"), F.count(F.lit(1)).alias("size"))
+    table = UsageTable(s, f"{storage.shared_folder(s)}/table-{uuid.uuid4().hex}")
+    table.merge(u, files)
+    again = u.filter("provider in ('pi', 'amp') and session_id = 's1'")
+    listing = files.join(again.select("provider", F.col("source_file").alias("path")).distinct(), ["provider", "path"], "left_semi").withColumn("mtime", F.col("mtime") + 1)
+    table.merge(again.filter("ts < timestamp '2024-01-20'").withColumn("input_tokens", F.col("input_tokens") + 1), ingest.plan_ingest(listing, table.manifest()))
+    return table.read().groupBy("provider").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("source_file").alias("files"), F.sum("input_tokens").alias("input_tokens"))
+
+
+@query("""SELECT r.seq, k.t IS NOT NULL AS known, k.t AS known_ts FROM (SELECT * FROM raw WHERE seq % 4 = 3) r
+LEFT JOIN (SELECT provider, message_id, request_id, coalesce(account_uuid, '') AS a, min(ts) AS t FROM raw WHERE seq % 4 <> 3 GROUP BY ALL) k
+  ON k.provider = r.provider AND k.message_id = r.message_id AND k.request_id = r.request_id AND k.a = coalesce(r.account_uuid, '')""")
+def known_keys(s, d):
+    """Records of a third ingestion, and whether the two before have had their keys."""
+    u = fx.usage_raw(s, d)
+    index = KeyIndex(s, f"{storage.shared_folder(s)}/keys-{uuid.uuid4().hex}")
+    for part in ("seq % 4 = 0", "seq % 4 in (1, 2)"):
+        index.add(u.filter(part))
+    return index.known(u.filter("seq % 4 = 3")).select("seq", "known", F.col("known_ts").cast("timestamp_ntz").alias("known_ts"))
+
+
 # ---- streaming: the usage rows as files that land in parts, the last part days older than the first ----
 
 
