@@ -139,5 +139,29 @@ FROM codes JOIN kept USING (vec_id), books
 """
 
 
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE e IS NOT NULL AND len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in e if x <> 0]) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id, vec_id AS r FROM v UNION SELECT reach.vec_id, p.b FROM reach JOIN p ON p.a = reach.r),
+c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY 1)
+SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT w, min(doc_id) AS id FROM d GROUP BY 1),
+s AS (SELECT id, sh, count(*) AS c FROM (SELECT id, list_slice(w, p, p + least(5, len(w)) - 1) AS sh
+  FROM (SELECT id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS p FROM t WHERE len(w) > 0)) GROUP BY ALL),
+n AS (SELECT id, sum(c) AS n FROM s GROUP BY 1),
+o AS (SELECT a.id AS a, b.id AS b, sum(least(a.c, b.c)) AS o FROM s a JOIN s b ON a.sh = b.sh AND a.id < b.id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE o >= 0.8 * (x.n + y.n - o)),
+p AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT id, id AS r FROM t UNION SELECT reach.id, p.b FROM reach JOIN p ON p.a = reach.r),
+c AS (SELECT id, min(r) AS class_id FROM reach GROUP BY 1)
+SELECT doc_id, t.id AS text_id, class_id, doc_id = class_id AS kept FROM d JOIN t USING (w) JOIN c ON c.id = t.id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_vector_codes": OP11_SQL, "op3_decontaminate": OP3_SQL, "op6_substring_dedup": OP6_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op10_minhash_near_dedup": OP10_SQL, "op11_vector_codes": OP11_SQL}
