@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from usagelake.functions.text import format_cost, percent, symbol
 from usagelake.operators.cycles import _hours, at, latest_snapshots, minute
 from usagelake.schema import plans
 
@@ -32,7 +33,12 @@ def project_pct(pct: Column, from_units: Column, to_units: Column) -> Column:
 
 
 def recommend(utilizations: DataFrame) -> DataFrame:
-    """``utilizations(org_uuid, plan, pct)`` to one row for each: n, avg, peak, action and the plan to go to.
+    """``judged`` without its number of full cycles."""
+    return judged(utilizations).drop("full")
+
+
+def judged(utilizations: DataFrame) -> DataFrame:
+    """``utilizations(org_uuid, plan, pct)`` to one row for each: n, avg, peak, action and the plan to go to, and ``full``, the cycles of 95 and more.
 
     Up if there is a higher plan and two cycles reach 95 or the average 85; else down if the peak on the
     lower plan is at most 85; else stay. Rows with a null percentage only name the organisation.
@@ -48,10 +54,15 @@ def recommend(utilizations: DataFrame) -> DataFrame:
     action = F.when(up, "upgrade").when(down, "downgrade").otherwise("stay")
     return known.select("org_uuid", "plan", "n", F.coalesce("avg", F.lit(0.0)).alias("avg"), F.coalesce("peak", F.lit(0.0)).alias("peak"), action.alias("action"),
                         F.when(up, F.col("higher")).when(down, F.col("lower")).alias("target"),
-                        F.when(up, F.col("higher_price") - F.col("price")).when(down, F.col("lower_price") - F.col("price")).alias("price_change"))
+                        F.when(up, F.col("higher_price") - F.col("price")).when(down, F.col("lower_price") - F.col("price")).alias("price_change"), "full")
 
 
 def plan_report(snapshots: DataFrame, current: DataFrame, now: str) -> DataFrame:
+    """``_reported`` without what only its texts need."""
+    return _reported(snapshots, current, now).drop("full", "barred", "opus_pct", "cycles")
+
+
+def _reported(snapshots: DataFrame, current: DataFrame, now: str) -> DataFrame:
     """One row for each organisation of ``current(org_uuid, plan, start, end, live_pct, opus_pct)``: its recommendation.
 
     Judged by those of its last four completed cycles that were on its plan; without one, after 48 hours, by the
@@ -66,13 +77,59 @@ def plan_report(snapshots: DataFrame, current: DataFrame, now: str) -> DataFrame
     elapsed, left = _hours(F.col("start"), at(now)), _hours(at(now), F.col("end"))
     projected = F.when((elapsed >= 48) & (F.col("live_pct") > 0), F.least(F.col("live_pct") + F.col("live_pct") / elapsed * left, F.lit(200.0)))
     partial = current.join(native.select("org_uuid").distinct(), "org_uuid", "left_anti").select("org_uuid", "plan", projected.alias("pct"))
-    out = recommend(native.unionByName(partial)).join(current.select("org_uuid", "opus_pct"), "org_uuid").join(mixed, "org_uuid", "left")
+    out = judged(native.unionByName(partial)).join(current.select("org_uuid", "opus_pct"), "org_uuid").join(mixed, "org_uuid", "left")
     out = out.join(native.groupBy("org_uuid").agg(F.count(F.lit(1)).alias("cycles")), "org_uuid", "left")
     barred = (F.col("target") == "pro") & (F.col("action") == "downgrade") & (F.col("opus_pct") >= 25)
     barred = F.coalesce(barred, F.lit(False))
     return out.select("org_uuid", "plan", "n", "avg", "peak", F.when(barred, "stay").otherwise(F.col("action")).alias("action"), F.when(~barred, F.col("target")).alias("target"),
                       F.when(~barred, F.col("price_change")).alias("price_change"), F.when(F.col("cycles") > 0, "cycles").when(F.col("n") > 0, "partial").otherwise("recent switch").alias("basis"),
-                      F.coalesce("mixed", F.lit(False)).alias("mixed"))
+                      F.coalesce("mixed", F.lit(False)).alias("mixed"), "full", barred.alias("barred"), "opus_pct", F.coalesce("cycles", F.lit(0)).alias("cycles"))
+
+
+#: The texts of a recommendation, line by line.
+TEXTS = {
+    "downgrade": ["▸ Recommend: downgrade to {to} — save ~{change}/month", "", "  {count}-cycle average was {avg} (peak {peak}). On {to}, this projects to",
+                  "  ~{new_avg} avg (~{new_peak} peak) — comfortable headroom."],
+    "upgrade": ["▸ Recommend: upgrade to {to} — +{change}/month", "", "{why}", "  {to} offers {times}× more headroom for the same workload."],
+    "full": ["  You've hit ≥95% utilization in {full} of the last {cycles} cycles."],
+    "near": ["  {count}-cycle average is {avg} — consistently near capacity."],
+    "stay": ["▸ Recommend: stay on {own}", "", "{was}", "{lower}"],
+    "was": ["  {count}-cycle average was {avg} (peak {peak})."],
+    "projected": ["  Partial-cycle projection: ~{peak} on {own}."],
+    "lower": ["  Downgrading to {below} would push peak to ~{below_peak} — too tight."],
+    "lowest": ["  Utilization is in a comfortable range for this plan."],
+    "barred": ["Pro downgrade skipped — Opus usage on current cycle (~{opus}) suggests Pro's tier limits would throttle hard."],
+    "head": ["{own} — {price}/month", ""],
+}
+
+
+def plan_texts(snapshots: DataFrame, current: DataFrame, now: str, code: str = "USD", rate: float = 1.0) -> DataFrame:
+    """``plan_report`` as it is told: org_uuid and ``text``, lines of plan and price, what bars a way down, and the recommendation with the average and the
+    peak as they would be on the plan to go to. After a recent switch there is no recommendation."""
+    table = plans(snapshots.sparkSession)
+    other = lambda name, prefix: F.broadcast(table.select(F.col("plan").alias(name), *[F.col(c).alias(f"{prefix}_{c}") for c in ("label", "units", "price", "lower")]))
+    rows = _reported(snapshots, current, now).join(other("plan", "own"), "plan").join(other("target", "to"), "target", "left")
+    rows = rows.join(other("_below", "below"), F.col("own_lower") == F.col("_below"), "left")
+    money = lambda c: format_cost(c * rate, symbol(code))
+    on = lambda c, units: percent(project_pct(F.col(c), F.col("own_units"), F.col(units)))
+    values = {
+        "own": F.col("own_label"), "to": F.col("to_label"), "below": F.col("below_label"), "price": money(F.col("own_price")), "change": money(F.abs("price_change")),
+        "count": F.when(F.col("cycles") > 0, F.col("cycles").cast("string")).otherwise("1 (partial cycle)"), "avg": percent(F.col("avg")), "peak": percent(F.col("peak")),
+        "new_avg": on("avg", "to_units"), "new_peak": on("peak", "to_units"), "below_peak": on("peak", "below_units"), "full": F.col("full").cast("string"), "cycles": F.col("cycles").cast("string"),
+        "times": F.bround(F.col("to_units") / F.col("own_units"), 0).cast("int").cast("string"), "opus": percent(F.col("opus_pct"))}
+
+    def told(kind: str, **more: Column) -> Column:
+        text = F.lit("\n".join(TEXTS[kind]))
+        for name, value in (values | more).items():
+            if "{" + name + "}" in "\n".join(TEXTS[kind]):
+                text = F.replace(text, F.lit("{" + name + "}"), value)
+        return text
+
+    full = (F.col("cycles") > 0) & (F.col("full") >= 2)
+    stay = told("stay", was=F.when(F.col("cycles") > 0, told("was")).otherwise(told("projected")), lower=F.when(F.col("own_lower").isNotNull(), told("lower")).otherwise(told("lowest")))
+    advice = F.when(F.col("action") == "downgrade", told("downgrade")).when(F.col("action") == "upgrade", told("upgrade", why=F.when(full, told("full")).otherwise(told("near")))).otherwise(stay)
+    parts = F.array(told("head"), F.when(F.col("barred"), told("barred")), F.when(F.col("basis") != "recent switch", advice))
+    return rows.select("org_uuid", F.array_join(parts, "\n").alias("text"))
 
 
 def latest_snapshots_by_plan(snapshots: DataFrame) -> DataFrame:

@@ -698,12 +698,15 @@ def _current(s, d) -> DataFrame:
     return cycles.current_cycle(fx.snapshots(s, d), NOW).join(state, "org_uuid")
 
 
-@query(_CURRENT + f""", cu AS (SELECT cur.org_uuid, plan AS own, e, live_pct, opus_pct, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(e - INTERVAL 7 DAY)) // 60000000 / 60.0::DOUBLE AS eh, (epoch_us(e) - epoch_us(TIMESTAMP '{NOW}')) // 60000000 / 60.0::DOUBLE AS lh FROM cur JOIN orgs USING (org_uuid)),
+_PLAN_REPORT = _CURRENT + f""", cu AS (SELECT cur.org_uuid, plan AS own, e, live_pct, opus_pct, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(e - INTERVAL 7 DAY)) // 60000000 / 60.0::DOUBLE AS eh, (epoch_us(e) - epoch_us(TIMESTAMP '{NOW}')) // 60000000 / 60.0::DOUBLE AS lh FROM cur JOIN orgs USING (org_uuid)),
 ls AS (SELECT org_uuid, date_trunc('minute', cycle_end) AS cycle, plan, arg_max(utilization, captured_at) AS util, max(captured_at) AS cap FROM snaps GROUP BY 1, 2, 3),
 re AS (SELECT * FROM (SELECT ls.*, own, row_number() OVER (PARTITION BY ls.org_uuid ORDER BY cycle DESC, cap DESC) AS n FROM ls JOIN cu ON ls.org_uuid = cu.org_uuid WHERE cycle <> date_trunc('minute', e)) WHERE n <= 4),
 na AS (SELECT org_uuid, plan, util AS pct FROM re WHERE plan = own), mi AS (SELECT org_uuid, max(coalesce(plan <> own, TRUE)) AS mixed FROM re GROUP BY 1),
 v AS (SELECT * FROM na UNION ALL SELECT org_uuid, own, CASE WHEN eh >= 48 AND live_pct > 0 THEN least(live_pct + live_pct / eh * lh, 200) END FROM cu WHERE org_uuid NOT IN (SELECT org_uuid FROM na))""" + _JUDGE + """,
-fi AS (SELECT ju.*, opus_pct, coalesce(action = 'downgrade' AND lower = 'pro' AND opus_pct >= 25, FALSE) AS barred FROM ju JOIN cu ON ju.org_uuid = cu.org_uuid)
+fi AS (SELECT ju.*, opus_pct, coalesce(action = 'downgrade' AND lower = 'pro' AND opus_pct >= 25, FALSE) AS barred FROM ju JOIN cu ON ju.org_uuid = cu.org_uuid)"""
+
+
+@query(_PLAN_REPORT + """
 SELECT fi.org_uuid, plan, n, coalesce(av, 0) AS avg, coalesce(mx, 0) AS peak, CASE WHEN barred THEN 'stay' ELSE action END AS action, CASE WHEN barred THEN NULL WHEN action = 'upgrade' THEN higher WHEN action = 'downgrade' THEN lower END AS target,
   CAST(CASE WHEN barred THEN NULL WHEN action = 'upgrade' THEN hp - price WHEN action = 'downgrade' THEN lp - price END AS DOUBLE) AS price_change,
   CASE WHEN fi.org_uuid IN (SELECT org_uuid FROM na) THEN 'cycles' WHEN n > 0 THEN 'partial' ELSE 'recent switch' END AS basis, coalesce(mixed, FALSE) AS mixed FROM fi LEFT JOIN mi ON fi.org_uuid = mi.org_uuid""")
@@ -711,6 +714,23 @@ def plan_report(s, d):
     return plans.plan_report(fx.snapshots(s, d), _current(s, d), NOW)
 
 
+@query(_PLAN_REPORT + """, x AS (SELECT fi.*, CASE WHEN barred THEN 'stay' ELSE action END AS act, (SELECT count(*) FROM na WHERE na.org_uuid = fi.org_uuid) AS cy, coalesce(av, 0) AS a, coalesce(mx, 0) AS m FROM fi),
+y AS (SELECT x.*, o.label AS own, t.label AS tl, t.u AS tu, t.price AS tp, b.label AS bl, b.u AS bu, CASE WHEN cy > 0 THEN CAST(cy AS VARCHAR) ELSE '1 (partial cycle)' END AS cnt
+  FROM x JOIN named_plans o ON o.plan = x.plan LEFT JOIN named_plans t ON t.plan = CASE act WHEN 'upgrade' THEN higher WHEN 'downgrade' THEN x.lower END LEFT JOIN named_plans b ON b.plan = x.lower)
+SELECT org_uuid, concat(own, printf(' — $%.2f/month', CAST(price AS DOUBLE)), chr(10),
+  CASE WHEN barred THEN concat(chr(10), printf('Pro downgrade skipped — Opus usage on current cycle (~%.0f%%) suggests Pro''s tier limits would throttle hard.', opus_pct)) ELSE '' END,
+  CASE WHEN cy = 0 AND n = 0 THEN '' WHEN act = 'downgrade' THEN concat(chr(10), '▸ Recommend: downgrade to ', tl, printf(' — save ~$%.2f/month', CAST(price - tp AS DOUBLE)), chr(10), chr(10), '  ', cnt,
+      printf('-cycle average was %.0f%% (peak %.0f%%). On ', a, m), tl, ', this projects to', chr(10), printf('  ~%.0f%% avg (~%.0f%% peak) — comfortable headroom.', a * u / tu, m * u / tu))
+    WHEN act = 'upgrade' THEN concat(chr(10), '▸ Recommend: upgrade to ', tl, printf(' — +$%.2f/month', CAST(tp - price AS DOUBLE)), chr(10), chr(10),
+      CASE WHEN cy > 0 AND f >= 2 THEN printf('  You''ve hit ≥95%% utilization in %d of the last %d cycles.', f, cy) ELSE concat('  ', cnt, printf('-cycle average is %.0f%% — consistently near capacity.', a)) END,
+      chr(10), '  ', tl, printf(' offers %.0f× more headroom for the same workload.', CAST(tu / u AS DOUBLE)))
+    ELSE concat(chr(10), '▸ Recommend: stay on ', own, chr(10), chr(10), CASE WHEN cy > 0 THEN concat('  ', cnt, printf('-cycle average was %.0f%% (peak %.0f%%).', a, m)) ELSE concat(printf('  Partial-cycle projection: ~%.0f%% on ', m), own, '.') END,
+      chr(10), CASE WHEN bl IS NULL THEN '  Utilization is in a comfortable range for this plan.' ELSE concat('  Downgrading to ', bl, printf(' would push peak to ~%.0f%% — too tight.', m * u / bu)) END) END) AS text FROM y""".replace(
+    ", x AS (", ", named_plans(plan, label, u, price) AS (VALUES ('pro', 'Claude Pro', 1.0::DOUBLE, 20.0::DOUBLE), ('max5x', 'Claude Max (5x)', 5.0, 100.0), ('max20x', 'Claude Max (20x)', 20.0, 200.0)), x AS ("))
+def plan_texts(s, d):
+    return plans.plan_texts(fx.snapshots(s, d), _current(s, d), NOW)
+
+
 @query(_CURRENT + """, cu AS (SELECT cur.org_uuid, plan AS own, e FROM cur JOIN orgs USING (org_uuid)),
 ls AS (SELECT org_uuid, date_trunc('minute', cycle_end) AS cycle, plan, arg_max(utilization, captured_at) AS util, max(captured_at) AS cap FROM snaps GROUP BY 1, 2, 3),
 re AS (SELECT * FROM (SELECT ls.*, own, row_number() OVER (PARTITION BY ls.org_uuid ORDER BY cycle DESC, cap DESC) AS n FROM ls JOIN cu ON ls.org_uuid = cu.org_uuid WHERE cycle <> date_trunc('minute', e)) WHERE n <= 4),
