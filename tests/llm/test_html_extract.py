@@ -27,6 +27,18 @@ CASES = {
     "nearest neighbour decides": (f"<div><a href=a>Some long link text</a></div><div>Near.</div><div>Nearer.</div><div>Yes.</div><p>{PROSE}</p>", f"Nearer.\nYes.\n{PROSE}"),
     "no article": ("<nav><a href=a>Home</a></nav><footer>All rights</footer>", ""),
     "broken": (f"<article><p>{PROSE}<p class='x>{MORE}", PROSE),
+    "script without spaces": ("<div class=menu><a href=a>ホーム</a></div><div><p>昨日は雨が降っていたので、川の水がとても高くなり、船は港から出ることができませんでした。</p><p>はい。</p></div><footer>著作権</footer>",
+                              "昨日は雨が降っていたので、川の水がとても高くなり、船は港から出ることができませんでした。\nはい。"),
+    "two paragraphs in a form": (f"<form><input name=q><p>{PROSE}</p><p>{MORE}</p></form>", f"{PROSE}\n{MORE}"),
+    "class of the article and one that is bad in part": (f"<div class='post-content share-buttons-below'><p>{PROSE}</p></div><div class='share-buttons'><p>{MORE}</p></div>", PROSE),
+    "class of the article and one that is bad": (f"<p>{PROSE}</p><div class='content sidebar'><p>{MORE}</p></div>", PROSE),
+    "no stop words": ("<div>Zorblat kimpet vandru solpek mirtan gelbor huskin talver porzen dwimmel kastrop felnir bruzzle quontar yeldin wexpat</div><div><a href=a>Home</a></div>",
+                      "Zorblat kimpet vandru solpek mirtan gelbor huskin talver porzen dwimmel kastrop felnir bruzzle quontar yeldin wexpat"),
+    "only short labels": ("<div>Log in</div><div>Your name</div><div><a href=a>Home page of the site</a></div>", ""),
+    "comments by another name": (f"<p>{PROSE}</p><section id='reader-feedback'><p>{MORE}</p></section>", PROSE),
+    "rights in a plain part": (f"<div><p>{PROSE}</p></div><div>Copyright 2024 The Company of the River. All rights reserved.</div><div>We use cookies so that all of you have a good time on the site.</div>", PROSE),
+    "article on rights": (f"<article><p>{PROSE}</p><p>© 2024 by us.</p><p>All rights reserved.</p></article>", f"{PROSE}\n© 2024 by us.\nAll rights reserved."),
+    "rights at the end of a plain text": (f"<div><p>{PROSE}</p><p>All rights reserved.</p></div>", f"{PROSE}\nAll rights reserved."),
     "empty": ("", ""), "none": (None, ""), "plain text": (PROSE, PROSE),
 }
 

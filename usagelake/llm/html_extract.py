@@ -4,10 +4,12 @@ A page is cut into blocks at block-level tags. First pass: a block inside a part
 class names as no article (navigation, header, footer, sidebar, notice, advert, form, comments) is bad; of the others, stop-word
 density, length and link density decide: many links are bad, enough stop words or length without links good, short ones and
 headings undecided. Second pass: an undecided block takes the label of the nearest decided block, of two equally near ones a heading that of the
-later, others the good one; a block of an article element looks at its own article only. Where nothing is decided, the element does.
+later, others the good one; a block of an article element looks at its own article only. Where nothing is decided, the element does, and on a page
+without any article the longest run of undecided blocks is it. Scripts without spaces count two signs as a word.
 
 Names are a hint that text can outvote: a part that is bad only by its class or as a form, and that holds nearly all running
-text of the page, is the article. A class that only says what a part has (``has-comments``) names nothing.
+text of the page, is the article. A class that only says what a part has (``has-comments``) names nothing, and one that is the article's altogether (``post-content``)
+outweighs others that are bad in part (``share-buttons-below``).
 """
 
 from __future__ import annotations
@@ -30,8 +32,13 @@ STOP_WORDS = frozenset(
 #: Blocks shorter than SHORT words are undecided unless links decide; from LONG words on, length alone makes a block good.
 SHORT, LONG = 6, 20
 LINK_DENSITY, STOP_DENSITY = 0.5, 0.12
+#: Scripts without spaces between words, of whose signs some two make a word, and their most common signs.
+SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+STOP_SIGNS = frozenset("のはをにがでとたてもいるすしなれかっ的是了在和有不这我他们也就人都一上說它")
 #: A part that only its name makes bad is the article if it holds this share of the page's running text, in so many blocks.
-OUTVOTES, OUTVOTING_BLOCKS = 0.8, 3
+OUTVOTES, OUTVOTING_BLOCKS = 0.8, 2
+#: Where nothing is decided, the longest run of undecided blocks is the article if it has so many words.
+LONE_RUN = 12
 
 #: Tags that start and end blocks, that hold no text, and that have no end.
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -45,16 +52,21 @@ BAD_ROLES = frozenset("navigation banner contentinfo complementary search form d
 BAD_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead "
     "cookie cookies consent notice alert popup modal overlay newsletter subscribe signup login comment comments respond reply replies disqus "
-    "related share sharing social widget toolbar pagination pager search form toc copyright legal disclaimer".split())
+    "related share sharing social widget toolbar pagination pager search form toc copyright legal disclaimer feedback responses discussion talkback guestbook".split())
 #: Of these, those that text can't outvote, and tags of which text may.
-FIRM_WORDS = frozenset("comment comments respond reply replies disqus footer cookie cookies consent nav navbar navigation menu".split())
+FIRM_WORDS = frozenset("comment comments respond reply replies disqus feedback responses talkback footer cookie cookies consent nav navbar navigation menu".split())
 SOFT_TAGS = frozenset("form fieldset dialog".split())
 #: Words of a class that only tell a state of the part.
 STATES = frozenset("has no with without is enabled disabled open closed allow show hide".split())
 #: Blocks that only mark an advert.
 NOTICES = frozenset("ad ads advert advertisement advertising sponsored anzeige werbung publicité publicidad anuncio".split())
+#: How short blocks outside of any article element begin or what they hold that are the page's rights or its word on cookies.
+RIGHTS = re.compile(r"^(?:©|\(c\) |copyright (?:©|\(c\)|[0-9]{4}))|\bwe use cookies\b|\bthis (?:web)?site uses cookies\b|\bnous utilisons des cookies\b|\bwir verwenden cookies\b|\butilizamos cookies\b", re.I)
+RIGHTS_WORDS = 30
 ARTICLE_TAGS = frozenset("article main".split())
 ARTICLE_WORDS = frozenset("article content post entry story main".split())
+#: What may stand beside these in a name that is the article's altogether.
+BESIDE = ARTICLE_WORDS | frozenset("body text".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|[^>])*)(?:>|$)", re.S)
 _NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -82,7 +94,9 @@ def _part(tag: str, attributes: str, inside: bool) -> int:
                 part = GOOD
             if name in ("class", "id") and tag not in ("body", "html"):
                 named = [{w.lower() for w in _PARTS.findall(token)} for token in value.split()]
-                words = {w for one in named if not one & STATES for w in one}
+                # A name that is the article's altogether outweighs names that are bad only in part.
+                sure = any(one & ARTICLE_WORDS and one <= BESIDE for one in named)
+                words = {w for one in named if not one & STATES and not (sure and one & BAD_WORDS and not one <= BAD_WORDS and not one & FIRM_WORDS) for w in one}
                 if part != GOOD and words & BAD_WORDS:
                     if words & FIRM_WORDS:
                         return BAD
@@ -178,17 +192,25 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, int]]:
 
 def _first(text: str, linked: int, part: int, heading: int) -> int:
     """The label of a block by itself."""
-    words = text.split(" ")
-    if part == BAD or len(words) < SHORT and text.strip(".:!- ").lower() in NOTICES:
+    words, count = text.split(" "), length(text)
+    if part == BAD or count < SHORT and text.strip(".:!- ").lower() in NOTICES or part != GOOD and count < RIGHTS_WORDS and RIGHTS.search(text):
         return BAD
     if heading:
         return UNDECIDED
     if linked / len(text) > LINK_DENSITY:
         return BAD
-    if len(words) < SHORT:
+    if count < SHORT:
         return UNDECIDED
-    stop = sum(w.strip(".,;:!?\"'()*#$%&|").lower() in STOP_WORDS for w in words) / len(words)
-    return GOOD if stop >= STOP_DENSITY or len(words) >= LONG else UNDECIDED
+    stop = sum(w.strip(".,;:!?\"'()*#$%&|").lower() in STOP_WORDS for w in words)
+    if count > len(words):
+        stop += sum(c in STOP_SIGNS for c in text) / 2
+    return GOOD if stop / count >= STOP_DENSITY or count >= LONG else UNDECIDED
+
+
+def length(text: str) -> int:
+    """Words of a text; where a script has no spaces, two signs are a word."""
+    signs = 0 if text.isascii() else len(SPACELESS.findall(text))
+    return max(text.count(" ") + 1, signs // 2)
 
 
 def _nearest(labels: list[int], marks: list[bool]) -> list[tuple[int, int]]:
@@ -234,9 +256,24 @@ def classify(found: list[tuple[str, int, int, int, int]]) -> list[int]:
                 label = before if near < far else after
             label = label or (GOOD if inside[i] else BAD)
         out.append(label)
+    if GOOD not in out and GOOD not in labels:
+        out = _lone_run(found, labels, out)
     return out
 
 
+def _lone_run(found: list[tuple[str, int, int, int, int]], labels: list[int], out: list[int]) -> list[int]:
+    """``out`` with the longest run of undecided blocks as the article, if it is long enough."""
+    best, at = (0, 0, 0), 0
+    while at < len(labels):
+        end = at
+        while end < len(labels) and labels[end] == UNDECIDED:
+            end += 1
+        best = max(best, (sum(length(block[0]) for block in found[at:end]), -at, -end))
+        at = end + 1
+    words, start, end = best
+    return [GOOD if words >= LONE_RUN and -start <= i < -end else label for i, label in enumerate(out)]
+
+
 def extract(page: str | None) -> str:
     """The main text of a page: its good blocks joined by line ends; empty if there is none."""
     found = list(blocks(page or ""))
