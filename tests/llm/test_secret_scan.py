@@ -126,3 +126,33 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert secret_scan.digest(df).count() == 0
     assert secret_scan.redact(df).count() == 0
+
+
+def test_one_more_token_makes_no_jump(spark):
+    """What is found of a stratum doesn't change with its twentieth random token, nor much with any other."""
+    rng = random.Random(41)
+    drawn = ["".join(rng.choices(secret_scan.ALPHABETS["base64"], k=40)) for _ in range(30)]
+    plain = ["/".join(rng.choices(["Usr", "local", "share", "Library", "python3", "Site", "packages", "Main", "v2"], k=12))[:40] for _ in range(200)]
+    before = None
+    for n in (1, 3, 19, 20, 21, 30):
+        got = rows(spark, list(enumerate(f"see {t} here" for t in drawn[:n] + plain)))
+        found = {t for i, t in enumerate(drawn[:n] + plain) if "random" in got[i].spans}
+        assert not found & set(plain) and (n < 3 or len(found) >= 0.8 * n)
+        assert before is None or len(before - found) == 0, n
+        before = found
+
+
+def test_paths_alone_are_not_found(spark):
+    """No random token at all: of 3,000 tokens of words and numbers hardly any is found, whatever their lengths."""
+    rng = random.Random(43)
+    words = "the of river user local share lib python site pack Main test data config index page view File name time Order value".split()
+    plain = [rng.choice(["/", "_", "-"]).join(rng.choices(words, k=20))[: rng.randint(20, 70)] for _ in range(3000)]
+    got = rows(spark, list(enumerate(f"see {t} here" for t in plain)))
+    assert sum("random" in r.spans for r in got.values()) <= 3
+
+
+def test_a_run_count_that_fits_too_well_saves_no_word(spark):
+    """A p-value of 1 in one test hides no small one in another."""
+    word = "abababababababababababababababab"
+    row = secret_scan.token_tests(spark.createDataFrame([(word,), ("ThThThThThThThThThThThTh",)], "s string")).collect()
+    assert all(r.p < 1e-3 and r.q == 1.0 for r in row)
