@@ -76,3 +76,13 @@ def test_stage_judges_rows_of_one_id_apart(spark):
     items = spark.createDataFrame([(1, "A b c d e f g h i j")], "item_id long, text string")
     kept = decontaminate.remove_contaminated(docs, items).collect()
     assert sorted(map(str, (tuple(r) for r in kept))) == sorted(map(str, [(None, "clean without id"), (None, None), (1, "clean of one"), (3, "clean"), (3, "clean")]))
+
+
+def test_a_gram_of_all_items_and_documents(spark):
+    """A common run of five words multiplies nothing: each document's windows meet distinct windows, however many items have the run."""
+    common = "all items have these five".split()
+    items = [(i, " ".join([f"a{i}", f"b{i}", *common, *(f"{c}{i}" for c in "defghij")])) for i in range(300)]
+    items += [(300 + i, " ".join([*common, "and", "one", "more", "window", "too"])) for i in range(50)]  # one window of 50 items
+    docs = [(i, " ".join([f"x{i}", *common, f"y{i}", "z"] * 3)) for i in range(200)] + [(900, items[7][1]), (901, "so " + items[310][1])]
+    got = {r[0]: r[2:4] for r in run(spark, docs, items)}
+    assert all(got[i] == (0, 0) for i in range(200)) and got[900] == (14, 1) and got[901] == (10, 50)

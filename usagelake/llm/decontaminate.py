@@ -3,7 +3,9 @@
 Every k-gram of words is hashed; of each sliding window of hashes the smallest are kept as
 fingerprints. Two texts that share ``window`` consecutive words share a whole window of hashes, so they
 keep the same k-gram of it: joining the fingerprints of documents and benchmark finds every shared
-span. Around a hit, whole windows are compared word by word, so a hash collision can't mark a word.
+span. A k-gram meets each k-gram of the benchmark once, however many items have it. Around a hit the whole windows of the document
+meet the distinct windows of the benchmark by a hash and are compared word by word, so a collision can't mark a word; the items of a
+window are looked up last, for distinct windows of a document.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ WINDOW = 10
 K = 5
 #: The fingerprints of a benchmark are broadcast up to so many rows (about 30 bytes each).
 BROADCAST_FINGERPRINTS = 1_000_000
-#: The texts of a benchmark are broadcast up to so many items and words.
-BROADCAST_ITEMS, BROADCAST_WORDS = 20_000, 4_000_000
+#: The distinct windows of a benchmark are broadcast up to so many (about 150 bytes each).
+BROADCAST_WINDOWS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -85,13 +87,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: in
     """
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).withColumn("n_words", F.size("w")).filter(
         "n_words > 0")
-    items = stored(items.withColumn("item_no", F.monotonically_increasing_id()), "items")
+    items = stored(items, "items")
     lengths = sorted(r[0] for r in items.filter(F.col("n_words") < window).select("n_words").distinct().collect())
-    item_fps = _fingerprints(items, ["item_no", "n_words"], lengths, window, k, context=False).select(
-        "item_no", "n_words", F.explode_outer("fps").alias("f"))
-    item_fps = item_fps.select("item_no", "f.kind", "f.h", F.col("f.p").alias("q"), "n_words").filter(
-        (F.col("kind") == 0) & (F.col("n_words") >= window) | (F.col("kind") == F.col("n_words"))).drop("n_words")
-    item_fps = stored(item_fps, "item-fingerprints")
+    item_fps = _fingerprints(items, ["n_words"], lengths, window, k, context=False).select("n_words", F.explode_outer("fps").alias("f"))
+    grams = item_fps.filter((F.col("f.kind") == 0) & (F.col("n_words") >= window) | (F.col("f.kind") == F.col("n_words")))
+    grams = stored(grams.select("f.kind", "f.h").distinct().withColumn("met", F.lit(True)), "item-fingerprints")
+    n = F.least(F.lit(window), F.col("n_words"))
+    cut = F.transform(F.sequence(F.lit(1), F.col("n_words") - n + 1), lambda at: F.slice("w", at, n))
+    parts = stored(items.select(F.col("item_id").cast("string").alias("item"), F.explode(cut).alias("ws")).distinct(), "item-windows")
+    windows = parts.groupBy("ws").agg(F.count("*").alias("times")).select("ws", _hash(F.col("ws")).alias("wh"))
 
     read = docs.select("doc_id", words(F.col("text")).alias("w")).withColumns(
         {"n_words": F.size("w"), "row_no": F.monotonically_increasing_id()})
@@ -102,30 +106,26 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: in
                             F.array().cast("array<string>").alias("near")))
     marked = marked.select("row_no", "doc_id", "n_words", F.explode_outer(F.concat(none, "fps")).alias("f")).select(
         "row_no", "doc_id", "n_words", "f.*")
-    found = marked.join(broadcast_if_small(item_fps, BROADCAST_FINGERPRINTS), ["kind", "h"], "left").filter(
-        "kind = -1 or item_no is not null")
-    found = stored(found.drop("h"), "found")
-
-    texts = items.select("item_no", F.col("item_id").cast("string").alias("item"), F.col("w").alias("iw"))
-    size = items.agg(F.count("*").alias("items"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
-    if size["items"] <= BROADCAST_ITEMS and size["words"] <= BROADCAST_WORDS:
-        texts = F.broadcast(texts)
-    length, ahead = F.least(F.lit(window), F.size("iw")), F.least(F.when(F.col("kind") == 0, window - k).otherwise(0), "p")
-
-    def agrees(s: Column) -> Column:
-        """Whether the window that starts s words into ``near`` is a window of the item."""
-        at = F.col("q") - ahead + s
-        return (at >= 0) & (at + length <= F.size("iw")) & (s + length <= F.size("near")) & F.forall(
-            F.sequence(F.lit(0), length - 1), lambda j: F.coalesce(F.get("near", s + j) == F.get("iw", at + j), F.lit(False)))
-
-    checked = found.join(texts, "item_no", "left").withColumn("starts", F.when(F.col("kind") >= 0, F.transform(
-        F.filter(F.sequence(F.lit(0), ahead), agrees), lambda s: F.struct((F.col("p") - ahead + s).alias("at"), length.alias("n")))))
-    checked = checked.select("row_no", "doc_id", "n_words", F.when(F.size("starts") > 0, F.col("item")).alias("item"), "starts")
-    rows = checked.groupBy("row_no").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_set("item").alias("items"),
-        F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
-    return rows.select("doc_id", "n_words", F.array_sort(F.array_distinct(F.flatten(F.transform(
-        "starts", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))).alias("hits"), F.array_sort("items").alias("items"))
+    found = marked.join(broadcast_if_small(grams, BROADCAST_FINGERPRINTS), ["kind", "h"], "left").filter("kind = -1 or met")
+    found = stored(found.drop("h", "met"), "found")
+
+    # The windows that hold the k-gram: from so many words before it, of so many words.
+    length, ahead = F.when(F.col("kind") == 0, window).otherwise(F.col("kind")), F.least(F.when(F.col("kind") == 0, window - k).otherwise(0), "p")
+    around = F.filter(F.transform(F.sequence(F.lit(0), ahead), lambda i: F.struct((F.col("p") - ahead + i).alias("at"), F.slice("near", i + 1, length).alias("ws"))),
+                      lambda x: F.size(x["ws"]) == length)
+    near = found.filter("kind >= 0").select("row_no", F.explode(around).alias("x")).select("row_no", "x.*").distinct()
+    hits = near.withColumn("wh", _hash(F.col("ws"))).join(broadcast_if_small(windows, BROADCAST_WINDOWS), ["wh", "ws"]).select("row_no", "at", "ws")
+    hits = stored(hits, "hits")
+    listed = hits.select("row_no", "ws").distinct().join(parts, "ws").filter("item is not null").groupBy(F.col("row_no").alias("_row")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    marks = hits.groupBy(F.col("row_no").alias("_at")).agg(F.collect_set(F.struct("at", F.size("ws").alias("n"))).alias("starts"))
+    rows = found.filter("kind = -1").select("row_no", "doc_id", "n_words")
+    rows = rows.join(marks, F.col("row_no") == F.col("_at"), "left").join(listed, F.col("row_no") == F.col("_row"), "left")
+    spans = F.flatten(F.transform(F.coalesce("starts", F.array().cast("array<struct<at:int,n:int>>")), lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))
+    return rows.select("doc_id", "n_words", F.array_sort(F.array_distinct(spans)).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _hash(words_: Column) -> Column:
+    return F.xxhash64(words_)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
