@@ -80,7 +80,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: in
     of ``benchmark(item_id, text)``; ``items`` the ids with such a window, as sorted distinct strings. A window
     is ``window`` consecutive words of an item, or all of a shorter one. Null and empty texts have no
     words and no windows; an empty table on either side gives no hits; rows that repeat are each judged; a null
-    item_id marks words but isn't listed; other columns are ignored.
+    item_id marks words but isn't listed; other columns are ignored. Texts of any length are judged whole: a task holds the words and k-grams of one.
 
     A document is read once: each fingerprint carries the words around it that its windows span, so that a
     hit is extended and checked word by word without going back to the text.
@@ -132,7 +132,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those in which a window of a benchmark item occurs; all columns stay.
 
     Each row is judged by its own text: rows are matched by id and text, so clean rows that share their doc_id, null
-    included, with a contaminated one stay. Null and empty texts stay, rows that repeat are each judged, whatever the names of other columns; an
+    included, with a contaminated one stay. Texts of any length are judged whole. Null and empty texts stay, rows that repeat are each judged, whatever the names of other columns; an
     empty table gives no rows.
     """
     # One column holds the row, so no name of it can clash.

@@ -195,7 +195,8 @@ def link(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: i
     ``n_links`` counts the other rows linked directly (cosine of at least ``cosine`` in double precision), ``component_id``
     is the smallest vec_id reachable by links, ``kept`` whether it is the row's own. Null and zero vectors, and those that hold null or
     non-finite components, link with nothing; so do vectors of different lengths. Equal vectors, repeated rows included, link with each other. Rows
-    of a null vec_id have no links and a null component and aren't kept; an empty table gives no rows; other columns are ignored.
+    of a null vec_id have no links and a null component and aren't kept; rows that share a vec_id with unlike vectors have the larger of
+    their numbers of links and join their components; an empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     pairs = vectors.select("vec_id", "embedding").mapInArrow(_units, "vec_id long, size int, v array<double>")

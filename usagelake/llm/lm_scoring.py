@@ -224,7 +224,8 @@ def score(docs: DataFrame, model: str = MODEL, steps: int = STEPS) -> DataFrame:
 
     Scores are log10 probabilities of the whole text and its end. Learned from the texts whose crc32 of the id leaves another
     remainder than 2 modulo 7 (a null id is learned from). Null and empty texts are an end alone; without training texts all counts are
-    0; an empty table gives no rows; repeated rows count as often as they occur; other columns are ignored.
+    0; an empty table gives no rows; repeated rows count as often as they occur; other columns are ignored. Texts of any length are scored whole; a
+    word is one row of a lattice, so one of a megabyte takes a task some hundred megabytes.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))

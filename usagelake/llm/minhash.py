@@ -341,7 +341,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     ``shingle``-word shingles; ``kept`` whether the row's doc_id is the class_id. Words are separated by white
     space and compared unchanged. A text shorter than a shingle is one shingle; null and empty texts have no shingles and form one
     class of equal texts; rows with null doc_id have null classes, are not kept and link nothing; repeated rows are copies of each
-    other, and each is returned (a doc_id with several texts joins their classes); other columns are ignored; an empty table gives no rows.
+    other, and each is returned (a doc_id with several texts joins their classes); other columns are ignored; an empty table gives no rows. Texts of any length
+    are compared whole: a task holds all shingles of the texts of a block, one text at least.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
     signed = stored(texts.mapInArrow(freeing(_signed(shingle, bands, rows)), "id long, k1 long, k2 long, n int, bands array<long>"), "signed")
@@ -384,7 +385,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
     Classes are of rows, matched by id and text, so unlike texts that share a doc_id, null included, each stay. Of a class the row
     of the smallest doc_id stays (null ids last); of rows that repeat both id and text one. Of all null and empty texts, which are one class, one
-    stays; other columns may have any name; an empty table gives no rows.
+    stays; texts of any length are compared whole; other columns may have any name; an empty table gives no rows.
     """
     # One column holds the row, so no name of it can clash.
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("key"))

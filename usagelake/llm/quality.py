@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: doc_id, held_out, score, predicted.
 
     The score (0 to 1, higher: quality 1 is likelier) depends on the text alone; null and empty texts get the score of
-    a text without words; an empty table gives no rows; repeated rows are each scored; other columns are ignored.
+    a text without words; texts of any length are scored whole; an empty table gives no rows; repeated rows are each scored; other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -190,7 +190,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
     """The rows of ``docs`` that the classifier doesn't reject: those with a score of at least ``least``; all columns stay.
 
     Each row is judged by its own text: null and empty texts by the score of a text without words, rows that repeat or share a doc_id
-    each for itself, null ids like others; an empty table gives no rows.
+    each for itself, null ids like others; texts of any length are judged whole; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     names = docs.columns

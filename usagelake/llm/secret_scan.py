@@ -174,7 +174,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     Spans are sorted by start, then kind: assign (the whole match, from its keyword to the end of its value),
     access, hex, and random for tokens that the tests choose and no base span touches. Positions count code points from 0, end
     exclusive. Null and empty texts have no spans; an empty table gives no rows; repeated rows are each returned; a null doc_id
-    stays; other columns are ignored.
+    stays; other columns are ignored. Texts of any length are searched whole, in time that grows with them.
     """
     found = stored(_found(docs), "secrets-found")
     base = F.concat(*[F.col(kind) for kind in KINDS[:3]])

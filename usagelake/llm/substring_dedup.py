@@ -190,7 +190,7 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     ``window`` words whose sequence also starts at another place of any row (the same one included) is
     removed; ``spans`` are the removed runs of words (from 0, end exclusive), ``kept`` the other words
     joined by one space. Null and empty texts have no words and keep an empty text; an empty table gives
-    no rows; repeated rows are copies of each other; other columns are ignored.
+    no rows; repeated rows are copies of each other; other columns are ignored. Texts of any length, and words of any length, are compared whole.
     """
     spans = duplicate_windows(docs, window, anchor)
     spans = spans.groupBy(F.col("row").alias("id")).agg(F.collect_list(F.struct("at", "n")).alias("spans"))
