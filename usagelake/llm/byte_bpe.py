@@ -5,8 +5,8 @@ once. A piece that is itself a token is that token. The others stand as rows of
 of lengths, padded at the right. Each round looks for every row's leftmost pair of the smallest rank, merges it, closes the
 gap, and looks up the two pairs that the merge has made in a hash table of all pairs of tokens whose bytes together are a
 token; rows without such a pair leave the matrix, which is a column narrower after each round. Rows of more than ``LONG``
-bytes stand alone and merge all their pairs of the smallest rank in one round where that equals merging them one by one
-(no merge makes a pair of a rank as small), so a megabyte of one sign takes some twenty rounds.
+bytes stand alone and merge all their pairs of the smallest rank in one round, up to the first merge that makes a pair of a rank as
+small, which is what merging them one by one does, so a megabyte of one sign takes some twenty rounds.
 
 Nothing is shuffled and nothing is trained; the rank file goes to the tasks once, as bytes whose size the vocabulary bounds.
 """
@@ -130,7 +130,7 @@ def merge_rows(rows: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
 
 
 def merge_long(row: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    """``merge_rows`` for one long row: all pairs of the smallest rank in a round where their order can't matter, else the leftmost."""
+    """``merge_rows`` for one long row: in a round all pairs of the smallest rank, from the left up to one that makes a pair of a rank as small."""
     ranks = vocabulary.pair_ranks(row[:-1], row[1:])
     while len(ranks):
         low = ranks.min()
@@ -141,26 +141,28 @@ def merge_long(row: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
         head = np.flatnonzero(np.r_[True, np.diff(at) != 1])
         at = at[(np.arange(len(at)) - np.repeat(head, np.diff(np.r_[head, len(at)]))) % 2 == 0]
 
-        def merged(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        def merged(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The row and its pairs after these merges, and which of them have made a pair of a rank as small."""
             new = row.copy()
             new[at] = low
             stay = np.ones(len(row), dtype=bool)
             stay[at + 1] = False
-            # Each merge meets the token before it as merges from the left have left it, and the one behind as it was.
-            behind = at[at + 2 < len(row)]
-            with_next = vocabulary.pair_ranks(np.full(len(behind), low, dtype=np.uint32), row[behind + 2])
             spot = (np.cumsum(stay) - 1)[at]
             new = new[stay]
             pairs = np.delete(ranks, at)
             left, right = spot[spot > 0], spot[spot < len(new) - 1]
             pairs[left - 1] = vocabulary.pair_ranks(new[left - 1], new[left])
             pairs[right] = vocabulary.pair_ranks(new[right], new[right + 1])
-            apart = not ((with_next <= low).any() or (pairs[left - 1] <= low).any())
-            return new, pairs, apart
-
-        new, pairs, apart = merged(at)
-        if not apart and len(at) > 1:
-            new, pairs, _ = merged(at[:1])
+            # Each merge meets the token before it as merges from the left have left it, and the one behind as it was.
+            odd = np.zeros(len(at), dtype=bool)
+            odd[spot > 0] = pairs[left - 1] <= low
+            behind = at + 2 < len(row)
+            odd[behind] |= vocabulary.pair_ranks(np.full(int(behind.sum()), low, dtype=np.uint32), row[at[behind] + 2]) <= low
+            return new, pairs, odd
+
+        new, pairs, odd = merged(at)
+        if odd[:-1].any():  # the pair that the first of these makes is next
+            new, pairs, _ = merged(at[: int(odd.argmax()) + 1])
         row, ranks = new, pairs
     return row
 
