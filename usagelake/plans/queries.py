@@ -461,6 +461,21 @@ def guarded_lines(s, d):
     return ingest.guarded(c.select("conv_id", "turn", F.lit(10).alias("size"), F.col("text").alias("value")), "the").select("conv_id", "turn")
 
 
+@query(f"SELECT message_id, seq AS output_tokens, ts, model, input_tokens FROM raw WHERE provider <> 'amp' AND model <> 'gpt-5-codex'")
+def ingest_files(s, d):
+    """Log files in folders of their own: found, read by their lines and extracted; files of another kind are left alone."""
+    base = f"{storage.shared_folder(s)}/logs-{uuid.uuid4().hex}"
+    u = fx.usage_raw(s, d)
+    use = F.struct("input_tokens", F.col("seq").alias("output_tokens"))
+    model = F.when(F.col("model") == "gpt-5-codex", "<synthetic>").otherwise(F.col("model"))
+    value = F.to_json(F.struct(F.lit("assistant").alias("type"), _iso().alias("timestamp"), F.struct(F.col("message_id").alias("id"), model.alias("model"), use.alias("usage")).alias("message")))
+    lines = u.select("provider", "project", value.alias("value"))
+    lines.filter("provider <> 'amp'").write.partitionBy("provider", "project").text(f"{base}/logs")
+    lines.filter("provider = 'amp'").select("value").write.option("compression", "gzip").text(f"{base}/logs/other")
+    found = providers.extract_claude(ingest.read_lines(s, [f"{base}/logs"], "*.txt"))
+    return found.select("message_id", "output_tokens", F.col("ts").cast("timestamp_ntz").alias("ts"), "model", "input_tokens")
+
+
 _LISTING = ", listing AS (SELECT provider, concat(provider, '/', session_id, '/', strftime(ts, '%Y%m%d')) AS path, max(CAST(floor(epoch_us(ts) / 1000000) AS BIGINT)) AS mtime, count(*) AS size FROM usage GROUP BY 1, 2)"
 _MANIFEST = _LISTING + """, manifest AS (SELECT provider, path, CASE WHEN size % 3 = 0 THEN mtime - 1 ELSE mtime END AS mtime, size FROM listing WHERE mtime % 5 <> 0),
 changed AS (SELECT l.* FROM listing l LEFT JOIN manifest m USING (provider, path, mtime, size) WHERE m.path IS NULL)"""

@@ -2,7 +2,7 @@
 
 A version is a small text that says, for each partition, in which folders its files are; it appears whole or not at all, so readers see the version before or
 the one after a change, and a change that dies leaves files that no version names (``clean`` removes them). Two changes at a time: the second one to
-finish fails. The text has a line for each partition: providers x days, or a fixed number of buckets, never files or records.
+finish fails (in stores that rename at once, as HDFS and shared disks do). The text has a line for each partition: providers x days, or a fixed number of buckets, never files or records.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Log files that still grow, as a stream: the offset is the number of bytes read of each file.
 
 A trigger looks up the sizes of the files under the watched folders and reads the whole lines that have been added; a line without its end
-waits. Files are read in ranges, so a file of any size is many tasks. A file that has become shorter starts anew. The folders are those of
+waits. Files are read in ranges, so a file of any size is many tasks. A file that has become shorter starts anew. Paths are in any store that pyarrow's file systems reach. The folders are those of
 live sessions: the offset has an entry for each file below them, so finished files belong in the table of ``ingest``.
 """
 
