@@ -23,6 +23,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _mix_in_place(x: np.ndarray) -> None:
+    """``mix`` with one more array of memory instead of several."""
+    part = x >> np.uint64(30)
+    x ^= part
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    np.right_shift(x, np.uint64(27), out=part)
+    x ^= part
+    x *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(x, np.uint64(31), out=part)
+    x ^= part
+
+
 _bytes: dict[int, np.ndarray] = {}
 
 
@@ -41,10 +53,18 @@ def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = 0
         _bytes[seed] = mix(np.arange(1, 257, dtype=np.uint64) + np.uint64(seed << 32))
     lengths = ends - starts
     before = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
-    at = np.repeat(starts, lengths) + place
-    sums = np.zeros(len(at) + 1, dtype=np.uint64)
-    np.cumsum(mix(_bytes[seed][np.frombuffer(data, dtype=np.uint8)[at]] + place.astype(np.uint64) * _PLACE), out=sums[1:])
+    small = np.int32 if len(data) < 1 << 31 else np.int64
+    place = np.arange(int(lengths.sum()), dtype=small)
+    place -= np.repeat(before.astype(small), lengths)
+    at = np.repeat(starts.astype(small), lengths)
+    at += place
+    x = _bytes[seed][np.frombuffer(data, dtype=np.uint8)[at]]
+    del at
+    x += place.astype(np.uint64) * _PLACE
+    del place
+    _mix_in_place(x)
+    sums = np.zeros(len(x) + 1, dtype=np.uint64)
+    np.cumsum(x, out=sums[1:])
     return mix((sums[before + lengths] - sums[before]) ^ lengths.astype(np.uint64))
 
 
