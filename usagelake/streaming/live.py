@@ -2,8 +2,9 @@
 
 The stream keeps one state for each key of the deduplication: the record that counts, the first by time, file and place. A record that
 lands late and comes before it takes its place, and the stream gives out both with their signs, so totals are corrected whatever the
-age of a file. State is in RocksDB, dealt by key, and saved with the checkpoint. Records of one key are reduced within each task before
-they are dealt, so a key that a third of all records share sends a few rows a task.
+age of a file. Keys are dealt by their hash into ``GROUPS`` groups, and the records that count for a group's keys are one value in RocksDB, saved with the
+checkpoint: a call of Python for each key would take milliseconds a key. Records of one key are reduced within each task before they are dealt, so a key
+that a third of all records share sends a few rows a task.
 
 Totals are sums by bucket and model, which a trigger adds to those of the trigger before: their size is that of the report. A trigger that is run
 again after a failure writes its own version again.
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,9 +33,10 @@ from usagelake.sources import storage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STATE = "spark.sql.streaming.stateStore.providerClass"
-_KEYS = (*KEY, "account")
-_PLACE = ("ts", "file", "seq")
-_PACKED = ", ".join(f"{k} string" for k in _KEYS) + ", ts long, file string, seq long, record string"
+#: Groups of keys that share a value of state; of a checkpoint's life it is one number. A trigger reads and writes the values of the groups that its records are in.
+GROUPS = 2048
+_PACKED = "key string, ts long, file string, seq long, record string"
+_HELD = pa.schema([("key", pa.string()), ("ts", pa.int64()), ("file", pa.string()), ("seq", pa.int64()), ("record", pa.string())])
 
 
 def read_usage(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -43,48 +46,66 @@ def read_usage(spark: SparkSession, path: str, schema, files_per_trigger: int |
 
 
 def _packed(usage: DataFrame) -> DataFrame:
-    """Key, place and the whole record as JSON, times as microseconds. A missing place comes first."""
+    """Key and the whole record as JSON, and its place; times as microseconds. A missing place comes first."""
     def of(name: str, kind: str) -> Column:
         return F.col(name).cast(kind) if name in usage.columns else F.lit(None).cast(kind)
 
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     record = F.to_json(F.struct(*[micros.alias("ts") if c == "ts" else F.col(c) for c in usage.columns]))
     first = F.lit(-(1 << 63))
+    key = F.to_json(F.struct(*KEY, F.coalesce("account_uuid", F.lit("")).alias("account")))
     return usage.select(
-        *KEY, F.coalesce("account_uuid", F.lit("")).alias("account"), F.coalesce(micros, first).alias("ts"),
+        key.alias("key"), F.coalesce(micros, first).alias("ts"),
         F.coalesce(F.concat(F.lit("/"), of("source_file", "string")), F.lit("")).alias("file"), F.coalesce(of("seq", "bigint"), first).alias("seq"), record.alias("record"))
 
 
+def _earliest(columns: list[list], kept: dict[str, tuple]) -> None:
+    """Put the first record of each key into ``kept``."""
+    for key, *row in zip(*columns, strict=True):
+        if key not in kept or tuple(row) < kept[key]:
+            kept[key] = tuple(row)
+
+
+def _table(kept: dict[str, tuple]) -> pa.Table:
+    columns = zip(*[(key, *row) for key, row in kept.items()], strict=True) if kept else [()] * len(_HELD)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _HELD, strict=True)], schema=_HELD)
+
+
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the records of one key in a batch of a task the first."""
     for batch in batches:
-        kept: dict[tuple, tuple] = {}
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            key = row[: len(_KEYS)]
-            if key not in kept or row[len(_KEYS) :] < kept[key][len(_KEYS) :]:
-                kept[key] = row
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept.values(), strict=True), batch.schema, strict=True)], schema=batch.schema) if kept else batch
-
-
-def _first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The record that counts from now on with sign 1, and the one that did so far with sign -1, if they differ."""
-    old = tuple(state.get) if state.exists else None
-    new = old
+        kept: dict[str, tuple] = {}
+        _earliest([c.to_pylist() for c in batch.columns], kept)
+        yield from _table(kept).to_batches()
+
+
+def _first(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """For each key of the group the record that counts from now on with sign 1, and the one that did so far with sign -1, if they differ.
+
+    The state is a compressed Arrow stream; of its rows only those of the keys that have come are looked at one by one.
+    """
+    new: dict[str, tuple] = {}
     for frame in frames:
-        for row in zip(frame["ts"].tolist(), frame["file"].tolist(), frame["seq"].tolist(), frame["record"].tolist(), strict=True):
-            if new is None or row < new:
-                new = row
-    if new != old:
-        state.update(new)
-        out = [(new[-1], 1)] if old is None else [(old[-1], -1), (new[-1], 1)]
-        yield pd.DataFrame(out, columns=["record", "sign"])
+        _earliest([frame[c].tolist() for c in _HELD.names], new)
+    held = pa.ipc.open_stream(bytes(state.get[0])).read_all() if state.exists else _table({})
+    old: dict[str, tuple] = {}
+    _earliest([c.to_pylist() for c in held.filter(pc.is_in(held["key"], value_set=pa.array(list(new), pa.string()))).columns], old)
+    new = {key: row for key, row in new.items() if key not in old or row < old[key]}
+    if new:
+        gone = [key for key in new if key in old]
+        stays = held.filter(pc.invert(pc.is_in(held["key"], value_set=pa.array(gone, pa.string()))))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _HELD, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(pa.concat_tables([stays, _table(new)]).combine_chunks())
+        state.update((sink.getvalue().to_pybytes(),))
+        yield pd.DataFrame([(old[key][-1], -1) for key in gone] + [(row[-1], 1) for row in new.values()], columns=["record", "sign"])
 
 
 def changes(usage: DataFrame) -> DataFrame:
     """The records of a stream that count, as they come (``sign`` 1) and go (-1): at any time their sum is ``dedup`` of all that has landed."""
     packed = _packed(usage).mapInArrow(_combined, _PACKED)
-    state = "ts long, file string, seq long, record string"
-    signed = packed.groupBy(*_KEYS).applyInPandasWithState(_first, "record string, sign int", state, "update", GroupStateTimeout.NoTimeout)
+    dealt = packed.withColumn("keys", F.pmod(F.xxhash64("key"), F.lit(GROUPS)).cast("int"))
+    signed = dealt.groupBy("keys").applyInPandasWithState(_first, "record string, sign int", "held binary", "update", GroupStateTimeout.NoTimeout)
     kind = usage.schema["ts"].dataType
     fields = T.StructType([T.StructField(f.name, T.LongType() if f.name == "ts" else f.dataType) for f in usage.schema])
     out = signed.select(F.from_json("record", fields).alias("r"), "sign").select("r.*", "sign")
