@@ -241,3 +241,11 @@ def test_ids_and_places_of_another_type(spark):
     assert providers.extract_claude(lines(spark, "/x/projects/-home-u-git-app/s.jsonl", claude)).first().project == "app"
     sessions = lines(spark, "/s.json", '{"id":7,"directory":"/d"}', '{"id":"s","directory":8,"projectID":"p"}')
     assert [tuple(r) for r in providers.opencode_sessions(sessions).collect()] == [("s", "p")]
+
+
+def test_lines_are_parsed_once(spark):
+    """No filter of an extractor works out the parsed line again."""
+    lines = spark.createDataFrame([], LINES).repartition(2)
+    for name, extract in providers.EXTRACTORS.items():
+        plan = (extract(lines, lines) if name == "opencode" else extract(lines))._jdf.queryExecution().optimizedPlan().toString()
+        assert "from_json(" in plan and not [x for x in plan.split("\n") if "Filter " in x and "from_json(" in x], name

@@ -17,6 +17,7 @@ from usagelake.schema import TOKENS
 from usagelake.sources import accounts as sa
 from usagelake.sources import ingest, providers, storage
 from usagelake.sources import pricing as sp
+from usagelake.sources.jsonx import once
 from usagelake.sources.table import KeyIndex, UsageTable
 from usagelake.streaming import growing, live
 
@@ -286,7 +287,8 @@ def format_tokens(s, d):
 
 
 def _lines(u: DataFrame, path, value) -> DataFrame:
-    return u.select(path.alias("file_path"), F.lit(0).cast("bigint").alias("block_start"), F.col("seq").alias("line_id"), F.col("ts").cast("timestamp").alias("mtime"), F.lit(1000).cast("bigint").alias("size"), value.alias("value"))
+    lines = u.select(path.alias("file_path"), F.lit(0).cast("bigint").alias("block_start"), F.col("seq").alias("line_id"), F.col("ts").cast("timestamp").alias("mtime"), F.lit(1000).cast("bigint").alias("size"), value.alias("_text"))
+    return once(lines, "value", F.col("_text")).drop("_text")
 
 
 def _iso(c: str = "ts"):

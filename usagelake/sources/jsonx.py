@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """``df`` with the column ``name``, worked out once for each row.
+
+    Filters on a plain column move below it and work it out again for each mention, a parsed line some dozen times. They don't move below an ``explode``.
+    """
+    return df.withColumn(name, F.explode(F.array(c)))
+
+
 def u64(c: Column) -> Column:
     """A non-negative whole number, else null (from_json gives null for other types)."""
     return F.when(c >= 0, c)

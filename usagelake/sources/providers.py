@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from usagelake.functions.text import claude_folder, claude_project, droid_model, path_part, stem
 from usagelake.sources.carry import carried
 from usagelake.sources.ingest import guarded
-from usagelake.sources.jsonx import LAST_MILLI, integer, millis, mistyped, rfc3339, string, text, tokens, u64
+from usagelake.sources.jsonx import LAST_MILLI, integer, millis, mistyped, once, rfc3339, string, text, tokens, u64
 
 _MESSAGE = "struct<id:variant, model:string, usage:struct<input_tokens:bigint, output_tokens:bigint, cache_creation_input_tokens:bigint, cache_read_input_tokens:bigint>>"
 CLAUDE = (f"type string, timestamp string, requestId variant, cwd variant, message {_MESSAGE}, "
@@ -34,7 +34,7 @@ def _id(tool: str, sid: Column, ts: Column, a: Column, b: Column) -> Column:
 
 
 def _parsed(lines: DataFrame, schema: str) -> DataFrame:
-    return lines.withColumn("j", F.from_json("value", schema))
+    return once(lines, "j", F.from_json("value", schema))
 
 
 def extract_claude(lines: DataFrame) -> DataFrame:
@@ -159,14 +159,15 @@ def extract_opencode(messages: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def extract_opencode_table(table: DataFrame) -> DataFrame:
     """Message table (id, session_id, data): assistant rows with tokens."""
-    j = table.withColumns({"file_path": F.lit("table"), "line_id": F.lit(0).cast("bigint"), "j": F.from_json("data", OPENCODE)}).filter("j.role = 'assistant'")
+    placed = table.withColumns({"file_path": F.lit("table"), "line_id": F.lit(0).cast("bigint")})
+    j = once(placed, "j", F.from_json("data", OPENCODE)).filter("j.role = 'assistant'")
     return _opencode(j, F.coalesce("session_id", F.lit("unknown")), F.col("id"), F.lit("opencode"))
 
 
 def extract_gemini(docs: DataFrame) -> DataFrame:
     """Messages of a session document; one field of a wrong type drops the whole document."""
     schema = "sessionId variant, projectHash variant, messages array<struct<id:variant, type:variant, model:variant, timestamp:variant, tokens:struct<input:bigint, output:bigint, cached:bigint>>>, _bad string"
-    j = docs.withColumn("j", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"})).filter("j._bad is null")
+    j = once(docs, "j", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"})).filter("j._bad is null")
     bad = mistyped(F.col("j.sessionId"), F.col("j.projectHash")) | F.coalesce(
         F.exists("j.messages", lambda m: mistyped(m["id"], m["type"], m["model"], m["timestamp"])), F.lit(False))
     j = j.filter(~bad).select("file_path", "mtime", "j", F.posexplode("j.messages").alias("n", "m")).withColumn("line_id", F.col("n").cast("bigint"))
@@ -182,7 +183,7 @@ def extract_gemini(docs: DataFrame) -> DataFrame:
 def extract_droid(docs: DataFrame) -> DataFrame:
     """One record for each settings file; a field of a wrong type drops it."""
     schema = "model variant, providerLockTimestamp variant, tokenUsage struct<inputTokens:bigint, outputTokens:bigint, cacheCreationTokens:bigint, cacheReadTokens:bigint>, _bad string"
-    j = docs.filter(F.col("file_path").endswith(".settings.json")).withColumn("j", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"}))
+    j = once(docs.filter(F.col("file_path").endswith(".settings.json")), "j", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"}))
     u = "j.tokenUsage."
     a, b = tokens(F.col(u + "inputTokens")), tokens(F.col(u + "outputTokens"))
     bad = mistyped(F.col("j.model"), F.col("j.providerLockTimestamp"))
