@@ -1,3 +1,4 @@
+import random
 import subprocess
 import sys
 
@@ -12,6 +13,16 @@ def test_components(spark):
     assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_contracted_edges_join_the_same_nodes(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(b), b) for b in range(1, 400) for _ in range(rng.randrange(3)) if b % 7]
+    edges += [(a, b) for a in range(1000, 1025) for b in range(1025, 1325)]  # many nodes that share few neighbours
+    edges = spark.createDataFrame(edges, "a long, b long")
+    few = shared.contracted(edges)
+    assert {tuple(r) for r in shared.components(few).collect()} == {tuple(r) for r in shared.components(edges).collect()}
+    assert few.filter("a >= 1000").count() == 324 and few.filter("a >= b").count() == 0
+
+
 def test_own_folder_where_none_is_named():
     code = ("from pyspark.sql import SparkSession\nfrom usagelake.llm.shared import shared_folder, stored\n"
             "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"

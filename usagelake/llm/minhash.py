@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagelake.llm.hashing import mix, run_hashes, split_words, word_hashes
-from usagelake.llm.shared import broadcast_if_small, components, discard, freeing, spanning_links, stored
+from usagelake.llm.shared import broadcast_if_small, components, contracted, discard, freeing, spanning_links, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -350,8 +350,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     same = stored(same.select("k1", "k2", F.col("one.id").alias("id"), F.col("one.n").alias("n"), F.col("one.bands").alias("bands")), "texts")
     spread = same.filter("n > 0").select("id", F.posexplode("bands").alias("band", "key"))
     head = spread.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("size")).filter("size > 1").select("band", "key", "a")
-    stars = spread.join(head.hint("merge"), ["band", "key"]).filter("a <> id").select("a", F.col("id").alias("b")).distinct()
-    group = components(stars).select(F.col("node").alias("id"), F.col("component").alias("g"))
+    stars = spread.join(head.hint("merge"), ["band", "key"]).filter("a <> id").select("a", F.col("id").alias("b"))
+    group = components(contracted(stars)).select(F.col("node").alias("id"), F.col("component").alias("g"))
     members = stored(same.select("id", "n").groupBy("id").agg(F.max("n").alias("n")).join(group.hint("merge"), "id"), "members")
     sizes = members.groupBy("g").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles")).select("g", _blocks("texts", "shingles").alias("k"))
     sizes = stored(sizes, "groups")

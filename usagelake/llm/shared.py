@@ -104,6 +104,16 @@ def spanning_links(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges ``a, b`` that join the same nodes as ``edges(a, b)`` with a < b: of each b the one to its smallest a, and from that to its other a.
+
+    Where very many nodes share few small neighbours, as texts share the heads of their buckets, the edges among these neighbours are soon the same.
+    """
+    stars = edges.groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("others"))
+    each = stars.select("a", F.explode(F.array_union(F.array("b"), "others")).alias("b"))
+    return each.filter("a <> b").distinct()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``node, component`` for each node of an edge.
 
