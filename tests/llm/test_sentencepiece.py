@@ -1,6 +1,8 @@
 import hashlib
 import random
+import sys
 
+import pyarrow as pa
 import pytest
 import sentencepiece as library
 
@@ -91,3 +93,42 @@ def test_pieces_left_out_are_beaten(vocabulary):
     for i in vocabulary.plain:
         split = best(vocabulary.pieces[i])
         assert (i in useful) == (split is None or split <= vocabulary.scores[i])
+
+
+def test_units_are_cut_alike_in_steps_of_any_size(vocabulary, monkeypatch):
+    rng = random.Random(7)
+    texts = TEXTS + [" a  ▁b▁ ▁", "a" * 900] + ["".join(rng.choices("aetho nsr\n.,ÉéЖ中😀▁", k=rng.randint(0, 300))) for _ in range(100)]
+
+    def cut(text):
+        s, out = " " + text, []
+        for i, c in enumerate(s):
+            near = [vocabulary.known[ord(x.replace(" ", "▁"))] for x in s[max(i - 1, 0) : i + 1]]
+            if not i or (c == " " and s[i - 1] != " ") or not vocabulary.together[near[0], near[1]]:
+                out.append("")
+            out[-1] += c.replace(" ", "▁")
+        return out
+
+    want = [cut(t) if t else [] for t in texts]
+    for step in (1, 7, 1 << 18):
+        monkeypatch.setattr(sentencepiece, "STEP", step)
+        units, n = vocabulary.units(texts)
+        assert n.tolist() == [len(w) for w in want] and units.to_pylist() == [u for w in want for u in w]
+
+
+def test_words_are_not_looked_up_one_by_one(vocabulary, monkeypatch):
+    """Calls of Python do not grow with the number of distinct words."""
+    monkeypatch.setattr(sentencepiece, "_read", lambda name: vocabulary)
+
+    def calls(words):
+        made = []
+        texts = [" ".join(f"the{i * words + k}" for k in range(words)) for i in range(10)]
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(10)), "text": texts})
+        sys.setprofile(lambda frame, event, what: made.append(event))
+        try:
+            rows = sum(b.num_rows for b in sentencepiece._portions("")(iter([batch])))
+        finally:
+            sys.setprofile(None)
+        assert rows > 10
+        return len(made)
+
+    assert calls(5000) < calls(100) + 3000

@@ -20,13 +20,12 @@ windows and folded in blocks, so its cost is in proportion to its length.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,8 +42,8 @@ LONGEST = 255
 PORTION = 16 << 20
 #: Documents that are put together at a time.
 TOGETHER = 256
-#: Words whose units a task remembers.
-MOST_WORDS = 100_000
+#: Characters of text that are cut into units together, and those of them that are looked at in one step.
+CHUNK, STEP = 1 << 20, 1 << 18
 #: Below every path of ordinary pieces: the cost of falling back to bytes.
 FALLBACK = -1e9
 #: Positions of a unit that are exploded in one row, and that are folded before their pieces are put aside.
@@ -104,8 +103,7 @@ class Vocabulary:
         mark = self.known[ord(MARK)]
         inner = self.together[:, mark].copy()
         inner[mark] = False
-        # Words: a run of spaces and what follows, unless a piece reaches from a word into the next.
-        self.words = re.compile("(?s).+" if inner.any() else " +[^ ]*")
+        self.across = bool(inner.any())  # a piece reaches from a word (a run of spaces and what follows) into the next
         self.text = [b""] * size  # what each id stands for; control pieces for nothing
         for i in self.plain:
             self.text[i] = self.pieces[i].replace(MARK, " ").encode()
@@ -139,22 +137,34 @@ class Vocabulary:
         nth = np.arange(len(at)) - np.repeat(total - count, count)
         return at, nth + 3 - two[at]
 
-    def units(self, words: list[str]) -> list[list[str]]:
-        """Each word (of at least one character), cut wherever no piece reaches across."""
-        s = "".join(words).replace(" ", MARK)
-        code = self.codes(s)
-        cut = ~self.together[code[:-1], code[1:]]
-        ends = np.cumsum([len(w) for w in words])
-        cut[ends[:-1] - 1] = True
-        cut = [*(np.flatnonzero(cut) + 1).tolist(), len(s)]
-        found, out, at, k = [s[a:b] for a, b in zip([0, *cut], cut, strict=False)], [], 0, 0
-        for end in ends.tolist():
-            first = k
-            while at < end:
-                at = cut[k]
-                k += 1
-            out.append(found[first:k])
-        return out
+    def units(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The units of all texts one after the other, and how many each has: cut between words, and wherever no piece reaches across."""
+        size = np.array([len(x) + 1 if x else 0 for x in texts])
+        begin = (np.cumsum(size) - size)[size > 0]
+        raw = "".join([" " + x for x in texts if x])
+        s = raw.replace(" ", MARK)
+        cuts, bytes_at, have, before, spaced = [], [], 0, 0, False
+        for a in range(0, len(s), STEP):
+            point = points(s[a : a + STEP])
+            code = self.known[point]
+            cut = np.empty(len(code), dtype=bool)
+            cut[0] = not self.together[before, code[0]]
+            cut[1:] = ~self.together[code[:-1], code[1:]]
+            space = points(raw[a : a + STEP]) == ord(" ")
+            if not self.across:
+                cut |= space & ~np.r_[spaced, space[:-1]]
+            cut[begin[np.searchsorted(begin, a) : np.searchsorted(begin, a + STEP)] - a] = True
+            width = 1 + (point > 0x7F).astype(np.int64) + (point > 0x7FF) + (point > 0xFFFF)
+            at = np.flatnonzero(cut)
+            ends = np.cumsum(width)
+            cuts.append(at + a)
+            bytes_at.append(have + ends[at] - width[at])
+            have, before, spaced = have + int(ends[-1]), code[-1], space[-1]
+        cuts = np.concatenate([*cuts, [len(s)]])
+        offsets = np.concatenate([*bytes_at, [have]])
+        kind, wide = (pa.string(), np.int32) if have < 1 << 31 else (pa.large_string(), np.int64)
+        units = pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(offsets.astype(wide)), pa.py_buffer(s.encode())])
+        return units, np.diff(np.searchsorted(cuts, np.r_[0, np.cumsum(size)]))
 
 
 def points(text: str) -> np.ndarray:
@@ -189,58 +199,64 @@ def _portions(name: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _read(name)
-        words: dict[str, tuple[int, ...]] = {}
-        units: dict[str, int] = {}
-        ids, docs, have = [], [], 0
+        ids, units, sizes, texts, have, new = [], [], [], [], 0, 0
         for batch in batches:
             ids.append(batch.column("doc_id"))
             for text in batch.column("text"):
-                text = text.as_py()
-                mine = v.words.findall(" " + text) if text else []
-                if len(words) > MOST_WORDS:
-                    words.clear()
-                new = [w for w in set(mine) if w not in words]
-                if new:
-                    for w, parts in zip(new, v.units(new), strict=True):
-                        words[w] = tuple([units.setdefault(u, len(units)) for u in parts])
-                docs.append(np.fromiter(chain.from_iterable(map(words.__getitem__, mine)), np.int32))
-                have += len(text or "")
-            if have >= PORTION:
-                yield from _portion(v, ids, docs, list(units))
-                words, units, ids, docs, have = {}, {}, [], [], 0
-        if docs:
-            yield from _portion(v, ids, docs, list(units))
+                texts.append(text.as_py())
+                new += len(texts[-1] or "")
+                if new >= CHUNK:
+                    _cut(v, texts, units, sizes)
+                    texts, have, new = [], have + new, 0
+            if have + new >= PORTION:
+                _cut(v, texts, units, sizes)
+                yield from _portion(v, ids, units, sizes)
+                ids, units, sizes, texts, have, new = [], [], [], [], 0, 0
+        if ids:
+            _cut(v, texts, units, sizes)
+            yield from _portion(v, ids, units, sizes)
 
     return run
 
 
+def _cut(v: Vocabulary, texts: list[str], units: list[pa.Array], sizes: list[np.ndarray]) -> None:
+    """Add the units of some texts, distinct ones and which of them come one after the other, and how many each text has."""
+    found, n = v.units(texts)
+    units.append(found.dictionary_encode())
+    sizes.append(n)
+
+
 def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(values, pa.int32()))
 
 
-def _portion(v: Vocabulary, ids: list[pa.Array], docs: list[np.ndarray], units: list[str]) -> Iterator[pa.RecordBatch]:
+def _portion(v: Vocabulary, ids: list[pa.Array], found: list[pa.Array], sizes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     doc_ids = pa.concat_arrays(ids)
-    number, part, have = 0, [], 0
-    for i, unit in enumerate(units):
-        part.append(unit)
-        have += len(unit)
-        if have >= 1 << 17 or i == len(units) - 1:
-            yield from _windows(v, part, number, doc_ids.type)
-            number, part, have = i + 1, [], 0
-    for a in range(0, len(docs), 1000):
-        some = docs[a : a + 1000]
-        n = len(some)
-        numbers = pa.array([x.tobytes() for x in some], pa.binary())
-        empty = pa.nulls(n, pa.int32())
-        yield pa.RecordBatch.from_arrays([doc_ids.slice(a, n), numbers, empty, empty, pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int32()))], names=_ROWS)
-
-
-def _windows(v: Vocabulary, units: list[str], number: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    together = pa.chunked_array([x.cast(pa.dictionary(pa.int32(), pa.large_string())) for x in found]).unify_dictionaries()
+    found.clear()
+    units = together.chunk(together.num_chunks - 1).dictionary
+    length = pc.utf8_length(units).to_numpy(zero_copy_only=False)
+    part = np.cumsum(length) // (1 << 17)
+    bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(units)] if len(units) else [0]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        yield from _windows(v, units.slice(a, b - a), length[a:b], a, doc_ids.type)
+    at = 0
+    for numbers, many in zip(together.chunks, sizes, strict=True):
+        numbers, ends = numbers.indices.to_numpy(), np.r_[0, np.cumsum(many)]
+        for a in range(0, len(many), 1000):
+            n = min(1000, len(many) - a)
+            some = numbers[ends[a] : ends[a + n]]
+            docs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(((ends[a : a + n + 1] - ends[a]) * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(some))])
+            empty = pa.nulls(n, pa.int32())
+            yield pa.RecordBatch.from_arrays([doc_ids.slice(at, n), docs, empty, empty, pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int32()))], names=_ROWS)
+            at += n
+
+
+def _windows(v: Vocabulary, units: pa.Array, size: np.ndarray, number: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """The windows of some units: those of their substrings that may be pieces, each with the text that they need; a unit's first window begins with 0 and has its whole text."""
-    size = np.array([len(u) for u in units])
-    ends = np.cumsum(size)
+    ends = np.cumsum(size, dtype=np.int64)
     left = np.repeat(ends, size) - np.arange(ends[-1])
-    at, n = v.substrings(v.codes("".join(units)), left)
+    at, n = v.substrings(v.codes("".join(units.to_pylist())), left)
     place = np.repeat(size, size) - left  # of each character in its unit
     blocks = -(-size // WINDOW)
     owner = np.repeat(np.arange(len(units)), blocks)
@@ -251,11 +267,15 @@ def _windows(v: Vocabulary, units: list[str], number: int, kind: pa.DataType) ->
     lengths = np.bincount(window, minlength=len(owner))
     code = np.insert(code, (np.cumsum(lengths) - lengths)[first], 0)
     lengths[first] += 1
-    texts = [units[u] if not k else units[u][k * WINDOW : (k + 1) * WINDOW + v.longest] for u, k in zip(owner.tolist(), nth.tolist(), strict=True)]
+    if len(owner) == len(units):
+        texts = units.cast(pa.string())
+    else:
+        whole = units.to_pylist()
+        texts = pa.array([whole[u] if not k else whole[u][k * WINDOW : (k + 1) * WINDOW + v.longest] for u, k in zip(owner.tolist(), nth.tolist(), strict=True)], pa.string())
     none = len(owner)
     yield pa.RecordBatch.from_arrays(
         [pa.nulls(none, kind), pa.nulls(none, pa.binary()), pa.array((owner + number).astype(np.int32)),
-         pa.array((nth * WINDOW).astype(np.int32)), pa.array(texts, pa.string()), _lists(code, lengths)], names=_ROWS)
+         pa.array((nth * WINDOW).astype(np.int32)), texts, _lists(code, lengths)], names=_ROWS)
 
 
 _EDGE = pa.struct([("code", pa.int32()), ("score", pa.float64())])
@@ -342,7 +362,9 @@ def last_pieces(ends: Column, longest: int) -> Column:
             F.array(F.transform(F.slice(x, 1, F.size(positions)), lambda y: y["code"])), acc["back"]).alias("back")).cast(states)), F.lit(0))
 
     origin = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("code"))).cast(best)
-    return F.aggregate(ends, F.struct(origin.alias("win"), F.array().cast("array<array<int>>").alias("back")).cast(states), block, lambda acc: F.flatten(acc["back"]))
+    blocks = F.aggregate(ends, F.struct(origin.alias("win"), F.array().cast("array<array<int>>").alias("back")).cast(states), block, lambda acc: F.flatten(acc["back"]))
+    one = F.aggregate(F.get(ends, F.lit(0)), origin, position, lambda acc: F.slice(acc, F.lit(1), F.size(acc) - 1)["code"])
+    return F.when(F.size(ends) == 1, one).otherwise(blocks)  # nearly all units are one block
 
 
 def _assembled(name: str, decoded: bool):
