@@ -354,7 +354,7 @@ def last_pieces(ends: Column, longest: int) -> Column:
 
     def position(acc: Column, edges: Column) -> Column:
         paths = F.transform(edges, lambda e: F.struct((F.get(acc, F.shiftright(e["code"], ID_BITS))["s"] + e["score"]).alias("s"), e["code"].alias("code")))
-        return F.concat(F.array(F.array_max(paths)), acc)
+        return F.array_prepend(acc, F.array_max(paths))
 
     def block(acc: Column, positions: Column) -> Column:
         new = F.array(F.aggregate(positions, acc["win"], position))
