@@ -220,6 +220,19 @@ def test_amp_documents_of_very_many_events(spark):
     assert got == {f"e{i}": (i + n // 2 if i % 2 and i not in (1, 5) else 0) for i in range(n // 2)}
 
 
+def test_amp_messages_are_not_broadcast(spark, tmp_path):
+    """However small the messages are taken to be: by Spark's estimate those of a gigabyte of files are."""
+    use = {"cacheCreationInputTokens": 5, "cacheReadInputTokens": 6}
+    docs = [json.dumps({"id": f"T{i}", "messages": [{"role": "assistant", "messageId": 1, "usage": use}], "usageLedger": {"events": [
+        {"id": f"e{i}", "timestamp": "2024-01-01T00:00:00Z", "model": "m", "tokens": {"input": 1, "output": 2}, "toMessageId": 1}]}}) for i in range(20)]
+    spark.createDataFrame([(f"/{i}.json", 0, i, None, 10, doc) for i, doc in enumerate(docs)], LINES).write.parquet(str(tmp_path / "docs"))
+    got = providers.extract_amp(spark.read.parquet(str(tmp_path / "docs")))
+    assert tokens(got) == [(1, 2, 5, 6)] * 20
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_files_beyond_the_bound_are_never_opened(spark, tmp_path):
     (tmp_path / "small.jsonl").write_text("one\ntwo\n")
     (tmp_path / "large.jsonl").write_text("x" * 5000 + "\n")
