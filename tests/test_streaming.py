@@ -10,6 +10,8 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 from test_usage import at, prices, usage  # noqa: F401
 from usagelake.operators import filters
+from usagelake.plans.queries import QUERIES
+from usagelake.schema import TOKENS
 from usagelake.sources import providers
 from usagelake.streaming import growing, live
 
@@ -169,6 +171,13 @@ def test_totals_follow_a_growing_file(spark, prices, tmp_path):  # noqa: F811
     assert refresh() == 15
 
 
+def test_growing_logs_hold_every_record_of_the_table(spark):
+    """Of all tools, and with all ids: the totals are those of the daily report."""
+    folder = "/root/testdata/sf0.001"
+    got, want = (QUERIES[name](spark, folder).select("bucket", *TOKENS, F.round("cost", 9).alias("cost")) for name in ("stream_growing", "report_daily"))
+    assert rows(got) == rows(want) and got.count() > 1
+
+
 def codex(kind, **payload):
     return json.dumps({"timestamp": "2024-01-02T00:00:00Z", "type": kind, "payload": {"type": kind, **payload}}) + "\n"
 

@@ -1008,11 +1008,11 @@ def stream_line(s, d):
     return totals.line(_streamed(s, d, totals), "January")
 
 
-@query(f"SELECT strftime(ts, '%Y-%m-%d') AS bucket, {_SUMS}, CAST(sum(cost) AS DOUBLE) AS cost FROM priced WHERE provider = 'claude' AND regexp_matches(message_id, '[02468]$') GROUP BY 1")
+@query(f"SELECT strftime(ts, '%Y-%m-%d') AS bucket, {_SUMS}, CAST(sum(cost) AS DOUBLE) AS cost FROM priced GROUP BY 1")
 def stream_growing(s, d):
-    """Claude logs that grow between two runs: lines to records to live totals."""
+    """Claude logs that grow between two runs: lines to records to live totals. Every usage row is a line, whatever its tool."""
     base, name = f"{storage.shared_folder(s)}/growing-{uuid.uuid4().hex}", f"live_{uuid.uuid4().hex}"
-    u = fx.usage_raw(s, d).filter("provider = 'claude' and message_id rlike '[02468]$'")
+    u = fx.usage_raw(s, d)
     line = F.to_json(F.struct(F.lit("assistant").alias("type"), _iso().alias("timestamp"), F.col("request_id").alias("requestId"),
                               F.concat(F.lit("/"), "project").alias("cwd"), F.struct(
         F.col("message_id").alias("id"), "model", F.struct(*TOKENS).alias("usage")).alias("message")))
