@@ -969,6 +969,9 @@ def known_keys(s, d):
 
 # ---- streaming: the usage rows as files that land in parts, the last part days older than the first ----
 
+#: Lines of one log file, some 130 MB: a file beyond ``ingest.MOST_FILE`` is none of a tool's logs, and all its lines are passed over.
+LOG_LINES = 500_000
+
 
 def _streamed(s: SparkSession, d: str, totals: live.Totals) -> DataFrame:
     """The view after two runs of one stream: the second reads its own files only and lands the earlier half of the duplicates."""
@@ -1016,10 +1019,10 @@ def stream_growing(s, d):
     line = F.to_json(F.struct(F.lit("assistant").alias("type"), _iso().alias("timestamp"), F.col("request_id").alias("requestId"),
                               F.concat(F.lit("/"), "project").alias("cwd"), F.struct(
         F.col("message_id").alias("id"), "model", F.struct(*TOKENS).alias("usage")).alias("message")))
-    lines = u.select(F.concat(F.lit("s"), F.pmod("seq", F.lit(4)).cast("string")).alias("file"), F.pmod("seq", F.lit(2)).alias("half"), line.alias("value"))
+    lines = u.select(F.pmod("seq", F.lit(2)).alias("half"), line.alias("value"))
     totals = live.Totals(fx.pricing(s))
     for half in (0, 1):
-        lines.filter(F.col("half") == half).select("value").write.mode("append").text(f"{base}/logs")
+        lines.filter(F.col("half") == half).select("value").write.mode("append").option("maxRecordsPerFile", LOG_LINES).text(f"{base}/logs")
         growing.land(growing.read_growing(s, [f"{base}/logs"], "part-*"), providers.extract_claude, f"{base}/landed", f"{base}/land", once=True).awaitTermination()
     landed = s.read.parquet(f"{base}/landed/0").schema
     live.start(live.read_usage(s, f"{base}/landed", landed), totals, name, f"{base}/state", once=True).awaitTermination()
