@@ -221,7 +221,7 @@ def test_amp_documents_of_very_many_events(spark):
 
 
 def test_amp_messages_are_not_broadcast(spark, tmp_path):
-    """However small the messages are taken to be: by Spark's estimate those of a gigabyte of files are."""
+    """However small the messages are taken to be: by Spark's estimate those of 36 million events are of 2.4 MB."""
     use = {"cacheCreationInputTokens": 5, "cacheReadInputTokens": 6}
     docs = [json.dumps({"id": f"T{i}", "messages": [{"role": "assistant", "messageId": 1, "usage": use}], "usageLedger": {"events": [
         {"id": f"e{i}", "timestamp": "2024-01-01T00:00:00Z", "model": "m", "tokens": {"input": 1, "output": 2}, "toMessageId": 1}]}}) for i in range(20)]

@@ -102,7 +102,7 @@ def extract_amp(docs: DataFrame) -> DataFrame:
     """Events of a document's ledger; cache tokens are those of the message that the event names (the last of equal ids).
 
     Events meet messages in an equi-join on document and message id, so a document's cost is linear in both. There are as many messages as
-    events, so both sides are dealt: Spark takes a variant for 2 KB, puts what is read out of it at a hundredth of its size, and would broadcast all messages.
+    events, so both sides are dealt: Spark takes a variant for 2 KB and what is read out of it for a fortieth of that, and would broadcast all messages.
     """
     schema = "id variant, usageLedger struct<events:array<struct<id:variant, timestamp:string, model:variant, tokens:struct<input:bigint, output:bigint>, toMessageId:bigint>>>"
     j = _parsed(docs, schema).select("file_path", "j", F.posexplode("j.usageLedger.events").alias("n", "e")).filter("e.tokens is not null")
